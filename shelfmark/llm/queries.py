@@ -38,7 +38,9 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    measured = repetition.repetition_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return measured.select(*first, *(c for c in measured.columns if c not in first))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

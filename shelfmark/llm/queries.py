@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import licenses, mixing, pii, repetition, secrets
+from shelfmark.llm import decontamination, jaccard_join, licenses, mixing, pii, pseudo_likelihood, quality, repetition, secrets, suffix_dedup
 from shelfmark.llm.common import table
 
 
@@ -24,6 +24,10 @@ def _digest(spans: str, base: tuple[str, ...]) -> list[Column]:
     return [*(_count(spans, k) for k in base), F.sha2(_joined(of_base), 256).alias("base_sha256"), _joined(F.col(spans)).alias("spans")]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -37,19 +41,41 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_labels(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources stand for hosts, languages of a source for paths."""
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = repetition.repetition_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return measured.select(*first, *(c for c in measured.columns if c not in first))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pii_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", *_digest("pii", pii.BASE_KINDS))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.scored(table(spark, sf_dir, "documents"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_suffix_dedup, op2_mixing, op3_secrets, op4_licenses, op5_quality_classifier, op6_quality_rules, op7_decontamination, op8_pii, op9_lm_scoring, op10_jaccard_join,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_secrets, op4_licenses, op6_quality_rules, op8_pii)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

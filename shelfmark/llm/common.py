@@ -170,26 +170,31 @@ def per_document(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node of an edge list of longs; component is its smallest node.
 
-    Contraction: in each round every node joins the neighbour (or itself) of least priority, a hash that changes from
-    round to round, and edges are rewritten between what is left. A constant share of the nodes goes in each round, so
-    the rounds grow with the logarithm of the input. Minima are combined before they are shuffled, so that a node with
-    a third of all edges is no hot key; joins back on it are split by adaptive execution. Rounds end in a checkpoint;
-    only the number of edges that are left comes to the driver.
+    Contraction: in each round every node goes to the neighbour (or itself) of least priority, and on to that one's, and
+    edges are rewritten between what is left. In even rounds the priority is the node itself, which ends stars and
+    groups of copies at once; in odd rounds it is a hash that changes from round to round, so that a constant share of
+    the nodes of any graph goes and the rounds grow with the logarithm of the input. Minima are combined before they
+    are shuffled, so that a node with a third of all edges is no hot key; joins back on it are split by adaptive
+    execution. Rounds end in a checkpoint; the driver only learns whether edges are left.
     """
-    left = checkpointed(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null and a <> b").distinct())
-    label = checkpointed(left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("now")))
-    k = 0
+    ends = (F.col(a).cast("long"), F.col(b).cast("long"))
+    left = checkpointed(edges.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).where("a <> b").distinct())
+    moves: list[DataFrame] = []
     while not left.isEmpty():
-        k += 1
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.min(F.struct(F.xxhash64("b", F.lit(k)).alias("h"), F.col("b").alias("v")))
-        own = F.struct(F.xxhash64("a", F.lit(k)).alias("h"), F.col("a").alias("v"))
-        to = both.groupBy("a").agg(least.alias("l")).select(F.col("a").alias("old"), F.least(F.col("l"), own)["v"].alias("new"))
-        to = checkpointed(to)
-        label = checkpointed(label.join(to, label["now"] == to["old"], "left").select("node", F.coalesce("new", "now").alias("now")))
-        t = to.select(F.col("old").alias("b"), F.col("new").alias("nb"))
-        left = checkpointed(
-            left.join(to.withColumnRenamed("old", "a"), "a").join(t, "b").select(F.least("new", "nb").alias("a"), F.greatest("new", "nb").alias("b")).where("a <> b").distinct()
-        )
+        priority = (lambda c: F.xxhash64(c, F.lit(len(moves)))) if len(moves) % 2 else F.col
+        least = both.groupBy("a").agg(F.min(F.struct(priority("b").alias("h"), F.col("b").alias("v"))).alias("l"))
+        one = least.select(F.col("a").alias("old"), F.least("l", F.struct(priority("a").alias("h"), F.col("a").alias("v")))["v"].alias("new"))
+        on = one.select(F.col("old").alias("new"), F.col("new").alias("newer"))
+        to = checkpointed(one.join(on, "new").select("old", F.col("newer").alias("new")))
+        moves.append(to)
+        joined = left.join(to.select(F.col("old").alias("a"), F.col("new").alias("na")), "a").join(to.select(F.col("old").alias("b"), F.col("new").alias("nb")), "b")
+        left = checkpointed(joined.select(F.greatest("na", "nb").alias("a"), F.least("na", "nb").alias("b")).where("a <> b").distinct())
+    if not moves:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    label = moves[0].select(F.col("old").alias("node"), F.col("new").alias("now"))
+    for to in moves[1:]:
+        label = label.join(to.where("old <> new"), label["now"] == to["old"], "left").select("node", F.coalesce("new", "now").alias("now"))
+    label = checkpointed(label)
     smallest = label.groupBy("now").agg(F.min("node").alias("component"))
     return label.join(smallest, "now").select("node", "component")

@@ -138,9 +138,14 @@ def or_query(values: Column, query: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.trim(query)))
 
 
+def millis(at: Column) -> Column:
+    """Milliseconds since 1970 of a time with or without a zone."""
+    return F.unix_millis(at.cast("timestamp"))
+
+
 def relative_time(at: Column, now: Column) -> Column:
     """Time of today, Yesterday, n days ago, or month and day; days are whole 24 hours between the two."""
-    days = F.floor((F.unix_millis(now) - F.unix_millis(at)) / 86_400_000)
+    days = F.floor((millis(now) - millis(at)) / 86_400_000)
     return (
         F.when(days == 0, F.date_format(at, "hh:mm a")).when(days == 1, "Yesterday").when(days < 7, F.concat(days.cast("string"), F.lit(" days ago"))).otherwise(F.date_format(at, "MMM d"))
     )

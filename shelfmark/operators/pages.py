@@ -9,9 +9,12 @@ from shelfmark.functions.text import clean_html, spliced_html
 
 
 def islands(pages: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Rows with ``island``, the 0-based number of the run of equal values they are in; a later run is another one."""
-    window = Window.partitionBy(key).orderBy(order)
-    changed = (~F.lag(value).over(window).eqNullSafe(F.col(value)) | F.lag(order).over(window).isNull()).cast("int")
+    """Rows with ``island``, the 0-based number of the run of equal values they are in; a later run is another one.
+
+    Rows with the same place in the order count as sorted by value.
+    """
+    window = Window.partitionBy(key).orderBy(order, value)
+    changed = (~F.lag(value).over(window).eqNullSafe(F.col(value)) | (F.row_number().over(window) == 1)).cast("int")
     return pages.withColumn("__changed", changed).withColumn("island", (F.sum("__changed").over(window.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("bigint")).drop("__changed")
 
 
@@ -71,8 +74,8 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     window = Window.partitionBy(key).orderBy("at")
     before = F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     dealt = sentences.withColumn("chunk", F.floor(before / most).cast("bigint"))
-    last = F.coalesce(F.lead("chunk", overlap).over(window), F.max("chunk").over(Window.partitionBy(key)))
-    spread = dealt.withColumn("in_chunk", F.explode(F.sequence(F.col("chunk"), F.least(F.col("chunk") + 1, F.greatest("chunk", last)))))
+    last = dealt.withColumn("last", F.coalesce(F.lead("chunk", overlap).over(window), F.max("chunk").over(Window.partitionBy(key))))
+    spread = last.withColumn("in_chunk", F.explode(F.sequence(F.col("chunk"), F.least(F.col("chunk") + 1, F.greatest("chunk", "last")))))
     parts = F.array_sort(F.collect_list(F.struct("at", "sentence")))
     grouped = spread.groupBy(key, F.col("in_chunk").alias("chunk")).agg(F.min("at").alias("first_sentence"), F.sum("n").cast("bigint").alias("n_words"), parts.alias("parts"))
     return grouped.withColumn("text", F.array_join(F.transform("parts", lambda p: p["sentence"]), " ")).drop("parts")

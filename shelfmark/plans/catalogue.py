@@ -142,12 +142,12 @@ def _(spark, sf):
 
 @query(
     "jn_10_toc_as_of",
-    """WITH e AS (SELECT user_id, event_id, epoch_ms(ts) AS at FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
-    heads AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, at ORDER BY event_id) = 1)
-    SELECT p.user_id, p.event_id, epoch_ms(p.ts) AS active, heads.event_id AS entry FROM events p ASOF LEFT JOIN heads ON p.user_id = heads.user_id AND epoch_ms(p.ts) >= heads.at""",
+    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS placed FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
+    heads AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id, placed ORDER BY event_id) = 1)
+    SELECT p.user_id, p.event_id, epoch_us(p.ts) // 1000 AS active, heads.event_id AS entry FROM events p ASOF LEFT JOIN heads ON p.user_id = heads.user_id AND epoch_us(p.ts) // 1000 >= heads.placed""",
 )
 def _(spark, sf):
-    events = table(spark, sf, "events").select("user_id", "event_id", F.unix_millis("ts").alias("at"), "event_type")
+    events = table(spark, sf, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "event_type")
     kind = events.agg(F.min("event_type").alias("kind"))
     entries = events.join(F.broadcast(kind), events["event_type"] == kind["kind"]).select("user_id", F.col("event_id").alias("id"), F.col("at").alias("page_id"), F.col("event_id").alias("pos"))
     return pages.as_of(events.withColumnRenamed("at", "active"), entries, "event_id", "active", by="user_id")
@@ -179,8 +179,8 @@ def _(spark, sf):
 @query(
     "win_3_islands",
     """WITH c AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_returnflag IS NOT DISTINCT FROM lag(l_returnflag) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS changed
-      FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
-    n AS (SELECT *, sum(changed) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS UNBOUNDED PRECEDING) - 1 AS island FROM c)
+      FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag)),
+    n AS (SELECT *, sum(changed) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag ROWS UNBOUNDED PRECEDING) - 1 AS island FROM c)
     SELECT l_orderkey, island::BIGINT AS island, min(l_returnflag) AS flag, min(l_linenumber) AS first_line, count(*) AS n FROM n GROUP BY 1, 2""",
 )
 def _(spark, sf):

@@ -130,14 +130,14 @@ def _(spark, sf):
 
 @query(
     "fn_19_20_times",
-    """WITH d AS (SELECT event_id, ts, floor((epoch_ms((SELECT max(ts) FROM events)) - epoch_ms(ts)) / 86400000.0)::BIGINT AS days FROM events)
-    SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_ms(ts) % 1000)::VARCHAR, 3, '0') || 'Z' AS iso, epoch_ms(ts) AS ms,
+    """WITH d AS (SELECT event_id, ts, floor((epoch_us((SELECT max(ts) FROM events)) // 1000 - epoch_us(ts) // 1000) / 86400000.0)::BIGINT AS days FROM events)
+    SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') || 'Z' AS iso, epoch_us(ts) // 1000 AS ms,
     CASE WHEN days = 0 THEN strftime(ts, '%I:%M %p') WHEN days = 1 THEN 'Yesterday' WHEN days < 7 THEN days || ' days ago' ELSE strftime(ts, '%b %-d') END AS label FROM d""",
 )
 def _(spark, sf):
     events = table(spark, sf, "events")
     now = events.agg(F.max("ts").alias("now"))
-    return events.crossJoin(F.broadcast(now)).select("event_id", text.iso_time(F.col("ts")).alias("iso"), F.unix_millis("ts").alias("ms"), text.relative_time(F.col("ts"), F.col("now")).alias("label"))
+    return events.crossJoin(F.broadcast(now)).select("event_id", text.iso_time(F.col("ts")).alias("iso"), text.millis(F.col("ts")).alias("ms"), text.relative_time(F.col("ts"), F.col("now")).alias("label"))
 
 
 @query("fn_21_22_parameters", "SELECT doc_id, [doc_id + 1, 7]::BIGINT[]::VARCHAR AS ids, doc_id % 2 = 0 AS flag FROM documents WHERE doc_id >= 0")

@@ -181,10 +181,10 @@ def hybrid_rrf(spark, sf):
 
 @query(
     "vec_5_hybrid_weighted",
-    f"{LEGS}, fused AS (SELECT query_id, id, round(sum(score * CASE leg WHEN 'dense' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END), 6) AS score FROM hits GROUP BY 1, 2) {_ranked('fused')}",
+    f"{LEGS}, fused AS (SELECT query_id, id, round(sum(score * CASE leg WHEN 'dense' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END), 7) AS score FROM hits GROUP BY 1, 2) {_ranked('fused')}",
 )
 def _(spark, sf):
-    return fusion.weighted(_legs(spark, sf), K, {"dense": 0.7, "sparse": 0.3})
+    return fusion.weighted(_legs(spark, sf), K, {"dense": 0.7, "sparse": 0.3}, digits=7)
 
 
 @query(

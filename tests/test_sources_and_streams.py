@@ -1,5 +1,7 @@
 """Files in and out, and replies as streams."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,11 +72,18 @@ def test_accumulation_with_state(spark, tmp_path):
     stream = spark.readStream.schema(replies.LINE).option("maxFilesPerTrigger", 1).json(str(source))
     (source / "1.json").write_text('{"request_id":"r","seq":1,"type":"content","delta":"a "}\n{"request_id":"r","seq":0,"type":"metadata","sources":"[7]"}\n{"request_id":"q","seq":0,"type":"metadata"}\n')
     run = replies.accumulated(stream).writeStream.outputMode("append").foreachBatch(lambda df, _: made.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
+
+    def wait(done):
+        """Processing-time timeouts keep batches coming, so that processAllAvailable() would not return."""
+        end = time.monotonic() + 60
+        while not done() and run.isActive and time.monotonic() < end:
+            time.sleep(0.2)
+
     try:
-        run.processAllAvailable()
+        wait(lambda: sum(p.numInputRows for p in run.recentProgress) >= 3)
         assert not made
         (source / "2.json").write_text('{"request_id":"r","seq":1,"type":"content","delta":"a "}\n{"request_id":"r","seq":2,"type":"content","delta":"b"}\n{"request_id":"r","seq":3,"type":"done"}\n')
-        run.processAllAvailable()
+        wait(lambda: made)
     finally:
         run.stop()
     assert [(r.request_id, r.content, r.sources, r.complete) for r in made] == [("r", "a b", "[7]", True)]

@@ -18,7 +18,9 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -172,8 +174,14 @@ def base_findings(text: str) -> list[tuple[int, str, int]]:
 
 def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
     """Long tokens with digits and letters that no base finding touches."""
-    taken = [(a, b) for a, _, b in base]
-    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken)]
+    taken = sorted((a, b) for a, _, b in base)
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+
+    def touched(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return before > 0 and reach[before - 1] > start
+
+    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and not touched(*m.span())]
 
 
 def find(texts: list[str | None], model: CharCnn) -> list[list[dict]]:

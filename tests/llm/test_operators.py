@@ -151,6 +151,14 @@ def test_secret_patterns(text):
     assert sorted((k, a, b) for a, k, b in secrets.base_findings(text)) == sorted(brute.secret(text))
 
 
+def test_secret_candidates_touch_no_base_finding():
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["token=abc123def456", "AKIA" + "Z9" * 9, "0a" * 15, "q7" * rng.randrange(6, 14), "deadbeef" * 4 + "xyz", "plain"]) for _ in range(300))
+    base = secrets.base_findings(text)
+    want = [m.span() for m in secrets._CANDIDATE.finditer(text) if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base)]
+    assert want and secrets.candidates(text, base) == want and secrets.candidates("q7" * 9, []) == [(0, 18)]
+
+
 def test_secret_model_on_held_out_findings():
     model = secrets.trained_model()
     codes, labels = secrets.labelled_findings(1500, seed=99)

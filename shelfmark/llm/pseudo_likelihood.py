@@ -2,11 +2,12 @@
 
 Tokens are words. The vocabulary is made from counts over all documents: the most frequent words, and buckets for all
 others. The network sees SIDE words on either side of a token (not the token), and gives its probability as that of its
-class times that in its class, so that a token costs the square root of the vocabulary. A document's score is the sum
-of the log-probabilities of its tokens.
+class times that in its class, so that a token costs the square root of the vocabulary. The probability of a word in a
+bucket is the bucket's times the word's share of the bucket, from the counts of all words, which a join brings to the
+tokens. A document's score is the sum of the log-probabilities of its tokens.
 
-Training is distributed and grows with the input: one of TRAIN_SHARE documents (by hash of the text) is trained on, in
-ROUNDS rounds. In each round every task walks its documents in numpy from the same start, and the tasks' parameters
+Training is distributed and grows with the input: every document is trained on once, in one of ROUNDS rounds (by hash
+of the text). In each round every task walks its documents in numpy from the same start, and the tasks' parameters
 are averaged by their numbers of tokens in a grouped aggregation. Only the averaged parameters (N_PARAMETERS numbers)
 and the vocabulary (VOCABULARY rows) come to the driver, and go to the executors with the tasks.
 
@@ -31,7 +32,9 @@ VOCABULARY = CLASSES * IN_CLASS
 #: Ids of the last class stand for all words that are not in the vocabulary, by hash.
 OTHERS = IN_CLASS
 SIDE, EMBED, HIDDEN = 2, 16, 32
-TRAIN_SHARE, ROUNDS, STEP_TOKENS, RATE, SEED = 4, 2, 4096, 0.02, 5
+ROUNDS, STEP_TOKENS, RATE, SEED = 2, 4096, 0.02, 5
+#: The bits of a word's hash from here on give its bucket.
+BUCKET_SHIFT = 40
 #: Tokens that one forward pass holds.
 PASS_TOKENS = 65_536
 
@@ -46,8 +49,8 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return hashes, doc, len(offsets) - 1
 
 
-def vocabulary(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words of all documents, by rank."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``word, n``: the hash of every word of all documents, and how often it occurs."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,10 +59,24 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     counts = docs.select("text").mapInArrow(counted, StructType([StructField("word", LongType()), StructField("n", LongType())]))
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY - OTHERS)
+    return common.stored(counts.groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(counts: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent words, by rank."""
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - OTHERS)
     return np.array([r["word"] for r in top.collect()], np.int64).view(common.U64)
 
 
+def bucket_shares(counts: DataFrame, known: np.ndarray) -> DataFrame:
+    """``word, log_share``: of every word that is not known, the logarithm of its share of its bucket's tokens."""
+    spark = counts.sparkSession
+    top = spark.createDataFrame([(w,) for w in known.view(np.int64).tolist()], "word long")
+    rest = counts.join(F.broadcast(top), "word", "left_anti").withColumn("bucket", F.shiftrightunsigned("word", BUCKET_SHIFT) % OTHERS)
+    sizes = rest.groupBy("bucket").agg(F.sum("n").alias("size"))
+    return rest.join(F.broadcast(sizes), "bucket").select("word", F.log(F.col("n") / F.col("size")).alias("log_share"))
+
+
 class WindowNetwork:
     def __init__(self, words: np.ndarray, flat: np.ndarray | None = None):
         self.words = words
@@ -80,7 +97,7 @@ class WindowNetwork:
         return np.concatenate([self.p[k].ravel() for k in _SHAPES])
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
-        ids = (VOCABULARY - OTHERS + (hashes >> common.U64(40)) % common.U64(OTHERS)).astype(np.int64)
+        ids = (VOCABULARY - OTHERS + (hashes >> common.U64(BUCKET_SHIFT)) % common.U64(OTHERS)).astype(np.int64)
         if len(self.words):
             place = np.minimum(np.searchsorted(self.words[self.order], hashes), len(self.words) - 1)
             hit = self.words[self.order][place] == hashes
@@ -169,10 +186,10 @@ class Trainer:
         self.seen += len(ids)
 
 
-def trained(docs: DataFrame) -> WindowNetwork:
-    """The network after ROUNDS rounds over its share of the documents."""
-    net = WindowNetwork(vocabulary(docs))
-    share = F.pmod(F.xxhash64("text"), F.lit(TRAIN_SHARE * ROUNDS))
+def trained(docs: DataFrame, counts: DataFrame | None = None) -> WindowNetwork:
+    """The network after ROUNDS rounds, which share all documents."""
+    net = WindowNetwork(vocabulary(word_counts(docs) if counts is None else counts))
+    share = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
         words, flat = net.words, net.flat()
 
@@ -194,21 +211,39 @@ def trained(docs: DataFrame) -> WindowNetwork:
     return net
 
 
-_SCORES = [StructField("n_tokens", LongType()), StructField("log_prob", DoubleType()), StructField("mean_log_prob", DoubleType())]
+_SCORES = [StructField("n_tokens", LongType()), StructField("log_prob", DoubleType())]
 
 
-def scored(df: DataFrame, text: str = "text", key: str = "doc_id", net: WindowNetwork | None = None) -> DataFrame:
-    """``doc_id, n_tokens, log_prob, mean_log_prob`` of each document."""
-    docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    net = net or trained(docs)
-    sent = df.sparkSession.sparkContext.broadcast(net)
+def _class_scores(docs: DataFrame, net: WindowNetwork, fields: list[StructField], keep: list[str]) -> DataFrame:
+    """Of each document the tokens, the log-probability of their vocabulary ids, and (``others``) its words in buckets."""
+    sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(texts: pa.Array) -> dict:
         hashes, doc, n = _word_hashes(texts)
         ids = sent.value.tokens(hashes)
         each = sent.value.log_probs(ids, sent.value.windows(ids, doc))
-        count = np.bincount(doc, minlength=n).astype(np.int64)
-        total = np.bincount(doc, weights=each, minlength=n)
-        return {"n_tokens": count, "log_prob": total, "mean_log_prob": pa.array(np.where(count > 0, total / np.maximum(count, 1), 0.0), mask=count == 0)}
+        other = ids >= VOCABULARY - OTHERS
+        ends = np.concatenate([[0], np.cumsum(np.bincount(doc[other], minlength=n))]).astype(np.int32)
+        others = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[other].view(np.int64)))
+        return {"n_tokens": np.bincount(doc, minlength=n).astype(np.int64), "log_prob": np.bincount(doc, weights=each, minlength=n), "others": others}
 
-    return common.map_texts(docs, run, _SCORES, keep=["doc_id"])
+    return common.map_texts(docs, run, fields, keep=keep)
+
+
+def scored(df: DataFrame, text: str = "text", key: str = "doc_id", net: WindowNetwork | None = None) -> DataFrame:
+    """``doc_id, n_tokens, log_prob, mean_log_prob`` of each document.
+
+    With a network of the caller's own, which has no counts of words, a word in a bucket stands for its bucket.
+    """
+    docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    if net is not None:
+        out = _class_scores(docs, net, _SCORES, ["doc_id"])
+    else:
+        counts = word_counts(docs)
+        net = trained(docs, counts)
+        rows = docs.withColumn("row", F.monotonically_increasing_id())
+        found = common.stored(_class_scores(rows, net, [*_SCORES, StructField("others", ArrayType(LongType()))], ["doc_id", "row"]))  # a row keeps its number
+        shares = found.select("row", F.explode("others").alias("word")).join(bucket_shares(counts, net.words), "word")
+        inside = shares.groupBy("row").agg(F.sum("log_share").alias("inside"))
+        out = found.drop("others").join(inside, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("inside", F.lit(0.0)))
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -250,6 +252,43 @@ def test_lm_beats_the_unigram_model(spark):
     assert r[1] == len(ids) and r[0] / r[1] > np.log(p[ids]).mean() - 0.3
 
 
+def test_lm_scores_every_word_and_beats_the_unigram_model_over_words(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = pseudo_likelihood.scored(df).agg(F.sum("log_prob"), F.sum("n_tokens")).first()
+    n = np.array(list(Counter(w for x in df.select("text").collect() for w in re.findall(r"[^\x20\t-\r]+", x.text or "")).values()))
+    assert len(n) > pseudo_likelihood.VOCABULARY and r[1] == n.sum() and r[0] / r[1] > (n * np.log(n / n.sum())).sum() / n.sum()
+
+
+def test_lm_rare_words_in_one_bucket_differ(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(w for w in words[:2500] for _ in range(3)), " ".join(words[2500:])]
+    df = spark.createDataFrame([(i, " ".join(rng.sample(texts[i].split(), len(texts[i].split())))) for i in range(2)], "doc_id long, text string")
+    counts = pseudo_likelihood.word_counts(df)
+    net = pseudo_likelihood.WindowNetwork(pseudo_likelihood.vocabulary(counts))
+    shares = {r.word: r.log_share for r in pseudo_likelihood.bucket_shares(counts, net.words).collect()}
+    n = {r.word: r.n for r in counts.collect()}
+    assert len(shares) == 4000 - len(net.words)
+    ids = dict(zip(shares, net.tokens(np.array(list(shares), np.int64).view(np.uint64))))
+    size = Counter()
+    for w, i in ids.items():
+        size[i] += n[w]
+    assert all(abs(np.exp(s) - n[w] / size[ids[w]]) < 1e-9 for w, s in shares.items())
+
+
+def test_lm_trains_on_all_documents(spark, monkeypatch):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    seen, walk = spark.sparkContext.accumulator(0), pseudo_likelihood.Trainer.walk
+
+    def counted(self, texts):
+        seen.add(len(texts))
+        walk(self, texts)
+
+    monkeypatch.setattr(pseudo_likelihood, "Trainer", type("Counted", (pseudo_likelihood.Trainer,), {"walk": counted}))
+    pseudo_likelihood.trained(df.select("text"))
+    assert seen.value == df.count()
+
+
 def test_lm_gradients():
     net = pseudo_likelihood.WindowNetwork(np.arange(2000, dtype=np.uint64))
     rng = np.random.default_rng(0)

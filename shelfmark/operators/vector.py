@@ -37,16 +37,20 @@ def similarity(a: Column, b: Column, metric: str = "ip") -> Column:
     return dot(a, b)
 
 
-def _blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
+def _row_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[list[tuple]]:
+    rows = []
     for r in queries.select(key, vector).toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, np.float64)
+        rows.append((r[0], r[1]))
+        if len(rows) == QUERY_BLOCK:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
+
+
+def _blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for rows in _row_blocks(queries, key, vector):
+        yield np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: str = "ip", where: Column | None = None, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "embedding", digits: int = 6) -> DataFrame:
@@ -89,10 +93,16 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metr
 
 
 def dense_top_k_columns(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: str = "ip", key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """The same in Column expressions only, for a few queries (at most QUERY_BLOCK; else use ``dense_top_k``)."""
+    """The same in Column expressions only; each block of queries is broadcast by itself."""
     check_k(k)
-    few = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).alias("qv")).limit(QUERY_BLOCK)
-    scored = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).crossJoin(F.broadcast(few))
+    asked = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).alias("qv"))
+    source = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    scored = None
+    for rows in _row_blocks(asked, "query_id", "qv"):
+        found = source.crossJoin(F.broadcast(vectors.sparkSession.createDataFrame(rows, asked.schema)))
+        scored = found if scored is None else scored.unionByName(found)
+    if scored is None:
+        scored = source.crossJoin(asked)
     return top_k(scored.select("query_id", "id", F.round(similarity(F.col("qv"), F.col("v"), metric), digits).alias("score")), k, "query_id", [F.desc("score"), F.asc("id")])
 
 

@@ -77,6 +77,18 @@ def test_query_blocks(spark, monkeypatch):
     assert sorted(vector.dense_top_k(rows, asked, 3).collect()) == whole
 
 
+def test_query_blocks_by_columns(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    asked = rows.where("vec_id < 30").select(F.col("vec_id").alias("query_id"), "embedding")
+    for metric in ("ip", "l2"):
+        whole = sorted(vector.dense_top_k(rows, asked, 3, metric).select("query_id", "id", "rank").collect())
+        with monkeypatch.context() as m:
+            m.setattr(vector, "QUERY_BLOCK", 7)
+            got = sorted(vector.dense_top_k_columns(rows, asked, 3, metric).select("query_id", "id", "rank").collect())
+        assert len(got) == 90 and got == whole
+    assert vector.dense_top_k_columns(rows, asked.limit(0), 3).count() == 0
+
+
 def test_inverted_file_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")

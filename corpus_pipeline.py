@@ -2,6 +2,9 @@
 
 Stages get (spark, docs, sf_dir) and return a DataFrame; ``run`` writes each result as Parquet to the shared folder and
 reads it again as the next stage's documents, so that a lost executor costs a stage at most.
+
+Stages that join an operator's results back to the documents join rows, not ids: a null doc_id, ids that repeat and
+repeated rows are documents like all others, each with its own result.
 """
 
 from __future__ import annotations
@@ -14,24 +17,36 @@ from pyspark.sql import functions as F
 from shelfmark.llm import common, decontamination, jaccard_join, mixing, pii, repetition
 
 
+ROW = "__row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of their own for each row, written once so that it stays."""
+    return common.stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules reject go."""
     return repetition.repetition_rules(docs).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of the n-gram Jaccard join stays: the one whose id names the class.
+    """One document of each class of the n-gram Jaccard join stays: the one with the least id, one without an id last.
 
-    Documents without an id or without words stay.
+    Documents without words stay.
     """
-    classes = jaccard_join.jaccard_classes(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    classes = jaccard_join.jaccard_classes(rows, key=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    placed = classes.join(rows.select(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW).alias("place")), ROW)
+    first = placed.groupBy("component_id").agg(F.min("place")[ROW].alias(ROW)).select(ROW)
+    return rows.join(first, ROW, "left_semi").select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item of ``benchmark`` go."""
-    held = decontamination.contaminated(docs, common.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    held = decontamination.contaminated(rows, common.table(spark, sf_dir, "benchmark"), key=ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(held, ROW, "left_anti").select(*docs.columns)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +56,9 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents with the words that it takes of each (repeats counted); what it does not take goes."""
-    taken = mixing.mix(docs).where("taken > 0").dropDuplicates(["doc_id"])
-    return docs.join(taken, "doc_id").select(*docs.columns, "size", "source_size", "target", "taken")
+    rows = numbered(docs)
+    taken = mixing.mix(rows, row=ROW).where("taken > 0").drop("doc_id")
+    return rows.join(taken, ROW).select(*docs.columns, "size", "source_size", "target", "taken")
 
 
 STAGES = [

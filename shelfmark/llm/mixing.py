@@ -57,11 +57,15 @@ def targets(sizes: DataFrame, weight: Column, max_epochs: int = MAX_EPOCHS) -> D
     return rest.select("source", "source_size", F.when(F.col("clamped"), F.col("cap").cast("double")).otherwise(F.least(free, F.col("cap").cast("double"))).alias("target"))
 
 
-def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weight: Column | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """Each document's key with its size, its source's size and target, and the words that the mix takes of it."""
+def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weight: Column | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, row: str | None = None) -> DataFrame:
+    """Each document's key with its size, its source's size and target, and the words that the mix takes of it.
+
+    ``row``: a column that tells rows apart where keys do not; it is carried, and orders rows of equal key and size.
+    """
+    own = [row] if row else []
     order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("long")
     narrow = df.select(
-        F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("h")
+        F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("h"), *own
     ).withColumn("bucket", F.floor(F.col("h") / ((1 << 32) // BUCKETS)))
     narrow = common.checkpointed(narrow)  # the texts are read and counted once
     buckets = narrow.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -72,11 +76,11 @@ def mix(df: DataFrame, text: str = "text", key: str = "doc_id", source: str = "s
     wanted = wanted.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)))
     wanted = wanted.withColumn("part", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
     placed = buckets.alias("b").join(wanted.alias("w"), F.col("b.source").eqNullSafe(F.col("w.source"))).select("b.source", "b.bucket", "bucket_before", "source_size", "target", "epochs", "part")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, -1)
     dealt = narrow.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = dealt.alias("d").join(placed.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket")))
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("part") - F.col("bucket_before") - F.col("before")))
-    return joined.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
+    return joined.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"), *own)
 
 
 ORACLE_SQL = rf"""

@@ -39,3 +39,17 @@ def test_pipeline(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "text", "taken"} <= set(out.columns) and out.count() > 50
+
+
+def test_rows_without_ids_and_with_repeated_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    text = {k: " ".join(f"{k}{i % (37 + n)}" for i in range(80)) for n, k in enumerate("abcdefg")}
+    rows = [(None, text["a"]), (5, text["a"]), (5, text["b"]), (None, text["c"]), (None, text["c"]), (6, text["d"]), (6, text["d"]), (None, f"{text['e']} {item} {text['f']}"), (7, f"{text['f']} {item} {text['g']}"), (7, text["g"]), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").schema).repartition(3).cache()
+    plain = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    want = lambda keep: sorted((r for k, r in enumerate(rows) if k in keep), key=repr)
+
+    assert plain(corpus_pipeline.near_duplicates(spark, docs, SF)) == want({1, 2, 3, 5, 7, 8, 9, 10, 11})
+    assert plain(corpus_pipeline.decontaminated(spark, docs, SF)) == want(set(range(12)) - {7, 8})
+    mixed = corpus_pipeline.mixed(spark, docs, SF).collect()
+    assert len(mixed) == 10 and all(r.size == len(r.text.split()) for r in mixed) and sum(r.taken for r in mixed) == round(mixed[0].target)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from shelfmark.functions.arabic import unicode_tokens
 from shelfmark.operators import catalog, chat, fusion, pages, vector
 from shelfmark.operators.bm25 import Bm25Config, Bm25Model, fit_per_request, numbered
@@ -99,6 +100,11 @@ def test_inverted_file_recall(spark):
     assert {(r.query_id, r.id) for r in index.search(asked, 10, n_probe=16).collect()} == exact
 
 
+def test_registered_inverted_file_recall(spark):
+    found, exact = ({(r.query_id, r.id) for r in entry.queries()[q](spark, "/root/testdata/sf0.1").collect()} for q in ("vec_1_inverted_file", "vec_1_dense_knn"))
+    assert len(exact & found) / len(exact) >= 0.9, len(exact & found) / len(exact)
+
+
 def test_cross_query_rrf(spark):
     rows = [("r", 0, i, k + 1, float(d)) for k, (i, d) in enumerate([(1, 3), (2, 2), (3, 1)])] + [("r", 1, i, k + 1, float(d)) for k, (i, d) in enumerate([(2, 1), (4, 1)])]
     hits = spark.createDataFrame(rows, "request_id string, passage_id int, id int, rank int, distance double")

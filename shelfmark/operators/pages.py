@@ -55,14 +55,18 @@ def tree(entries: DataFrame, key: str = "id", parent: str = "parent") -> DataFra
     return joined.withColumn("root", root).withColumn("parent_id", F.when(~root, F.col(parent))).drop("__parent")
 
 
-def depths(entries: DataFrame, key: str = "id", parent: str = "parent", most: int = 32) -> DataFrame:
-    """``id, depth, path`` of every entry that hangs on a root (recursive SQL)."""
+def depths(entries: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+    """``id, depth, path`` of every entry that hangs on a root, however deep (recursive SQL).
+
+    No path is longer than there are entries. Beyond spark.sql.cteRecursionRowLimit rows Spark raises an error.
+    """
+    most = max(1, entries.count()) + 1
     tree(entries, key, parent).createOrReplaceTempView("__toc_entries")
     return entries.sparkSession.sql(f"""
-        WITH RECURSIVE walk AS (
+        WITH RECURSIVE walk MAX RECURSION LEVEL {most} AS (
           SELECT {key} AS id, 0 AS depth, CAST({key} AS STRING) AS path FROM __toc_entries WHERE root
           UNION ALL
-          SELECT e.{key}, w.depth + 1, concat(w.path, '/', CAST(e.{key} AS STRING)) FROM walk w JOIN __toc_entries e ON e.parent_id = w.id WHERE w.depth < {most})
+          SELECT e.{key}, w.depth + 1, concat(w.path, '/', CAST(e.{key} AS STRING)) FROM walk w JOIN __toc_entries e ON e.parent_id = w.id)
         SELECT id, depth, path FROM walk""")
 
 

@@ -100,6 +100,11 @@ def test_inverted_file_recall(spark):
     assert {(r.query_id, r.id) for r in index.search(asked, 10, n_probe=16).collect()} == exact
 
 
+def test_deep_tree(spark):
+    rows = spark.createDataFrame([(i, i - 1) for i in range(1, 121)], "id long, parent long")
+    assert {r.id: r.depth for r in pages.depths(rows).collect()} == {i: i - 1 for i in range(1, 121)}
+
+
 def test_registered_inverted_file_recall(spark):
     found, exact = ({(r.query_id, r.id) for r in entry.queries()[q](spark, "/root/testdata/sf0.1").collect()} for q in ("vec_1_inverted_file", "vec_1_dense_knn"))
     assert len(exact & found) / len(exact) >= 0.9, len(exact & found) / len(exact)

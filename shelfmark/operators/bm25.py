@@ -7,7 +7,11 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.arabic import TOKENS, arabic_tokens
+from shelfmark.functions.arabic import TOKENS, arabic_tokens, stop_words
+from shelfmark.session import spread
+
+#: Query terms that are broadcast to the tokens of the corpus, at about 50 bytes each; more are joined by a shuffle.
+BROADCAST_TERMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -25,30 +29,40 @@ class Bm25Config:
     def tokens(self, c: Column) -> Column:
         if self.charset != "arabic":
             return TOKENS[self.charset](c)
-        from shelfmark.functions.arabic import stop_words
-
         stops = (*stop_words(), *self.custom_stopwords) if self.remove_stopwords else ()
         return arabic_tokens(c, self.apply_stemming, stops, self.min_token_length)
 
 
 def term_frequencies(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """``key, term, tf, dl``: how often each term occurs in each document, and the document's length.
+    """``key, term, tf, dl``: how often each term occurs in each document, and the document's length."""
+    return _counted(_exploded(docs, key, tokens), key)
 
-    Terms are counted inside each row with a map-side explode; the only shuffle is that of the counts.
-    """
-    counted = docs.select(F.col(key), tokens.alias("tokens")).select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return counted.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+
+def _exploded(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
+    # an outer explode: for an inner one Spark adds a filter on the tokens, which makes them once more below the exchange
+    rows = docs.select(F.col(key), tokens.alias("tokens")).select(key, F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+    return rows.where(F.col("term").isNotNull())
+
+
+def _counted(words: DataFrame, key: str) -> DataFrame:
+    """Words are dealt by document, so that what groups by document afterwards needs no other shuffle."""
+    return words.repartition(key).groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
 
 
 @dataclass
 class Bm25Model:
-    """``terms(term, idx, df, idf)``, ``postings(doc_id, term, tf, dl)``, ``docs(doc_id, dl)``, one-row ``stats(n, avgdl)``."""
+    """``terms(term, idx, df, idf)``, ``postings(doc_id, term, tf, dl)``, ``docs(doc_id, dl)``, one-row ``stats(n, avgdl)``.
+
+    All are plans until they are used. A search reads only what it asks for: the query's terms meet the tokens before
+    these are counted, so that the rest of the corpus is not shuffled, and terms are numbered for the encoders alone.
+    """
 
     config: Bm25Config
     terms: DataFrame
     postings: DataFrame
     docs: DataFrame
     stats: DataFrame
+    words: DataFrame | None = None
 
     @classmethod
     def fit(cls, corpus: DataFrame, config: Bm25Config | None = None, key: str = "doc_id", text: str = "text") -> Bm25Model:
@@ -57,25 +71,37 @@ class Bm25Model:
         if corpus.isEmpty():
             raise ValueError("the corpus is empty")
         tokens = config.tokens(F.col(text))
-        docs = corpus.select(F.col(key).alias("doc_id"), F.size(tokens).alias("dl"))
-        postings = term_frequencies(corpus.select(F.col(key).alias("doc_id"), text), "doc_id", tokens)
+        rows = spread(corpus.select(F.col(key).alias("doc_id"), text))
+        docs = rows.select("doc_id", F.size(tokens).alias("dl"))
+        words = _exploded(rows, "doc_id", tokens)
+        postings = _counted(words, "doc_id")
         stats = docs.agg(F.count("*").alias("n"), F.sum("dl").alias("total")).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        terms = numbered(df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf")), "term", "idx")
-        return cls(config, terms, postings, docs, stats)
+        return cls(config, numbered(inverse_frequencies(postings, stats), "term", "idx"), postings, docs, stats, words)
 
-    def _weighted(self) -> DataFrame:
+    def _tf_norm(self) -> Column:
         c = self.config
-        tf_norm = F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * (1 - c.b + c.b * F.col("dl") / F.col("avgdl")))
-        return self.postings.crossJoin(F.broadcast(self.stats)).join(self.terms, "term").withColumn("tf_norm", tf_norm)
+        return F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * (1 - c.b + c.b * F.col("dl") / F.col("avgdl")))
+
+    def weighted(self, asked: DataFrame, few: bool | None = None) -> DataFrame:
+        """``doc_id, term, df, idf, tf_norm`` of the postings of the terms in ``asked(term)``."""
+        few = is_small(asked) if few is None else few
+        wanted = small(asked.select("term").distinct(), few)
+        if self.words is None:
+            held = self.postings.join(wanted, "term", "left_semi")
+        else:
+            held = _counted(self.words.join(wanted, "term", "left_semi"), "doc_id")
+        idf = inverse_frequencies(held, self.stats)
+        joined = held.crossJoin(F.broadcast(self.stats)).join(small(idf, few), "term")
+        return joined.select("doc_id", "term", "df", "idf", self._tf_norm().alias("tf_norm"))
 
     def query_terms(self, queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
         return term_frequencies(queries.select(F.col(key).alias("query_id"), text), "query_id", self.config.tokens(F.col(text))).select("query_id", "term", F.col("tf").alias("qtf"))
 
     def scores(self, queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
         """``query_id, doc_id, score`` where a document has a query's term; repeated query tokens add repeatedly."""
-        joined = self.query_terms(queries, key, text).join(self._weighted(), "term")
+        asked = self.query_terms(queries, key, text)
+        few = is_small(asked)
+        joined = self.weighted(asked, few).join(small(asked, few), "term")
         return joined.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("idf") * F.col("tf_norm")).alias("score"))
 
     def search(self, queries: DataFrame, k: int = 10, key: str = "query_id", text: str = "text", digits: int = 6) -> DataFrame:
@@ -95,7 +121,8 @@ class Bm25Model:
 
     def encode_documents(self) -> DataFrame:
         """``doc_id, sparse_vector``: term index to weight, positive weights only, in order of the index."""
-        weighted = self._weighted().select("doc_id", "idx", (F.col("idf") * F.col("tf_norm")).alias("weight"))
+        joined = self.postings.crossJoin(F.broadcast(self.stats)).join(self.terms.select("term", "idx", "idf"), "term")
+        weighted = joined.select("doc_id", "idx", (F.col("idf") * self._tf_norm()).alias("weight"))
         return self.docs.select("doc_id").join(sparse_vectors(weighted, "doc_id"), "doc_id", "left")
 
     def encode_queries(self, queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
@@ -124,6 +151,22 @@ class Bm25Model:
         return cls(Bm25Config(**settings), *(spark.read.parquet(f"{path}/{n}") for n in ("terms", "postings", "docs", "stats")))
 
 
+def is_small(asked: DataFrame) -> bool:
+    return asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+
+
+def small(rows: DataFrame, known: bool) -> DataFrame:
+    """A broadcast where the rows are known to be few."""
+    return F.broadcast(rows) if known else rows
+
+
+def inverse_frequencies(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """``term, df, idf`` of all terms in the postings."""
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    return df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf"))
+
+
 def fit_per_request(texts: DataFrame, config: Bm25Config | None = None, request: str = "request_id", key: str = "text_id", text: str = "text") -> DataFrame:
     """``request_id, text_id, sparse_vector``: each request's few texts are a corpus of their own, and its queries."""
     config = config or Bm25Config()

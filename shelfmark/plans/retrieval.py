@@ -151,10 +151,6 @@ def _(spark, sf):
     return vector.InvertedFile(rows, 16).search(asked, K, n_probe=12)
 
 
-def _postings(model: Bm25Model) -> DataFrame:
-    return model._weighted().select(F.col("doc_id").alias("id"), "term", (F.col("idf") * F.col("tf_norm")).alias("weight"))
-
-
 @query(
     "vec_2_sparse_inner_product",
     f"""{BM25}, q AS (SELECT query_id, term, round(qtf * idf, 9) AS w FROM asked JOIN terms USING (term)),
@@ -164,8 +160,10 @@ def _postings(model: Bm25Model) -> DataFrame:
 )
 def _(spark, sf):
     model = _model(spark, sf)
-    asked = model.query_terms(_asked(spark, sf)).join(model.terms, "term").select("query_id", "term", F.round(F.col("qtf") * F.col("idf"), 9).alias("weight"))
-    return vector.sparse_top_k(_postings(model), asked, K, drop_ratio=0.2)
+    terms = model.query_terms(_asked(spark, sf))
+    weighted = model.weighted(terms)
+    asked = terms.join(weighted.select("term", "idf").distinct(), "term").select("query_id", "term", F.round(F.col("qtf") * F.col("idf"), 9).alias("weight"))
+    return vector.sparse_top_k(weighted.select(F.col("doc_id").alias("id"), "term", (F.col("idf") * F.col("tf_norm")).alias("weight")), asked, K, drop_ratio=0.2)
 
 
 def _legs(spark: SparkSession, sf: str) -> DataFrame:

@@ -21,5 +21,12 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, name: str = "she
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, where the input has no more parts than these: a few large row groups would leave cores
+    idle in costly passes. Larger inputs stay as they are and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -178,9 +178,9 @@ def _(spark, sf):
 
 @query(
     "win_3_islands",
-    """WITH c AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_returnflag IS NOT DISTINCT FROM lag(l_returnflag) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS changed
-      FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag)),
-    n AS (SELECT *, sum(changed) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag ROWS UNBOUNDED PRECEDING) - 1 AS island FROM c)
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag) AS r FROM lineitem),
+    c AS (SELECT *, CASE WHEN r > 1 AND l_returnflag IS NOT DISTINCT FROM lag(l_returnflag) OVER (PARTITION BY l_orderkey ORDER BY r) THEN 0 ELSE 1 END AS changed FROM r),
+    n AS (SELECT *, sum(changed) OVER (PARTITION BY l_orderkey ORDER BY r ROWS UNBOUNDED PRECEDING) - 1 AS island FROM c)
     SELECT l_orderkey, island::BIGINT AS island, min(l_returnflag) AS flag, min(l_linenumber) AS first_line, count(*) AS n FROM n GROUP BY 1, 2""",
 )
 def _(spark, sf):

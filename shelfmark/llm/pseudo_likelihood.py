@@ -6,10 +6,12 @@ class times that in its class, so that a token costs the square root of the voca
 bucket is the bucket's times the word's share of the bucket, from the counts of all words, which a join brings to the
 tokens. A document's score is the sum of the log-probabilities of its tokens.
 
-Training is distributed and grows with the input: every document is trained on once, in one of ROUNDS rounds (by hash
-of the text). In each round every task walks its documents in numpy from the same start, and the tasks' parameters
-are averaged by their numbers of tokens in a grouped aggregation. Only the averaged parameters (N_PARAMETERS numbers)
-and the vocabulary (VOCABULARY rows) come to the driver, and go to the executors with the tasks.
+Training is distributed and grows with the input: every document is trained on once, in one of ROUNDS rounds. Documents
+are dealt by hash into parts of about PART_TOKENS tokens, whatever files they came from; each part is walked in numpy
+in the order of its documents' hashes, from the round's common start, and the parts' parameters are averaged. They are
+summed inside tasks and then over a tree of tasks, in steps of 2**-24, so that sums are exact and no order shows: reruns
+and other layouts of the files give the same model. Only the averaged parameters (N_PARAMETERS numbers) and the
+vocabulary (VOCABULARY rows) come to the driver, and go to the executors with the tasks.
 
 Defined results: a null or empty text has 0 tokens, log_prob 0 and a null mean; repeated rows get equal scores; an empty
 table gives an empty table; extra columns are ignored; a null doc_id is carried.
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from shelfmark.llm import common
 
@@ -32,7 +34,9 @@ VOCABULARY = CLASSES * IN_CLASS
 #: Ids of the last class stand for all words that are not in the vocabulary, by hash.
 OTHERS = IN_CLASS
 SIDE, EMBED, HIDDEN = 2, 16, 32
-ROUNDS, STEP_TOKENS, RATE, SEED = 2, 4096, 0.02, 5
+ROUNDS, STEP_TOKENS, RATE, SEED = 2, 4096, 0.05, 5
+#: Tokens of a part, on average; parameters are summed over so many tasks at a time, until so few rows are left.
+PART_TOKENS, FAN_IN, LAST_ROWS = 500_000, 64, 16
 #: The bits of a word's hash from here on give its bucket.
 BUCKET_SHIFT = 40
 #: Tokens that one forward pass holds.
@@ -113,50 +117,62 @@ class WindowNetwork:
             out[a, k] = np.where(doc[a] == doc[b], ids[b], VOCABULARY)
         return out
 
+    @staticmethod
+    def steps(ids: np.ndarray, doc: np.ndarray, size: int) -> Iterator[tuple[slice, np.ndarray]]:
+        """Stretches of ``size`` tokens with their neighbours, which may lie outside the stretch."""
+        for a in range(0, len(ids), size):
+            b = min(a + size, len(ids))
+            low, high = max(0, a - SIDE), min(len(ids), b + SIDE)
+            yield slice(a, b), WindowNetwork.windows(ids[low:high], doc[low:high])[a - low : b - low]
+
     def _forward(self, ids: np.ndarray, near: np.ndarray):
+        """Input, hidden layer, probabilities of classes; and in the order of the tokens' classes: that order, where
+        each class begins, the hidden layer, and the probabilities in the class."""
         x = self.p["e"][near].reshape(len(ids), -1)
         h = np.tanh(x @ self.p["w"] + self.p["b"])
-        logits = h @ self.p["c"] + self.p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        kind, own = ids // IN_CLASS, ids % IN_CLASS
-        order = np.argsort(kind.astype(np.int16), kind="stable")
+        of_class = np.exp(np.minimum(h @ self.p["c"] + self.p["cb"], 60))
+        of_class /= of_class.sum(1, keepdims=True)
+        kind = (ids // IN_CLASS).astype(np.int16)
+        order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        inner = []
+        sorted_h = h[order]
+        z = np.empty((len(ids), IN_CLASS), np.float32)
         for k in range(CLASSES):
-            rows = order[cuts[k] : cuts[k + 1]]
-            z = h[rows] @ self.p["o"][k] + self.p["ob"][k]
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(1, keepdims=True)
-            inner.append((rows, z))
-        return x, h, logits, inner, kind, own
-
-    def log_probs(self, ids: np.ndarray, near: np.ndarray) -> np.ndarray:
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                np.matmul(sorted_h[a:b], self.p["o"][k], out=z[a:b])
+                z[a:b] += self.p["ob"][k]
+        np.exp(np.minimum(z, 60, out=z), out=z)
+        z /= (z @ np.ones(IN_CLASS, np.float32))[:, None]
+        return x, h, of_class, order, cuts, sorted_h, z
+
+    def log_probs(self, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The log-probability of each token, given the tokens around it in its document."""
         out = np.zeros(len(ids))
-        for a in range(0, len(ids), PASS_TOKENS):
-            part = ids[a : a + PASS_TOKENS]
-            _, _, of_class, inner, kind, own = self._forward(part, near[a : a + PASS_TOKENS])
-            got = of_class[np.arange(len(part)), kind]
-            for rows, z in inner:
-                got[rows] *= z[np.arange(len(rows)), own[rows]]
-            out[a : a + PASS_TOKENS] = np.log(np.maximum(got, 1e-30))
+        for stretch, near in self.steps(ids, doc, PASS_TOKENS):
+            part = ids[stretch]
+            _, _, of_class, order, _, _, z = self._forward(part, near)
+            got = np.empty(len(part))
+            got[order] = z[np.arange(len(part)), part[order] % IN_CLASS]
+            out[stretch] = np.log(np.maximum(got * of_class[np.arange(len(part)), part // IN_CLASS], 1e-30))
         return out
 
     def gradients(self, ids: np.ndarray, near: np.ndarray) -> dict[str, np.ndarray]:
-        x, h, d_class, inner, kind, own = self._forward(ids, near)
-        n = np.float32(len(ids))
-        d_class[np.arange(len(ids)), kind] -= 1
+        x, h, d_class, order, cuts, sorted_h, z = self._forward(ids, near)
+        n, every = np.float32(len(ids)), np.arange(len(ids))
+        d_class[every, ids // IN_CLASS] -= 1
         d_class /= n
+        z[every, ids[order] % IN_CLASS] -= 1
+        z /= n
         g = {"c": h.T @ d_class, "cb": d_class.sum(0), "o": np.zeros_like(self.p["o"]), "ob": np.zeros_like(self.p["ob"])}
+        inner = np.zeros_like(sorted_h)
+        for k in range(CLASSES):
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                g["o"][k], g["ob"][k] = sorted_h[a:b].T @ z[a:b], z[a:b].sum(0)
+                np.matmul(z[a:b], self.p["o"][k].T, out=inner[a:b])
         dh = d_class @ self.p["c"].T
-        for k, (rows, z) in enumerate(inner):
-            if len(rows):
-                z[np.arange(len(rows)), own[rows]] -= 1
-                z /= n
-                g["o"][k], g["ob"][k] = h[rows].T @ z, z.sum(0)
-                dh[rows] += z @ self.p["o"][k].T
+        dh[order] += inner
         dh *= 1 - h * h
         g["w"], g["b"] = x.T @ dh, dh.sum(0)
         dx = (dh @ self.p["w"].T).reshape(-1, EMBED)
@@ -164,70 +180,125 @@ class WindowNetwork:
         g["e"] = np.stack([np.bincount(flat, weights=dx[:, d], minlength=VOCABULARY + 1) for d in range(EMBED)], 1).astype(np.float32)
         return g
 
+    def train(self, ids: np.ndarray, doc: np.ndarray) -> None:
+        """Adam over steps of STEP_TOKENS tokens."""
+        m = {k: np.zeros_like(v) for k, v in self.p.items()}
+        v = {k: np.zeros_like(x) for k, x in self.p.items()}
+        for t, (stretch, near) in enumerate(self.steps(ids, doc, STEP_TOKENS), 1):
+            for k, g in self.gradients(ids[stretch], near).items():
+                m[k] += 0.1 * (g - m[k])
+                v[k] += 0.01 * (g * g - v[k])
+                self.p[k] -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
+
+
+# --- training -------------------------------------------------------------------------------------------------------
+
+
+def encoded(docs: DataFrame, words: np.ndarray, n_parts: int, keep: list[str]) -> DataFrame:
+    """Kept columns, ``row``, the text's tokens as 16-bit ids, hashes of its words in buckets, and its part.
+
+    Copies of one text have different ids and so go to different parts; a row keeps its number once it is written.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(WindowNetwork(words))
+
+    def run(texts: pa.Array) -> dict:
+        hashes, doc, n = _word_hashes(texts)
+        ids = sent.value.tokens(hashes)
+        cuts = np.searchsorted(doc, np.arange(n + 1))
+        other = ids >= VOCABULARY - OTHERS
+        ends = np.concatenate([[0], np.cumsum(np.bincount(doc[other], minlength=n))]).astype(np.int32)
+        tokens = [ids[a:b].astype("<i2").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        return {"tokens": pa.array(tokens, pa.binary()), "others": pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[other].view(np.int64)))}
 
-class Trainer:
-    """Adam over steps of STEP_TOKENS tokens."""
+    place = F.xxhash64("text", F.lit(SEED))
+    rows = docs.select("*", F.monotonically_increasing_id().alias("row"), place.alias("place"), F.pmod(F.xxhash64("text", *keep), F.lit(n_parts)).alias("part"))
+    fields = [StructField("tokens", BinaryType()), StructField("others", ArrayType(LongType()))]
+    return common.map_texts(rows, run, fields, keep=[*keep, "row", "place", "part"])
 
-    def __init__(self, net: WindowNetwork):
-        self.net, self.t, self.seen = net, 0, 0
-        self.m = {k: np.zeros_like(v) for k, v in net.p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in net.p.items()}
 
-    def walk(self, texts: pa.Array) -> None:
-        hashes, doc, _ = _word_hashes(texts)
-        ids = self.net.tokens(hashes)
-        near = self.net.windows(ids, doc)
-        for a in range(0, len(ids), STEP_TOKENS):
-            self.t += 1
-            for k, g in self.net.gradients(ids[a : a + STEP_TOKENS], near[a : a + STEP_TOKENS]).items():
-                self.m[k] += 0.1 * (g - self.m[k])
-                self.v[k] += 0.01 * (g * g - self.v[k])
-                self.net.p[k] -= RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
-        self.seen += len(ids)
+def joined_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all tokens, and the row each is in."""
+    sizes = np.array([len(x) // 2 for x in column.to_pylist()], np.int64) if len(column) else np.zeros(0, np.int64)
+    whole = b"".join(column.to_pylist())
+    return np.frombuffer(whole, "<i2").astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
 
 
-def trained(docs: DataFrame, counts: DataFrame | None = None) -> WindowNetwork:
-    """The network after ROUNDS rounds, which share all documents."""
-    net = WindowNetwork(vocabulary(word_counts(docs) if counts is None else counts))
-    share = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
+_SUMS = StructType([StructField("n", LongType()), StructField("p", ArrayType(DoubleType()))])
+
+
+def _sum_row(n: int, p: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([n]), pa.array([p], pa.list_(pa.float64()))], names=_SUMS.names)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n, p = 0, np.zeros(N_PARAMETERS)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            n += batch.column("n")[i].as_py()
+            p += batch.column("p")[i].values.to_numpy()
+    if n:
+        yield _sum_row(n, p)
+
+
+def trained(rows: DataFrame, words: np.ndarray) -> WindowNetwork:
+    """The network after ROUNDS rounds, which share all rows of ``encoded``."""
+    net = WindowNetwork(words)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for k in range(ROUNDS):
-        words, flat = net.words, net.flat()
+        flat = net.flat()
+
+        def run(batches: Iterator[pa.RecordBatch], flat=flat) -> Iterator[pa.RecordBatch]:
+            """Rows come part by part; each part is walked from the same start."""
+            n, p = 0, np.zeros(N_PARAMETERS)
 
-        def run(batches: Iterator[pa.RecordBatch], words=words, flat=flat) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(WindowNetwork(words, flat))
+            def walked(held: list[pa.RecordBatch]) -> np.ndarray:
+                own = WindowNetwork(words, flat)
+                own.train(*joined_tokens(pa.concat_arrays([b.column("tokens") for b in held])))
+                return np.round(own.flat().astype(np.float64) * 2**24)
+
+            held: list[pa.RecordBatch] = []
             for batch in batches:
-                for part in common.passes(batch, "text"):
-                    trainer.walk(part.column("text"))
-            if trainer.seen:
-                yield pa.RecordBatch.from_arrays([pa.array([float(trainer.seen)]), pa.array([trainer.net.flat()], pa.list_(pa.float32()))], names=["n", "p"])
-
-        made = docs.select("text").where(share == k).mapInArrow(run, StructType([StructField("n", DoubleType()), StructField("p", ArrayType(FloatType()))]))
-        mean = made.select("n", F.posexplode("p").alias("at", "value")).groupBy("at").agg((F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("value"))
-        rows = mean.toPandas()
-        if len(rows):
-            flat = np.zeros(N_PARAMETERS)
-            flat[rows["at"].to_numpy()] = rows["value"].to_numpy()
-            net.load(flat)
+                parts = batch.column("part").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)] if len(parts) else [0]
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    if held and held[-1].column("part")[0].as_py() != parts[a]:
+                        n, p, held = n + 1, p + walked(held), []
+                    held.append(batch.slice(a, b - a))
+            if held:
+                n, p = n + 1, p + walked(held)
+            if n:
+                yield _sum_row(n, p)
+
+        chosen = rows.where((F.pmod("place", F.lit(ROUNDS)) == k) & (F.length("tokens") > 0)).select("part", "place", "tokens")
+        made = chosen.repartition("part").sortWithinPartitions("part", "place").select("part", "tokens").mapInArrow(run, _SUMS)
+        n = tasks
+        while n > LAST_ROWS:
+            n = -(-n // FAN_IN)
+            made = made.repartition(n).mapInArrow(_summed, _SUMS)
+        found = made.collect()
+        if total := sum(r["n"] for r in found):
+            net.load(sum(np.array(r["p"]) for r in found) / total / 2**24)
     return net
 
 
 _SCORES = [StructField("n_tokens", LongType()), StructField("log_prob", DoubleType())]
 
 
-def _class_scores(docs: DataFrame, net: WindowNetwork, fields: list[StructField], keep: list[str]) -> DataFrame:
-    """Of each document the tokens, the log-probability of their vocabulary ids, and (``others``) its words in buckets."""
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+def class_scores(rows: DataFrame, net: WindowNetwork, keep: list[str]) -> DataFrame:
+    """Kept columns, the number of tokens, and the log-probability of the tokens' ids."""
+    sent = rows.sparkSession.sparkContext.broadcast(net)
+    source = rows.select(*keep, "tokens")
+    schema = StructType([*source.schema.fields[:-1], *_SCORES])
 
-    def run(texts: pa.Array) -> dict:
-        hashes, doc, n = _word_hashes(texts)
-        ids = sent.value.tokens(hashes)
-        each = sent.value.log_probs(ids, sent.value.windows(ids, doc))
-        other = ids >= VOCABULARY - OTHERS
-        ends = np.concatenate([[0], np.cumsum(np.bincount(doc[other], minlength=n))]).astype(np.int32)
-        others = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[other].view(np.int64)))
-        return {"n_tokens": np.bincount(doc, minlength=n).astype(np.int64), "log_prob": np.bincount(doc, weights=each, minlength=n), "others": others}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.passes(batch, "tokens"):
+                ids, doc = joined_tokens(part.column("tokens"))
+                each, n = sent.value.log_probs(ids, doc), part.num_rows
+                scores = [np.bincount(doc, minlength=n).astype(np.int64), np.bincount(doc, weights=each, minlength=n)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, scores)], names=schema.names)
 
-    return common.map_texts(docs, run, fields, keep=keep)
+    return source.mapInArrow(run, schema)
 
 
 def scored(df: DataFrame, text: str = "text", key: str = "doc_id", net: WindowNetwork | None = None) -> DataFrame:
@@ -237,13 +308,14 @@ def scored(df: DataFrame, text: str = "text", key: str = "doc_id", net: WindowNe
     """
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     if net is not None:
-        out = _class_scores(docs, net, _SCORES, ["doc_id"])
+        out = class_scores(encoded(docs, net.words, 1, ["doc_id"]), net, ["doc_id"])
     else:
         counts = word_counts(docs)
-        net = trained(docs, counts)
-        rows = docs.withColumn("row", F.monotonically_increasing_id())
-        found = common.stored(_class_scores(rows, net, [*_SCORES, StructField("others", ArrayType(LongType()))], ["doc_id", "row"]))  # a row keeps its number
-        shares = found.select("row", F.explode("others").alias("word")).join(bucket_shares(counts, net.words), "word")
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        words = vocabulary(counts)
+        rows = common.stored(encoded(docs, words, max(1, -(-total // PART_TOKENS)), ["doc_id"]))
+        found = class_scores(rows, trained(rows, words), ["doc_id", "row"])
+        shares = rows.select("row", F.explode("others").alias("word")).join(bucket_shares(counts, words), "word")
         inside = shares.groupBy("row").agg(F.sum("log_share").alias("inside"))
-        out = found.drop("others").join(inside, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("inside", F.lit(0.0)))
+        out = found.join(inside, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("inside", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

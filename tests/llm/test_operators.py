@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,16 +241,63 @@ def test_sparse_sites_are_shrunk(spark):
     assert got["big"] < 0.35 and got["small"] < 0.6  # one good document doesn't make a good site
 
 
-def test_lm_beats_the_unigram_model(spark):
-    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars < 20000")
-    net = pseudo_likelihood.trained(df.select("text"))
-    r = pseudo_likelihood.scored(df, net=net).agg(F.sum("log_prob"), F.sum("n_tokens")).first()
-    texts = [x.text for x in df.select("text").collect()]
-    import pyarrow as pa
+def _tokens(net, texts):
+    hashes, doc, _ = pseudo_likelihood._word_hashes(pa.array(texts))
+    return net.tokens(hashes), doc
 
-    ids = np.concatenate([net.tokens(pseudo_likelihood._word_hashes(pa.array([t]))[0]) for t in texts])
+
+def test_lm_beats_the_unigram_model_on_text_that_it_has_not_seen(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen, held = df.where("doc_id % 5 <> 0").select("doc_id", "text"), [r.text for r in df.where("doc_id % 5 = 0 and n_chars < 20000").collect()]
+    words = pseudo_likelihood.vocabulary(pseudo_likelihood.word_counts(seen))
+    net = pseudo_likelihood.trained(common.stored(pseudo_likelihood.encoded(seen, words, 3, ["doc_id"])), words)
+    p = np.bincount(_tokens(net, [r.text for r in seen.collect()])[0], minlength=pseudo_likelihood.VOCABULARY) + 1
+    ids, doc = _tokens(net, held)
+    assert net.log_probs(ids, doc).mean() > np.log(p / p.sum())[ids].mean() + 0.1
+
+
+def test_lm_learns_the_order_of_words(spark):
+    """Words of a known chain: each is followed by one of two, so that both sides tell it all but wholly."""
+    rng = random.Random(6)
+    after = {i: (rng.randrange(300), rng.randrange(300)) for i in range(300)}
+
+    def text():
+        i, out = rng.randrange(300), []
+        for _ in range(200):
+            out.append(f"w{i}")
+            i = rng.choice(after[i])
+        return " ".join(out)
+
+    df = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string")
+    words = pseudo_likelihood.vocabulary(pseudo_likelihood.word_counts(df))
+    net = pseudo_likelihood.trained(common.stored(pseudo_likelihood.encoded(df, words, 1, ["doc_id"])), words)
+    ids, doc = _tokens(net, [text() for _ in range(50)])
     p = np.bincount(ids, minlength=pseudo_likelihood.VOCABULARY) / len(ids)
-    assert r[1] == len(ids) and r[0] / r[1] > np.log(p[ids]).mean() - 0.3
+    assert net.log_probs(ids, doc).mean() > (p[p > 0] * np.log(p[p > 0])).sum() + 1
+
+
+def test_lm_scores_do_not_depend_on_files_and_reruns(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    scores = lambda rows: sorted((r.doc_id, r.n_tokens, r.log_prob) for r in pseudo_likelihood.scored(rows).collect())
+    one, other = scores(df), scores(df.repartition(7))
+    assert [x[:2] for x in one] == [x[:2] for x in other] and np.allclose([x[2] for x in one], [x[2] for x in other], rtol=1e-9)
+
+
+def test_lm_score_by_hand(spark):
+    """The score of a document for given parameters, word by word, without the network's own code."""
+    rng = np.random.default_rng(4)
+    text = "one two three two one four"
+    net = pseudo_likelihood.WindowNetwork(np.unique(pseudo_likelihood._word_hashes(pa.array([text]))[0]), rng.normal(0, 0.3, pseudo_likelihood.N_PARAMETERS))
+    ids = net.tokens(pseudo_likelihood._word_hashes(pa.array([text]))[0])
+    total = 0.0
+    for i, w in enumerate(ids):
+        near = [ids[j] if 0 <= j < len(ids) else pseudo_likelihood.VOCABULARY for j in (i - 2, i - 1, i + 1, i + 2)]
+        h = np.tanh(np.concatenate([net.p["e"][j] for j in near]) @ net.p["w"] + net.p["b"])
+        softmax = lambda z: np.exp(z) / np.exp(z).sum()
+        k = w // pseudo_likelihood.IN_CLASS
+        total += np.log(softmax(h @ net.p["c"] + net.p["cb"])[k]) + np.log(softmax(h @ net.p["o"][k] + net.p["ob"][k])[w % pseudo_likelihood.IN_CLASS])
+    got = pseudo_likelihood.scored(spark.createDataFrame([(1, text)], "doc_id long, text string"), net=net).first()
+    assert got.n_tokens == 6 and abs(got.log_prob - total) < 1e-4
 
 
 def test_lm_scores_every_word_and_beats_the_unigram_model_over_words(spark):
@@ -278,21 +326,24 @@ def test_lm_rare_words_in_one_bucket_differ(spark):
 
 def test_lm_trains_on_all_documents(spark, monkeypatch):
     df = spark.read.parquet(f"{SF}/documents.parquet")
-    seen, walk = spark.sparkContext.accumulator(0), pseudo_likelihood.Trainer.walk
+    seen, train = spark.sparkContext.accumulator(0), pseudo_likelihood.WindowNetwork.train
 
-    def counted(self, texts):
-        seen.add(len(texts))
-        walk(self, texts)
+    def counted(self, ids, doc):
+        seen.add(len(ids))
+        train(self, ids, doc)
 
-    monkeypatch.setattr(pseudo_likelihood, "Trainer", type("Counted", (pseudo_likelihood.Trainer,), {"walk": counted}))
-    pseudo_likelihood.trained(df.select("text"))
-    assert seen.value == df.count()
+    words = pseudo_likelihood.vocabulary(pseudo_likelihood.word_counts(df))
+    rows = common.stored(pseudo_likelihood.encoded(df.select("doc_id", "text"), words, 4, ["doc_id"]))
+    monkeypatch.setattr(pseudo_likelihood, "WindowNetwork", type("Counted", (pseudo_likelihood.WindowNetwork,), {"train": counted}))
+    pseudo_likelihood.trained(rows, words)
+    assert seen.value == sum(len((r.text or "").split()) for r in df.collect())
 
 
 def test_lm_gradients():
     net = pseudo_likelihood.WindowNetwork(np.arange(2000, dtype=np.uint64))
     rng = np.random.default_rng(0)
-    ids, near = rng.integers(0, 2048, 40), rng.integers(0, 2049, (40, 4))
+    ids, doc = rng.integers(0, 2048, 40), np.repeat([0, 1], 20)
+    near = net.windows(ids, doc)
     g = net.gradients(ids, near)
     for k in net.p:
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
@@ -300,7 +351,7 @@ def test_lm_gradients():
         sides = []
         for step in (1e-2, -1e-2):
             net.p[k][at] = old + step
-            sides.append(-net.log_probs(ids, near).mean())
+            sides.append(-net.log_probs(ids, doc).mean())
         net.p[k][at] = old
         assert abs((sides[0] - sides[1]) / 2e-2 - g[k][at]) < 2e-3
 

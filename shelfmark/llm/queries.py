@@ -33,8 +33,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the network's own findings, and its largest probability over all of a document's findings."""
     found = secrets.secret_findings(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return found.select("doc_id", *_digest("secrets", secrets.BASE_KINDS))
+    return found.select("doc_id", *_digest("secrets", secrets.BASE_KINDS), _count("secrets", "cnn"), F.array_max(F.transform("secrets", lambda s: s["score"])).alias("top_score"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the scores of all spans, in the order of ``spans``."""
     found = pii.pii_spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return found.select("doc_id", *_digest("pii", pii.BASE_KINDS))
+    return found.select("doc_id", *_digest("pii", pii.BASE_KINDS), F.transform("pii", lambda s: s["score"]).alias("scores"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

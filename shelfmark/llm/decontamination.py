@@ -1,20 +1,24 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND.
 
-Every text is cut into passages of PASSAGE words that overlap by half. Each passage is a query against the index of test
-items. An item's term weights are BM25 contributions (idf times saturated frequency) divided by the item's sum, so that
-a score is the share of the item's weight that the passage holds, and one threshold serves all items. Items are kept in
-blocks; each term has its largest weight in each block and over all. Block-max WAND walks the lists of a passage's
-terms: the pivot is where the largest weights reach the threshold, the blocks' largest weights are summed to skip whole
-blocks, and what is left is scored in full. All items at or above the threshold are retrieved. Before that, a bound for
-all passages of a batch at once leaves out those that cannot reach the threshold: common terms are taken to match
-wholly, up to half of the threshold for any item, and only the lists of the other terms are summed.
+Every text is cut into passages that overlap by half: of PASSAGE words for items of at most half as many, and of twice
+as many words for each doubling of an item's length. What an item is compared with so depends on itself alone. Each
+passage is a query against the index of test items. An item's term weights are BM25 contributions (idf times saturated
+frequency) divided by the item's sum, so that a score is the share of the item's weight that the passage holds, and one
+threshold serves all items. Items are kept in blocks; each term has its largest weight in each of its blocks and over
+all. Block-max WAND walks the lists of a passage's terms: the pivot is where the largest weights reach the threshold, the
+blocks' largest weights are summed to skip whole blocks, and what is left is scored in full. All items at or above the
+threshold are retrieved. Before that, a bound for all passages of a batch at once leaves out those that cannot reach the
+threshold: common terms are taken to match wholly, up to half of the threshold for any item, and only the lists of the
+other terms are summed.
 
 Retrieved pairs are verified on word grams: the share of the item's distinct SHINGLE-word grams that the document holds
 must reach VERIFIED, and where an item has a question and an answer (text after ``ANSWER``), both must overlap. A
 document is verified once, in whole, for each item that any of its passages retrieved.
 
-The index is broadcast in parts of at most PART_ITEMS items with at most PART_WORDS words each; a larger benchmark makes
-more parts, and each part is searched by all passages, one after the other.
+The index is made in Spark: document frequencies are a grouped count over all items, and each part of the index (items of
+one passage length, about PART_WORDS words) is built in a task of its own and stored. Parts go out in broadcasts of at
+most SENT_BYTES (or one part); a pass over the documents searches all parts of a broadcast, so that only a benchmark with
+an index beyond SENT_BYTES needs a second pass. Scores do not depend on how items are dealt into parts.
 
 Defined results: a null or empty text or item matches nothing; items below SHINGLE words are compared as one gram;
 repeated rows get equal results; equal items are all reported; an empty table on either side gives an empty result;
@@ -23,26 +27,29 @@ extra columns are ignored; null ids are carried as they are.
 
 from __future__ import annotations
 
+import math
+import pickle
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from shelfmark.llm import common
 
 K1, B = 1.5, 0.75
-#: Words of a passage, or twice those of the longest item; passages overlap by half.
+#: Words of a passage for items of at most half as many; passages overlap by half.
 PASSAGE = 128
 #: Share of an item's weight that a passage must hold to be retrieved; share of its word grams that verifies it.
 THRESHOLD, VERIFIED, SHINGLE = 0.4, 0.5, 5
-#: Items in a block; items and words in a broadcast part of the index (about 40 MB at most).
-BLOCK_ITEMS, PART_ITEMS, PART_WORDS = 16, 2_000, 400_000
+#: Items in a block; words of items in a part of the index, on average; bytes of the parts that are broadcast together.
+BLOCK_ITEMS, PART_WORDS, SENT_BYTES = 16, 400_000, 64 << 20
+#: Bounds are compared with this slack, as sums in another order may round another way.
+SLACK = 1e-9
 ANSWER = re.compile(r"\bAnswer:\s*", re.IGNORECASE)
 
 _INSIDE = np.zeros(256, bool)
@@ -72,83 +79,99 @@ def _words(text: str) -> np.ndarray:
     return word_hashes(raw, np.array([0, len(raw)]))[0]
 
 
+def _flat(lists: list[np.ndarray], kind) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays one after the other, and where each begins."""
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    return starts, np.concatenate(lists).astype(kind) if lists else np.zeros(0, kind)
+
+
 @dataclass
 class Index:
-    """Lists of (item, weight) by term, with largest weights by term and block; grams of questions and answers."""
+    """One part: by term (item, weight) lists and their largest weights, over all and by block; grams of each item."""
 
+    passage: int
     ids: list[int | None]
-    vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, common.U64))
-    items: list[np.ndarray] = field(default_factory=list)
-    weights: list[np.ndarray] = field(default_factory=list)
-    largest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    block_largest: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
-    parts: list[list[np.ndarray]] = field(default_factory=list)
-    sizes: list[list[int]] = field(default_factory=list)
-    passage: int = PASSAGE
+    vocabulary: np.ndarray
+    starts: np.ndarray
+    items: np.ndarray
+    weights: np.ndarray
+    largest: np.ndarray
+    block_starts: np.ndarray
+    blocks: np.ndarray
+    block_largest: np.ndarray
+    parts: list[list[np.ndarray]]
+    sizes: list[list[int]]
     # Terms that the bound sums, with their lists one after the other; what all other terms can add to each item.
-    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
-    list_items: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    list_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    sum_starts: np.ndarray
+    sum_items: np.ndarray
+    sum_weights: np.ndarray
+    rest: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple[int | None, str]], df: dict[int, int], n_items: int, mean_words: float) -> Index:
-        """df, n_items and mean_words are those of all items, so that parts of an index score alike."""
-        self = cls([i for i, _ in rows])
+    def of(cls, passage: int, rows: list[tuple[int | None, str, list[int], list[float]]]) -> Index:
+        """rows: id, text, and the item's terms with their BM25 weights, from the statistics of all items."""
         lists: dict[int, list[tuple[int, float]]] = {}
-        for at, (_, text) in enumerate(rows):
-            words = _words(text)
-            self.passage = max(self.passage, 2 * len(words))
-            norm = K1 * (1 - B + B * len(words) / max(mean_words, 1e-9))
-            weights = {t: np.log(1 + (n_items - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + norm) for t, n in Counter(words.tolist()).items()}
-            total = sum(weights.values())
-            for t, w in weights.items():
+        parts, sizes = [], []
+        for at, (_, text, terms, weights) in enumerate(rows):
+            total = math.fsum(weights)
+            for t, w in zip(terms, weights):
                 lists.setdefault(t, []).append((at, w / total))
-            found = [np.unique(grams(_words(p))) for p in ANSWER.split(text, maxsplit=1)]
-            self.parts.append([p for p in found if len(p)])
-            self.sizes.append([min(SHINGLE, len(_words(p))) for p, g in zip(ANSWER.split(text, maxsplit=1), found) if len(g)])
-        self.vocabulary = np.array(sorted(lists), common.U64)
-        blocks = -(-len(rows) // BLOCK_ITEMS)
-        self.block_largest = np.zeros((len(lists), blocks), np.float32)
-        for k, t in enumerate(self.vocabulary.tolist()):
-            items, weights = zip(*lists[t])
-            self.items.append(np.array(items))
-            self.weights.append(np.array(weights))
-            np.maximum.at(self.block_largest[k], self.items[-1] // BLOCK_ITEMS, self.weights[-1])
-        self.largest = np.array([w.max() for w in self.weights])
-        self.block_largest = np.nextafter(self.block_largest, np.float32(2))  # never below the weight itself
-        self.rest = np.zeros(len(rows))
-        summed = np.ones(len(lists), bool)
-        for k in sorted(range(len(lists)), key=lambda k: -len(self.items[k])):
-            more = self.rest[self.items[k]] + self.weights[k]
+            words = [_words(p) for p in ANSWER.split(text, maxsplit=1)]
+            parts.append([np.unique(grams(w)) for w in words if len(w)])
+            sizes.append([min(SHINGLE, len(w)) for w in words if len(w)])
+        vocabulary = np.array(sorted(lists, key=lambda t: t & (2**64 - 1)), np.int64).view(common.U64)
+        by_term = [lists[t] for t in vocabulary.view(np.int64).tolist()]
+        items, weights = [np.array([i for i, _ in x]) for x in by_term], [np.array([w for _, w in x]) for x in by_term]
+        blocks = [np.unique(i // BLOCK_ITEMS) for i in items]
+        most = [np.zeros(len(b)) for b in blocks]
+        for i, w, b, m in zip(items, weights, blocks, most):
+            np.maximum.at(m, np.searchsorted(b, i // BLOCK_ITEMS), w)
+        rest, summed = np.zeros(len(rows)), np.ones(len(by_term), bool)
+        for k in sorted(range(len(by_term)), key=lambda k: -len(items[k])):
+            more = rest[items[k]] + weights[k]
             if more.max() >= THRESHOLD / 2:
                 break
-            self.rest[self.items[k]], summed[k] = more, False
-        self.starts = np.concatenate([[0], np.cumsum([len(x) * y for x, y in zip(self.items, summed)])]).astype(np.int64)
-        self.list_items = np.concatenate([x for x, y in zip(self.items, summed) if y] or [np.zeros(0, np.int64)])
-        self.list_weights = np.concatenate([x for x, y in zip(self.weights, summed) if y] or [np.zeros(0)])
-        return self
+            rest[items[k]], summed[k] = more, False
+        chosen = [x if y else x[:0] for x, y in zip(items, summed)], [x if y else x[:0] for x, y in zip(weights, summed)]
+        return cls(
+            passage, [r[0] for r in rows], vocabulary, *_flat(items, np.int32), _flat(weights, float)[1], np.array([w.max() for w in weights]),
+            *_flat(blocks, np.int32), _flat(most, float)[1], parts, sizes, *_flat(chosen[0], np.int64), _flat(chosen[1], float)[1], rest,
+        )
+
+    def list_of(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.starts[term], self.starts[term + 1])
+        return self.items[part], self.weights[part]
+
+    def block_bound(self, terms: list[int], block: int) -> float:
+        """The most that these terms can give an item of the block."""
+        total = 0.0
+        for t in terms:
+            a, b = self.block_starts[t], self.block_starts[t + 1]
+            k = a + int(np.searchsorted(self.blocks[a:b], block))
+            total += self.block_largest[k] if k < b and self.blocks[k] == block else 0.0
+        return total
 
     def may_reach(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
         """Passages, of (passage, term) pairs, that may hold an item's share of ``threshold``."""
-        if self.rest.max(initial=0) >= threshold:
+        if self.rest.max(initial=0) >= threshold - SLACK:
             return np.unique(passage)
-        counts = self.starts[term + 1] - self.starts[term]
+        counts = self.sum_starts[term + 1] - self.sum_starts[term]
         pairs = np.unique(passage[counts > 0] * len(self.vocabulary) + term[counts > 0])
         passage, term = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
-        counts = self.starts[term + 1] - self.starts[term]
+        counts = self.sum_starts[term + 1] - self.sum_starts[term]
         steps = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.repeat(self.starts[term], counts) + steps
-        cell, inverse = np.unique(np.repeat(passage, counts) * len(self.ids) + self.list_items[at], return_inverse=True)
-        bound = np.bincount(inverse, weights=self.list_weights[at], minlength=len(cell)) + self.rest[cell % len(self.ids)]
-        return np.unique(cell[bound >= threshold - 1e-9] // len(self.ids))
+        at = np.repeat(self.sum_starts[term], counts) + steps
+        cell, inverse = np.unique(np.repeat(passage, counts) * len(self.ids) + self.sum_items[at], return_inverse=True)
+        bound = np.bincount(inverse, weights=self.sum_weights[at], minlength=len(cell)) + self.rest[cell % len(self.ids)]
+        return np.unique(cell[bound >= threshold - SLACK] // len(self.ids))
 
 
 def wand(index: Index, terms: list[int], threshold: float) -> dict[int, float]:
     """All items whose score for these distinct terms reaches the threshold (block-max WAND)."""
     end = len(index.ids)
+    lists = {t: index.list_of(t) for t in terms}
     cursor = {t: 0 for t in terms}
-    here = {t: int(index.items[t][0]) for t in terms}
+    here = {t: int(lists[t][0][0]) for t in terms}
     found = {}
     live = list(terms)
     while live:
@@ -156,7 +179,7 @@ def wand(index: Index, terms: list[int], threshold: float) -> dict[int, float]:
         bound, pivot = 0.0, -1
         for k, t in enumerate(live):
             bound += index.largest[t]
-            if bound >= threshold:
+            if bound >= threshold - SLACK:
                 pivot = k
                 break
         if pivot < 0:
@@ -165,9 +188,9 @@ def wand(index: Index, terms: list[int], threshold: float) -> dict[int, float]:
         while pivot + 1 < len(live) and here[live[pivot + 1]] == item:
             pivot += 1
         block = item // BLOCK_ITEMS
-        if float(index.block_largest[live[: pivot + 1], block].sum()) >= threshold:
+        if index.block_bound(live[: pivot + 1], block) >= threshold - SLACK:
             if here[live[0]] == item:
-                score = float(sum(index.weights[t][cursor[t]] for t in live[: pivot + 1]))
+                score = math.fsum(lists[t][1][cursor[t]] for t in live[: pivot + 1])
                 if score >= threshold:
                     found[item] = score
                 goal, moved = item + 1, live[: pivot + 1]
@@ -179,23 +202,44 @@ def wand(index: Index, terms: list[int], threshold: float) -> dict[int, float]:
                 goal = min(goal, here[live[pivot + 1]])
             goal, moved = max(goal, item + 1), live[: pivot + 1]
         for t in moved:
-            cursor[t] += int(np.searchsorted(index.items[t][cursor[t] :], goal))
-            here[t] = int(index.items[t][cursor[t]]) if cursor[t] < len(index.items[t]) else end
+            items = lists[t][0]
+            cursor[t] += int(np.searchsorted(items[cursor[t] :], goal))
+            here[t] = int(items[cursor[t]]) if cursor[t] < len(items) else end
         live = [t for t in live if here[t] < end]
     return found
 
 
-def search(index: Index, texts: pa.Array, threshold: float = THRESHOLD, verified: float = VERIFIED) -> list[list[tuple[int, float, float]]]:
-    """For each text the items that a passage of it retrieves and that its word grams verify: item, score, overlap."""
+def search(indexes: list[Index], texts: pa.Array, threshold: float = THRESHOLD, verified: float = VERIFIED) -> list[list[tuple[int | None, float, float]]]:
+    """For each text the items that a passage of it retrieves and that its word grams verify: id, score, overlap."""
     data, offsets = common.buffers(texts)
     n = len(offsets) - 1
-    out: list[list[tuple[int, float, float]]] = [[] for _ in range(n)]
+    out: list[list[tuple[int | None, float, float]]] = [[] for _ in range(n)]
     words, doc = word_hashes(data, offsets)
-    if not len(words) or not len(index.vocabulary):
+    if not len(words):
         return out
+    first = np.searchsorted(doc, np.arange(n + 1))
+    held: dict[tuple[int, int], np.ndarray] = {}
+
+    def grams_of(i: int, size: int) -> np.ndarray:
+        if (i, size) not in held:
+            held[i, size] = np.unique(common.Rolling(words[first[i] : first[i + 1]]).windows(size))
+        return held[i, size]
+
+    for index in indexes:
+        for i, found in _retrieved(index, words, doc, first, threshold).items():
+            for item, score in sorted(found.items()):
+                shares = [float(np.isin(part, grams_of(i, size), assume_unique=True).mean()) for part, size in zip(index.parts[item], index.sizes[item])]
+                if shares and min(shares) >= verified:
+                    out[i].append((index.ids[item], score, min(shares)))
+    return out
+
+
+def _retrieved(index: Index, words: np.ndarray, doc: np.ndarray, first: np.ndarray, threshold: float) -> dict[int, dict[int, float]]:
+    """Texts with the items that a passage of theirs retrieves, and the best score of each."""
+    if not len(index.vocabulary):
+        return {}
     place = np.minimum(np.searchsorted(index.vocabulary, words), len(index.vocabulary) - 1)
     term = np.where(index.vocabulary[place] == words, place, -1)
-    first = np.searchsorted(doc, np.arange(n + 1))
     # Passages are numbered through all texts; each word is in one or two of them.
     half = index.passage // 2
     number = np.maximum(1, -(-(np.diff(first) - half) // half))
@@ -205,63 +249,96 @@ def search(index: Index, texts: pa.Array, threshold: float = THRESHOLD, verified
     later, earlier = own < number[doc[known]], own > 0
     passage = np.concatenate([(base[doc[known]] + own)[later], (base[doc[known]] + own - 1)[earlier]])
     left = index.may_reach(passage, np.concatenate([term[known][later], term[known][earlier]]), threshold)
-    text_of = np.searchsorted(base, left, "right") - 1
-    for i in np.unique(text_of).tolist():
+    found: dict[int, dict[int, float]] = {}
+    for p, i in zip(left.tolist(), (np.searchsorted(base, left, "right") - 1).tolist()):
         a, b = int(first[i]), int(first[i + 1])
-        best: dict[int, float] = {}
-        for p in (left[text_of == i] - base[i]).tolist():
-            terms = np.unique(term[a + p * half : min(b, a + p * half + index.passage)])
-            for item, score in wand(index, terms[terms >= 0].tolist(), threshold).items():
-                best[item] = max(score, best.get(item, 0.0))
-        if best:
-            held: dict[int, np.ndarray] = {}
-            for item, score in sorted(best.items()):
-                shares = []
-                for part, size in zip(index.parts[item], index.sizes[item]):
-                    if size not in held:
-                        held[size] = np.unique(common.Rolling(words[a:b]).windows(size))
-                    shares.append(float(np.isin(part, held[size], assume_unique=True).mean()))
-                if shares and min(shares) >= verified:
-                    out[i].append((item, score, min(shares)))
-    return out
+        begin = a + (p - int(base[i])) * half
+        terms = np.unique(term[begin : min(b, begin + index.passage)])
+        for item, score in wand(index, terms[terms >= 0].tolist(), threshold).items():
+            best = found.setdefault(i, {})
+            best[item] = max(score, best.get(item, 0.0))
+    return found
+
 
+# --- the index, made in Spark ---------------------------------------------------------------------------------------
 
-def _index_parts(items: DataFrame) -> Iterator[Index]:
-    """Indexes of bounded parts of the benchmark; only one part at a time is in the driver."""
-    hashed = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    n_items, n_words = 0, 0
-    df: Counter = Counter()
+_TERMS = [StructField("terms", ArrayType(LongType())), StructField("counts", ArrayType(LongType())), StructField("n_words", LongType())]
 
-    def rows():
-        yield from ((r["item_id"], r["text"]) for r in hashed.orderBy("item_id").toLocalIterator())
 
-    for _, text in rows():
-        words = _words(text).tolist()
-        n_items, n_words = n_items + 1, n_words + len(words)
-        df.update(set(words))
+def _term_counts(texts: pa.Array) -> dict:
+    words, doc = word_hashes(*common.buffers(texts))
+    first = np.searchsorted(doc, np.arange(len(texts) + 1))
+    found = [np.unique(words[a:b], return_counts=True) for a, b in zip(first[:-1], first[1:])]
+    return {"terms": [t.view(np.int64) for t, _ in found], "counts": [n for _, n in found], "n_words": np.diff(first)}
+
+
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come part by part; each part becomes one index."""
+
+    def index(key: tuple[int, int], rows: list[tuple]) -> pa.RecordBatch:
+        made = pickle.dumps(Index.of(key[0], rows), protocol=5)
+        return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["part"])
+
+    held, last = [], None
+    for batch in batches:
+        for passage, part, *row in zip(*(batch.column(c).to_pylist() for c in ("passage", "part", "item_id", "text", "terms", "weights"))):
+            if last not in (None, (passage, part)):
+                yield index(last, held)
+                held = []
+            last = (passage, part)
+            held.append(tuple(row))
+    if held:
+        yield index(last, held)
+
+
+def index_parts(items: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
+    """``part``: the parts of the index, one row each, stored."""
+    rows = items.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    described = common.stored(common.map_texts(rows, _term_counts, _TERMS))
+    facts = described.agg(F.count("*").alias("n"), F.avg("n_words").alias("mean"))
+    each = described.select("item", "n_words", F.explode(F.arrays_zip("terms", "counts")).alias("x")).select("item", "n_words", "x.*")
+    df = each.groupBy("terms").agg(F.count("*").alias("df"))
+    idf = df.crossJoin(F.broadcast(facts)).select("terms", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    norm = K1 * (1 - B + B * F.col("n_words") / F.col("mean"))
+    weight = F.col("idf") * F.col("counts") * (K1 + 1) / (F.col("counts") + norm)
+    weighted = each.join(idf, "terms").groupBy("item").agg(F.array_sort(F.collect_list(F.struct(F.col("terms").alias("t"), weight.alias("w")))).alias("tw"))
+    length = F.greatest(F.lit(0), F.ceil(F.log2(2 * F.col("n_words") / PASSAGE))).cast("int")
+    placed = described.where("n_words > 0").select("item", "item_id", "text", "n_words", length.alias("doublings"))
+    totals = placed.groupBy("doublings").agg(F.ceil(F.sum("n_words") / part_words).alias("n_parts"))
+    placed = placed.join(F.broadcast(totals), "doublings").select(
+        "item", "item_id", "text", F.expr(f"shiftleft({PASSAGE}, doublings)").alias("passage"), F.pmod(F.xxhash64("item"), "n_parts").alias("part")
+    )
+    whole = placed.join(weighted, "item").select("passage", "part", "item", "item_id", "text", F.transform("tw", lambda x: x["t"]).alias("terms"), F.transform("tw", lambda x: x["w"]).alias("weights"))
+    dealt = whole.repartition("passage", "part").sortWithinPartitions("passage", "part", "item")
+    return common.stored(dealt.mapInArrow(_built, StructType([StructField("part", BinaryType())])))
+
+
+def _sent_together(parts: DataFrame, most: int) -> Iterator[list[Index]]:
+    """Parts in groups of at most ``most`` bytes (or one part); only one group at a time is in the driver."""
     held, size = [], 0
-    for row in rows():
-        held.append(row)
-        size += len(row[1].split())
-        if len(held) >= PART_ITEMS or size >= PART_WORDS:
-            yield Index.of(held, df, n_items, n_words / n_items)
+    for row in parts.toLocalIterator():
+        if held and size + len(row["part"]) > most:
+            yield held
             held, size = [], 0
+        held.append(pickle.loads(row["part"]))
+        size += len(row["part"])
     if held:
-        yield Index.of(held, df, n_items, n_words / n_items)
+        yield held
 
 
-def contaminated(df: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, verified: float = VERIFIED) -> DataFrame:
+def contaminated(
+    df: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, verified: float = VERIFIED, part_words: int = PART_WORDS, sent_bytes: int = SENT_BYTES
+) -> DataFrame:
     """``doc_id, item_id, score, overlap``: every document and test item that the search finds and the grams verify."""
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     spark, out = df.sparkSession, None
-    for index in _index_parts(items):
-        sent = spark.sparkContext.broadcast(index)
+    for group in _sent_together(index_parts(items, part_words), sent_bytes):
+        sent = spark.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
             for batch in batches:
                 for part in common.passes(batch, "text"):
-                    rows = [(d, index.ids[i], s, o) for d, found in zip(part.column("doc_id").to_pylist(), search(index, part.column("text"), threshold, verified)) for i, s, o in found]
+                    rows = [(d, i, s, o) for d, found in zip(part.column("doc_id").to_pylist(), search(sent.value, part.column("text"), threshold, verified)) for i, s, o in found]
                     if rows:
                         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=MATCH.names)

@@ -1,6 +1,7 @@
 """Plain restatements of the contracts, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -114,3 +115,31 @@ def licenses(text):
                 at.append(i)
                 labels.add(label)
     return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def contaminated(docs, items, threshold=0.4, verified=0.5):
+    """(doc, item) -> (score, overlap), by scoring every passage against every item."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower(t or ""))
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    tokens = [words(t) for _, t in items]
+    df = Counter(w for t in tokens for w in set(t))
+    mean = sum(map(len, tokens)) / max(1, len(tokens))
+    found = {}
+    for at, (item_id, text) in enumerate(items):
+        own = tokens[at]
+        if not own:
+            continue
+        weight = {w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * len(own) / mean)) for w, n in Counter(own).items()}
+        total, passage = sum(weight.values()), 128
+        while passage < 2 * len(own):
+            passage *= 2
+        for doc_id, doc in docs:
+            w = words(doc)
+            starts = range(0, max(1, len(w) - passage // 2), passage // 2)
+            score = max(sum(weight[x] for x in set(w[a : a + passage]) if x in weight) / total for a in starts) if w else 0
+            if score >= threshold:
+                parts = [p for p in map(words, re.split(r"\bAnswer:\s*", text, maxsplit=1, flags=re.I)) if p]
+                overlap = min(len((g := grams(p, min(5, len(p)))) & grams(w, min(5, len(p)))) / len(g) for p in parts)
+                if overlap >= verified:
+                    found[doc_id, item_id] = (score, overlap)
+    return found

@@ -237,19 +237,42 @@ def test_water_filling(spark):
     assert abs(sum(got.values()) - 1520) < 1e-6 and abs(got["a"] - got[None]) < 1e-6
 
 
-def test_decontamination_finds_what_exhaustive_scoring_finds(spark, docs):
+def test_decontamination(spark, docs):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").toPandas()
-    rows = list(zip(items.item_id, items.text))
-    got = {(r.doc_id, r.item_id) for r in queries.op7_decontamination(spark, SF).collect()}
-    assert {(d, i) for d, t in zip(docs.doc_id, docs.text) for i, x in rows if x in t} <= got
-    index = next(decontamination._index_parts(spark.read.parquet(f"{SF}/benchmark.parquet")))
+    want = brute.contaminated(list(zip(docs.doc_id, docs.text)), list(zip(items.item_id, items.text)))
+    got = {(r.doc_id, r.item_id): (r.score, r.overlap) for r in queries.op7_decontamination(spark, SF).collect()}
+    assert want and got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_decontamination_does_not_depend_on_parts_and_neighbours(spark):
+    """Items of many lengths, spread thinly over long texts, in one part and in many."""
+    rng = random.Random(12)
+    word = lambda n: f"w{rng.randrange(n)}"
+    items = [(i, " ".join(word(3000) for _ in range(n))) for i, n in enumerate([1, 3, 8, 30, 30, 64, 65, 70, 150, 600])]
+    rows = []
+    for _, text in items:
+        for gap in (0, 1, 5, 9):
+            rows.append((len(rows), " ".join(x for w in text.split() for x in [w, *(word(100) for _ in range(gap))])))
+        rows.append((len(rows), " ".join(word(3000) for _ in range(700))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for threshold, verified in ((0.4, 0.5), (0.4, 0.0)):
+        want = brute.contaminated(rows, items, threshold, verified)
+        for part_words, sent_bytes in ((400_000, 1 << 26), (50, 1)):
+            found = decontamination.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"), threshold=threshold, verified=verified, part_words=part_words, sent_bytes=sent_bytes)
+            got = {(r.doc_id, r.item_id): (r.score, r.overlap) for r in found.collect()}
+            assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_wand_finds_what_exhaustive_scoring_finds(spark):
+    index = next(decontamination._sent_together(decontamination.index_parts(spark.read.parquet(f"{SF}/benchmark.parquet")), 1 << 26))[0]
     rng = random.Random(2)
     for _ in range(200):
         terms = sorted(rng.sample(range(len(index.vocabulary)), rng.randrange(1, 80)))
-        scores = np.zeros(len(rows))
+        scores = np.zeros(len(index.ids))
         for t in terms:
-            scores[index.items[t]] += index.weights[t]
-        want = {i for i in range(len(rows)) if scores[i] >= 0.4}
+            items, weights = index.list_of(t)
+            scores[items] += weights
+        want = {i for i in range(len(index.ids)) if scores[i] >= 0.4}
         assert set(decontamination.wand(index, terms, 0.4)) == want
         passed = index.may_reach(np.zeros(len(terms), np.int64), np.array(terms), 0.4)
         assert not want or 0 in passed

@@ -164,6 +164,28 @@ def per_document(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
+# --- leaving out what is not asked for ------------------------------------------------------------------------------
+
+#: Bits of the filter that is broadcast: 8 MB at most, however many keys are wanted.
+FILTER_BITS = 1 << 26
+_BUCKET_BITS = 32_768  # of one bitmap of bitmap_construct_agg
+
+
+def narrowed(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys may be among those of ``wanted``, before a join that tells for sure and shuffles.
+
+    Hashes of the wanted keys are bits of FILTER_BITS; the bitmaps of those buckets that have any are broadcast, and so
+    at most FILTER_BITS / 8 bytes. Of keys that are not wanted a share passes, as large as the share of bits that are set.
+    """
+    place = F.pmod(F.xxhash64(*(F.col(f"`{k}`") for k in keys)), F.lit(FILTER_BITS))
+    bits = wanted.select(place.alias("bit")).select(F.bitmap_bucket_number("bit").alias("__bucket"), F.bitmap_bit_position("bit").alias("at"))
+    filters = bits.groupBy("__bucket").agg(F.bitmap_construct_agg("at").alias("__bitmap"))
+    met = rows.withColumn("__bit", place).withColumn("__bucket", F.bitmap_bucket_number("__bit")).join(F.broadcast(filters), "__bucket")
+    at = F.bitmap_bit_position("__bit")
+    byte = F.conv(F.hex(F.substring("__bitmap", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 # --- connected components -------------------------------------------------------------------------------------------
 
 
@@ -174,27 +196,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges are rewritten between what is left. In even rounds the priority is the node itself, which ends stars and
     groups of copies at once; in odd rounds it is a hash that changes from round to round, so that a constant share of
     the nodes of any graph goes and the rounds grow with the logarithm of the input. Minima are combined before they
-    are shuffled, so that a node with a third of all edges is no hot key; joins back on it are split by adaptive
-    execution. Rounds end in a checkpoint; the driver only learns whether edges are left.
+    are shuffled, so that a node with a third of all edges is no hot key, and are written before they are joined back, so
+    that adaptive execution can split such a node's rows. Rounds end in a written table; the driver only learns whether
+    edges are left.
     """
     ends = (F.col(a).cast("long"), F.col(b).cast("long"))
-    left = checkpointed(edges.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).where("a <> b").distinct())
+    left = stored(edges.select(F.greatest(*ends).alias("a"), F.least(*ends).alias("b")).where("a <> b").distinct())
     moves: list[DataFrame] = []
     while not left.isEmpty():
         both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         priority = (lambda c: F.xxhash64(c, F.lit(len(moves)))) if len(moves) % 2 else F.col
         least = both.groupBy("a").agg(F.min(F.struct(priority("b").alias("h"), F.col("b").alias("v"))).alias("l"))
-        one = least.select(F.col("a").alias("old"), F.least("l", F.struct(priority("a").alias("h"), F.col("a").alias("v")))["v"].alias("new"))
+        one = stored(least.select(F.col("a").alias("old"), F.least("l", F.struct(priority("a").alias("h"), F.col("a").alias("v")))["v"].alias("new")))
         on = one.select(F.col("old").alias("new"), F.col("new").alias("newer"))
-        to = checkpointed(one.join(on, "new").select("old", F.col("newer").alias("new")))
+        to = stored(one.join(on, "new").select("old", F.col("newer").alias("new")))
         moves.append(to)
         joined = left.join(to.select(F.col("old").alias("a"), F.col("new").alias("na")), "a").join(to.select(F.col("old").alias("b"), F.col("new").alias("nb")), "b")
-        left = checkpointed(joined.select(F.greatest("na", "nb").alias("a"), F.least("na", "nb").alias("b")).where("a <> b").distinct())
+        left = stored(joined.select(F.greatest("na", "nb").alias("a"), F.least("na", "nb").alias("b")).where("a <> b").distinct())
     if not moves:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     label = moves[0].select(F.col("old").alias("node"), F.col("new").alias("now"))
     for to in moves[1:]:
         label = label.join(to.where("old <> new"), label["now"] == to["old"], "left").select("node", F.coalesce("new", "now").alias("now"))
-    label = checkpointed(label)
-    smallest = label.groupBy("now").agg(F.min("node").alias("component"))
-    return label.join(smallest, "now").select("node", "component")
+    label = stored(label)
+    smallest = stored(label.groupBy("now").agg(F.min("node").alias("component")))
+    return stored(label.join(smallest, "now").select("node", "component"))

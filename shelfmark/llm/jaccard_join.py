@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: T-occurrence search with DivideSkip over inverted lists, inside blocks that cannot lose a link.
+"""N-gram Jaccard join: T-occurrence search with DivideSkip over inverted lists, inside groups that cannot lose a link.
 
 Two documents link when 100 * |intersection| >= PERCENT * |union| of their sets of word shingles. Steps:
 
@@ -6,16 +6,20 @@ Two documents link when 100 * |intersection| >= PERCENT * |union| of their sets
 2. Sets whose sizes may link fall into the same or neighbouring size classes. For each pair of classes the space of
    hashes is cut into more segments than two linking sets can have differences, so that two linking sets agree in at
    least one whole segment (a few segments are added for empty ones; a set with more empty segments than that also
-   emits the empty ones). Each segment's content, hashed, is a signature. Nodes with a common signature are joined to
-   the least of them, and the components of that graph are clusters: every link lies inside one.
-3. Clusters are cut into blocks of about BLOCK sets; each pair of blocks is a task of its own. It walks its sets in
-   order of size, asks the inverted lists of the smaller ones for sets that occur in at least T of the lists (the short
-   lists are merged by a heap, the long ones are probed by binary search), and adds its own entries to the lists.
-   Sets already in one component of the task are not probed, and a task returns at most a spanning forest.
-4. The components of all links give each document its class.
-
-Only counts come to the driver. The sets of nodes in clusters are made in a second pass over the texts; which ones is
-broadcast if there are at most BROADCAST_NODES of them, else joined by a shuffle.
+   emits the empty ones). Each segment's content, hashed, is a signature. Each node with a signature is a neighbour of
+   the least node that has it, and so two nodes that link have a neighbour in common, or are neighbours.
+3. First search: the set of each node that is someone's least neighbour is the query, and the sets of those, in blocks of
+   BLOCK, are the inverted lists. Sets that occur in at least T of the query's lists are found by DivideSkip: the short
+   lists are merged by a heap, the long ones are probed by binary search. This costs as much as there are nodes, and in a
+   family of copies nearly all are in one component after it.
+4. Second search: neighbours that are still in different components may hide links between them. Components that such
+   neighbours connect make a group; a component of BLOCK nodes or more is cut into blocks of its own, the others share
+   blocks, and each pair of blocks that are not of one component is a task: it walks its sets in order of size, asks
+   the lists of the smaller ones, and adds its own entries to the lists. Sets already in one component are not probed.
+5. The components of all links give each document its class.
+
+Nothing but the fact whether edges are left comes to the driver. The sets of nodes with neighbours are made in a second
+pass over those texts that a filter of bounded size lets through.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a null doc_id has no links and a
 null component; rows with equal ids are one node with several sets; repeated rows get equal results; an empty table
@@ -33,7 +37,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -41,8 +45,6 @@ from shelfmark.llm import common
 
 SHINGLE_WORDS, PERCENT = 3, 90
 BLOCK = 512
-#: At 16 bytes each, 16 MB.
-BROADCAST_NODES = 1_000_000
 #: Weight of a probe against a step of the merge, in the choice of how many lists count as long.
 PROBE_COST = 0.01
 
@@ -121,7 +123,7 @@ _DESCRIBED = [StructField("n_shingles", LongType()), StructField("d1", LongType(
 def _described(words: int, percent: int):
     def run(texts: pa.Array) -> dict:
         classes, sets = SizeClasses(percent), shingle_sets(texts, words)
-        digests = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]).reshape(-1, 2)
+        digests = _digests(sets)
         signatures = [classes.signatures(s).view(np.int64) for s in sets]
         values = np.concatenate(signatures) if signatures else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum([len(s) for s in signatures])]).astype(np.int32)
@@ -130,8 +132,16 @@ def _described(words: int, percent: int):
     return run
 
 
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    return np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]).reshape(-1, 2)
+
+
 def _set_bytes(words: int):
-    return lambda texts: {"shingles": [s.tobytes() for s in shingle_sets(texts, words)]}
+    def run(texts: pa.Array) -> dict:
+        sets = shingle_sets(texts, words)
+        return {"own": _digests(sets)[:, 0], "shingles": [s.tobytes() for s in sets]}
+
+    return run
 
 
 # --- T-occurrence search --------------------------------------------------------------------------------------------
@@ -162,7 +172,7 @@ def divide_skip(lists: list[list[int]], needed: int, known: Callable[[int], bool
 
 
 class Search:
-    """Sets by increasing size; lists of the earlier sets by shingle, for each side of a block pair."""
+    """Sets by increasing size; lists of the earlier sets by shingle, for each side of a pair of blocks."""
 
     def __init__(self, percent: int):
         self.percent = percent
@@ -173,10 +183,11 @@ class Search:
             self.root[i] = i = self.root[self.root[i]]
         return i
 
-    def links(self, sets: list[np.ndarray], sides: list[int]) -> list[tuple[int, int]]:
-        """A spanning forest of the links between sets; sides: 0 for a block by itself, else 1 or 2."""
+    def links(self, sets: list[np.ndarray], sides: list[int], known: list[int] | None = None) -> list[tuple[int, int]]:
+        """What joins the components of the sets; sides: 0 for a block by itself, else 1 or 2; known: components so far."""
         order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-        self.root = list(range(len(sets)))
+        first: dict[int, int] = {}
+        self.root = list(range(len(sets))) if known is None else [first.setdefault(c, i) for i, c in enumerate(known)]
         index: dict[int, dict[int, list[int]]] = {side: defaultdict(list) for side in (0, 1, 2)}
         out = []
         for at, i in enumerate(order):
@@ -202,20 +213,54 @@ class Search:
         return out
 
 
-def _block_links(percent: int):
+def star_links(query: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
+    """Which of the sets link with the query."""
+    lists: dict[int, list[int]] = {s: [] for s in query.tolist()}
+    for i, own in enumerate(sets):
+        for s in own[np.isin(own, query, assume_unique=True)].tolist():
+            lists[s].append(i)
+    size = len(query)
+    needed = may_link(size, -(-percent * size // 100), percent)
+    return [i for i, n in divide_skip(list(lists.values()), needed) if 100 * n >= percent * (size + len(sets[i]) - n)]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that come together, by their first columns."""
+
+    def rows():
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in names))
+
+    for key, group in groupby(rows(), key=lambda r: r[:keys]):
+        yield key, [r[keys:] for r in group]
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs)
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _first_search(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("cluster", "low", "high", "block", "doc_id", "shingles")))
-
-        for (_, low, high), group in groupby(rows(), key=lambda r: r[:3]):
-            members = sorted(group, key=lambda r: r[4])
-            sets = [np.frombuffer(r[5], common.U64) for r in members]
-            sides = [0 if low == high else 1 if r[3] == low else 2 for r in members]
-            links = Search(percent).links(sets, sides)
-            if links:
-                a, b = ([members[x[k]][4] for x in links] for k in (0, 1))
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for _, group in _grouped(batches, ("rep", "block", "is_rep", "doc_id", "shingles"), 2):
+            queries = [(i, np.frombuffer(s, common.U64)) for is_rep, i, s in group if is_rep]
+            members = sorted((i, s) for is_rep, i, s in group if not is_rep)
+            sets = [np.frombuffer(s, common.U64) for _, s in members]
+            for q, shingles in queries:
+                if found := [(members[i][0], q) for i in star_links(shingles, sets, percent)]:
+                    yield _edges(found)
+
+    return run
+
+
+def _second_search(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, low, high), group in _grouped(batches, ("cluster", "low", "high", "block", "doc_id", "component", "shingles"), 3):
+            members = sorted(group, key=lambda r: r[1])
+            sets = [np.frombuffer(r[3], common.U64) for r in members]
+            sides = [0 if low == high else 1 if r[0] == low else 2 for r in members]
+            if links := Search(percent).links(sets, sides, [r[2] for r in members]):
+                yield _edges([(members[i][2], members[j][2]) for i, j in links])
 
     return run
 
@@ -223,34 +268,77 @@ def _block_links(percent: int):
 # --- the join -------------------------------------------------------------------------------------------------------
 
 
+_EDGE = StructType([StructField("a", LongType()), StructField("b", LongType())])
+
+
+def _stars(nodes: DataFrame) -> DataFrame:
+    """``a, b``: each node's digest with that of the least node of each signature that it shares with another."""
+    emitted = nodes.select(F.explode("signatures").alias("signature"), "d1")
+    least = emitted.groupBy("signature").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).where("least < most").select("signature", "least")
+    # written, so that the rows of a signature that very many copies have can be split
+    shared = common.stored(least)
+    return common.checkpointed(emitted.join(shared, "signature").where("d1 <> least").select(F.col("d1").alias("a"), F.col("least").alias("b")).distinct())
+
+
+def _searched_first(stars: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links of nodes with their least neighbour."""
+    rep_of = common.checkpointed(stars.groupBy("a").agg(F.min("b").alias("rep")))
+    blocks = common.checkpointed(rep_of.groupBy("rep").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    placed = rep_of.join(blocks, "rep").select(F.col("a").alias("d1"), "rep", F.pmod(F.xxhash64("a"), "blocks").cast("int").alias("block"))
+    members = sets.join(placed, "d1").select("rep", "block", F.lit(False).alias("is_rep"), "doc_id", "shingles")
+    queries = sets.join(blocks.withColumnRenamed("rep", "d1"), "d1").select(
+        F.col("d1").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_rep"), "doc_id", "shingles"
+    )
+    dealt = members.unionByName(queries).repartition("rep", "block").sortWithinPartitions("rep", "block")
+    return dealt.mapInArrow(_first_search(percent), _EDGE)
+
+
+def _searched_second(stars: DataFrame, sets: DataFrame, component: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between components, by their names, that the first search did not see."""
+    own = common.checkpointed(sets.select("d1", "doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("d1", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    of = own.select("d1", "component")
+    named = stars.join(of.withColumnRenamed("d1", "a"), "a").withColumnRenamed("component", "ca").join(of.withColumnRenamed("d1", "b"), "b").withColumnRenamed("component", "cb")
+    groups = common.components(named.where("ca <> cb").select("ca", "cb").distinct(), "ca", "cb")
+    left = common.checkpointed(own.join(groups.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"))
+
+    # Blocks: a large component has its own, all small ones of a group share the others.
+    sizes = left.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("cluster").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    large = sizes.where(F.col("n") >= block).withColumn("own", F.ceil(F.col("n") / block).cast("int")).withColumn("first", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int"))
+    large = common.checkpointed(large.select("cluster", "component", "own", "first"))
+    shared = sizes.where(F.col("n") < block).groupBy("cluster").agg(F.ceil(F.sum("n") / block).cast("int").alias("shared"))
+    all_blocks = large.groupBy("cluster").agg(F.sum("own").cast("int").alias("large")).join(shared, "cluster", "full")
+    all_blocks = common.checkpointed(all_blocks.select("cluster", F.coalesce("large", F.lit(0)).alias("large"), F.coalesce("shared", F.lit(0)).alias("shared")))
+    placed = left.join(all_blocks, "cluster").join(large, ["cluster", "component"], "left")
+    number = F.pmod(F.xxhash64("doc_id", "d1"), F.coalesce("own", "shared")).cast("int") + F.coalesce("first", "large")
+    placed = placed.withColumn("block", number).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("large") + F.col("shared") - 1)))
+    placed = placed.where(F.col("own").isNull() | (F.col("other") < F.col("first")) | (F.col("other") >= F.col("first") + F.col("own")))
+    pairs = placed.select("d1", "doc_id", "component", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
+    dealt = pairs.join(sets, ["d1", "doc_id"]).repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    return dealt.mapInArrow(_second_search(percent), _EDGE)
+
+
 def jaccard_classes(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = SHINGLE_WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id``: the size of each document's set, and the least id that links reach."""
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     described = common.stored(common.map_texts(docs, _described(words, percent), _DESCRIBED, keep=["doc_id"]))
     nodes = described.where("n_shingles > 0 and doc_id is not null")
     node = common.checkpointed(nodes.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")))
-
-    # Signatures that two different sets share, and the clusters that they make.
-    emitted = nodes.select(F.explode("signatures").alias("signature"), "d1")
-    shared = emitted.groupBy("signature").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).where("least < most").select("signature", "least")
-    stars = emitted.join(shared, "signature").where("d1 <> least").select(F.col("d1").alias("a"), F.col("least").alias("b")).distinct()
-    cluster = common.components(stars).withColumnRenamed("node", "d1").withColumnRenamed("component", "cluster")
-    members = common.checkpointed(node.join(cluster, "d1").select(F.col("node").alias("doc_id"), "cluster"))
-
-    # Blocks of clusters, and the links inside each pair of blocks.
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    few = members.count() <= BROADCAST_NODES
-    chosen = docs.join(F.broadcast(placed) if few else placed, "doc_id")
-    sets = common.map_texts(chosen, _set_bytes(words), [StructField("shingles", BinaryType())], keep=["doc_id", "cluster", "block", "blocks"])
-    pairs = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "shingles"
-    )
-    dealt = pairs.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
-    links = dealt.mapInArrow(_block_links(percent), StructType([StructField("a", LongType()), StructField("b", LongType())]))
-    linked = common.components(links)
-
-    named = described.select("doc_id", "n_shingles", "d1", "d2").join(node, ["d1", "d2"], "left")
-    joined = named.join(linked.withColumnRenamed("component", "linked"), "node", "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("linked", "node"))
+    stars = _stars(nodes)
+
+    # The sets of nodes that have neighbours.
+    near = stars.select(F.col("a").alias("d1")).union(stars.select(F.col("b").alias("d1"))).distinct()
+    wanted = common.checkpointed(near.join(node, "d1").select(F.col("node").alias("doc_id"), "d1"))
+    asked = common.narrowed(docs, wanted, ["doc_id"]).join(wanted, "doc_id")
+    made = common.map_texts(asked, _set_bytes(words), [StructField("own", LongType()), StructField("shingles", BinaryType())], keep=["doc_id", "d1"])
+    sets = common.stored(made.where("own = d1").dropDuplicates(["doc_id", "d1"]).select("doc_id", "d1", "shingles"))
+
+    component = common.components(_searched_first(stars, sets, percent, block))
+    merged = common.components(_searched_second(stars, sets, component, percent, block))
+
+    linked = node.join(component, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("first"))
+    linked = linked.join(merged.withColumnRenamed("component", "merged").withColumnRenamed("node", "first"), "first", "left")
+    linked = common.checkpointed(linked.select("d1", "d2", F.coalesce("merged", "first").alias("linked")))
+    joined = described.select("doc_id", "n_shingles", "d1", "d2").join(linked, ["d1", "d2"], "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("linked"))
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id"))

@@ -39,8 +39,8 @@ ROUNDS, STEP_TOKENS, RATE, SEED = 2, 4096, 0.05, 5
 PART_TOKENS, FAN_IN, LAST_ROWS = 500_000, 64, 16
 #: The bits of a word's hash from here on give its bucket.
 BUCKET_SHIFT = 40
-#: Tokens that one forward pass holds.
-PASS_TOKENS = 65_536
+#: Tokens that one forward pass holds: its arrays stay in a core's cache.
+PASS_TOKENS = 4096
 
 _SHAPES = {"e": (VOCABULARY + 1, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "o": (CLASSES, HIDDEN, IN_CLASS), "ob": (CLASSES, IN_CLASS)}
 N_PARAMETERS = int(sum(np.prod(s) for s in _SHAPES.values()))
@@ -127,7 +127,7 @@ class WindowNetwork:
 
     def _forward(self, ids: np.ndarray, near: np.ndarray):
         """Input, hidden layer, probabilities of classes; and in the order of the tokens' classes: that order, where
-        each class begins, the hidden layer, and the probabilities in the class."""
+        each class begins, the hidden layer with a one after it (for the bias), and the probabilities in the class."""
         x = self.p["e"][near].reshape(len(ids), -1)
         h = np.tanh(x @ self.p["w"] + self.p["b"])
         of_class = np.exp(np.minimum(h @ self.p["c"] + self.p["cb"], 60))
@@ -135,13 +135,14 @@ class WindowNetwork:
         kind = (ids // IN_CLASS).astype(np.int16)
         order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        sorted_h = h[order]
+        sorted_h = np.ones((len(ids), HIDDEN + 1), np.float32)
+        sorted_h[:, :-1] = h[order]
+        weights = np.concatenate([self.p["o"], self.p["ob"][:, None]], 1)
         z = np.empty((len(ids), IN_CLASS), np.float32)
         for k in range(CLASSES):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
-                np.matmul(sorted_h[a:b], self.p["o"][k], out=z[a:b])
-                z[a:b] += self.p["ob"][k]
+                np.matmul(sorted_h[a:b], weights[k], out=z[a:b])
         np.exp(np.minimum(z, 60, out=z), out=z)
         z /= (z @ np.ones(IN_CLASS, np.float32))[:, None]
         return x, h, of_class, order, cuts, sorted_h, z
@@ -164,20 +165,24 @@ class WindowNetwork:
         d_class /= n
         z[every, ids[order] % IN_CLASS] -= 1
         z /= n
-        g = {"c": h.T @ d_class, "cb": d_class.sum(0), "o": np.zeros_like(self.p["o"]), "ob": np.zeros_like(self.p["ob"])}
-        inner = np.zeros_like(sorted_h)
+        ones = np.ones(len(ids), np.float32)
+        g = {"c": h.T @ d_class, "cb": ones @ d_class, "o": np.zeros_like(self.p["o"]), "ob": np.zeros_like(self.p["ob"])}
+        inner = np.empty_like(h)
         for k in range(CLASSES):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
-                g["o"][k], g["ob"][k] = sorted_h[a:b].T @ z[a:b], z[a:b].sum(0)
+                both = sorted_h[a:b].T @ z[a:b]
+                g["o"][k], g["ob"][k] = both[:-1], both[-1]
                 np.matmul(z[a:b], self.p["o"][k].T, out=inner[a:b])
         dh = d_class @ self.p["c"].T
-        dh[order] += inner
+        back = np.empty_like(order)
+        back[order] = every
+        dh += inner[back]
         dh *= 1 - h * h
-        g["w"], g["b"] = x.T @ dh, dh.sum(0)
-        dx = (dh @ self.p["w"].T).reshape(-1, EMBED)
-        flat = near.ravel()
-        g["e"] = np.stack([np.bincount(flat, weights=dx[:, d], minlength=VOCABULARY + 1) for d in range(EMBED)], 1).astype(np.float32)
+        g["w"], g["b"] = x.T @ dh, ones @ dh
+        dx = (self.p["w"] @ dh.T).reshape(2 * SIDE, EMBED, len(ids)).transpose(1, 0, 2).reshape(EMBED, -1)  # by dimension
+        flat = near.T.ravel()
+        g["e"] = np.stack([np.bincount(flat, weights=row, minlength=VOCABULARY + 1) for row in dx], 1).astype(np.float32)
         return g
 
     def train(self, ids: np.ndarray, doc: np.ndarray) -> None:

@@ -41,14 +41,23 @@ TEMPLATES = [
     ("bsd-2-clause", 1.0, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("bsd-3-clause", 1.0, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[3]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("apache-2.0", 1.0, "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("mpl-2.0-notice", 1.0, "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[http]] [[https]] mozilla org mpl 2 0"),
+    ("lgpl-header", 1.0, "is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version {{2}} of the license or [[at your option]] any later version"),
+    ("agpl-header", 1.0, "is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version {{2}} of the license or [[at your option]] any later version"),
+    ("unlicense", 1.0, "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("bsl-1.0-notice", 1.0, "distributed under the boost software license version 1 0"),
+    ("zlib", 1.0, "this software is provided as is without any express or implied warranty in no event will {{6}} be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
     ("gpl-header", 1.0, "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {{1}} of the license or [[at your option]] any later version"),
 ]
 
+#: A text with the longer wording has the shorter one in it; it gets the first label only.
+INSTEAD = {"bsd-3-clause": "bsd-2-clause"}
+
 _INSIDE = np.zeros(256, bool)
 _INSIDE[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 _INSIDE[128:] = True
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_TRIGGER = re.compile(rb"licen|permission|redistribution|cc[^a-z0-9\x80-\xff]+by")
+_TRIGGER = re.compile(rb"licen|permission|unencumbered|redistribution|cc[^a-z0-9\x80-\xff]+by")
 _MARKUP = re.compile(r"\[\[|\]\]|\{\{\d+\}\}|[^\s\[\]{}]+")
 
 FIELDS = [
@@ -143,6 +152,7 @@ def match(words: list[bytes]) -> tuple:
         if label not in labels and compile_template(markup).found_in(words, held):
             labels.add(label)
             score = max(score, weight)
+    labels -= {short for long, short in INSTEAD.items() if long in labels}
     return len(at), (at or [None])[0], (at or [None])[-1], ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 

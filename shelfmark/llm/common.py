@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,10 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only in a local session without it."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shelfmark-")
         context.setCheckpointDir(found)
     return found
@@ -50,10 +53,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """A larger table, as compressed Parquet in the shared folder."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders of ``stored``, in the order they were written.
+_written: list[str] = []
+
+
+def stored_so_far() -> int:
+    return len(_written)
+
+
+def drop_stored(spark: SparkSession, since: int) -> None:
+    """Removes what was stored since then; only for results that have been written themselves."""
+    while len(_written) > since:
+        remove(spark, _written.pop())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def in_tasks(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt by key for costly work in Python: over all partitions, which small sizes shall not make fewer."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 # --- text passes ----------------------------------------------------------------------------------------------------
 
 
@@ -166,8 +195,8 @@ def per_document(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 # --- leaving out what is not asked for ------------------------------------------------------------------------------
 
-#: Bits of the filter that is broadcast: 8 MB at most, however many keys are wanted.
-FILTER_BITS = 1 << 26
+#: Bits of the filter that is broadcast: 2 MB at most, however many keys are wanted.
+FILTER_BITS = 1 << 24
 _BUCKET_BITS = 32_768  # of one bitmap of bitmap_construct_agg
 
 

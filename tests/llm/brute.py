@@ -70,6 +70,26 @@ def rules(text):
     return (n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered), n < 50 or 100 * len(covered) > 50 * n)
 
 
+def covered(text, n):
+    """Characters of words inside n-word windows that occur twice or more."""
+    words = WORD.findall(text or "")
+    windows = Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    return sum(map(len, (words[k] for k in {i + j for i in range(len(words) - n + 1) if windows[tuple(words[i : i + n])] > 1 for j in range(n)})))
+
+
+def kept(text):
+    """The verdict of the quality rules."""
+    text = text or ""
+    n, chars, symbols, _, _, failed = rules(text)
+    lines, again = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            again += sum(map(len, WORD.findall(line))) if line in lines else 0
+            lines.add(line)
+    most = {5: 0.30, 7: 0.26, 10: 0.20}
+    return not failed and symbols <= 0.5 * n and again <= 0.2 * chars and all(covered(text, k) <= m * chars for k, m in most.items())
+
+
 def luhn(digits):
     values = [int(d) for d in digits][::-1]
     return sum(v if i % 2 == 0 else sum(divmod(2 * v, 10)) for i, v in enumerate(values)) % 10 == 0

@@ -119,7 +119,18 @@ def test_quality_rules(spark, docs):
     r = by_id(queries.op6_quality_rules(spark, SF))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     assert list(zip(*(r[c] for c in names))) == [brute.rules(t) for t in docs.text]
-    assert not (r.base_failed & r.kept).any()
+    for n in (5, 7, 10):
+        assert np.allclose(r[f"covered_{n}"], [brute.covered(t, n) / max(1, brute.rules(t)[1]) for t in docs.text])
+    assert list(r.kept) == [brute.kept(t) for t in docs.text]
+
+
+def test_quality_rules_reject_what_the_base_rules_pass(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    gram, line = words(11), words(25)
+    texts = [words(200), f"{words(30)} {gram} {words(30)} {gram} {words(15)}", f"{words(60)}\n{line}\n{line}\n{words(10)}", f"{words(110)} {gram} {words(30)} {gram}"]
+    r = by_id(repetition.repetition_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert list(r.kept) == [brute.kept(t) for t in texts] == [True, False, False, True] and not r.base_failed.any()
 
 
 def test_pii(spark, docs):
@@ -212,6 +223,26 @@ def test_licenses(spark, docs):
     assert all(0 <= x.score <= 1 and set(x.base_labels.split(",")) <= set(x.labels.split(",")) | {""} for x in r)
 
 
+def test_license_labels_by_regular_expressions(spark, docs):
+    """Each template as a regular expression over the words, apart from the automata."""
+
+    def pattern(markup):
+        markup = re.sub(r"\{\{(\d+)\}\} ?", r"(?:\\S+ ){0,\1}", " ".join(markup.split()) + " ")
+        return re.compile("(?<!\\S)" + re.sub(r"\]\] ?", " )?", markup.replace("[[", "(?:")))
+
+    patterns = [(label, weight, pattern(markup)) for label, weight, markup in licenses.TEMPLATES]
+    made = [re.sub(r"\{\{\d+\}\}", "someone", re.sub(r"\[\[.*?\]\] ?" if i % 2 else r"\[\[|\]\]", "", m)) for i in (0, 1) for _, _, m in licenses.TEMPLATES]
+    texts = [*docs.text, *made, *(f"x {t} y" for t in made), *(t.replace(" the ", " a ") for t in made)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.license_labels(rows).orderBy("doc_id").collect():
+        line = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", brute.lower(texts[r.doc_id] or ""))) + " "
+        base = set(brute.licenses(texts[r.doc_id])[4].split(",")) - {""}
+        found = {label: weight for label, weight, p in patterns if p.search(line)}
+        labels = base | set(found)
+        labels -= {"bsd-2-clause"} if "bsd-3-clause" in labels else set()
+        assert set(r.labels.split(",")) - {""} == labels and r.score == max([0.6 if base else 0, *found.values()])
+
+
 def test_license_templates():
     a = licenses.compile_template("one [[two three]] {{2}} four")
     accepts = lambda t: a.found_in(t.encode().split(), set(t.encode().split()))
@@ -293,6 +324,40 @@ def test_quality_classifier_on_labels(spark):
     assert clean[clean.toxic == 0].kept.mean() > 0.97 and junk.kept.mean() < 0.1
 
 
+def test_quality_posteriors_by_hand(spark):
+    """Evidence, hosts and paths put together in plain Python, from the fitted model's evidence."""
+    rng = random.Random(10)
+    good_words, bad_words = [f"g{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows, labels = [], []
+    for i in range(400):
+        host = rng.choice(["h1", "h1", "h2", "h3", None])
+        good = rng.random() < {"h1": 0.9, "h2": 0.3, "h3": 0.5, None: 0.5}[host]
+        rows.append((i, " ".join(rng.choice(good_words if good == (rng.random() < 0.8) else bad_words) for _ in range(30)), host, rng.choice(["p", "q", None])))
+        if i % 2:
+            labels.append((i, int(good), 0))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, host string, path string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    base = quality.fitted(docs, quality._good(marks)).base
+    got = {r.doc_id: r for r in quality.judged(docs, marks, F.col("host"), F.col("path")).collect()}
+    known = {i: q for i, q, _ in labels}
+    chance = {i: float(known.get(i, 1 / (1 + np.exp(-(r.evidence + base))))) for i, r in got.items()}
+    sums = lambda key: {k: (sum(chance[i] for i in ids), len(ids)) for k in {key(r) for r in rows} if (ids := [r[0] for r in rows if key(r) == k])}
+    hosts, paths = sums(lambda r: r[2]), sums(lambda r: (r[2], r[3]))
+    mean = sum(chance.values()) / len(rows)
+
+    def strength(groups):  # (sum, n, prior)
+        s, noise, v = (sum(f(a / n, n, m) for a, n, m in groups if n > 1) for f in (lambda x, n, m: n * (x - m) ** 2, lambda x, n, m: m * (1 - m), lambda x, n, m: n * m * (1 - m)))
+        between = max((s - noise) / v, 1e-3)
+        return min(1 / between - 1 if between < 1 else 0.5, 1000.0) or 0.5
+
+    k_host = strength([(a, n, mean) for a, n in hosts.values()])
+    prior = {h: (a + k_host * mean) / (n + k_host) for h, (a, n) in hosts.items()}
+    k_path = strength([(a, n, prior[h]) for (h, _), (a, n) in paths.items()])
+    for i, _, h, p in rows:
+        at_host = (hosts[h][0] - chance[i] + k_host * mean) / (hosts[h][1] - 1 + k_host)
+        at_path = (paths[h, p][0] - chance[i] + k_path * at_host) / (paths[h, p][1] - 1 + k_path)
+        assert abs(got[i].path_quality - at_path) < 1e-9 and abs(got[i].quality - 1 / (1 + np.exp(-got[i].evidence) * (1 - at_path) / at_path)) < 1e-9
+
+
 def test_sparse_sites_are_shrunk(spark):
     rows = [(i, "good plain words " * 5, "big", "x") for i in range(60)] + [(100, "good plain words " * 5, "small", "y")]
     labels = [(i, int(i < 12), 0) for i in range(60)] + [(100, 1, 0)]
@@ -311,7 +376,7 @@ def test_lm_beats_the_unigram_model_on_text_that_it_has_not_seen(spark):
     seen, held = df.where("doc_id % 5 <> 0").select("doc_id", "text"), [r.text for r in df.where("doc_id % 5 = 0 and n_chars < 20000").collect()]
     words = pseudo_likelihood.vocabulary(pseudo_likelihood.word_counts(seen))
     net = pseudo_likelihood.trained(common.stored(pseudo_likelihood.encoded(seen, words, 3, ["doc_id"])), words)
-    p = np.bincount(_tokens(net, [r.text for r in seen.collect()])[0], minlength=pseudo_likelihood.VOCABULARY) + 1
+    p = np.bincount(_tokens(net, [r.text for r in seen.collect()])[0], minlength=pseudo_likelihood.NOTHING) + 1
     ids, doc = _tokens(net, held)
     assert net.log_probs(ids, doc).mean() > np.log(p / p.sum())[ids].mean() + 0.1
 
@@ -332,7 +397,7 @@ def test_lm_learns_the_order_of_words(spark):
     words = pseudo_likelihood.vocabulary(pseudo_likelihood.word_counts(df))
     net = pseudo_likelihood.trained(common.stored(pseudo_likelihood.encoded(df, words, 1, ["doc_id"])), words)
     ids, doc = _tokens(net, [text() for _ in range(50)])
-    p = np.bincount(ids, minlength=pseudo_likelihood.VOCABULARY) / len(ids)
+    p = np.bincount(ids, minlength=pseudo_likelihood.NOTHING) / len(ids)
     assert net.log_probs(ids, doc).mean() > (p[p > 0] * np.log(p[p > 0])).sum() + 1
 
 
@@ -351,7 +416,7 @@ def test_lm_score_by_hand(spark):
     ids = net.tokens(pseudo_likelihood._word_hashes(pa.array([text]))[0])
     total = 0.0
     for i, w in enumerate(ids):
-        near = [ids[j] if 0 <= j < len(ids) else pseudo_likelihood.VOCABULARY for j in (i - 2, i - 1, i + 1, i + 2)]
+        near = [ids[j] if 0 <= j < len(ids) else pseudo_likelihood.NOTHING for j in (i - 2, i - 1, i + 1, i + 2)]
         h = np.tanh(np.concatenate([net.p["e"][j] for j in near]) @ net.p["w"] + net.p["b"])
         softmax = lambda z: np.exp(z) / np.exp(z).sum()
         k = w // pseudo_likelihood.IN_CLASS
@@ -364,24 +429,20 @@ def test_lm_scores_every_word_and_beats_the_unigram_model_over_words(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = pseudo_likelihood.scored(df).agg(F.sum("log_prob"), F.sum("n_tokens")).first()
     n = np.array(list(Counter(w for x in df.select("text").collect() for w in re.findall(r"[^\x20\t-\r]+", x.text or "")).values()))
-    assert len(n) > pseudo_likelihood.VOCABULARY and r[1] == n.sum() and r[0] / r[1] > (n * np.log(n / n.sum())).sum() / n.sum()
+    assert len(n) > pseudo_likelihood.KNOWN and r[1] == n.sum() and r[0] / r[1] > (n * np.log(n / n.sum())).sum() / n.sum()
 
 
-def test_lm_rare_words_in_one_bucket_differ(spark):
+def test_lm_rare_words_differ_by_their_counts(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(4000)]
     texts = [" ".join(w for w in words[:2500] for _ in range(3)), " ".join(words[2500:])]
     df = spark.createDataFrame([(i, " ".join(rng.sample(texts[i].split(), len(texts[i].split())))) for i in range(2)], "doc_id long, text string")
     counts = pseudo_likelihood.word_counts(df)
-    net = pseudo_likelihood.WindowNetwork(pseudo_likelihood.vocabulary(counts))
-    shares = {r.word: r.log_share for r in pseudo_likelihood.bucket_shares(counts, net.words).collect()}
+    known = pseudo_likelihood.vocabulary(counts)
+    shares = {r.word: r.log_share for r in pseudo_likelihood.rare_shares(counts, known).collect()}
     n = {r.word: r.n for r in counts.collect()}
-    assert len(shares) == 4000 - len(net.words)
-    ids = dict(zip(shares, net.tokens(np.array(list(shares), np.int64).view(np.uint64))))
-    size = Counter()
-    for w, i in ids.items():
-        size[i] += n[w]
-    assert all(abs(np.exp(s) - n[w] / size[ids[w]]) < 1e-9 for w, s in shares.items())
+    total = sum(n[w] for w in shares)
+    assert len(shares) == 4000 - len(known) and all(abs(np.exp(s) - n[w] / total) < 1e-9 for w, s in shares.items())
 
 
 def test_lm_trains_on_all_documents(spark, monkeypatch):
@@ -400,9 +461,9 @@ def test_lm_trains_on_all_documents(spark, monkeypatch):
 
 
 def test_lm_gradients():
-    net = pseudo_likelihood.WindowNetwork(np.arange(2000, dtype=np.uint64))
+    net = pseudo_likelihood.WindowNetwork(np.arange(pseudo_likelihood.KNOWN, dtype=np.uint64))
     rng = np.random.default_rng(0)
-    ids, doc = rng.integers(0, 2048, 40), np.repeat([0, 1], 20)
+    ids, doc = rng.integers(0, pseudo_likelihood.KNOWN + 1, 40), np.repeat([0, 1], 20)
     near = net.windows(ids, doc)
     g = net.gradients(ids, near)
     for k in net.p:

@@ -4,7 +4,11 @@ Stages get (spark, docs, sf_dir) and return a DataFrame; ``run`` writes each res
 reads it again as the next stage's documents, so that a lost executor costs a stage at most.
 
 Stages that join an operator's results back to the documents join rows, not ids: a null doc_id, ids that repeat and
-repeated rows are documents like all others, each with its own result.
+repeated rows are documents like all others, each with its own result. A null or empty text has too few words for the
+quality rules and goes there; the stages after it, given one, keep it, except for the mix, which takes no words of it.
+Texts of any length are read whole. Of equal texts the duplicate stage keeps one, with the least id, then the least row
+number. Extra columns stay, but for those with the names of the mix's own columns, which replace them. An empty table
+passes all stages and stays empty.
 """
 
 from __future__ import annotations
@@ -57,8 +61,9 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents with the words that it takes of each (repeats counted); what it does not take goes."""
     rows = numbered(docs)
-    taken = mixing.mix(rows, row=ROW).where("taken > 0").drop("doc_id")
-    return rows.join(taken, ROW).select(*docs.columns, "size", "source_size", "target", "taken")
+    own = ("size", "source_size", "target", "taken")
+    taken = mixing.mix(rows, row=ROW).where("taken > 0").select(ROW, *own)
+    return rows.drop(*own).join(taken, ROW).select(*(c for c in docs.columns if c not in own), *own)
 
 
 STAGES = [
@@ -77,7 +82,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}"
+        path, before = f"{folder}/{k}", common.stored_so_far()
         stage(spark, docs, sf_dir).write.parquet(path)
+        common.drop_stored(spark, before)
+        if k:
+            common.remove(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(path)
     return docs

@@ -44,7 +44,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from shelfmark.llm import common
 
 SHINGLE_WORDS, PERCENT = 3, 90
-BLOCK = 512
+BLOCK = 256
 #: Weight of a probe against a step of the merge, in the choice of how many lists count as long.
 PROBE_COST = 0.01
 
@@ -289,7 +289,7 @@ def _searched_first(stars: DataFrame, sets: DataFrame, percent: int, block: int)
     queries = sets.join(blocks.withColumnRenamed("rep", "d1"), "d1").select(
         F.col("d1").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("is_rep"), "doc_id", "shingles"
     )
-    dealt = members.unionByName(queries).repartition("rep", "block").sortWithinPartitions("rep", "block")
+    dealt = common.in_tasks(members.unionByName(queries), "rep", "block").sortWithinPartitions("rep", "block")
     return dealt.mapInArrow(_first_search(percent), _EDGE)
 
 
@@ -314,7 +314,7 @@ def _searched_second(stars: DataFrame, sets: DataFrame, component: DataFrame, pe
     placed = placed.withColumn("block", number).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("large") + F.col("shared") - 1)))
     placed = placed.where(F.col("own").isNull() | (F.col("other") < F.col("first")) | (F.col("other") >= F.col("first") + F.col("own")))
     pairs = placed.select("d1", "doc_id", "component", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
-    dealt = pairs.join(sets, ["d1", "doc_id"]).repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    dealt = common.in_tasks(pairs.join(sets, ["d1", "doc_id"]), "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
     return dealt.mapInArrow(_second_search(percent), _EDGE)
 
 

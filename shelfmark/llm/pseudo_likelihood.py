@@ -1,17 +1,18 @@
 """LM scoring by masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-Tokens are words. The vocabulary is made from counts over all documents: the most frequent words, and buckets for all
-others. The network sees SIDE words on either side of a token (not the token), and gives its probability as that of its
-class times that in its class, so that a token costs the square root of the vocabulary. The probability of a word in a
-bucket is the bucket's times the word's share of the bucket, from the counts of all words, which a join brings to the
-tokens. A document's score is the sum of the log-probabilities of its tokens.
+Tokens are words. The vocabulary is made from counts over all documents: the KNOWN most frequent words; all others are
+rare. The network sees SIDE words on either side of a token (not the token), and gives the probability of a known word as
+that of its class times that in its class, so that a token costs the square root of the vocabulary. Rare words are a
+class of their own: the probability of a rare word is that of this class times the word's share of all rare words, from
+the counts of all words, which a join brings to the tokens. A document's score is the sum of the log-probabilities of
+its tokens.
 
 Training is distributed and grows with the input: every document is trained on once, in one of ROUNDS rounds. Documents
 are dealt by hash into parts of about PART_TOKENS tokens, whatever files they came from; each part is walked in numpy
 in the order of its documents' hashes, from the round's common start, and the parts' parameters are averaged. They are
 summed inside tasks and then over a tree of tasks, in steps of 2**-24, so that sums are exact and no order shows: reruns
 and other layouts of the files give the same model. Only the averaged parameters (N_PARAMETERS numbers) and the
-vocabulary (VOCABULARY rows) come to the driver, and go to the executors with the tasks.
+vocabulary (KNOWN rows) come to the driver, and go to the executors with the tasks.
 
 Defined results: a null or empty text has 0 tokens, log_prob 0 and a null mean; repeated rows get equal scores; an empty
 table gives an empty table; extra columns are ignored; a null doc_id is carried.
@@ -30,19 +31,17 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, Struc
 from shelfmark.llm import common
 
 CLASSES, IN_CLASS = 32, 64
-VOCABULARY = CLASSES * IN_CLASS
-#: Ids of the last class stand for all words that are not in the vocabulary, by hash.
-OTHERS = IN_CLASS
+#: The last class holds all rare words, under one id; the id after it stands where a document has no word.
+KNOWN = (CLASSES - 1) * IN_CLASS
+RARE, NOTHING = KNOWN, KNOWN + 1
 SIDE, EMBED, HIDDEN = 2, 16, 32
 ROUNDS, STEP_TOKENS, RATE, SEED = 2, 4096, 0.05, 5
 #: Tokens of a part, on average; parameters are summed over so many tasks at a time, until so few rows are left.
 PART_TOKENS, FAN_IN, LAST_ROWS = 500_000, 64, 16
-#: The bits of a word's hash from here on give its bucket.
-BUCKET_SHIFT = 40
 #: Tokens that one forward pass holds: its arrays stay in a core's cache.
 PASS_TOKENS = 4096
 
-_SHAPES = {"e": (VOCABULARY + 1, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "o": (CLASSES, HIDDEN, IN_CLASS), "ob": (CLASSES, IN_CLASS)}
+_SHAPES = {"e": (KNOWN + 2, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "o": (CLASSES - 1, HIDDEN, IN_CLASS), "ob": (CLASSES - 1, IN_CLASS)}
 N_PARAMETERS = int(sum(np.prod(s) for s in _SHAPES.values()))
 
 
@@ -68,17 +67,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> np.ndarray:
     """Hashes of the most frequent words, by rank."""
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - OTHERS)
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN)
     return np.array([r["word"] for r in top.collect()], np.int64).view(common.U64)
 
 
-def bucket_shares(counts: DataFrame, known: np.ndarray) -> DataFrame:
-    """``word, log_share``: of every word that is not known, the logarithm of its share of its bucket's tokens."""
-    spark = counts.sparkSession
-    top = spark.createDataFrame([(w,) for w in known.view(np.int64).tolist()], "word long")
-    rest = counts.join(F.broadcast(top), "word", "left_anti").withColumn("bucket", F.shiftrightunsigned("word", BUCKET_SHIFT) % OTHERS)
-    sizes = rest.groupBy("bucket").agg(F.sum("n").alias("size"))
-    return rest.join(F.broadcast(sizes), "bucket").select("word", F.log(F.col("n") / F.col("size")).alias("log_share"))
+def rare_shares(counts: DataFrame, known: np.ndarray) -> DataFrame:
+    """``word, log_share``: of every rare word, the logarithm of its share of all rare words."""
+    top = counts.sparkSession.createDataFrame([(w,) for w in known.view(np.int64).tolist()], "word long")
+    rest = counts.join(F.broadcast(top), "word", "left_anti")
+    return rest.crossJoin(F.broadcast(rest.agg(F.sum("n").alias("all")))).select("word", F.log(F.col("n") / F.col("all")).alias("log_share"))
 
 
 class WindowNetwork:
@@ -101,7 +98,7 @@ class WindowNetwork:
         return np.concatenate([self.p[k].ravel() for k in _SHAPES])
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
-        ids = (VOCABULARY - OTHERS + (hashes >> common.U64(BUCKET_SHIFT)) % common.U64(OTHERS)).astype(np.int64)
+        ids = np.full(len(hashes), RARE, np.int64)
         if len(self.words):
             place = np.minimum(np.searchsorted(self.words[self.order], hashes), len(self.words) - 1)
             hit = self.words[self.order][place] == hashes
@@ -110,11 +107,11 @@ class WindowNetwork:
 
     @staticmethod
     def windows(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Each token's neighbours; VOCABULARY where there is none in its document."""
-        out = np.full((len(ids), 2 * SIDE), VOCABULARY, np.int64)
+        """Each token's neighbours; NOTHING where there is none in its document."""
+        out = np.full((len(ids), 2 * SIDE), NOTHING, np.int64)
         for k, by in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
             a, b = (slice(0, len(ids) - by), slice(by, None)) if by > 0 else (slice(-by, None), slice(0, len(ids) + by))
-            out[a, k] = np.where(doc[a] == doc[b], ids[b], VOCABULARY)
+            out[a, k] = np.where(doc[a] == doc[b], ids[b], NOTHING)
         return out
 
     @staticmethod
@@ -127,7 +124,8 @@ class WindowNetwork:
 
     def _forward(self, ids: np.ndarray, near: np.ndarray):
         """Input, hidden layer, probabilities of classes; and in the order of the tokens' classes: that order, where
-        each class begins, the hidden layer with a one after it (for the bias), and the probabilities in the class."""
+        each class begins, and of known words the hidden layer with a one after it (for the bias) and the probabilities
+        in the class."""
         x = self.p["e"][near].reshape(len(ids), -1)
         h = np.tanh(x @ self.p["w"] + self.p["b"])
         of_class = np.exp(np.minimum(h @ self.p["c"] + self.p["cb"], 60))
@@ -135,11 +133,12 @@ class WindowNetwork:
         kind = (ids // IN_CLASS).astype(np.int16)
         order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        sorted_h = np.ones((len(ids), HIDDEN + 1), np.float32)
-        sorted_h[:, :-1] = h[order]
+        known = cuts[CLASSES - 1]
+        sorted_h = np.ones((known, HIDDEN + 1), np.float32)
+        sorted_h[:, :-1] = h[order[:known]]
         weights = np.concatenate([self.p["o"], self.p["ob"][:, None]], 1)
-        z = np.empty((len(ids), IN_CLASS), np.float32)
-        for k in range(CLASSES):
+        z = np.empty((known, IN_CLASS), np.float32)
+        for k in range(CLASSES - 1):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 np.matmul(sorted_h[a:b], weights[k], out=z[a:b])
@@ -153,9 +152,10 @@ class WindowNetwork:
         for stretch, near in self.steps(ids, doc, PASS_TOKENS):
             part = ids[stretch]
             _, _, of_class, order, _, _, z = self._forward(part, near)
-            got = np.empty(len(part))
-            got[order] = z[np.arange(len(part)), part[order] % IN_CLASS]
-            out[stretch] = np.log(np.maximum(got * of_class[np.arange(len(part)), part // IN_CLASS], 1e-30))
+            got = of_class[np.arange(len(part)), part // IN_CLASS].astype(np.float64)
+            known = order[: len(z)]
+            got[known] *= z[np.arange(len(z)), part[known] % IN_CLASS]
+            out[stretch] = np.log(np.maximum(got, 1e-30))
         return out
 
     def gradients(self, ids: np.ndarray, near: np.ndarray) -> dict[str, np.ndarray]:
@@ -163,12 +163,12 @@ class WindowNetwork:
         n, every = np.float32(len(ids)), np.arange(len(ids))
         d_class[every, ids // IN_CLASS] -= 1
         d_class /= n
-        z[every, ids[order] % IN_CLASS] -= 1
+        z[every[: len(z)], ids[order[: len(z)]] % IN_CLASS] -= 1
         z /= n
         ones = np.ones(len(ids), np.float32)
         g = {"c": h.T @ d_class, "cb": ones @ d_class, "o": np.zeros_like(self.p["o"]), "ob": np.zeros_like(self.p["ob"])}
-        inner = np.empty_like(h)
-        for k in range(CLASSES):
+        inner = np.zeros_like(h)
+        for k in range(CLASSES - 1):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 both = sorted_h[a:b].T @ z[a:b]
@@ -182,7 +182,7 @@ class WindowNetwork:
         g["w"], g["b"] = x.T @ dh, ones @ dh
         dx = (self.p["w"] @ dh.T).reshape(2 * SIDE, EMBED, len(ids)).transpose(1, 0, 2).reshape(EMBED, -1)  # by dimension
         flat = near.T.ravel()
-        g["e"] = np.stack([np.bincount(flat, weights=row, minlength=VOCABULARY + 1) for row in dx], 1).astype(np.float32)
+        g["e"] = np.stack([np.bincount(flat, weights=row, minlength=KNOWN + 2) for row in dx], 1).astype(np.float32)
         return g
 
     def train(self, ids: np.ndarray, doc: np.ndarray) -> None:
@@ -200,7 +200,7 @@ class WindowNetwork:
 
 
 def encoded(docs: DataFrame, words: np.ndarray, n_parts: int, keep: list[str]) -> DataFrame:
-    """Kept columns, ``row``, the text's tokens as 16-bit ids, hashes of its words in buckets, and its part.
+    """Kept columns, ``row``, the text's tokens as 16-bit ids, hashes of its rare words, and its part.
 
     Copies of one text have different ids and so go to different parts; a row keeps its number once it is written.
     """
@@ -210,7 +210,7 @@ def encoded(docs: DataFrame, words: np.ndarray, n_parts: int, keep: list[str]) -
         hashes, doc, n = _word_hashes(texts)
         ids = sent.value.tokens(hashes)
         cuts = np.searchsorted(doc, np.arange(n + 1))
-        other = ids >= VOCABULARY - OTHERS
+        other = ids == RARE
         ends = np.concatenate([[0], np.cumsum(np.bincount(doc[other], minlength=n))]).astype(np.int32)
         tokens = [ids[a:b].astype("<i2").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
         return {"tokens": pa.array(tokens, pa.binary()), "others": pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[other].view(np.int64)))}
@@ -275,7 +275,7 @@ def trained(rows: DataFrame, words: np.ndarray) -> WindowNetwork:
                 yield _sum_row(n, p)
 
         chosen = rows.where((F.pmod("place", F.lit(ROUNDS)) == k) & (F.length("tokens") > 0)).select("part", "place", "tokens")
-        made = chosen.repartition("part").sortWithinPartitions("part", "place").select("part", "tokens").mapInArrow(run, _SUMS)
+        made = common.in_tasks(chosen, "part").sortWithinPartitions("part", "place").select("part", "tokens").mapInArrow(run, _SUMS)
         n = tasks
         while n > LAST_ROWS:
             n = -(-n // FAN_IN)
@@ -309,7 +309,7 @@ def class_scores(rows: DataFrame, net: WindowNetwork, keep: list[str]) -> DataFr
 def scored(df: DataFrame, text: str = "text", key: str = "doc_id", net: WindowNetwork | None = None) -> DataFrame:
     """``doc_id, n_tokens, log_prob, mean_log_prob`` of each document.
 
-    With a network of the caller's own, which has no counts of words, a word in a bucket stands for its bucket.
+    With a network of the caller's own, which has no counts of words, a rare word stands for all of them.
     """
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     if net is not None:
@@ -320,7 +320,7 @@ def scored(df: DataFrame, text: str = "text", key: str = "doc_id", net: WindowNe
         words = vocabulary(counts)
         rows = common.stored(encoded(docs, words, max(1, -(-total // PART_TOKENS)), ["doc_id"]))
         found = class_scores(rows, trained(rows, words), ["doc_id", "row"])
-        shares = rows.select("row", F.explode("others").alias("word")).join(bucket_shares(counts, words), "word")
+        shares = rows.select("row", F.explode("others").alias("word")).join(rare_shares(counts, words), "word")
         inside = shares.groupBy("row").agg(F.sum("log_share").alias("inside"))
         out = found.join(inside, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("inside", F.lit(0.0)))
     return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,8 +16,10 @@ from shelfmark.functions.text import word_stream
 KINDS = ("metadata", "content", "error", "done")
 LINE = "request_id string, seq int, type string, delta string, message string, sources string"
 MESSAGE = "request_id string, content string, sources string, phase string, error string, complete boolean"
-STATE = "content string, sources string, phase string, error string, last_seq int"
+STATE = "content string, sources string, phase string, error string, next_seq int, early string"
 STOPPED = "Generation stopped."
+#: A message without a new line for so long ends as it is.
+TIMEOUT_MS = 60_000
 
 
 def reply_lines(replies: DataFrame, key: str = "request_id", reply: str = "reply", sources: str | None = None) -> DataFrame:
@@ -57,35 +60,41 @@ def stopped(messages: DataFrame) -> DataFrame:
 
 
 def _accumulate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Lines take effect in the order of seq, from 0 on. One that comes before an earlier one waits in the state; one that
+    comes again is left out. A message ends with ``done``, once all lines before it are there."""
+    content, sources, phase, error, at, early = state.get if not state.hasTimedOut and state.exists else ("", None, "searching", None, 0, "{}")
     if state.hasTimedOut:
-        content, sources, phase, error, _ = state.get
-        state.remove()
-        yield pd.DataFrame([(key[0], content or STOPPED, sources, "done", error, False)], columns=["request_id", "content", "sources", "phase", "error", "complete"])
-        return
-    content, sources, phase, error, last = state.get if state.exists else ("", None, "searching", None, -1)
-    for line in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-        if line.seq <= last:
-            continue  # sent again
-        last = int(line.seq)
-        if line.type == "metadata":
-            sources, phase = line.sources, "reading"
-        elif line.type == "content":
-            content, phase = content + (line.delta or ""), "generating"
-        elif line.type == "error":
-            error = line.message
-        elif line.type == "done":
+        content, sources, phase, error, at, early = state.get
+    waiting = {int(k): v for k, v in json.loads(early).items()}
+    if not state.hasTimedOut:
+        for line in pd.concat(list(frames)).itertuples(index=False):
+            if line.seq >= at:
+                waiting.setdefault(int(line.seq), [None if pd.isna(x) else x for x in (line.type, line.delta, line.message, line.sources)])
+    while phase != "done" and (at in waiting or (state.hasTimedOut and waiting)):
+        at = at if at in waiting else min(waiting)
+        kind, delta, message, found = waiting.pop(at)
+        at += 1
+        if kind == "metadata":
+            sources, phase = found, "reading"
+        elif kind == "content":
+            content, phase = content + (delta or ""), "generating"
+        elif kind == "error":
+            error = message
+        elif kind == "done":
             phase = "done"
-    if phase == "done":
-        if state.exists:
+    complete = phase == "done" and not state.hasTimedOut
+    if complete or state.hasTimedOut:
+        if state.exists or state.hasTimedOut:
             state.remove()
-        yield pd.DataFrame([(key[0], content, sources, phase, error, True)], columns=["request_id", "content", "sources", "phase", "error", "complete"])
+        yield pd.DataFrame([(key[0], content if complete else content or STOPPED, sources, "done", error, complete)], columns=["request_id", "content", "sources", "phase", "error", "complete"])
         return
-    state.update((content, sources, phase, error, last))
-    state.setTimeoutDuration(60_000)
+    state.update((content, sources, phase, error, at, json.dumps(waiting)))
+    state.setTimeoutDuration(TIMEOUT_MS)
 
 
 def accumulated(lines: DataFrame) -> DataFrame:
-    """A stream of lines as finished messages: state for each request, emitted on ``done`` or after a minute of silence."""
+    """A stream of lines as finished messages: state for each request, emitted on ``done`` or after a minute of
+    silence. Lines need their own seq, without gaps: filter empty deltas (``useful``) after this, not before."""
     return lines.groupBy("request_id").applyInPandasWithState(_accumulate, MESSAGE, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 

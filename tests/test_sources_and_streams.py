@@ -2,6 +2,7 @@
 
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,43 @@ def test_accumulation_with_state(spark, tmp_path):
 def test_bursts(spark):
     rows = spark.sql("SELECT 'u' AS k, timestamp_millis(t) AS at, v FROM VALUES (0L, 1), (200L, 2), (1000L, 3) AS x(t, v)")
     assert sorted(r.v for r in replies.settled(rows, "k", "at", "v").collect()) == [2, 3]
+
+
+class State:
+    """What the accumulation uses of a group's state."""
+
+    def __init__(self):
+        self.held, self.hasTimedOut = None, False
+
+    exists = property(lambda self: self.held is not None)
+    get = property(lambda self: self.held)
+
+    def update(self, value):
+        self.held = value
+
+    def remove(self):
+        self.held = None
+
+    def setTimeoutDuration(self, ms):
+        pass
+
+
+def feed(state, *lines):
+    rows = [(("r"), *line, *[None] * (5 - len(line))) for line in lines]
+    frames = [pd.DataFrame(rows, columns=["request_id", "seq", "type", "delta", "message", "sources"])] if rows else []
+    return [tuple(r) for df in replies._accumulate(("r",), iter(frames), state) for r in df.itertuples(index=False)]
+
+
+def test_late_lines_are_kept():
+    state = State()
+    assert feed(state, (0, "metadata", None, None, "[7]"), (2, "content", "two")) == []
+    assert feed(state, (3, "done")) == [] and feed(state, (2, "content", "again")) == []
+    assert feed(state, (1, "content", "one ")) == [("r", "one two", "[7]", "done", None, True)] and not state.exists
+
+
+def test_silence_ends_a_message():
+    for lines, content in (([(0, "metadata"), (1, "content", "a"), (3, "content", "c")], "ac"), ([(0, "metadata")], replies.STOPPED)):
+        state = State()
+        assert feed(state, *lines) == []
+        state.hasTimedOut = True
+        assert feed(state) == [("r", content, None, "done", None, False)] and not state.exists

@@ -39,7 +39,7 @@ def similarity(a: Column, b: Column, metric: str = "ip") -> Column:
 
 def _row_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[list[tuple]]:
     rows = []
-    for r in queries.select(key, vector).toLocalIterator():
+    for r in queries.where(F.col(vector).isNotNull()).select(key, vector).toLocalIterator():
         rows.append((r[0], r[1]))
         if len(rows) == QUERY_BLOCK:
             yield rows
@@ -56,13 +56,14 @@ def _blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndar
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: str = "ip", where: Column | None = None, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "embedding", digits: int = 6) -> DataFrame:
     """``query_id, id, score, rank``: the k nearest of all vectors that pass ``where``, for each query; ties by id.
 
-    The filter comes before the ranking. Queries go out in blocks of bounded size; each Arrow batch is one matrix
+    The filter comes before the ranking. Rows and queries without a vector are left out, and under cosine a pair with a
+    zero vector, which has no direction. Queries go out in blocks of bounded size; each Arrow batch is one matrix
     product and keeps its own k best, so that the shuffle carries k rows a query and batch.
     """
     check_k(k)
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    source = (vectors if where is None else vectors.where(where)).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    source = (vectors if where is None else vectors.where(where)).where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     schema = StructType([StructField("query_id", LongType()), StructField("id", LongType()), StructField("score", DoubleType())])
     out = None
     for ids, rows in _blocks(queries, query_key, query_vector):
@@ -77,12 +78,14 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metr
                 v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 score = q @ v.T
                 if metric == "cosine":
-                    score /= np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
+                    sizes = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
+                    score = np.where(sizes > 0, score / np.where(sizes > 0, sizes, 1), np.nan)
                 elif metric == "l2":
                     score = 0.0 - np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * score, 0))
                 score = np.round(score, digits)
                 for a in range(len(query_ids)):
-                    best = np.lexsort((names, -score[a]))[:k]
+                    best = np.lexsort((names, -score[a]))[:k]  # what has no score comes last
+                    best = best[~np.isnan(score[a][best])]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query_ids[a])), pa.array(names[best]), pa.array(score[a][best])], names=["query_id", "id", "score"])
 
         found = source.mapInArrow(run, schema)
@@ -96,14 +99,15 @@ def dense_top_k_columns(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT
     """The same in Column expressions only; each block of queries is broadcast by itself."""
     check_k(k)
     asked = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).alias("qv"))
-    source = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    source = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
     scored = None
     for rows in _row_blocks(asked, "query_id", "qv"):
         found = source.crossJoin(F.broadcast(vectors.sparkSession.createDataFrame(rows, asked.schema)))
         scored = found if scored is None else scored.unionByName(found)
     if scored is None:
         scored = source.crossJoin(asked)
-    return top_k(scored.select("query_id", "id", F.round(similarity(F.col("qv"), F.col("v"), metric), digits).alias("score")), k, "query_id", [F.desc("score"), F.asc("id")])
+    scored = scored.select("query_id", "id", F.round(similarity(F.col("qv"), F.col("v"), metric), digits).alias("score")).where("score is not null")
+    return top_k(scored, k, "query_id", [F.desc("score"), F.asc("id")])
 
 
 def sparse_top_k(postings: DataFrame, query_terms: DataFrame, k: int = DEFAULT_K, drop_ratio: float = 0.0, digits: int = 6) -> DataFrame:

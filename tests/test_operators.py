@@ -70,6 +70,14 @@ def test_dense_paths_agree(spark):
     assert vector.dense_top_k(rows, asked.limit(0), 3).count() == 0 and vector.dense_top_k(rows.limit(0), asked, 3).count() == 0
 
 
+def test_null_and_zero_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0])], "query_id long, embedding array<float>")
+    for search in (vector.dense_top_k, vector.dense_top_k_columns):
+        assert sorted((r.query_id, r.id) for r in search(rows, asked, 5, "cosine").collect()) == [(1, 1), (1, 4)]
+        assert sorted((r.query_id, r.id) for r in search(rows, asked, 5).collect()) == [(q, i) for q in (1, 3) for i in (1, 3, 4)]
+
+
 def test_query_blocks(spark, monkeypatch):
     rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     asked = rows.where("vec_id < 30").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -123,7 +131,7 @@ def test_weighted_fusion(spark):
     assert [(r.id, r.score) for r in fusion.weighted(hits, 5, {"dense": 1.0, "sparse": 0.5}, "minmax").orderBy("rank").collect()] == [(1, 1.0), (2, 0.5)]
 
 
-@pytest.mark.parametrize("bad", [lambda: fusion.check_ranker("RRF", []), lambda: fusion.check_ranker("RRF", [0]), lambda: fusion.check_ranker("Weighted", [0.5]), lambda: fusion.check_ranker("Weighted", [0.5, 2]), lambda: fusion.check_ranker("x", []), lambda: vector.check_k(0), lambda: vector.check_k(101), lambda: fusion.check_fields(["id", "nope"]), lambda: fusion.check_partitions(["x"], ["y"]), lambda: chat.check_query("  "), lambda: chat.check_texts([" "]), lambda: chat.check_role("system")])
+@pytest.mark.parametrize("bad", [lambda: fusion.check_ranker("RRF", []), lambda: fusion.check_ranker("RRF", [0]), lambda: fusion.check_ranker("Weighted", [0.5]), lambda: fusion.check_ranker("Weighted", [0.5, 2]), lambda: fusion.check_ranker("x", []), lambda: vector.check_k(0), lambda: vector.check_k(101), lambda: fusion.check_fields(["id", "nope"]), lambda: fusion.check_partitions(["x"], ["y"]), lambda: chat.check_query("  "), lambda: chat.check_texts([" "]), lambda: chat.check_role("system"), lambda: chat.check_settings(top_k=101), lambda: chat.check_settings(temperature=2.1), lambda: chat.check_settings(max_tokens=0), lambda: fusion.check_embeddings([]), lambda: fusion.check_embeddings([{"dense": [1.0]}] * 11), lambda: fusion.check_embeddings([{}])])
 def test_requests_that_are_refused(bad):
     with pytest.raises(ValueError):
         bad()

@@ -123,6 +123,35 @@ def floats(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, ","), lambda p: F.trim(p).try_cast("double")), lambda v: v.isNotNull() & ~F.isnan(v))
 
 
+def sparse_json(c: Column) -> Column:
+    """A JSON object of numbers as a map with whole-number keys; keys that are none go."""
+    entries = F.filter(F.map_entries(F.from_json(c, "map<string,double>")), lambda e: e["key"].try_cast("bigint").isNotNull())
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].cast("bigint"), e["value"])))
+
+
+def sparse_indices(m: Column) -> Column:
+    return F.array_sort(F.map_keys(m))
+
+
+def sparse_values(m: Column) -> Column:
+    """Values in order of their indices."""
+    return F.transform(F.array_sort(F.map_entries(m)), lambda e: e["value"])
+
+
+def sparse_items(m: Column) -> Column:
+    """A list of (index, value)."""
+    return F.transform(F.array_sort(F.map_entries(m)), lambda e: F.struct(e["key"].alias("index"), e["value"].alias("value")))
+
+
+def dense(m: Column, size: int) -> Column:
+    """All ``size`` places, 0 where the map has none."""
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(m, i.cast("bigint")), F.lit(0.0)))
+
+
+def request_id(now: Column) -> Column:
+    return F.concat(F.lit("req_"), millis(now).cast("string"))
+
+
 def leading_digits(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"^(\d+)", 1), F.lit(""))
 

@@ -59,12 +59,15 @@ def keyset(df: DataFrame, at: str, key: str, limit: int = DEFAULT_LIMIT, cursor:
 
 
 def keyset_page(df: DataFrame, at: str, key: str, limit: int = DEFAULT_LIMIT, cursor: tuple | None = None, legacy: bool = False) -> DataFrame:
-    """At most ``limit`` rows with ``has_more`` and, where there is more, ``next_cursor``, the last row's time."""
+    """At most ``limit`` rows with ``has_more`` and, where there is more, ``next_cursor`` and ``next_id``: the last row's
+    time and key, which together are the next page's cursor."""
     got = keyset(df, at, key, limit, cursor, legacy)
     window = Window.orderBy(F.desc(at), F.desc(key))  # over limit + 1 rows
     every = Window.partitionBy()
     rows = got.withColumn("__place", F.row_number().over(window)).withColumn("has_more", F.count("*").over(every) > limit).where(F.col("__place") <= limit)
-    return rows.withColumn("next_cursor", F.when(F.col("has_more"), F.min(at).over(every))).drop("__place")
+    last = F.min(F.struct(F.col(at).alias("at"), F.col(key).alias("key"))).over(every)
+    rows = rows.withColumn("__last", F.when(F.col("has_more"), last))
+    return rows.withColumn("next_cursor", F.col("__last.at")).withColumn("next_id", F.col("__last.key")).drop("__place", "__last")
 
 
 def ilike_contains(c: Column, part: str) -> Column:
@@ -94,7 +97,7 @@ def resolved(lists: DataFrame, key: str, ids: str, sources: DataFrame, source_ke
 
 def expanded(names: DataFrame, name: str, hierarchy: DataFrame) -> DataFrame:
     """Names with the leaves of their group (``parent, pos, leaf``); unknown names go, leaves of two groups come twice."""
-    return names.join(F.broadcast(hierarchy), names[name] == hierarchy["parent"])
+    return names.join(dimension(hierarchy), names[name] == hierarchy["parent"])
 
 
 def toggled(selected: Column, value: Column) -> Column:
@@ -115,3 +118,33 @@ def metadata_rows(books: DataFrame, key: str, columns: dict[str, str]) -> DataFr
     """``key, label, value`` for each named column that is not null or empty."""
     kept = books.select(key, *(F.col(c).cast("string").alias(label) for c, label in columns.items()))
     return kept.unpivot([key], list(columns.values()), "label", "value").where("value is not null and value <> ''")
+
+
+def projected(df: DataFrame, heavy: list[str], wide: bool = False) -> DataFrame:
+    """All columns, or all but the heavy ones, which are then not read."""
+    return df if wide else df.drop(*heavy)
+
+
+def by_locale(name: str, key: str) -> list[Column]:
+    """An order of names as readers expect it (Unicode collation: case and accents come after letters); ties by key."""
+    return [F.collate(F.col(name), "UNICODE").asc(), F.col(key).asc()]
+
+
+def with_names_in(rows: DataFrame, key: str, named: DataFrame, named_key: str, name: str, wanted: list[str]) -> DataFrame:
+    """Rows whose key belongs to one of the wanted names."""
+    return rows.join(named.where(F.col(name).isin(wanted)).select(F.col(named_key).alias(key)), key, "left_semi")
+
+
+def group_members(groups: DataFrame, entities: DataFrame, name: str, key: str) -> DataFrame:
+    """``group, members``: keys of each group's names (``group, pos, member``) in declared order; groups without any go."""
+    found = groups.join(entities.select(F.col(name).alias("member"), F.col(key).alias("__key")), "member")
+    return found.groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "__key"))), lambda x: x["__key"]).alias("members"))
+
+
+def scroll(loaded: DataFrame, key: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """Where scrolling goes on in both ways, from the stretches ``key, offset, n, total`` that are loaded.
+
+    Up: an offset not below 0 and as many rows as are left before the first one. Down: the place after the last row.
+    """
+    edges = loaded.groupBy(key).agg(F.min("offset").alias("low"), F.max(F.col("offset") + F.col("n")).alias("next"), F.max("total").alias("total"))
+    return edges.select(key, F.greatest(F.lit(0), F.col("low") - limit).alias("previous"), F.least(F.lit(limit), F.col("low")).alias("n_previous"), "next", (F.col("next") < F.col("total")).alias("more"))

@@ -20,9 +20,9 @@ def usable(messages: DataFrame, content: str = "content", triage: str = "is_tria
 
 
 def last_n(messages: DataFrame, n: int, key: str, order: str, role: str | None = None, role_column: str = "role") -> DataFrame:
-    """The newest n messages of each conversation (of one role, if given)."""
+    """The newest n messages of each conversation (of one role, if given); of equal places, those with the greater rest."""
     rows = messages if role is None else messages.where(F.col(role_column) == role)
-    window = Window.partitionBy(key).orderBy(F.desc(order))
+    window = Window.partitionBy(key).orderBy(F.desc(order), *(F.desc(c) for c in rows.columns if c not in (key, order)))
     return rows.withColumn("__n", F.row_number().over(window)).where(F.col("__n") <= n).drop("__n")
 
 
@@ -126,10 +126,47 @@ def route(authenticated: Column, suggested_first: Column) -> Column:
     return F.when(authenticated, "conversations").when(~suggested_first, "anonymous")
 
 
+def prepended(chats: DataFrame, new: DataFrame, order: str = "pos") -> DataFrame:
+    """The list with new rows before all others."""
+    moved = chats.crossJoin(F.broadcast(new.agg(F.count("*").alias("__n")))).withColumn(order, F.col(order) + F.col("__n")).drop("__n")
+    return new.unionByName(moved)
+
+
+def patched(chats: DataFrame, key: str, value: object, changes: dict[str, Column]) -> DataFrame:
+    """The row with this key changed; a change of the key itself renames it."""
+    return chats.select(*(F.when(F.col(key) == F.lit(value), changes[c]).otherwise(F.col(c)).alias(c) if c in changes else F.col(c) for c in chats.columns))
+
+
+def appended_page(chats: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """The list with the rows of one more page that it does not have yet."""
+    return chats.unionByName(more.join(chats.select(key), key, "left_anti").select(*chats.columns))
+
+
+def cited_only(messages: DataFrame, content: str, sources: DataFrame, key: str = "id") -> DataFrame:
+    """The sources that some message cites."""
+    return sources.join(messages.select(F.explode(cited_ids(F.col(content))).alias(key)).distinct(), key, "left_semi")
+
+
+def merged_lists(results: DataFrame, key: str, order: str, values: str) -> DataFrame:
+    """``key, values``: the lists of a request's few results, one after the other; repeats stay."""
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(values).alias("v"))))
+    return results.groupBy(key).agg(F.flatten(F.transform(parts, lambda p: p["v"])).alias(values))
+
+
+def over_budget(messages: DataFrame, key: str, size: Column, most: int = MAX_CHARS) -> DataFrame:
+    """``key, blocked``: chats with so many characters take no further message."""
+    return messages.groupBy(key).agg((F.sum(size) >= most).alias("blocked"))
+
+
+def without_sources(requests: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """Requests that no source answers."""
+    return requests.join(hits.select(key), key, "left_anti")
+
+
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key: the last in order."""
+    """One row for each key: the last in order; of equal places, that with the greatest rest."""
     others = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.col(order)).alias("r")).select(key, "r.*")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(order, *others)).alias("r")).select(key, "r.*")
 
 
 # --- checks of requests ---------------------------------------------------------------------------------------------
@@ -148,6 +185,11 @@ def check_texts(texts: list[str]) -> list[str]:
     return kept
 
 
+def check_settings(top_k: int = 15, temperature: float = 0.0, max_tokens: int = 1) -> None:
+    if not 1 <= top_k <= 100 or not 0 <= temperature <= 2 or not 1 <= max_tokens <= 65_536:
+        raise ValueError("top_k 1 to 100, temperature 0 to 2, max_tokens 1 to 65536")
+
+
 def check_role(role: str) -> str:
     if role not in ("user", "assistant"):
         raise ValueError("the role is user or assistant")

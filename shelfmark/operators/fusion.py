@@ -28,6 +28,13 @@ def check_ranker(name: str, params: list[float]) -> None:
         raise ValueError("the ranker must be RRF or Weighted")
 
 
+def check_embeddings(embeddings: list[dict]) -> list[dict]:
+    """1 to 10 embeddings, each with a dense or a sparse vector."""
+    if not 1 <= len(embeddings) <= MAX_EMBEDDINGS or not all(e.get("dense") or e.get("sparse") for e in embeddings):
+        raise ValueError(f"1 to {MAX_EMBEDDINGS} embeddings with a vector each")
+    return embeddings
+
+
 def check_fields(fields: list[str]) -> list[str]:
     if unknown := [f for f in fields if f not in OUTPUT_FIELDS]:
         raise ValueError(f"unknown output fields: {unknown}")

@@ -47,6 +47,16 @@ def as_of(probes: DataFrame, entries: DataFrame, probe_key: str, active: str, en
     return merged.where("__probe = 1").select(*group, F.col("__key").alias(probe_key), F.col("__at").alias(active), "entry")
 
 
+def as_of_clicked(probes: DataFrame, entries: DataFrame, probe_key: str, active: str, clicked: str, entry_key: str = "id", at: str = "page_id", order: str = "pos", by: str | None = None) -> DataFrame:
+    """As ``as_of``, but the entry that was clicked stays active as long as it stands on the active page."""
+    group = [by] if by else []
+    found = as_of(probes, entries, probe_key, active, entry_key, at, order, by)
+    own = entries.select(*group, F.col(entry_key).alias("__clicked"), F.col(at).cast("long").alias(active))
+    asked = probes.select(*group, F.col(probe_key).cast("long").alias(probe_key), F.col(active).cast("long").alias(active), F.col(clicked).alias("__clicked"))
+    held = asked.join(own, [*group, "__clicked", active]).select(probe_key, "__clicked").distinct()
+    return found.join(held, probe_key, "left").withColumn("entry", F.coalesce("__clicked", "entry")).drop("__clicked")
+
+
 def tree(entries: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
     """Entries with ``root`` set where the parent is 0, null or unknown, else with their parent."""
     ids = entries.select(F.col(key).alias("__parent")).distinct()
@@ -61,13 +71,13 @@ def depths(entries: DataFrame, key: str = "id", parent: str = "parent") -> DataF
     No path is longer than there are entries. Beyond spark.sql.cteRecursionRowLimit rows Spark raises an error.
     """
     most = max(1, entries.count()) + 1
-    tree(entries, key, parent).createOrReplaceTempView("__toc_entries")
-    return entries.sparkSession.sql(f"""
+    walk = f"""
         WITH RECURSIVE walk MAX RECURSION LEVEL {most} AS (
-          SELECT {key} AS id, 0 AS depth, CAST({key} AS STRING) AS path FROM __toc_entries WHERE root
+          SELECT {key} AS id, 0 AS depth, CAST({key} AS STRING) AS path FROM {{toc}} WHERE root
           UNION ALL
-          SELECT e.{key}, w.depth + 1, concat(w.path, '/', CAST(e.{key} AS STRING)) FROM walk w JOIN __toc_entries e ON e.parent_id = w.id)
-        SELECT id, depth, path FROM walk""")
+          SELECT e.{key}, w.depth + 1, concat(w.path, '/', CAST(e.{key} AS STRING)) FROM walk w JOIN {{toc}} e ON e.parent_id = w.id)
+        SELECT id, depth, path FROM walk"""
+    return entries.sparkSession.sql(walk, toc=tree(entries, key, parent))
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 400, overlap: int = 2) -> DataFrame:
@@ -84,6 +94,3 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     grouped = spread.groupBy(key, F.col("in_chunk").alias("chunk")).agg(F.min("at").alias("first_sentence"), F.sum("n").cast("bigint").alias("n_words"), parts.alias("parts"))
     return grouped.withColumn("text", F.array_join(F.transform("parts", lambda p: p["sentence"]), " ")).drop("parts")
 
-
-def title_when_changed(title: Column, window) -> Column:
-    return F.when(~F.lag(title).over(window).eqNullSafe(title), title)

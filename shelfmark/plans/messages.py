@@ -60,9 +60,9 @@ def _(spark, sf):
     return _sentences(spark, sf).select("doc_id", F.explode(arabic.arabic_tokens(F.col("s"))).alias("token"))
 
 
-@query("fn_3_search_fold", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(trim(substr(text, 1, 200)))), '[-–—«»"''`.,;:!?()\[\]{}/\\@#$%^&*_+=~|<>]', '', 'g'), '\s+', ' ', 'g')) AS folded FROM documents""")
+@query("fn_3_search_fold", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(trim(text))), '[-–—«»"''`.,;:!?()\[\]{}/\\@#$%^&*_+=~|<>]', '', 'g'), '\s+', ' ', 'g')) AS folded FROM documents""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", arabic.fold_for_search(F.substring("text", 1, 200)).alias("folded"))
+    return table(spark, sf, "documents").select("doc_id", arabic.fold_for_search(F.col("text")).alias("folded"))
 
 
 def _cited(spark, sf):
@@ -73,12 +73,19 @@ def _cited(spark, sf):
 _CITED = "cited AS (SELECT doc_id, 'x [' || doc_id || ', ' || (doc_id + 1) || '] y [' || (doc_id + 2) || '،' || doc_id || '] [' || (doc_id % 3) || '] z [12,' AS t FROM documents)"
 
 
-@query("fn_9_agg_10_citations", f"WITH {_CITED} SELECT doc_id, unnest(list_distinct([doc_id, doc_id + 1, doc_id + 2, doc_id % 3])) AS id FROM cited")
+@query(
+    "fn_9_agg_10_citations",
+    rf"""WITH {_CITED}, lists AS (SELECT doc_id, unnest(regexp_extract_all(t, '\[(\d+(?:\s*[,،]\s*\d+)*)\]', 1)) AS ids FROM cited)
+    SELECT DISTINCT doc_id, unnest(string_split_regex(ids, '\s*[,،]\s*'))::BIGINT AS id FROM lists""",
+)
 def _(spark, sf):
     return _cited(spark, sf).select("doc_id", F.explode(text.cited_ids(F.col("t"))).alias("id"))
 
 
-@query("win_7_citation_groups", f"WITH {_CITED} SELECT doc_id, 2::BIGINT AS n_groups, 3::BIGINT AS n_parts, regexp_replace(t, '\\[\\d+(?:\\s*[,،]\\s*\\d*)*$', '') AS shown FROM cited")
+_RUN = r"\[\d+(?:\s*[,،]\s*\d+)*\](?:[\s,،]*\[\d+(?:\s*[,،]\s*\d+)*\])*"
+
+
+@query("win_7_citation_groups", f"WITH {_CITED} SELECT doc_id, len(regexp_extract_all(t, '{_RUN}')) AS n_groups, len(string_split_regex(t, '{_RUN}')) AS n_parts, regexp_replace(t, '\\[\\d+(?:\\s*[,،]\\s*\\d*)*$', '') AS shown FROM cited")
 def _(spark, sf):
     t = F.col("t")
     return _cited(spark, sf).select(
@@ -98,7 +105,7 @@ def _(spark, sf):
     return found.select("doc_id", F.array_join(F.transform("sources", lambda s: s["source"]), ",").alias("sources"))
 
 
-_ANSWER = "CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 40) WHEN 1 THEN ' short <!-- DETAILED_ANSWER --> long ' || doc_id ELSE '<!-- DETAILED_ANSWER -->' END"
+_ANSWER = "CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN ' short <!-- DETAILED_ANSWER --> long ' || doc_id ELSE '<!-- DETAILED_ANSWER -->' END"
 
 
 @query("fn_12_split_answer", f"""WITH a AS (SELECT doc_id, {_ANSWER} AS t FROM documents) SELECT doc_id,
@@ -106,7 +113,7 @@ _ANSWER = "CASE doc_id % 3 WHEN 0 THEN substr(text, 1, 40) WHEN 1 THEN ' short <
     CASE WHEN contains(t, '<!--') THEN nullif(trim(split_part(t, '<!-- DETAILED_ANSWER -->', 2)), '') END AS detailed FROM a""")
 def _(spark, sf):
     mark = F.lit(text.DETAIL_MARK)
-    t = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 40)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" short "), mark, F.lit(" long "), "doc_id")).otherwise(mark)
+    t = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" short "), mark, F.lit(" long "), "doc_id")).otherwise(mark)
     return table(spark, sf, "documents").select("doc_id", text.simple_answer(t).alias("simple"), text.detailed_answer(t).alias("detailed"))
 
 
@@ -118,9 +125,24 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.md5(text.clean_html(F.concat("html", F.lit(added)))).alias("digest"))
 
 
-@query("fn_16_17_direction", f"WITH {_MADE} SELECT doc_id, CASE WHEN doc_id % 8 = 4 THEN 'ltr' ELSE 'rtl' END AS head, CASE WHEN doc_id % 8 = 4 THEN 'ltr' ELSE 'rtl' END AS whole FROM made")
+def _letters(c: str, ranges: str) -> str:
+    return f"length(regexp_replace({c}, '[^{ranges}]', '', 'g'))"
+
+
+_RTL = r"\x{0590}-\x{05FF}\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
+_LTR = r"A-Za-z\x{00C0}-\x{024F}\x{0370}-\x{03FF}\x{0400}-\x{04FF}"
+
+
+@query(
+    "fn_16_17_direction",
+    f"""WITH {_MADE}, mixed AS (SELECT m.doc_id, s || ' ' || repeat(text, 1) AS s FROM made m JOIN documents d ON m.doc_id = d.doc_id)
+    SELECT doc_id, CASE WHEN {_letters('substr(s, 1, 200)', _RTL)} > {_letters('substr(s, 1, 200)', 'A-Za-z')} THEN 'rtl' ELSE 'ltr' END AS head,
+    CASE WHEN {_letters('s', _RTL)} > {_letters('s', _LTR)} THEN 'rtl' ELSE 'ltr' END AS whole FROM mixed""".replace("repeat(text, 1)", "CASE WHEN doc_id_ % 2 = 0 THEN substr(text, 1, 20) ELSE text END").replace("doc_id_", "d.doc_id"),
+)
 def _(spark, sf):
-    return _sentences(spark, sf).select("doc_id", text.direction(F.col("s")).alias("head"), text.direction_of_all(F.col("s")).alias("whole"))
+    texts = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("more"))
+    s = F.concat("s", F.lit(" "), "more")
+    return _sentences(spark, sf).join(texts, "doc_id").select("doc_id", text.direction(s).alias("head"), text.direction_of_all(s).alias("whole"))
 
 
 @query("fn_18_shorten", "SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE substr(text, 1, 59) || '…' END AS shorter, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END AS cut FROM documents")
@@ -140,7 +162,8 @@ def _(spark, sf):
     return events.crossJoin(F.broadcast(now)).select("event_id", text.iso_time(F.col("ts")).alias("iso"), text.millis(F.col("ts")).alias("ms"), text.relative_time(F.col("ts"), F.col("now")).alias("label"))
 
 
-@query("fn_21_22_parameters", "SELECT doc_id, [doc_id + 1, 7]::BIGINT[]::VARCHAR AS ids, doc_id % 2 = 0 AS flag FROM documents WHERE doc_id >= 0")
+@query("fn_21_22_parameters", """WITH made AS (SELECT doc_id, ' ' || (doc_id + 1) || ', x, -3, 0,7,' AS t, CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'no' END AS f FROM documents)
+    SELECT doc_id, list_filter(list_transform(string_split(t, ','), lambda p: try_cast(trim(p) AS BIGINT)), lambda v: v > 0)::VARCHAR AS ids, f = 'true' AS flag FROM made""")
 def _(spark, sf):
     made = F.concat(F.lit(" "), F.col("doc_id") + 1, F.lit(", x, -3, 0,7,"))
     ids = F.concat(F.lit("["), F.array_join(text.positive_ints(made).cast("array<string>"), ", "), F.lit("]"))
@@ -152,10 +175,10 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.language_names(F.concat(F.lit("__label__"), "lang")).alias("n")).select("doc_id", "n.*")
 
 
-@query("fn_26_27_formats", "SELECT event_id, event_id || '-' || (event_id + 3) AS pages, event_id % 2 = 0 AS is_uuid, printf('%.4f', value) AS score FROM events WHERE value IS NOT NULL")
+@query("fn_26_27_formats", "SELECT event_id, event_id || '-' || (event_id + 3) AS pages, event_id % 2 = 0 AS is_uuid, printf('%.4f', value) AS score FROM events")
 def _(spark, sf):
     made = F.when(F.col("event_id") % 2 == 0, "123E4567-e89b-12d3-a456-426614174000").otherwise("123e4567-e89b")
-    return table(spark, sf, "events").where("value is not null").select("event_id", text.page_range(F.array("event_id", F.col("event_id") + 3)).alias("pages"), text.is_uuid(made).alias("is_uuid"), F.format_string("%.4f", "value").alias("score"))
+    return table(spark, sf, "events").select("event_id", text.page_range(F.array("event_id", F.col("event_id") + 3)).alias("pages"), text.is_uuid(made).alias("is_uuid"), text.fixed(F.col("value")).alias("score"))
 
 
 @query("fn_28_29_vectors", "SELECT vec_id, len(embedding) AS n, round(list_sum([x::DOUBLE for x in embedding]), 6) AS total FROM embeddings")
@@ -224,9 +247,9 @@ def _(spark, sf):
     return chat.history_lines(_turns(spark, sf), "conv_id", "turn", {"user": "User", "assistant": "Assistant"}, most=80)
 
 
-@query("fn_23_source_blocks", "SELECT source AS query, string_agg('[' || doc_id || '] ' || lang || ', ' || source || chr(10) || trim(substr(text, 1, 30)), chr(10) || chr(10) ORDER BY doc_id) AS prompt FROM documents WHERE doc_id < 200 GROUP BY 1")
+@query("fn_23_source_blocks", "SELECT source AS query, string_agg('[' || doc_id || '] ' || lang || ', ' || source || chr(10) || trim(text, ' '), chr(10) || chr(10) ORDER BY doc_id) AS prompt FROM documents GROUP BY 1")
 def _(spark, sf):
-    hits = table(spark, sf, "documents").where("doc_id < 200").select(F.col("doc_id").alias("id"), F.col("source").alias("query"), F.col("lang").alias("book_name"), F.col("source").alias("author"), F.substring("text", 1, 30).alias("text"))
+    hits = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("query"), F.col("lang").alias("book_name"), F.col("source").alias("author"), "text")
     return chat.source_blocks(hits, "query", "id")
 
 
@@ -316,9 +339,9 @@ def _(spark, sf):
     return replies.assembled(replies.useful(replies.reply_lines(asked))).select("request_id", "content", "phase", "complete")
 
 
-@query("str_6_8_incomplete", "SELECT conv_id || '-' || turn AS request_id, CASE WHEN turn % 2 = 0 THEN 'Generation stopped.' ELSE 'part' END AS content FROM conversations WHERE turn % 3 = 1")
+@query("str_6_8_incomplete", "SELECT conv_id || '-' || turn AS request_id, CASE WHEN turn % 2 = 0 THEN 'Generation stopped.' ELSE 'part' END AS content FROM conversations")
 def _(spark, sf):
-    turns = table(spark, sf, "conversations").where("turn % 3 = 1").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "turn")
+    turns = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "turn")
     lines = turns.select("request_id", F.lit(0).alias("seq"), F.lit("metadata").alias("type"), F.lit(None).cast("string").alias("delta"), F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("sources"))
     deltas = turns.where("turn % 2 <> 0").select("request_id", F.lit(1).alias("seq"), F.lit("content").alias("type"), F.lit("part").alias("delta"), F.lit(None).cast("string").alias("message"), F.lit(None).cast("string").alias("sources"))
     return replies.stopped(replies.assembled(lines.unionByName(deltas))).select("request_id", "content")
@@ -336,7 +359,8 @@ def _(spark, sf):
     return grouped.select("conv_id", F.array_join(F.array_distinct("roles"), ", ").alias("roles"))
 
 
-@query("set_6_replaced_group", "SELECT c_custkey, 'z,' || CASE WHEN c_nationkey % 2 = 0 THEN 'b' ELSE 'c' END AS chosen FROM customer")
+@query("set_6_replaced_group", """SELECT c_custkey, array_to_string(list_concat(list_filter(['a', 'z', 'b'], lambda x: NOT list_contains(['a', 'b', 'c'], x)),
+    [CASE WHEN c_nationkey % 2 = 0 THEN 'b' ELSE 'c' END]), ',') AS chosen FROM customer""")
 def _(spark, sf):
     lit = lambda *v: F.array(*(F.lit(x) for x in v))
     chosen = F.when(F.col("c_nationkey") % 2 == 0, lit("b")).otherwise(lit("c"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.plans import catalogue, messages, retrieval
+from shelfmark.plans import catalogue, messages, retrieval, views
 from shelfmark.plans.base import Query
 
-_PARTS = (retrieval.query, catalogue.query, messages.query)
+_PARTS = (retrieval.query, catalogue.query, messages.query, views.query)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,18 @@ def test_rows_without_ids_and_with_repeated_ids(spark):
     assert len(mixed) == 10 and all(r.size == len(r.text.split()) for r in mixed) and sum(r.taken for r in mixed) == round(mixed[0].target)
 
 
+def test_row_numbers_stay(spark, monkeypatch):
+    """Over files without a copy, whichever columns are read; over any other table with one."""
+    stored = []
+    monkeypatch.setattr(corpus_pipeline.common, "stored", lambda df: stored.append(df) or df)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet", "/root/testdata/sf0.01/documents.parquet")
+    rows = corpus_pipeline.numbered(docs)
+    one, other = ({tuple(r) for r in rows.select(corpus_pipeline.ROW, *c).select(corpus_pipeline.ROW, "n_chars").collect()} for c in (["n_chars"], ["text", "n_chars", "doc_id"]))
+    assert not stored and one == other and len({r[0] for r in one}) == docs.count()
+    corpus_pipeline.numbered(docs.repartition(3))
+    assert len(stored) == 1
+
+
 def test_stages_on_odd_and_empty_tables(spark):
     """Empty, null and very long texts, clashing and extra columns, and no rows at all."""
     long = " ".join(f"w{i}" for i in range(60_000))

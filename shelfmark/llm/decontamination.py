@@ -30,8 +30,9 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -106,6 +107,7 @@ class Index:
     sum_items: np.ndarray
     sum_weights: np.ndarray
     rest: np.ndarray
+    met: dict[int, tuple] = field(default_factory=dict)
 
     @classmethod
     def of(cls, passage: int, rows: list[tuple[int | None, str, list[int], list[float]]]) -> Index:
@@ -142,14 +144,14 @@ class Index:
         part = slice(self.starts[term], self.starts[term + 1])
         return self.items[part], self.weights[part]
 
-    def block_bound(self, terms: list[int], block: int) -> float:
-        """The most that these terms can give an item of the block."""
-        total = 0.0
-        for t in terms:
-            a, b = self.block_starts[t], self.block_starts[t + 1]
-            k = a + int(np.searchsorted(self.blocks[a:b], block))
-            total += self.block_largest[k] if k < b and self.blocks[k] == block else 0.0
-        return total
+    def walked(self, term: int) -> tuple[list[int], list[float], dict[int, float], float]:
+        """A term's items and weights, its largest weight by block and over all, made once for each term that is met."""
+        if term not in self.met:
+            items, weights = self.list_of(term)
+            a, b = self.block_starts[term], self.block_starts[term + 1]
+            by_block = dict(zip(self.blocks[a:b].tolist(), self.block_largest[a:b].tolist()))
+            self.met[term] = items.tolist(), weights.tolist(), by_block, float(self.largest[term])
+        return self.met[term]
 
     def may_reach(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
         """Passages, of (passage, term) pairs, that may hold an item's share of ``threshold``."""
@@ -169,16 +171,16 @@ class Index:
 def wand(index: Index, terms: list[int], threshold: float) -> dict[int, float]:
     """All items whose score for these distinct terms reaches the threshold (block-max WAND)."""
     end = len(index.ids)
-    lists = {t: index.list_of(t) for t in terms}
+    lists = {t: index.walked(t) for t in terms}
     cursor = {t: 0 for t in terms}
-    here = {t: int(lists[t][0][0]) for t in terms}
+    here = {t: lists[t][0][0] for t in terms}
     found = {}
     live = list(terms)
     while live:
         live.sort(key=here.__getitem__)
         bound, pivot = 0.0, -1
         for k, t in enumerate(live):
-            bound += index.largest[t]
+            bound += lists[t][3]
             if bound >= threshold - SLACK:
                 pivot = k
                 break
@@ -188,7 +190,7 @@ def wand(index: Index, terms: list[int], threshold: float) -> dict[int, float]:
         while pivot + 1 < len(live) and here[live[pivot + 1]] == item:
             pivot += 1
         block = item // BLOCK_ITEMS
-        if index.block_bound(live[: pivot + 1], block) >= threshold - SLACK:
+        if sum(lists[t][2].get(block, 0.0) for t in live[: pivot + 1]) >= threshold - SLACK:
             if here[live[0]] == item:
                 score = math.fsum(lists[t][1][cursor[t]] for t in live[: pivot + 1])
                 if score >= threshold:
@@ -203,8 +205,8 @@ def wand(index: Index, terms: list[int], threshold: float) -> dict[int, float]:
             goal, moved = max(goal, item + 1), live[: pivot + 1]
         for t in moved:
             items = lists[t][0]
-            cursor[t] += int(np.searchsorted(items[cursor[t] :], goal))
-            here[t] = int(items[cursor[t]]) if cursor[t] < len(items) else end
+            cursor[t] = bisect_left(items, goal, cursor[t])
+            here[t] = items[cursor[t]] if cursor[t] < len(items) else end
         live = [t for t in live if here[t] < end]
     return found
 

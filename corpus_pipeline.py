@@ -25,8 +25,14 @@ ROW = "__row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number of their own for each row, written once so that it stays."""
-    return common.stored(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    """The documents with a number of their own for each row.
+
+    Rows that come straight from files are cut into the same parts by each read, so that their numbers stay; any other
+    table is written once.
+    """
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    only_read = docs._jdf.queryExecution().optimizedPlan().nodeName() == "LogicalRelation"
+    return rows if only_read else common.stored(rows)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -196,17 +196,37 @@ def page_range(c: Column) -> Column:
     return F.array_join(c.cast("array<string>"), "-")
 
 
-# Language codes with English and native names.
+# Language codes with English name, native name, and the instruction to answer in that language.
 LANGUAGES = {
-    "ar": ("Arabic", "العربية"), "en": ("English", "English"), "fr": ("French", "Français"), "de": ("German", "Deutsch"), "es": ("Spanish", "Español"), "tr": ("Turkish", "Türkçe"),
-    "ur": ("Urdu", "اردو"), "fa": ("Persian", "فارسی"), "id": ("Indonesian", "Bahasa Indonesia"), "ms": ("Malay", "Bahasa Melayu"), "bn": ("Bengali", "বাংলা"), "hi": ("Hindi", "हिन्दी"),
-    "sw": ("Swahili", "Kiswahili"), "ru": ("Russian", "Русский"), "zh": ("Chinese", "中文"), "ja": ("Japanese", "日本語"), "ko": ("Korean", "한국어"), "pt": ("Portuguese", "Português"),
-    "it": ("Italian", "Italiano"), "nl": ("Dutch", "Nederlands"),
-}
+    "ar": ("Arabic", "العربية", "يجب أن تكتب إجابتك بالكامل باللغة العربية فقط."),
+    "en": ("English", "English", "You MUST write your entire response in English only."),
+    "fr": ("French", "Français", "Vous DEVEZ rédiger toute votre réponse en français uniquement."),
+    "de": ("German", "Deutsch", "Sie MÜSSEN Ihre gesamte Antwort ausschließlich auf Deutsch verfassen."),
+    "es": ("Spanish", "Español", "DEBES escribir toda tu respuesta únicamente en español."),
+    "tr": ("Turkish", "Türkçe", "Yanıtınızın tamamını yalnızca Türkçe olarak yazmalısınız."),
+    "ur": ("Urdu", "اردو", "آپ کو اپنا پورا جواب صرف اردو میں لکھنا ہے۔"),
+    "fa": ("Persian", "فارسی", "شما باید تمام پاسخ خود را فقط به زبان فارسی بنویسید."),
+    "id": ("Indonesian", "Bahasa Indonesia", "Anda HARUS menulis seluruh jawaban Anda hanya dalam Bahasa Indonesia."),
+    "ms": ("Malay", "Bahasa Melayu", "Anda MESTI menulis seluruh jawapan anda dalam Bahasa Melayu sahaja."),
+    "bn": ("Bengali", "বাংলা", "আপনাকে অবশ্যই আপনার সম্পূর্ণ উত্তর শুধুমাত্র বাংলায় লিখতে হবে।"),
+    "hi": ("Hindi", "हिन्दी", "आपको अपना पूरा उत्तर केवल हिंदी में लिखना होगा।"),
+    "sw": ("Swahili", "Kiswahili", "Lazima uandike jibu lako lote kwa Kiswahili pekee."),
+    "ru": ("Russian", "Русский", "Вы ДОЛЖНЫ написать весь свой ответ только на русском языке."),
+    "zh": ("Chinese", "中文", "你必须完全用中文撰写你的回答。"),
+    "ja": ("Japanese", "日本語", "回答はすべて日本語のみで記述してください。"),
+    "ko": ("Korean", "한국어", "반드시 전체 답변을 한국어로만 작성해야 합니다."),
+    "pt": ("Portuguese", "Português", "Você DEVE escrever toda a sua resposta apenas em português."),
+    "it": ("Italian", "Italiano", "DEVI scrivere tutta la tua risposta esclusivamente in italiano."),
+    "nl": ("Dutch", "Nederlands", "U MOET uw volledige antwoord uitsluitend in het Nederlands schrijven."),
+}
 
 
 def language_names(code: Column) -> Column:
-    """English and native name of a language code (``__label__`` and line breaks dropped); unknown: the code itself."""
+    """English and native name of a language code, and the instruction to answer in it.
+
+    ``__label__`` and line breaks are dropped; an unknown code stands for its own names in an English instruction.
+    """
     clean = F.trim(F.replace(F.replace(code, F.lit("__label__"), F.lit("")), F.lit("\n"), F.lit(" ")))
-    maps = [F.create_map(*(F.lit(x) for k, v in LANGUAGES.items() for x in (k, v[i]))) for i in (0, 1)]
-    return F.struct(F.coalesce(F.try_element_at(maps[0], clean), clean).alias("english"), F.coalesce(F.try_element_at(maps[1], clean), clean).alias("native"))
+    unknown = (clean, clean, F.concat(F.lit("You MUST write your entire response in "), clean, F.lit(" only.")))
+    maps = [F.create_map(*(F.lit(x) for k, v in LANGUAGES.items() for x in (k, v[i]))) for i in range(3)]
+    return F.struct(*(F.coalesce(F.try_element_at(m, clean), u).alias(n) for m, u, n in zip(maps, unknown, ("english", "native", "instruction"))))

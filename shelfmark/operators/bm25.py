@@ -135,6 +135,10 @@ class Bm25Model:
         asked = self.terms.sparkSession.createDataFrame([(t,) for t in terms], "term string")
         return asked.join(self.terms.select("term", "idf"), "term", "left")
 
+    def vocab(self) -> DataFrame:
+        """``term, idx``: the whole vocabulary."""
+        return self.terms.select("term", "idx")
+
     def vocab_size(self) -> int:
         return self.terms.count()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import cited_ids, history_content
+from shelfmark.functions.text import citation_groups, cited_ids, history_content, text_between_citations
 
 #: Turns and characters that a request takes along.
 USER_TURNS, MIXED_TURNS, TRIAGE_TURNS, MAX_CHARS, KEEP_AT_LEAST = 15, 6, 10, 200_000, 4
@@ -75,6 +75,25 @@ def with_sources(messages: DataFrame, key: str, content: str, chunks: DataFrame,
     return hit.groupBy(key).agg(F.transform(ordered, lambda s: s["chunk"]).alias("sources"))
 
 
+def segmented(messages: DataFrame, key: str, content: str, chunks: DataFrame, chunk_key: str = "id", keep_unresolved: bool = False) -> DataFrame:
+    """``key, part, text, ids, sources``: each message in parts, numbered in order: texts (even) and runs of citations (odd).
+
+    ``ids`` are all that a run cites, ``sources`` those of them that are known, in the same order. Empty texts are left
+    out, and so are runs without a known source, unless ``keep_unresolved``.
+    """
+    split = messages.select(key, text_between_citations(F.col(content)).alias("text"), citation_groups(F.col(content)).alias("ids"))
+    pieces = split.select(key, F.posexplode(F.arrays_zip("text", "ids")).alias("at", "piece")).select(key, "at", "piece.*")
+    known = chunks.select(F.col(chunk_key).alias("__id"), F.struct(*chunks.columns).alias("chunk"))
+    cited = pieces.select(key, "at", "ids", F.posexplode("ids").alias("pos", "__id")).join(known, "__id", "left")
+    # collect_list leaves out what is null: ids without a chunk
+    found = F.array_sort(F.collect_list(F.when(F.col("chunk").isNotNull(), F.struct("pos", "chunk"))))
+    runs = cited.groupBy(key, "at", "ids").agg(F.transform(found, lambda s: s["chunk"]).alias("sources"))
+    if not keep_unresolved:
+        runs = runs.where(F.size("sources") > 0)
+    texts = pieces.where("text <> ''").select(key, (F.col("at") * 2).alias("part"), "text")
+    return texts.unionByName(runs.select(key, (F.col("at") * 2 + 1).alias("part"), "ids", "sources"), allowMissingColumns=True)
+
+
 def history_lines(messages: DataFrame, key: str, order: str, names: dict[str, str], most: int | None = None) -> DataFrame:
     """``key, history``: one line for each message, in order; of answers, only what stands before the mark."""
     content = history_content(F.col("role"), F.trim(F.col("content")))

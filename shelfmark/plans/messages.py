@@ -93,6 +93,36 @@ def _(spark, sf):
     )
 
 
+def _segments(having: str) -> str:
+    """Parts of the cited texts; the known sources are the English documents."""
+    return rf"""WITH {_CITED}, split AS (SELECT doc_id, regexp_extract_all(t, '{_RUN}') AS runs, string_split_regex(t, '{_RUN}') AS texts FROM cited),
+    text_parts AS (SELECT doc_id, unnest(range(len(texts))) * 2 AS part, unnest(texts) AS text FROM split),
+    run_parts AS (SELECT doc_id, unnest(range(len(runs))) * 2 + 1 AS part, unnest(runs) AS run FROM split),
+    asked AS (SELECT doc_id, part, unnest(range(len(regexp_extract_all(run, '\d+')))) AS pos, unnest(regexp_extract_all(run, '\d+'))::BIGINT AS id FROM run_parts),
+    firsts AS (SELECT doc_id, part, id, min(pos) AS pos FROM asked GROUP BY 1, 2, 3)
+    SELECT doc_id, part, text, NULL AS ids, NULL AS sources FROM text_parts WHERE text <> ''
+    UNION ALL
+    SELECT f.doc_id, part, NULL, string_agg(f.id::VARCHAR, ',' ORDER BY pos), coalesce(string_agg(d.doc_id::VARCHAR, ',' ORDER BY pos), '')
+    FROM firsts f LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d ON d.doc_id = f.id GROUP BY 1, 2 {having}"""
+
+
+def _segmented(spark, sf, keep_unresolved: bool):
+    chunks = table(spark, sf, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"), "source")
+    parts = chat.segmented(_cited(spark, sf), "doc_id", "t", chunks, keep_unresolved=keep_unresolved)
+    joined = F.array_join(F.transform("sources", lambda s: s["id"].cast("string")), ",")
+    return parts.select("doc_id", F.col("part").cast("bigint").alias("part"), "text", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), joined.alias("sources"))
+
+
+@query("fn_11_segments", _segments("HAVING count(d.doc_id) > 0"))
+def _(spark, sf):
+    return _segmented(spark, sf, False)
+
+
+@query("fn_11_segments_unresolved_kept", _segments(""))
+def _(spark, sf):
+    return _segmented(spark, sf, True)
+
+
 @query(
     "jn_4_citation_sources",
     f"""WITH {_CITED}, asked AS (SELECT doc_id, unnest([doc_id, doc_id + 1, doc_id + 2, doc_id % 3]) AS id, unnest([0, 1, 2, 3]) AS pos FROM cited),
@@ -170,7 +200,7 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", ids.alias("ids"), (F.when(F.col("doc_id") % 2 == 0, "true").otherwise("no") == "true").alias("flag"))
 
 
-@query("fn_24_language_names", "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE lang END AS english, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'Français' WHEN 'de' THEN 'Deutsch' WHEN 'es' THEN 'Español' ELSE lang END AS native FROM documents")
+@query("fn_24_language_names", "SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE lang END AS english, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'Français' WHEN 'de' THEN 'Deutsch' WHEN 'es' THEN 'Español' ELSE lang END AS native, CASE lang WHEN 'en' THEN 'You MUST write your entire response in English only.' WHEN 'fr' THEN 'Vous DEVEZ rédiger toute votre réponse en français uniquement.' WHEN 'de' THEN 'Sie MÜSSEN Ihre gesamte Antwort ausschließlich auf Deutsch verfassen.' WHEN 'es' THEN 'DEBES escribir toda tu respuesta únicamente en español.' ELSE 'You MUST write your entire response in ' || lang || ' only.' END AS instruction FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.language_names(F.concat(F.lit("__label__"), "lang")).alias("n")).select("doc_id", "n.*")
 

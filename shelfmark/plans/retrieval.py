@@ -76,7 +76,7 @@ def _(spark, sf):
 
 @query("win_2_vocabulary_index", f"{BM25} SELECT term, idx FROM terms")
 def _(spark, sf):
-    return _model(spark, sf).terms.select("term", "idx")
+    return _model(spark, sf).vocab()
 
 
 @query("bm_2_search", f"{BM25} {_ranked('scored', columns='query_id, doc_id, score', order='score DESC, doc_id')}")

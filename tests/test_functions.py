@@ -103,7 +103,7 @@ def test_values(value):
     assert value(lambda c: text.shortened(c, 4), "abcd", "abcde") == ["abcd", "abc…"]
     assert value(text.is_uuid, "123e4567-E89b-12d3-a456-426614174000", "x") == [True, False]
     assert value(text.word_stream, "a b") == [["a ", "b "]]
-    assert [tuple(x) for x in value(text.language_names, "__label__fr", "xx")] == [("French", "Français"), ("xx", "xx")]
+    assert [tuple(x) for x in value(text.language_names, "__label__fr", "xx")] == [("French", "Français", "Vous DEVEZ rédiger toute votre réponse en français uniquement."), ("xx", "xx", "You MUST write your entire response in xx only.")]
 
 
 def test_times(value):

@@ -239,3 +239,15 @@ def test_plans_push_down_and_limit_groups(spark):
     counted = rows.select("doc_id", F.explode(unicode_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").count()
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("count")))).where("r <= 3")
     assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_segments(spark):
+    messages = spark.createDataFrame([(1, "x [1, 9] [1] y [8] z"), (2, "[9]"), (3, None), (4, "plain"), (5, "")], "m long, content string")
+    chunks = spark.createDataFrame([(1, "one"), (2, "two")], "id long, name string")
+
+    def parts(keep):
+        got = chat.segmented(messages, "m", "content", chunks, keep_unresolved=keep).orderBy("m", "part").collect()
+        return [(r.m, r.text, r.ids, [s.name for s in r.sources] if r.ids else None) for r in got]
+
+    assert parts(False) == [(1, "x ", None, None), (1, None, [1, 9], ["one"]), (1, " y ", None, None), (1, " z", None, None), (4, "plain", None, None)]
+    assert [p for p in parts(True) if p not in parts(False)] == [(1, None, [8], []), (2, None, [9], [])]

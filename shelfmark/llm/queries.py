@@ -1,4 +1,4 @@
-"""The ten operators' queries over the driver's tables, with production parameters, and SQL where it can express them."""
+"""The operators' queries over the driver's tables, with production parameters, and SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontamination, jaccard_join, licenses, mixing, pii, pseudo_likelihood, quality, repetition, secrets, suffix_dedup
+from shelfmark.llm import decontamination, filter_audit, jaccard_join, licenses, mixing, pii, pseudo_likelihood, quality, repetition, secrets, suffix_dedup, warc, whitening
 from shelfmark.llm.common import table
 
 
@@ -71,8 +71,21 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 OPERATORS = (
     op1_suffix_dedup, op2_mixing, op3_secrets, op4_licenses, op5_quality_classifier, op6_quality_rules, op7_decontamination, op8_pii, op9_lm_scoring, op10_jaccard_join,
+    op11_warc, op12_filter_audit, op13_whitening,
 )
 
 
@@ -81,4 +94,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE_SQL}
+    return {"op2_mixing": mixing.ORACLE_SQL, "op11_warc": warc.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}

@@ -214,9 +214,9 @@ def _opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 class _Writer:
     """Files of one task; ``segments`` lists what is closed."""
 
-    def __init__(self, folder: str, date: str):
+    def __init__(self, folder: str, date: str = DATE, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES):
         self.fs, self.folder = _opened(folder)
-        self.address, self.date = folder, date
+        self.address, self.date, self.segment_bytes, self.file_bytes = folder, date, segment_bytes, file_bytes
         self.out, self.segments = None, []
 
     def begin(self, record: dict) -> None:
@@ -242,9 +242,9 @@ class _Writer:
             raise ValueError("a payload isn't what its digest was made of")
         self._put(self.gzip.compress(b"\r\n\r\n") + self.gzip.flush())
         self.count += 1
-        if self.at - self.first >= SEGMENT_BYTES:
+        if self.at - self.first >= self.segment_bytes:
             self.cut()
-        if self.at >= FILE_BYTES:
+        if self.at >= self.file_bytes:
             self.close()
 
     def cut(self) -> None:
@@ -259,7 +259,7 @@ class _Writer:
             self.out = None
 
 
-def write_archives(chunks: DataFrame, folder: str, date: str = DATE) -> DataFrame:
+def write_archives(chunks: DataFrame, folder: str, date: str = DATE, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the records of ``records`` under ``folder``; ``path, begin, end, records`` of each segment.
 
     The job runs when this is called; the table of segments is stored beside the archives, in ``folder``/segments.
@@ -269,7 +269,7 @@ def write_archives(chunks: DataFrame, folder: str, date: str = DATE) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["record_id", "record_type", "key", "uri", "refers_id", "refers_uri", "digest", "n_bytes", "chunk", "n_chunks", "data"]
-        writer = _Writer(f"{folder}/archives", date)
+        writer = _Writer(f"{folder}/archives", date, segment_bytes, file_bytes)
         for *values, chunk, n, data in _rows(batches, names):
             if not chunk:
                 record = dict(zip(names, values))
@@ -284,7 +284,7 @@ def write_archives(chunks: DataFrame, folder: str, date: str = DATE) -> DataFram
     return chunks.sparkSession.read.schema(_SEGMENT).parquet(f"{folder}/segments")
 
 
-def _inflated(path: str, begin: int, end: int) -> Iterator[tuple[bool, bytes]]:
+def _inflated(path: str, begin: int, end: int, size: int) -> Iterator[tuple[bool, bytes]]:
     """Blocks of the gzip members between two places of a file, each with whether its member is done."""
     fs, name = _opened(path)
     with fs.open_input_file(name) as file:
@@ -292,11 +292,11 @@ def _inflated(path: str, begin: int, end: int) -> Iterator[tuple[bool, bytes]]:
         left, raw, member = end - begin, b"", zlib.decompressobj(31)
         while left or raw:
             if not raw:
-                raw = file.read(min(left, CHUNK))
+                raw = file.read(min(left, size))
                 if not raw:
                     raise EOFError(f"{path} ends early")
                 left -= len(raw)
-            block = member.decompress(raw, CHUNK)
+            block = member.decompress(raw, size)
             raw = member.unconsumed_tail
             if member.eof:
                 raw, member = member.unused_data, zlib.decompressobj(31)
@@ -309,13 +309,13 @@ def _parsed(lines: list[str]) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
 
 
-def _read(path: str, begin: int, end: int) -> Iterator[tuple[dict, int, int, bytes]]:
+def _read(path: str, begin: int, end: int, size: int = CHUNK) -> Iterator[tuple[dict, int, int, bytes]]:
     """Of each record of a segment, chunk after chunk: its fields, the chunk's number, how many there are, and the bytes.
 
     Held at a time: the headers of one record and two blocks.
     """
     held, fields, due, at, total, ended = b"", None, 0, 0, 0, False
-    for ended, block in _inflated(path, begin, end):
+    for ended, block in _inflated(path, begin, end, size):
         held += block
         if fields is None and b"\r\n\r\n" in held:
             head, _, rest = held.partition(b"\r\n\r\n")
@@ -327,17 +327,17 @@ def _read(path: str, begin: int, end: int) -> Iterator[tuple[dict, int, int, byt
                 due = int(warc["content-length"]) - len(http) - 4
             else:
                 due, body = int(warc["content-length"]), rest
-            fields, held, at, total = warc, body, 0, max(1, -(-due // CHUNK))
+            fields, held, at, total = warc, body, 0, max(1, -(-due // size))
         if fields is not None:
-            while due > CHUNK and len(held) >= CHUNK:
-                yield fields, at, total, held[:CHUNK]
-                held, due, at = held[CHUNK:], due - CHUNK, at + 1
+            while due > size and len(held) >= size:
+                yield fields, at, total, held[:size]
+                held, due, at = held[size:], due - size, at + 1
         if ended:
             if fields is None or len(held) < due + 4 or held[due : due + 4] != b"\r\n\r\n":
                 raise ValueError(f"a record of {path} is cut short")
-            while due > CHUNK:
-                yield fields, at, total, held[:CHUNK]
-                held, due, at = held[CHUNK:], due - CHUNK, at + 1
+            while due > size:
+                yield fields, at, total, held[:size]
+                held, due, at = held[size:], due - size, at + 1
             yield fields, at, total, held[:due]
             held, fields = b"", None
     if held or fields is not None:
@@ -350,9 +350,9 @@ def _values(fields: dict) -> tuple:
     return bare(fields.get("warc-record-id")), fields.get("warc-type"), None if key is None else unquote(key), fields.get("warc-target-uri"), bare(fields.get("warc-refers-to")), (fields.get("warc-payload-digest") or "").removeprefix("sha1:") or None
 
 
-def _each_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int, int, bytes]]:
+def _each_segment(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[tuple[dict, int, int, bytes]]:
     for path, begin, end in _rows(batches, ["path", "begin", "end"]):
-        yield from _read(path, begin, end)
+        yield from _read(path, begin, end, size)
 
 
 def _dealt(segments: DataFrame) -> DataFrame:
@@ -366,18 +366,18 @@ def _batch(rows: list[tuple], schema: StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
 
 
-def read_chunks(segments: DataFrame) -> DataFrame:
+def read_chunks(segments: DataFrame, size: int = CHUNK) -> DataFrame:
     """``record_id, record_type, key, uri, refers_id, declared, chunk, n_chunks, data``: the records of the segments."""
     schema = StructType.fromDDL(f"{_HEADERS}, chunk long, n_chunks long, data binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        for fields, chunk, n, data in _each_segment(batches):
+        rows, held = [], 0
+        for fields, chunk, n, data in _each_segment(batches, size):
             rows.append((*_values(fields), chunk, n, data))
-            size += len(data)
-            if size >= common.PASS_BYTES or len(rows) == 4096:
+            held += len(data)
+            if held >= common.PASS_BYTES or len(rows) == 4096:
                 yield _batch(rows, schema)
-                rows, size = [], 0
+                rows, held = [], 0
         if rows:
             yield _batch(rows, schema)
 
@@ -421,9 +421,9 @@ def resolved(found: DataFrame) -> DataFrame:
     return plain.unionByName(own)
 
 
-def archive(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url", payload: str = "html", least_bytes: int = LEAST_BYTES, date: str = DATE) -> DataFrame:
+def archive(pages: DataFrame, folder: str, key: str = "page_id", uri: str = "url", payload: str = "html", least_bytes: int = LEAST_BYTES, date: str = DATE, segment_bytes: int = SEGMENT_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes a table of pages as archives under ``folder`` and returns the table of segments."""
-    return write_archives(records(pages, key, uri, payload, least_bytes), folder, date)
+    return write_archives(records(pages, key, uri, payload, least_bytes), folder, date, segment_bytes, file_bytes)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, key: str = "page_id", uri: str = "url", payload: str = "html", least_bytes: int = LEAST_BYTES) -> DataFrame:

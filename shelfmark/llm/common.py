@@ -6,11 +6,14 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -50,26 +53,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders that ``stored`` has written inside a ``temporary`` block of this thread; None outside of one.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """A larger table, as compressed Parquet in the shared folder."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    _written.append(path)
+    if (own := _written.get()) is not None:
+        own.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Folders of ``stored``, in the order they were written.
-_written: list[str] = []
-
-
-def stored_so_far() -> int:
-    return len(_written)
-
-
-def drop_stored(spark: SparkSession, since: int) -> None:
-    """Removes what was stored since then; only for results that have been written themselves."""
-    while len(_written) > since:
-        remove(spark, _written.pop())
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was stored in it, and nothing that other threads store meanwhile; for results that are
+    written before it ends."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        own = _written.get()
+        _written.reset(token)
+        for path in own:
+            remove(spark, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -83,6 +91,38 @@ def in_tasks(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+#: Bytes of file names that are broadcast to number rows by.
+FILE_NAMES = 16 << 20
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Rows with a number of their own, which is the same in each read, however the files are cut into partitions.
+
+    The number is made of the row's file, by the order of the files' names, and its place in it, which the Parquet reader
+    knows. Rows that don't come straight from files (a join, a shuffle, a table in memory) are written once, and numbered so;
+    and so are, with their numbers, those of so many files that the names are over FILE_NAMES bytes, and no broadcast.
+    """
+    try:
+        file, row = _place(df)
+    except AnalysisException:
+        df = stored(df)
+        file, row = _place(df)
+    names = sorted(r[0] for r in df.select(file).distinct().collect())  # as many as files, which the driver lists anyway
+    if sum(map(len, names)) > FILE_NAMES:
+        return stored(df.withColumn(name, F.monotonically_increasing_id()))
+    ordinals = df.sparkSession.createDataFrame(list(enumerate(names)), "__ordinal long, __file string")
+    placed = df.withColumns({"__file": file, "__at": row}).join(F.broadcast(ordinals), "__file")
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns if c != name), (F.col("__ordinal") * (1 << 40) + F.col("__at")).alias(name))
+
+
+def _place(df: DataFrame) -> tuple[Column, Column]:
+    """The file and the place in it of each row."""
+    found = df.metadataColumn("_metadata")
+    file, row = found["file_path"], found["row_index"]
+    df.select(file, row).schema  # noqa: B018  an error for rows that have none
+    return file, row
+
+
 # --- text passes ----------------------------------------------------------------------------------------------------
 
 

@@ -54,16 +54,85 @@ def test_rows_without_ids_and_with_repeated_ids(spark):
     assert len(mixed) == 10 and all(r.size == len(r.text.split()) for r in mixed) and sum(r.taken for r in mixed) == round(mixed[0].target)
 
 
-def test_row_numbers_stay(spark, monkeypatch):
-    """Over files without a copy, whichever columns are read; over any other table with one."""
-    stored = []
-    monkeypatch.setattr(corpus_pipeline.common, "stored", lambda df: stored.append(df) or df)
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet", "/root/testdata/sf0.01/documents.parquet")
-    rows = corpus_pipeline.numbered(docs)
-    one, other = ({tuple(r) for r in rows.select(corpus_pipeline.ROW, *c).select(corpus_pipeline.ROW, "n_chars").collect()} for c in (["n_chars"], ["text", "n_chars", "doc_id"]))
-    assert not stored and one == other and len({r[0] for r in one}) == docs.count()
-    corpus_pipeline.numbered(docs.repartition(3))
-    assert len(stored) == 1
+def settings_of_reads(spark):
+    """Ways to cut the same files into other partitions, as executors that come and go do."""
+    for n, most in (("3", "128m"), ("24", "128m"), ("1", "64k")):
+        spark.conf.set("spark.sql.files.minPartitionNum", n)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        yield n
+    spark.conf.unset("spark.sql.files.minPartitionNum")
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_row_numbers_stay(spark, tmp_path):
+    """However many partitions a read makes of the files, and whichever columns it reads."""
+    spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(6).write.option("parquet.block.size", 1 << 18).parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    seen = []
+    for _ in settings_of_reads(spark):
+        rows = corpus_pipeline.numbered(spark.read.parquet(str(tmp_path / "d")))
+        seen += [{tuple(r) for r in rows.select(corpus_pipeline.ROW, *c).select(corpus_pipeline.ROW, "doc_id").collect()} for c in (["doc_id"], ["text", "n_chars", "doc_id"])]
+    assert all(x == seen[0] for x in seen) and len({k for k, _ in seen[0]}) == docs.count() == len(seen[0])
+    for other in (docs.repartition(3), docs.union(docs), docs.withColumn("_metadata", docs["doc_id"]), docs.limit(0)):
+        rows = corpus_pipeline.numbered(other)
+        assert rows.columns == [*other.columns, corpus_pipeline.ROW] and "Exchange hash" not in rows._jdf.queryExecution().executedPlan().toString() and rows.select(corpus_pipeline.ROW).distinct().count() == other.count()
+
+
+def test_row_numbers_of_very_many_files(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline.common, "FILE_NAMES", 3)
+    rows = corpus_pipeline.numbered(spark.read.parquet(f"{SF}/documents.parquet"))
+    seen = [{tuple(r) for r in rows.select(corpus_pipeline.ROW, "doc_id").collect()} for _ in settings_of_reads(spark)]
+    assert len(seen[0]) == 200 and all(x == seen[0] for x in seen)
+
+
+def test_stages_keep_their_rows_when_reads_change(spark, monkeypatch):
+    """The number of partitions changes between a stage's search and its join back to the documents."""
+    plain = {name: sorted(map(repr, stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect())) for name, stage in corpus_pipeline.STAGES}
+    stored, ways = corpus_pipeline.common.stored, []
+
+    def moved(df):
+        if not ways:
+            ways.extend(["1", "7", "13", "40"])
+        spark.conf.set("spark.sql.files.minPartitionNum", ways.pop())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        return stored(df)
+
+    monkeypatch.setattr(corpus_pipeline.common, "stored", moved)
+    monkeypatch.setattr(corpus_pipeline.common, "checkpointed", moved)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            assert sorted(map(repr, stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).collect())) == plain[name], name
+    finally:
+        for k in ("minPartitionNum", "maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{k}")
+
+
+def test_what_is_stored_goes_with_its_run(spark):
+    """Two threads at once: the end of one's block leaves the other's tables."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    common, wait = corpus_pipeline.common, Barrier(2, timeout=120)
+
+    def run(n):
+        with common.temporary(spark):
+            df = common.stored(spark.range(n))
+            wait.wait()
+            if n == 9:
+                wait.wait()
+                return df.count(), df.inputFiles()
+            files = df.inputFiles()
+        wait.wait()
+        return n, files
+
+    with ThreadPoolExecutor(2) as pool:
+        (a, files), (b, _) = pool.map(run, [5, 9])
+    assert (a, b) == (5, 9)
+    import os
+
+    assert not any(os.path.exists(f.removeprefix("file:").replace("//", "/")) for f in files)
+    assert common.stored(spark.range(3)).count() == 3
 
 
 def test_stages_on_odd_and_empty_tables(spark):

@@ -25,14 +25,8 @@ ROW = "__row"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The documents with a number of their own for each row.
-
-    Rows that come straight from files are cut into the same parts by each read, so that their numbers stay; any other
-    table is written once.
-    """
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    only_read = docs._jdf.queryExecution().optimizedPlan().nodeName() == "LogicalRelation"
-    return rows if only_read else common.stored(rows)
+    """The documents with a number of their own for each row, which every read gives again."""
+    return common.numbered(docs, ROW)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,9 +82,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        path, before = f"{folder}/{k}", common.stored_so_far()
-        stage(spark, docs, sf_dir).write.parquet(path)
-        common.drop_stored(spark, before)
+        path = f"{folder}/{k}"
+        with common.temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         if k:
             common.remove(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(path)

@@ -293,12 +293,15 @@ def _searched_first(stars: DataFrame, sets: DataFrame, percent: int, block: int)
     return dealt.mapInArrow(_first_search(percent), _EDGE)
 
 
-def _searched_second(stars: DataFrame, sets: DataFrame, component: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between components, by their names, that the first search did not see."""
+def _searched_second(stars: DataFrame, sets: DataFrame, component: DataFrame, percent: int, block: int) -> DataFrame | None:
+    """Links between components, by their names, that the first search did not see; None if no neighbours are apart."""
     own = common.checkpointed(sets.select("d1", "doc_id").join(component.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("d1", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     of = own.select("d1", "component")
     named = stars.join(of.withColumnRenamed("d1", "a"), "a").withColumnRenamed("component", "ca").join(of.withColumnRenamed("d1", "b"), "b").withColumnRenamed("component", "cb")
-    groups = common.components(named.where("ca <> cb").select("ca", "cb").distinct(), "ca", "cb")
+    apart = common.checkpointed(named.where("ca <> cb").select("ca", "cb").distinct())
+    if apart.isEmpty():
+        return None
+    groups = common.components(apart, "ca", "cb")
     left = common.checkpointed(own.join(groups.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"))
 
     # Blocks: a large component has its own, all small ones of a group share the others.
@@ -334,11 +337,25 @@ def jaccard_classes(df: DataFrame, text: str = "text", key: str = "doc_id", word
     sets = common.stored(made.where("own = d1").dropDuplicates(["doc_id", "d1"]).select("doc_id", "d1", "shingles"))
 
     component = common.components(_searched_first(stars, sets, percent, block))
-    merged = common.components(_searched_second(stars, sets, component, percent, block))
-
-    linked = node.join(component, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("first"))
-    linked = linked.join(merged.withColumnRenamed("component", "merged").withColumnRenamed("node", "first"), "first", "left")
-    linked = common.checkpointed(linked.select("d1", "d2", F.coalesce("merged", "first").alias("linked")))
+    linked = node.join(component, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("linked"))
+    if (second := _searched_second(stars, sets, component, percent, block)) is not None:
+        linked = _relabelled(linked, common.components(second))
+    linked = common.checkpointed(linked)
+
+    # Rows with equal ids are one node: sets of one id are linked through it.
+    of_id = F.struct("n_shingles", "d1", "d2")
+    several = described.where("doc_id is not null").groupBy("doc_id").agg(F.min(of_id).alias("lo"), F.max(of_id).alias("hi")).where("lo <> hi").select("doc_id")
+    shared = common.checkpointed(nodes.join(several, "doc_id", "left_semi").join(linked, ["d1", "d2"]).select("linked", "doc_id").distinct())
+    through = None if shared.isEmpty() else common.components(shared, "linked", "doc_id")
+    if through is not None:
+        linked = common.checkpointed(_relabelled(linked, through))
     joined = described.select("doc_id", "n_shingles", "d1", "d2").join(linked, ["d1", "d2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("linked"))
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id")).alias("component_id"))
+    own = joined.withColumn("linked", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("linked")), "doc_id"))
+    own = own if through is None else _relabelled(own, through)  # of rows without words, by their id
+    return own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("linked")).alias("component_id"))
+
+
+def _relabelled(rows: DataFrame, components: DataFrame) -> DataFrame:
+    """``linked`` replaced by its component, where it has one."""
+    to = components.select(F.col("node").alias("linked"), F.col("component").alias("__to"))
+    return rows.join(to, "linked", "left").withColumn("linked", F.coalesce("__to", "linked")).drop("__to")

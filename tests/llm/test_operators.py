@@ -90,6 +90,40 @@ def test_jaccard(spark, docs):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in r} == brute.classes(list(zip(docs.doc_id, docs.text)))
 
 
+def classes_of_rows(rows, percent=90):
+    """component of each row (id, text): ids are nodes, rows without an id have none."""
+    sets, root = [brute.shingles(t) for _, t in rows], {i: i for i, _ in rows if i is not None}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, (i, _) in enumerate(rows):
+        for b, (j, _) in enumerate(rows[:a]):
+            common_size = len(sets[a] & sets[b])
+            if i is not None and j is not None and sets[a] and 100 * common_size >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return sorted([(i, len(s), None if i is None else find(i)) for (i, _), s in zip(rows, sets)], key=repr)
+
+
+def test_jaccard_of_ids_that_repeat(spark):
+    rng = random.Random(8)
+    text = {k: " ".join(f"{k}{rng.randrange(400)}" for _ in range(90)) for k in "abcdefgh"}
+    near = lambda k: text[k] + " end"
+    cases = [
+        [(5, text["a"]), (7, text["a"]), (7, text["b"]), (9, near("b"))],
+        [(9, text["a"]), (9, text["b"]), (8, near("b")), (8, text["c"]), (3, near("c")), (3, None), (9, ""), (8, "  ")],
+        [(2, text["d"]), (2, text["e"]), (2, text["e"]), (1, text["f"]), (None, text["d"]), (None, text["f"]), (4, None), (4, "")],
+        [(7, text["g"]), (7, text["h"])],
+    ]
+    rows = [r for c in cases for r in c]
+    for case in (*cases[:2], rows):
+        got = jaccard_join.jaccard_classes(spark.createDataFrame(case, "doc_id long, text string")).collect()
+        assert sorted(map(tuple, got), key=repr) == classes_of_rows(case)
+
+
 @pytest.mark.parametrize("block", [4, 512])
 def test_jaccard_near_the_limit(spark, block):
     """Families of copies with more and more words changed, in blocks of several sizes."""

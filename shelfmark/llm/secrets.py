@@ -1,16 +1,17 @@
 """Secret scans: a character convolutional network in numpy judges every candidate and its surrounding context.
 
 Fixed patterns give the base findings (assign, access, hex), which stay whatever the network says. Candidates are all of
-these and every other long token that mixes digits and letters. The network sees the characters before a candidate, the
+these and every other token of 16 characters or more. The network sees the characters before a candidate, the
 candidate and those after it; a candidate longer than BODY is seen whole, through windows that overlap by half, and has
 the largest of their logits. Every finding carries the network's probability as its score, and candidates that are no
 base findings become findings of kind ``cnn`` at or above the threshold.
 
 The labelled findings come from ``labelled_findings``: N_FINDINGS secrets and look-alikes (digests, paths, ids, numbers,
-names) in configuration lines and prose; this bounded set is all that the model is fitted on, as no table has labels of
+names, long words) in configuration lines and prose; this bounded set is all that the model is fitted on, as no table has labels of
 secrets. They are dealt into three: one trains the network, one calibrates its logits (Platt), and one sets the threshold:
 of those that keep ``RECALL`` of its secrets, the strictest, moved down to the middle of the gap below it. Training takes
-some seconds in the driver; the model (about 40 kB) goes to the executors with the task.
+some 20 seconds in the driver; the model (about 80 kB) goes to the executors with the task. It is trained in double
+precision, and weights and scores are rounded, so that machines whose sums differ in the last bits find the same.
 
 Defined results: a null or empty text has no findings; ties and repeated rows are scanned alike; an empty table gives an
 empty table; extra columns are kept unless they have the name of the result column ``secrets``.
@@ -41,15 +42,15 @@ _SIGN = re.compile(r"[:=]")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of 20 or more; shorter runs hold no match of their own
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{16,}")
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
-#: Characters that one window shows: before the candidate, of it, after it.
-BEFORE, BODY, AFTER = 24, 40, 8
-WIDTH = BEFORE + BODY + AFTER
+#: Characters that one window shows: before the candidate, its first ones, a stretch of it, and after that.
+BEFORE, HEAD, BODY, AFTER = 16, 8, 40, 8
+WIDTH = BEFORE + HEAD + BODY + AFTER
 #: A window of a labelled secret counts as one if it shows so many characters of it.
 SHOWN = 12
-N_FINDINGS, CALIBRATION, THRESHOLDS, RECALL, SEED = 8000, 0.2, 0.2, 0.97, 17
+N_FINDINGS, CALIBRATION, THRESHOLDS, RECALL, SEED = 12000, 0.2, 0.2, 0.97, 17
 EMBED, FILTERS, KERNEL = 8, 32, 5
+WEIGHT_DIGITS, SCORE_DIGITS = 6, 4
 
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-.:\"' \n,;()[]{}<>@#$%&*!?|\\~^`"
 _CODE = np.full(128, 1, np.int64)  # 0: nothing there, 1: another character
@@ -70,13 +71,13 @@ def window_starts(start: int, end: int) -> list[int]:
 
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """The windows over a candidate, one row each."""
-    before = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
+    """The windows over a candidate, one row each; all of them show what stands before it and how it begins."""
+    lead = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[start : min(end, start + HEAD)].ljust(HEAD, "\0")
     after = text[end : end + AFTER].ljust(AFTER, "\0")
     if end - start <= BODY:
-        return _codes(before + text[start:end].ljust(BODY, "\0") + after)[None]
-    whole = _codes(before + text[start:end] + after)
-    return whole[np.array(window_starts(0, end - start))[:, None] + np.arange(WIDTH)]
+        return _codes(lead + text[start:end].ljust(BODY, "\0") + after)[None]
+    body = _codes(text[start:end] + after)[np.array(window_starts(0, end - start))[:, None] + np.arange(BODY + AFTER)]
+    return np.concatenate([np.broadcast_to(_codes(lead), (len(body), BEFORE + HEAD)), body], 1)
 
 
 @dataclass
@@ -108,6 +109,8 @@ def labelled_findings(n: int = N_FINDINGS, seed: int = SEED) -> list[Labelled]:
             lambda: ".".join(["eyJ" + pick(alnum + "-_", 15, 40), "eyJ" + pick(alnum + "-_", 20, 80), pick(alnum + "-_", 24, 43)]),
             lambda: "eyJ" + pick(base64, 20, 50), lambda: pick(lower, 24, 40), lambda: pick(upper, 20, 32),
             lambda: "xoxb-" + "-".join(pick(alnum, 10, 14) for _ in range(3)), lambda: pick(hexa, 24, 64),
+            lambda: rng.choice(["sk_live_", "ghp_", "pk_test_", "", ""]) + pick(string.ascii_letters, 24, 40),
+            lambda: rng.choice(["sk_live_", "sk_test_", "pk_live_", "ghp_", ""]) + "".join(rng.choice([str.lower, str.upper])(pick(string.ascii_lowercase, 2, 5)) for _ in range(rng.randint(5, 9))),
         ])()
 
     def other() -> str:
@@ -119,6 +122,9 @@ def labelled_findings(n: int = N_FINDINGS, seed: int = SEED) -> list[Labelled]:
             lambda: f"isbn-{pick(digits, 10, 13)}-x", lambda: f"version_{rng.randint(1, 9)}_{rng.randint(0, 20)}_{word()}{word()}", lambda: (word() + str(rng.randint(0, 9))) * 4,
             lambda: f"{word()}{word()}{word()}{word()}{rng.randint(1, 99)}", lambda: "/".join(["", str(rng.randint(1990, 2030)), f"{rng.randint(1, 12):02}", *(word() for _ in range(rng.randint(2, 6)))]),
             lambda: "-".join(pick(hexa, k, k) for k in (8, 4, 4, 4, 12)), lambda: f"{word()}.{word()}.{word()}.v{rng.randint(1, 9)}.{rng.randint(0, 30)}-{word()}.{rng.randint(0, 9)}",
+            lambda: "".join(word() for _ in range(rng.randint(4, 9))), lambda: "".join(word() for _ in range(rng.randint(4, 9))).capitalize() + rng.choice(["", "."]), lambda: pick(digits, 16, 30),
+            lambda: "-".join(word() for _ in range(rng.randint(4, 7))), lambda: pick(digits, 16, 16),
+            lambda: f"{rng.choice(['mail', 'www', 'ftp', word()])}{rng.choice(['', str(rng.randint(0, 99))])}.{rng.choice([word, word, lambda: 'example'])()}{rng.choice(['', word()])}.{rng.choice(['com', 'org', 'net', 'co.uk'])}",
             lambda: "/".join(word() for _ in range(rng.randint(4, 9))) + f".{rng.choice(['py', 'txt', 'mp4', 'h5'])}", lambda: "_".join(word().upper() for _ in range(rng.randint(3, 7))) + f"_V{rng.randint(1, 9)}",
         ])().ljust(16, "0")
 
@@ -129,11 +135,13 @@ def labelled_findings(n: int = N_FINDINGS, seed: int = SEED) -> list[Labelled]:
         tail = rng.choice(['"', "'", "", " ", "\n", ",", "."]) + " " + prose(2)
         if i % 2 == 0:
             digest = rng.random() < 0.25  # looks like a secret; only what stands before it tells
-            body = pick(hexa, 24, 64) if digest else other()
-            before = lead + (rng.choice(plain[8:]) + sign + quote if digest else rng.choice(["", rng.choice(plain) + sign + quote, rng.choice(keys) + " "]))
+            of_content = digest and rng.random() < 0.3  # a digest that says so itself
+            body = f"sha{rng.choice([256, 384, 512])}-{pick(base64, 43, 86)}{rng.choice(['=', '=='])}" if of_content else pick(hexa, 24, 64) if digest else other()
+            before = lead + (rng.choice(plain[8:]) + sign + quote if digest else rng.choice(["", rng.choice(plain) + sign + quote, rng.choice(keys) + " ", word() + rng.choice("@#(")]))
             out.append(Labelled(before + body + tail, len(before), len(before) + len(body), None))
             continue
         body, kind = secret(), rng.random()
+        body = pick(hexa, 24, 64) if kind >= 0.85 else body  # with a name before it, as below
         if kind < 0.15:  # a name and its value are one token, or a path ends in a key
             joined = rng.choice([lambda: "_".join(word().upper() for _ in range(rng.randint(1, 7))) + "=", lambda: "".join(f"/{word()}" for _ in range(rng.randint(2, 9))) + "/"])()
             start, before = len(lead), lead + joined
@@ -141,7 +149,8 @@ def labelled_findings(n: int = N_FINDINGS, seed: int = SEED) -> list[Labelled]:
             before = lead + (name := rng.choice(keys[-6:])) + sign + quote
             start = len(lead) if name else len(before)
         else:
-            before = lead + rng.choice(["", rng.choice(keys) + sign + quote, rng.choice(keys).upper() + sign + quote])
+            names = [rng.choice(keys) + sign + quote, rng.choice(keys).upper() + sign + quote]
+            before = lead + rng.choice(names if kind >= 0.85 else ["", *names])
             start = len(before)
         out.append(Labelled(before + body + tail, start, len(before) + len(body), (len(before), len(before) + len(body))))
     return out
@@ -164,7 +173,6 @@ class CharCnn:
             "e": rng.normal(0, 0.3, (N_CODES, EMBED)), "w": rng.normal(0, 0.2, (KERNEL * EMBED, FILTERS)), "b": np.zeros(FILTERS),
             "v": rng.normal(0, 0.2, 2 * FILTERS), "c": np.zeros(1),
         }
-        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.slope, self.shift, self.threshold = 1.0, 0.0, 0.5
 
     def _forward(self, codes: np.ndarray):
@@ -188,11 +196,11 @@ class CharCnn:
         if not windows:
             return np.zeros(0)
         z = self.logits(np.concatenate(windows), np.repeat(np.arange(len(found)), [len(w) for w in windows]), len(found))
-        return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -500, 500)))
+        return np.round(1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -500, 500))), SCORE_DIGITS)
 
     def _gradients(self, codes: np.ndarray, y: np.ndarray) -> dict:
         cols, h, top, pooled, z = self._forward(codes)
-        d = ((1 / (1 + np.exp(-z)) - y) / len(y)).astype(np.float32)
+        d = (1 / (1 + np.exp(-z)) - y) / len(y)
         g = {"v": pooled.T @ d, "c": d.sum(keepdims=True)}
         back = d[:, None] * self.p["v"]
         dh = np.repeat(back[:, None, FILTERS:] / h.shape[1], h.shape[1], 1)
@@ -201,9 +209,11 @@ class CharCnn:
         dh *= h > 0
         g["w"], g["b"] = cols.reshape(-1, KERNEL * EMBED).T @ dh.reshape(-1, FILTERS), dh.sum((0, 1))
         dcols = (dh @ self.p["w"].T).reshape(len(y), -1, KERNEL, EMBED)
-        g["e"] = np.zeros_like(self.p["e"])
+        dx = np.zeros((len(y), WIDTH, EMBED))
         for k in range(KERNEL):
-            np.add.at(g["e"], codes[:, k : k + dcols.shape[1]], dcols[:, :, k])
+            dx[:, k : k + dcols.shape[1]] += dcols[:, :, k]
+        flat = codes.ravel()
+        g["e"] = np.stack([np.bincount(flat, weights=x, minlength=N_CODES) for x in dx.reshape(-1, EMBED).T], 1)
         return g
 
     def fit(self, found: list[Labelled], epochs: int = 9, rate: float = 0.01, seed: int = SEED) -> CharCnn:
@@ -214,13 +224,16 @@ class CharCnn:
         codes = np.concatenate([encode(f.text, f.start, f.end) for f in (found[i] for i in train)])
         y = np.concatenate([window_labels(found[i]) for i in train])
         m, v, t = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
+        steps = max(1, len(y) // 128)
         for _ in range(epochs):
-            for batch in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
+            for batch in np.array_split(rng.permutation(len(y)), steps):
                 t += 1
+                now = rate * (1 - t / (epochs * steps + 1))  # falls to zero, so that the last steps settle
                 for k, g in self._gradients(codes[batch], y[batch]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.99 * v[k] + 0.01 * g * g
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
+                    self.p[k] -= now * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
+        self.p = {k: np.round(x, WEIGHT_DIGITS) for k, x in self.p.items()}
         self.calibrate([found[i] for i in calibration])
         self.set_threshold([found[i] for i in held])
         return self
@@ -237,7 +250,7 @@ class CharCnn:
         for _ in range(2000):
             d = 1 / (1 + np.exp(-np.clip(slope * z / scale + shift, -60, 60))) - goal
             slope, shift = slope - 0.5 * float((d * z / scale).mean()), shift - 0.5 * float(d.mean())
-        self.slope, self.shift = slope / scale, shift
+        self.slope, self.shift = round(slope / scale, WEIGHT_DIGITS), round(shift, WEIGHT_DIGITS)
 
     def set_threshold(self, found: list[Labelled]) -> None:
         """Of the thresholds that keep RECALL of the secrets, the strictest, moved to the middle of the gap below it."""
@@ -245,7 +258,7 @@ class CharCnn:
         real = np.array([f.secret is not None for f in found])
         strictest = np.sort(p[real])[int((1 - RECALL) * real.sum())]
         below = p[~real & (p < strictest)].max(initial=0.0)
-        self.threshold = float((strictest + below) / 2)
+        self.threshold = float(np.round((strictest + below) / 2, SCORE_DIGITS + 1))
 
 
 @lru_cache(maxsize=1)
@@ -263,7 +276,7 @@ def base_findings(text: str) -> list[tuple[int, str, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """Long tokens with digits and letters that no base finding touches."""
+    """Long tokens that no base finding touches."""
     taken = sorted((a, b) for a, _, b in base)
     starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
 
@@ -271,7 +284,7 @@ def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, i
         before = bisect_left(starts, end)
         return before > 0 and reach[before - 1] > start
 
-    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and not touched(*m.span())]
+    return [m.span() for m in _CANDIDATE.finditer(text) if not touched(*m.span())]
 
 
 def find(texts: list[str | None], model: CharCnn) -> list[list[dict]]:

@@ -19,6 +19,15 @@ LTR_WIDE = "A-Za-z\u00C0-\u024F\u0400-\u04FF\u0370-\u03FF"
 ID_BASE = 10_000_000
 
 
+#: White space as browsers and parsers of requests trim it: line breaks, tabs and all spaces of Unicode.
+SPACE = r"[\s\p{Z}\uFEFF]"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at both ends; ``F.trim`` takes spaces alone."""
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+
+
 # --- citations ------------------------------------------------------------------------------------------------------
 
 
@@ -30,9 +39,9 @@ def cited_ids(c: Column) -> Column:
 
 
 def citation_groups(c: Column) -> Column:
-    """Ids of each run of citations that only spaces and commas part."""
+    """Ids of each run of citations that only spaces and commas part, as they stand: repeats stay."""
     runs = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(rf"{CITATION}(?:[\s,،]*{CITATION})*"), F.lit(0))
-    return F.transform(runs, lambda r: F.array_distinct(F.transform(F.regexp_extract_all(r, F.lit(r"\d+"), F.lit(0)), lambda p: p.cast("bigint"))))
+    return F.transform(runs, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"\d+"), F.lit(0)), lambda p: p.cast("bigint")))
 
 
 def text_between_citations(c: Column) -> Column:
@@ -53,17 +62,17 @@ def book_of(chunk_id: Column) -> Column:
 
 
 def simple_answer(c: Column) -> Column:
-    return F.when(F.instr(c, DETAIL_MARK) > 0, F.nullif(F.trim(F.substring_index(c, DETAIL_MARK, 1)), F.lit(""))).otherwise(c)
+    return F.when(F.instr(c, DETAIL_MARK) > 0, F.nullif(stripped(F.substring_index(c, DETAIL_MARK, 1)), F.lit(""))).otherwise(c)
 
 
 def detailed_answer(c: Column) -> Column:
     at = F.instr(c, DETAIL_MARK)
-    return F.when(at > 0, F.nullif(F.trim(F.substring(c, at + len(DETAIL_MARK), F.length(c))), F.lit("")))
+    return F.when(at > 0, F.nullif(stripped(F.substring(c, at + len(DETAIL_MARK), F.length(c))), F.lit("")))
 
 
 def history_content(role: Column, content: Column) -> Column:
     """What of a message goes into the next prompt: of an answer, only what stands before the mark."""
-    return F.when((role == "assistant") & (F.instr(content, DETAIL_MARK) > 0), F.trim(F.substring_index(content, DETAIL_MARK, 1))).otherwise(content)
+    return F.when((role == "assistant") & (F.instr(content, DETAIL_MARK) > 0), stripped(F.substring_index(content, DETAIL_MARK, 1))).otherwise(content)
 
 
 def shortened(c: Column, most: int) -> Column:
@@ -106,7 +115,7 @@ def direction_of_all(c: Column) -> Column:
     """As ``direction``, over the whole text and with more left-to-right scripts."""
     whole = F.coalesce(c, F.lit(""))
     count = lambda chars: F.length(F.regexp_replace(whole, f"[^{chars}]", ""))
-    return F.when((F.trim(whole) != "") & (count(RTL) > count(LTR_WIDE)), "rtl").otherwise("ltr")
+    return F.when((stripped(whole) != "") & (count(RTL) > count(LTR_WIDE)), "rtl").otherwise("ltr")
 
 
 # --- values ---------------------------------------------------------------------------------------------------------
@@ -114,13 +123,13 @@ def direction_of_all(c: Column) -> Column:
 
 def positive_ints(c: Column) -> Column:
     """A comma list as positive integers; what is no number goes, and nothing left is null."""
-    found = F.filter(F.transform(F.split(c, ","), lambda p: F.trim(p).try_cast("bigint")), lambda v: v > 0)
+    found = F.filter(F.transform(F.split(c, ","), lambda p: stripped(p).try_cast("bigint")), lambda v: v > 0)
     return F.when(F.size(found) > 0, found)
 
 
 def floats(c: Column) -> Column:
     """A comma list as doubles; what is no number goes."""
-    return F.filter(F.transform(F.split(c, ","), lambda p: F.trim(p).try_cast("double")), lambda v: v.isNotNull() & ~F.isnan(v))
+    return F.filter(F.transform(F.split(c, ","), lambda p: stripped(p).try_cast("double")), lambda v: v.isNotNull() & ~F.isnan(v))
 
 
 def sparse_json(c: Column) -> Column:
@@ -158,13 +167,13 @@ def leading_digits(c: Column) -> Column:
 
 def kept_strings(c: Column) -> Column:
     """Trimmed strings without blank ones."""
-    return F.filter(F.transform(c, lambda v: F.trim(v)), lambda v: v != "")
+    return F.filter(F.transform(c, lambda v: stripped(v)), lambda v: v != "")
 
 
 def or_query(values: Column, query: Column) -> Column:
     """The values, or the query alone if there are none."""
     found = kept_strings(F.coalesce(values, F.array()))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.trim(query)))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(stripped(query)))
 
 
 def millis(at: Column) -> Column:
@@ -226,7 +235,7 @@ def language_names(code: Column) -> Column:
 
     ``__label__`` and line breaks are dropped; an unknown code stands for its own names in an English instruction.
     """
-    clean = F.trim(F.replace(F.replace(code, F.lit("__label__"), F.lit("")), F.lit("\n"), F.lit(" ")))
+    clean = stripped(F.replace(F.replace(code, F.lit("__label__"), F.lit("")), F.lit("\n"), F.lit(" ")))
     unknown = (clean, clean, F.concat(F.lit("You MUST write your entire response in "), clean, F.lit(" only.")))
     maps = [F.create_map(*(F.lit(x) for k, v in LANGUAGES.items() for x in (k, v[i]))) for i in range(3)]
     return F.struct(*(F.coalesce(F.try_element_at(m, clean), u).alias(n) for m, u, n in zip(maps, unknown, ("english", "native", "instruction"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import citation_groups, cited_ids, history_content, text_between_citations
+from shelfmark.functions.text import citation_groups, cited_ids, history_content, stripped, text_between_citations
 
 #: Turns and characters that a request takes along.
 USER_TURNS, MIXED_TURNS, TRIAGE_TURNS, MAX_CHARS, KEEP_AT_LEAST = 15, 6, 10, 200_000, 4
@@ -16,7 +16,7 @@ STOPPED = "Generation stopped."
 
 def usable(messages: DataFrame, content: str = "content", triage: str = "is_triage") -> DataFrame:
     """Messages with text that are not triage replies."""
-    return messages.where((F.trim(F.col(content)) != "") & ~F.coalesce(F.col(triage), F.lit(False)))
+    return messages.where((stripped(F.col(content)) != "") & ~F.coalesce(F.col(triage), F.lit(False)))
 
 
 def last_n(messages: DataFrame, n: int, key: str, order: str, role: str | None = None, role_column: str = "role") -> DataFrame:
@@ -96,7 +96,7 @@ def segmented(messages: DataFrame, key: str, content: str, chunks: DataFrame, ch
 
 def history_lines(messages: DataFrame, key: str, order: str, names: dict[str, str], most: int | None = None) -> DataFrame:
     """``key, history``: one line for each message, in order; of answers, only what stands before the mark."""
-    content = history_content(F.col("role"), F.trim(F.col("content")))
+    content = history_content(F.col("role"), stripped(F.col("content")))
     if most is not None:
         content = F.when(F.length(content) > most, F.concat(F.substring(content, 1, most), F.lit("..."))).otherwise(content)
     name = F.coalesce(*(F.when(F.col("role") == r, F.lit(n)) for r, n in names.items()), F.lit(list(names.values())[-1]))
@@ -106,7 +106,7 @@ def history_lines(messages: DataFrame, key: str, order: str, names: dict[str, st
 
 def source_blocks(hits: DataFrame, key: str, order: str, template: str = "[%s] %s, %s\n%s") -> DataFrame:
     """``key, prompt``: one block for each source, in order, with blank lines between."""
-    block = F.format_string(template, F.col("id").cast("string"), "book_name", "author", F.trim("text"))
+    block = F.format_string(template, F.col("id").cast("string"), "book_name", "author", stripped(F.col("text")))
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), block.alias("b"))))
     return hits.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["b"]), "\n\n").alias("prompt"))
 
@@ -217,4 +217,4 @@ def check_role(role: str) -> str:
 
 def goes_on(intent: Column, reply: Column) -> Column:
     """Whether a request is searched for: its intent is retrieve (or unknown), or there is no reply yet."""
-    return (F.coalesce(intent, F.lit("retrieve")) == "retrieve") | (F.coalesce(F.trim(reply), F.lit("")) == "")
+    return (F.coalesce(intent, F.lit("retrieve")) == "retrieve") | (F.coalesce(stripped(reply), F.lit("")) == "")

@@ -129,10 +129,16 @@ def _(spark, sf):
     return lines.join(parts, lines["book_id"] == parts["p_partkey"], "left").select("l_orderkey", "l_linenumber", "book_id", F.coalesce("p_name", F.lit("unknown")).alias("book_name"))
 
 
-@query("jn_7_category_expansion", f"SELECT name, pos, leaf FROM (VALUES ('العقيدة'), ('كتب الحديث و الشروح'), ('الفقة'), ('nothing')) a(name) JOIN (VALUES {_HIERARCHY_SQL}) h(parent, pos, leaf) ON name = parent")
+#: What books of the ``part`` table are filed under, by their key; the last is no category of the hierarchy.
+_FILED = ["العقيدة", "كتب الحديث و الشروح", "الفقة", "nothing"]
+
+
+@query("jn_7_category_expansion", f"SELECT p_partkey, name, pos, leaf FROM (SELECT p_partkey, {_FILED}[p_partkey % 4 + 1] AS name FROM part) JOIN (VALUES {_HIERARCHY_SQL}) h(parent, pos, leaf) ON name = parent")
 def _(spark, sf):
-    names = spark.createDataFrame([("العقيدة",), ("كتب الحديث و الشروح",), ("الفقة",), ("nothing",)], "name string")
-    return catalog.expanded(names, "name", hierarchy(spark)).select("name", "pos", "leaf")
+    """The leaves under each book's category."""
+    filed = F.element_at(F.array(*(F.lit(n) for n in _FILED)), (F.col("p_partkey") % 4 + 1).cast("int"))
+    books = table(spark, sf, "part").select("p_partkey", filed.alias("name"))
+    return catalog.expanded(books, "name", hierarchy(spark)).select("p_partkey", "name", "pos", "leaf")
 
 
 @query("jn_9_group_overlap", "SELECT c_custkey FROM customer WHERE list_has_any([c_mktsegment, 'x'], ['BUILDING', 'FURNITURE'])")

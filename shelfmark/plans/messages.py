@@ -14,12 +14,19 @@ from shelfmark.streaming import replies
 
 query = Queries()
 
+
+def _strip(c: str) -> str:
+    """SQL that takes all white space from both ends."""
+    space = r"[\s\x0B\p{Z}\x{FEFF}]+"
+    return f"regexp_replace({c}, '^{space}|{space}$', '', 'g')"
+
+
 SENTENCES = ["ما حكم الصلاة في السفر؟", "إِنَّمَا الأعمالُ  بالنيات", "التي كتـــاب والكتاب", "المسلمون وبالحق كتابها", "قال وول hello world", "آداب مؤمن قارئ هدى فاطمة", "وكالفتح للمؤمنين فالكتاب", "أحاديث النبي ﷺ وسننه"]
 _SENTENCE_SQL = "[" + ", ".join(f"'{s}'" for s in SENTENCES) + "]"
 
 
-def _sentences(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.element_at(F.array(*(F.lit(s) for s in SENTENCES)), (F.col("doc_id") % len(SENTENCES) + 1).cast("int")).alias("s"))
+def _sentences(spark, sf, *more: str):
+    return table(spark, sf, "documents").select("doc_id", *more, F.element_at(F.array(*(F.lit(s) for s in SENTENCES)), (F.col("doc_id") % len(SENTENCES) + 1).cast("int")).alias("s"))
 
 
 _MADE = f"made AS (SELECT doc_id, {_SENTENCE_SQL}[doc_id % {len(SENTENCES)} + 1] AS s FROM documents)"
@@ -41,9 +48,12 @@ def _(spark, sf):
     return _sentences(spark, sf).select("doc_id", arabic.normalize(F.col("s")).alias("normal"))
 
 
-@query("fn_2_client_normalize", f"WITH {_MADE} SELECT doc_id, lower(trim(translate(regexp_replace(s, '{arabic.SEARCH_MARKS}', '', 'g'), '{arabic.LETTERS}', '{arabic.UNIFIED}'))) AS normal FROM made")
+_FOLDED = f"translate(regexp_replace(chr(10) || s || chr(9), '{arabic.SEARCH_MARKS}', '', 'g'), '{arabic.LETTERS}', '{arabic.UNIFIED}')"
+
+
+@query("fn_2_client_normalize", f"WITH {_MADE} SELECT doc_id, lower({_strip(_FOLDED)}) AS normal FROM made")
 def _(spark, sf):
-    return _sentences(spark, sf).select("doc_id", arabic.normalize_for_search(F.col("s")).alias("normal"))
+    return _sentences(spark, sf).select("doc_id", arabic.normalize_for_search(F.concat(F.lit("\n"), "s", F.lit("\t"))).alias("normal"))
 
 
 _WORDS = rf"words AS (SELECT doc_id, unnest(list_filter([regexp_replace(x, '{arabic.NOT_ARABIC}', '', 'g') for x in string_split({_normal('s')}, ' ')], lambda x: length(x) >= 2)) AS w FROM made)"
@@ -60,9 +70,13 @@ def _(spark, sf):
     return _sentences(spark, sf).select("doc_id", F.explode(arabic.arabic_tokens(F.col("s"))).alias("token"))
 
 
-@query("fn_3_search_fold", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(trim(text))), '[-–—«»"''`.,;:!?()\[\]{}/\\@#$%^&*_+=~|<>]', '', 'g'), '\s+', ' ', 'g')) AS folded FROM documents""")
+#: Words of several scripts whose letters carry marks.
+SCRIPTS = "Йод ё Њива Ѓорѓи Άλφα ᾳ ΰ ǖ Ṩṩ Ệ ŭ"
+
+
+@query("fn_3_search_fold", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(trim(text))), '[-–—«»"''`.,;:!?()\[\]{}/\\@#$%^&*_+=~|<>]', '', 'g'), '\s+', ' ', 'g')) AS folded FROM documents""".replace("lower(trim(text))", f"lower(text || ' {SCRIPTS}')"))
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", arabic.fold_for_search(F.col("text")).alias("folded"))
+    return table(spark, sf, "documents").select("doc_id", arabic.fold_for_search(F.concat("text", F.lit(f" {SCRIPTS}"))).alias("folded"))
 
 
 def _cited(spark, sf):
@@ -85,11 +99,17 @@ def _(spark, sf):
 _RUN = r"\[\d+(?:\s*[,،]\s*\d+)*\](?:[\s,،]*\[\d+(?:\s*[,،]\s*\d+)*\])*"
 
 
-@query("win_7_citation_groups", f"WITH {_CITED} SELECT doc_id, len(regexp_extract_all(t, '{_RUN}')) AS n_groups, len(string_split_regex(t, '{_RUN}')) AS n_parts, regexp_replace(t, '\\[\\d+(?:\\s*[,،]\\s*\\d*)*$', '') AS shown FROM cited")
+@query(
+    "win_7_citation_groups",
+    rf"""WITH {_CITED} SELECT doc_id, len(regexp_extract_all(t, '{_RUN}')) AS n_groups, len(string_split_regex(t, '{_RUN}')) AS n_parts,
+    array_to_string(list_transform(regexp_extract_all(t, '{_RUN}'), lambda r: array_to_string(regexp_extract_all(r, '\d+'), ',')), ' ') AS ids,
+    regexp_replace(t, '\[\d+(?:\s*[,،]\s*\d*)*$', '') AS shown FROM cited""",
+)
 def _(spark, sf):
     t = F.col("t")
     return _cited(spark, sf).select(
-        "doc_id", F.size(text.citation_groups(t)).cast("bigint").alias("n_groups"), F.size(text.text_between_citations(t)).cast("bigint").alias("n_parts"), text.without_open_citation(t).alias("shown")
+        "doc_id", F.size(text.citation_groups(t)).cast("bigint").alias("n_groups"), F.size(text.text_between_citations(t)).cast("bigint").alias("n_parts"),
+        F.array_join(F.transform(text.citation_groups(t), lambda g: F.array_join(g.cast("array<string>"), ",")), " ").alias("ids"), text.without_open_citation(t).alias("shown")
     )
 
 
@@ -99,11 +119,11 @@ def _segments(having: str) -> str:
     text_parts AS (SELECT doc_id, unnest(range(len(texts))) * 2 AS part, unnest(texts) AS text FROM split),
     run_parts AS (SELECT doc_id, unnest(range(len(runs))) * 2 + 1 AS part, unnest(runs) AS run FROM split),
     asked AS (SELECT doc_id, part, unnest(range(len(regexp_extract_all(run, '\d+')))) AS pos, unnest(regexp_extract_all(run, '\d+'))::BIGINT AS id FROM run_parts),
-    firsts AS (SELECT doc_id, part, id, min(pos) AS pos FROM asked GROUP BY 1, 2, 3)
-    SELECT doc_id, part, text, NULL AS ids, NULL AS sources FROM text_parts WHERE text <> ''
+    both_parts AS (SELECT doc_id, part, text, NULL AS ids, NULL AS sources FROM text_parts WHERE text <> '')
+    SELECT * FROM both_parts
     UNION ALL
     SELECT f.doc_id, part, NULL, string_agg(f.id::VARCHAR, ',' ORDER BY pos), coalesce(string_agg(d.doc_id::VARCHAR, ',' ORDER BY pos), '')
-    FROM firsts f LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d ON d.doc_id = f.id GROUP BY 1, 2 {having}"""
+    FROM asked f LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d ON d.doc_id = f.id GROUP BY 1, 2 {having}"""
 
 
 def _segmented(spark, sf, keep_unresolved: bool):
@@ -135,15 +155,18 @@ def _(spark, sf):
     return found.select("doc_id", F.array_join(F.transform("sources", lambda s: s["source"]), ",").alias("sources"))
 
 
-_ANSWER = "CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN ' short <!-- DETAILED_ANSWER --> long ' || doc_id ELSE '<!-- DETAILED_ANSWER -->' END"
+#: Answers of one part; of two, whose parts are whole texts between line breaks; and of two empty ones.
+_ANSWER = """CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN chr(10) || text || chr(10) || chr(10) || '<!-- DETAILED_ANSWER -->' || chr(13) || chr(10) || chr(9) || text || chr(160) || doc_id || chr(10)
+    ELSE chr(10) || '<!-- DETAILED_ANSWER -->' || chr(10) END"""
 
 
 @query("fn_12_split_answer", f"""WITH a AS (SELECT doc_id, {_ANSWER} AS t FROM documents) SELECT doc_id,
-    CASE WHEN contains(t, '<!--') THEN nullif(trim(split_part(t, '<!-- DETAILED_ANSWER -->', 1)), '') ELSE t END AS simple,
-    CASE WHEN contains(t, '<!--') THEN nullif(trim(split_part(t, '<!-- DETAILED_ANSWER -->', 2)), '') END AS detailed FROM a""")
+    CASE WHEN contains(t, '<!--') THEN nullif({_strip("split_part(t, '<!-- DETAILED_ANSWER -->', 1)")}, '') ELSE t END AS simple,
+    CASE WHEN contains(t, '<!--') THEN nullif({_strip("split_part(t, '<!-- DETAILED_ANSWER -->', 2)")}, '') END AS detailed FROM a""")
 def _(spark, sf):
     mark = F.lit(text.DETAIL_MARK)
-    t = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" short "), mark, F.lit(" long "), "doc_id")).otherwise(mark)
+    t = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("\n"), "text", F.lit("\n\n"), mark, F.lit("\r\n\t"), "text", F.lit("\u00a0"), "doc_id", F.lit("\n")))
+    t = t.otherwise(F.concat(F.lit("\n"), mark, F.lit("\n")))
     return table(spark, sf, "documents").select("doc_id", text.simple_answer(t).alias("simple"), text.detailed_answer(t).alias("detailed"))
 
 
@@ -165,14 +188,14 @@ _LTR = r"A-Za-z\x{00C0}-\x{024F}\x{0370}-\x{03FF}\x{0400}-\x{04FF}"
 
 @query(
     "fn_16_17_direction",
-    f"""WITH {_MADE}, mixed AS (SELECT m.doc_id, s || ' ' || repeat(text, 1) AS s FROM made m JOIN documents d ON m.doc_id = d.doc_id)
+    f"""WITH {_MADE}, mixed AS (SELECT m.doc_id, repeat(s || ' ', m.doc_id % 40) || text AS s FROM made m JOIN documents d ON m.doc_id = d.doc_id)
     SELECT doc_id, CASE WHEN {_letters('substr(s, 1, 200)', _RTL)} > {_letters('substr(s, 1, 200)', 'A-Za-z')} THEN 'rtl' ELSE 'ltr' END AS head,
-    CASE WHEN {_letters('s', _RTL)} > {_letters('s', _LTR)} THEN 'rtl' ELSE 'ltr' END AS whole FROM mixed""".replace("repeat(text, 1)", "CASE WHEN doc_id_ % 2 = 0 THEN substr(text, 1, 20) ELSE text END").replace("doc_id_", "d.doc_id"),
+    CASE WHEN {_letters('s', _RTL)} > {_letters('s', _LTR)} THEN 'rtl' ELSE 'ltr' END AS whole FROM mixed""",
 )
 def _(spark, sf):
-    texts = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 20)).otherwise(F.col("text")).alias("more"))
-    s = F.concat("s", F.lit(" "), "more")
-    return _sentences(spark, sf).join(texts, "doc_id").select("doc_id", text.direction(s).alias("head"), text.direction_of_all(s).alias("whole"))
+    """Whole texts, after none to 39 Arabic sentences."""
+    s = F.concat(F.repeat(F.concat("s", F.lit(" ")), (F.col("doc_id") % 40).cast("int")), "text")
+    return _sentences(spark, sf, "text").select("doc_id", text.direction(s).alias("head"), text.direction_of_all(s).alias("whole"))
 
 
 @query("fn_18_shorten", "SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE substr(text, 1, 59) || '…' END AS shorter, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END AS cut FROM documents")
@@ -192,10 +215,10 @@ def _(spark, sf):
     return events.crossJoin(F.broadcast(now)).select("event_id", text.iso_time(F.col("ts")).alias("iso"), text.millis(F.col("ts")).alias("ms"), text.relative_time(F.col("ts"), F.col("now")).alias("label"))
 
 
-@query("fn_21_22_parameters", """WITH made AS (SELECT doc_id, ' ' || (doc_id + 1) || ', x, -3, 0,7,' AS t, CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'no' END AS f FROM documents)
-    SELECT doc_id, list_filter(list_transform(string_split(t, ','), lambda p: try_cast(trim(p) AS BIGINT)), lambda v: v > 0)::VARCHAR AS ids, f = 'true' AS flag FROM made""")
+@query("fn_21_22_parameters", """WITH made AS (SELECT doc_id, chr(10) || (doc_id + 1) || ', x, -3, 0,' || chr(9) || '7' || chr(10) || ',' AS t, CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'no' END AS f FROM documents)
+    SELECT doc_id, list_filter(list_transform(string_split(t, ','), lambda p: try_cast(trim(p, ' ' || chr(10) || chr(9)) AS BIGINT)), lambda v: v > 0)::VARCHAR AS ids, f = 'true' AS flag FROM made""")
 def _(spark, sf):
-    made = F.concat(F.lit(" "), F.col("doc_id") + 1, F.lit(", x, -3, 0,7,"))
+    made = F.concat(F.lit("\n"), F.col("doc_id") + 1, F.lit(", x, -3, 0,\t7\n,"))
     ids = F.concat(F.lit("["), F.array_join(text.positive_ints(made).cast("array<string>"), ", "), F.lit("]"))
     return table(spark, sf, "documents").select("doc_id", ids.alias("ids"), (F.when(F.col("doc_id") % 2 == 0, "true").otherwise("no") == "true").alias("flag"))
 
@@ -220,8 +243,8 @@ def _(spark, sf):
 
 @query("fn_30_flt_15_fallbacks", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a|b' ELSE 'q' || doc_id END AS passages FROM documents")
 def _(spark, sf):
-    given = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(" a "), F.lit("  "), F.lit("b"))).otherwise(F.array(F.lit(" ")))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(text.or_query(given, F.concat(F.lit(" q"), "doc_id")), "|").alias("passages"))
+    given = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("a\n"), F.lit("\n \t"), F.lit("\u00a0b"))).otherwise(F.array(F.lit("\n")))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(text.or_query(given, F.concat(F.lit("\n q"), "doc_id", F.lit("\r\n"))), "|").alias("passages"))
 
 
 # --- conversations --------------------------------------------------------------------------------------------------
@@ -231,9 +254,11 @@ def _turns(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("content"), (F.col("turn") % 7 == 3).alias("is_triage"))
 
 
-@query("flt_14_16_usable", "SELECT conv_id, turn FROM conversations WHERE trim(text) <> '' AND turn % 7 <> 3 AND role = 'user'")
+@query("flt_14_16_usable", "SELECT conv_id, turn FROM conversations WHERE trim(text) <> '' AND turn % 5 <> 2 AND turn % 7 <> 3 AND role = 'user'")
 def _(spark, sf):
-    return chat.usable(_turns(spark, sf)).where("role = 'user'").select("conv_id", "turn")
+    """Some contents are line breaks alone."""
+    turns = _turns(spark, sf).withColumn("content", F.when(F.col("turn") % 5 == 2, F.lit("\n\t\u00a0")).otherwise(F.concat(F.lit("\n"), "content")))
+    return chat.usable(turns).where("role = 'user'").select("conv_id", "turn")
 
 
 @query("win_5_last_turns", "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6")
@@ -271,13 +296,15 @@ def _(spark, sf):
     return chat.latest_with_more(_turns(spark, sf), "conv_id", "turn", 4).select("conv_id", "turn", "total", "has_more")
 
 
-@query("fn_13_23_history", """SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || ': ' || CASE WHEN length(trim(text)) > 80 THEN substr(trim(text), 1, 80) || '...' ELSE trim(text) END, chr(10) ORDER BY turn) AS history
-    FROM conversations GROUP BY 1""")
+@query("fn_13_23_history", f"""SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || ': ' || CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || '...' ELSE t END, chr(10) ORDER BY turn) AS history
+    FROM (SELECT conv_id, turn, role, {_strip('text')} AS t FROM conversations) GROUP BY 1""")
 def _(spark, sf):
-    return chat.history_lines(_turns(spark, sf), "conv_id", "turn", {"user": "User", "assistant": "Assistant"}, most=80)
+    """Answers end in line breaks and a second part, which history leaves out."""
+    more = F.when(F.col("role") == "assistant", F.concat("content", F.lit(f"\n\n{text.DETAIL_MARK}\n\n"), "content")).otherwise(F.concat(F.lit("\n"), "content", F.lit(" \n")))
+    return chat.history_lines(_turns(spark, sf).withColumn("content", more), "conv_id", "turn", {"user": "User", "assistant": "Assistant"}, most=80)
 
 
-@query("fn_23_source_blocks", "SELECT source AS query, string_agg('[' || doc_id || '] ' || lang || ', ' || source || chr(10) || trim(text, ' '), chr(10) || chr(10) ORDER BY doc_id) AS prompt FROM documents GROUP BY 1")
+@query("fn_23_source_blocks", f"SELECT source AS query, string_agg('[' || doc_id || '] ' || lang || ', ' || source || chr(10) || {_strip('text')}, chr(10) || chr(10) ORDER BY doc_id) AS prompt FROM documents GROUP BY 1")
 def _(spark, sf):
     hits = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("query"), F.col("lang").alias("book_name"), F.col("source").alias("author"), "text")
     return chat.source_blocks(hits, "query", "id")
@@ -329,7 +356,7 @@ def _(spark, sf):
 @query("ctl_6_goes_on", "SELECT conv_id, turn FROM conversations WHERE turn % 3 = 0 OR length(text) % 2 = 0 OR turn % 5 = 1")
 def _(spark, sf):
     intent = F.when(F.col("turn") % 3 == 0, "retrieve").when(F.col("turn") % 5 == 1, F.lit(None).cast("string")).otherwise("smalltalk")
-    reply = F.when(F.length("content") % 2 == 0, " ").otherwise("hello")
+    reply = F.when(F.length("content") % 2 == 0, "\n ").otherwise("hello")
     return _turns(spark, sf).where(chat.goes_on(intent, reply)).select("conv_id", "turn")
 
 

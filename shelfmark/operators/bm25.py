@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.arabic import TOKENS, arabic_tokens, stop_words
-from shelfmark.session import spread
+from shelfmark.session import spread, stored
 
 #: Query terms that are broadcast to the tokens of the corpus, at about 50 bytes each; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
@@ -78,6 +78,18 @@ class Bm25Model:
         stats = docs.agg(F.count("*").alias("n"), F.sum("dl").alias("total")).select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
         return cls(config, numbered(inverse_frequencies(postings, stats), "term", "idx"), postings, docs, stats, words)
 
+    def kept(self) -> Bm25Model:
+        """The model with stored postings, which terms and statistics come from: the corpus is cut into tokens once."""
+        held = stored(self.postings)
+        counted = self.docs.agg(F.count("*").alias("n")).crossJoin(held.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total")))
+        stats = counted.select("n", (F.col("total") / F.greatest("n", F.lit(1))).alias("avgdl"))
+        return Bm25Model(self.config, numbered(inverse_frequencies(held, stats), "term", "idx"), held, self.docs, stats)
+
+    def weights(self) -> DataFrame:
+        """``id, term, weight`` of all postings: idf times the normalised frequency."""
+        joined = self.postings.crossJoin(F.broadcast(self.stats)).join(inverse_frequencies(self.postings, self.stats), "term")
+        return joined.select(F.col("doc_id").alias("id"), "term", (F.col("idf") * self._tf_norm()).alias("weight"))
+
     def _tf_norm(self) -> Column:
         c = self.config
         return F.col("tf") * (c.k1 + 1) / (F.col("tf") + c.k1 * (1 - c.b + c.b * F.col("dl") / F.col("avgdl")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import citation_groups, cited_ids, history_content, stripped, text_between_citations
+from shelfmark.operators import scans
 
 #: Turns and characters that a request takes along.
 USER_TURNS, MIXED_TURNS, TRIAGE_TURNS, MAX_CHARS, KEEP_AT_LEAST = 15, 6, 10, 200_000, 4
@@ -32,13 +33,15 @@ def budgeted(messages: DataFrame, key: str, order: str, size: Column, budget: in
     The cut is the first even place from which on the rest fits, but no pair goes once the place is within ``least``
     of the end; an odd number of messages can so keep one less than ``least``.
     """
-    up = Window.partitionBy(key).orderBy(order)
-    down = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(key)
-    placed = messages.withColumn("__i", F.row_number().over(up) - 1).withColumn("__n", F.count("*").over(every)).withColumn("__rest", F.sum(size).over(down))
-    fits = (F.col("__i") % 2 == 0) & ((F.col("__rest") <= budget) | (F.col("__i") >= F.col("__n") - least))
-    cut = F.coalesce(F.min(F.when(fits, F.col("__i"))).over(every), F.lit(0))
-    return placed.withColumn("__cut", cut).where(F.col("__i") >= F.col("__cut")).drop("__i", "__n", "__rest", "__cut")
+    sized = messages.withColumn("__size", size.cast("long"))
+    placed = scans.running(scans.dealt(sized, order), [key], [order], sums={"__upto": F.coalesce("__size", F.lit(0).cast("long")), "__n": F.lit(1).cast("long")})
+    all_of = sized.groupBy(F.col(key).alias("__key")).agg(F.coalesce(F.sum("__size"), F.lit(0)).alias("__sum"), F.count("*").alias("__count"))
+    placed = placed.join(all_of, F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
+    place, rest = F.col("__n") - 1, F.col("__sum") - F.col("__upto") + F.coalesce("__size", F.lit(0))
+    fits = (place % 2 == 0) & ((rest <= budget) | (place >= F.col("__count") - least))
+    cuts = placed.groupBy(F.col(key).alias("__key")).agg(F.coalesce(F.min(F.when(fits, place)), F.lit(0)).alias("__cut"))
+    kept = placed.join(cuts, F.col(key).eqNullSafe(F.col("__key"))).where(place >= F.col("__cut"))
+    return kept.select(*messages.columns)
 
 
 def chat_size(content: Column, sources: Column | None = None) -> Column:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import clean_html, spliced_html
+from shelfmark.operators import scans
+from shelfmark.session import stored
 
 
 def islands(pages: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Rows with ``island``, the 0-based number of the run of equal values they are in; a later run is another one.
 
-    Rows with the same place in the order count as sorted by value.
+    Rows with the same place in the order count as sorted by value. A key's rows are dealt by ranges of the order.
     """
-    window = Window.partitionBy(key).orderBy(order, value)
-    changed = (~F.lag(value).over(window).eqNullSafe(F.col(value)) | (F.row_number().over(window) == 1)).cast("int")
-    return pages.withColumn("__changed", changed).withColumn("island", (F.sum("__changed").over(window.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("bigint")).drop("__changed")
+    placed = scans.running(scans.dealt(pages, order), [key], [order, value], previous={"__before": value})
+    changed = (F.col("__before").isNull() | ~F.col("__before.v").eqNullSafe(F.col(value))).cast("long")
+    counted = scans.running(placed, [key], [order, value], sums={"island": changed})
+    return counted.withColumn("island", F.col("island") - 1).select(*pages.columns, "island")
 
 
 def page_groups(pages: DataFrame, key: str = "book_id", order: str = "page_id", number: str = "page_num", title: str = "part_title", html: str = "display_elem") -> DataFrame:
@@ -26,24 +29,22 @@ def page_groups(pages: DataFrame, key: str = "book_id", order: str = "page_id",
         F.first(number).alias(number), F.min(order).alias("first_page"), F.count("*").alias("n_pages"),
         F.max_by(title, F.when(F.coalesce(F.col(title), F.lit("")) != "", F.col(order))).alias(title), parts.alias("parts"),
     )
-    window = Window.partitionBy(key).orderBy("island")
-    shown = (F.coalesce(F.col(title), F.lit("")) != "") & ~F.lag(title).over(window).eqNullSafe(F.col(title))
-    return grouped.withColumn("html", spliced_html(F.transform("parts", lambda p: p["h"]))).withColumn("show_title", shown).drop("parts")
+    placed = scans.running(scans.dealt(grouped, "island"), [key], ["island"], previous={"__before": title})
+    shown = (F.coalesce(F.col(title), F.lit("")) != "") & ~F.col("__before.v").eqNullSafe(F.col(title))
+    return placed.withColumn("html", spliced_html(F.transform("parts", lambda p: p["h"]))).withColumn("show_title", shown).drop("parts", "__before", scans.RANGE)
 
 
 def as_of(probes: DataFrame, entries: DataFrame, probe_key: str, active: str, entry_key: str = "id", at: str = "page_id", order: str = "pos", by: str | None = None) -> DataFrame:
     """For each probe the entry with the greatest ``at`` that is not after it; of equals, the first in list order.
 
-    Entries and probes are merged and walked once in order (``last`` over a window), so that no pair is formed; ``by``
-    keeps books apart and spreads them over tasks.
+    Entries and probes are merged and walked once in order, so that no pair is formed; ``by`` keeps books apart. A book
+    is dealt by ranges of its pages, so that one with all probes is no single task.
     """
     group = [by] if by else []
-    first = Window.partitionBy(*group, at).orderBy(order)
-    heads = entries.withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    heads = entries.groupBy(*group, at).agg(F.min_by(entry_key, order).alias(entry_key))
     left = heads.select(*group, F.col(at).cast("long").alias("__at"), F.lit(0).alias("__probe"), F.col(entry_key).alias("__entry"), F.lit(None).cast("long").alias("__key"))
     right = probes.select(*group, F.col(active).cast("long").alias("__at"), F.lit(1).alias("__probe"), F.lit(None).cast(entries.schema[entry_key].dataType).alias("__entry"), F.col(probe_key).cast("long").alias("__key"))
-    walk = Window.partitionBy(*group).orderBy("__at", "__probe").rowsBetween(Window.unboundedPreceding, 0)
-    merged = left.unionByName(right).withColumn("entry", F.last("__entry", ignorenulls=True).over(walk))
+    merged = scans.running(scans.dealt(left.unionByName(right), "__at"), group, ["__at", "__probe"], lasts={"entry": F.col("__entry")})
     return merged.where("__probe = 1").select(*group, F.col("__key").alias(probe_key), F.col("__at").alias(active), "entry")
 
 
@@ -65,19 +66,41 @@ def tree(entries: DataFrame, key: str = "id", parent: str = "parent") -> DataFra
     return joined.withColumn("root", root).withColumn("parent_id", F.when(~root, F.col(parent))).drop("__parent")
 
 
-def depths(entries: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
-    """``id, depth, path`` of every entry that hangs on a root, however deep (recursive SQL).
+def depths(entries: DataFrame, key: str = "id", parent: str = "parent", path: bool = True) -> DataFrame:
+    """``id, depth, path`` of every entry that hangs on a root, however deep, by pointer doubling.
 
-    No path is longer than there are entries. Beyond spark.sql.cteRecursionRowLimit rows Spark raises an error.
+    Each entry points at its parent. In each round it points on to where its target points, so that a chain of depth d
+    takes log2(d) joins, each a written table. Entries that never reach a root are in ``cycles``. Without ``path``, which
+    is as long as an entry is deep, only depths are made.
     """
-    most = max(1, entries.count()) + 1
-    walk = f"""
-        WITH RECURSIVE walk MAX RECURSION LEVEL {most} AS (
-          SELECT {key} AS id, 0 AS depth, CAST({key} AS STRING) AS path FROM {{toc}} WHERE root
-          UNION ALL
-          SELECT e.{key}, w.depth + 1, concat(w.path, '/', CAST(e.{key} AS STRING)) FROM walk w JOIN {{toc}} e ON e.parent_id = w.id)
-        SELECT id, depth, path FROM walk"""
-    return entries.sparkSession.sql(walk, toc=tree(entries, key, parent))
+    found, apart = _climbed(entries, key, parent, False)
+    if not path:
+        return found.select("id", "depth")
+    # paths only of what ends: those of a cycle would double in each round
+    below = entries if apart.isEmpty() else entries.join(apart.select(F.col("id").alias(key)), key, "left_anti")
+    return _climbed(below, key, parent, True)[0].select("id", "depth", "path")
+
+
+def cycles(entries: DataFrame, key: str = "id", parent: str = "parent") -> DataFrame:
+    """``id`` of the entries that no root is above: those of a cycle, and those that hang on one."""
+    return _climbed(entries, key, parent, False)[1].select("id")
+
+
+def _climbed(entries: DataFrame, key: str, parent: str, path: bool) -> tuple[DataFrame, DataFrame]:
+    """Entries with a root above them, and those without."""
+    own = [F.col(key).cast("string").alias("path")] if path else []
+    rows = tree(entries, key, parent).select(F.col(key).alias("id"), F.col("parent_id").alias("up"), F.when(F.col("root"), 0).otherwise(1).cast("long").alias("depth"), *own)
+    rows = stored(rows)
+    rounds = max(1, rows.count()).bit_length()  # a chain is no longer than there are entries
+    for _ in range(rounds):
+        left = rows.where("up is not null")
+        if left.isEmpty():
+            break
+        on = rows.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__depth"), *([F.col("path").alias("__path")] if path else []))
+        longer = [F.concat("__path", F.lit("/"), "path").alias("path")] if path else []
+        moved = left.join(on, "up").select("id", F.col("__up").alias("up"), (F.col("depth") + F.col("__depth")).alias("depth"), *longer)
+        rows = stored(rows.where("up is null").unionByName(moved))
+    return rows.where("up is null"), rows.where("up is not null")
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 400, overlap: int = 2) -> DataFrame:

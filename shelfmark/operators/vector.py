@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from shelfmark.operators.bm25 import top_k
+from shelfmark.session import new_folder, stored
 
 MIN_K, MAX_K, DEFAULT_K = 1, 100, 15
 #: Queries that are broadcast at a time; a larger set is searched block by block.
@@ -75,7 +76,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metr
                 if not batch.num_rows:
                     continue
                 names = batch.column("id").to_numpy(zero_copy_only=False)
-                v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                v = _matrix(batch.column("v"))
                 score = q @ v.T
                 if metric == "cosine":
                     sizes = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
@@ -83,10 +84,10 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metr
                 elif metric == "l2":
                     score = 0.0 - np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * score, 0))
                 score = np.round(score, digits)
-                for a in range(len(query_ids)):
-                    best = np.lexsort((names, -score[a]))[:k]  # what has no score comes last
-                    best = best[~np.isnan(score[a][best])]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query_ids[a])), pa.array(names[best]), pa.array(score[a][best])], names=["query_id", "id", "score"])
+                best = [_kept(names, row, k) for row in score]
+                each = np.concatenate(best)
+                rows = np.repeat(np.arange(len(best)), [len(b) for b in best])
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[rows]), pa.array(names[each]), pa.array(score[rows, each])], names=["query_id", "id", "score"])
 
         found = source.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
@@ -128,29 +129,127 @@ def sparse_top_k(postings: DataFrame, query_terms: DataFrame, k: int = DEFAULT_K
     return top_k(scored, k, "query_id", [F.desc("score"), F.asc("id")])
 
 
+def _kept(names: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties by name; what has no score is left out."""
+    have = np.flatnonzero(~np.isnan(score))
+    if len(have) > 4 * k:
+        have = have[score[have] >= -np.partition(-score[have], k - 1)[k - 1]]  # all that tie with the k-th stay
+    return have[np.lexsort((names[have], -score[have]))[:k]]
+
+
 class InvertedFile:
-    """K-means cells over all vectors; a search probes the nearest cells of each query (recall below 1).
+    """K-means cells over all vectors, stored as a table that is partitioned by cell; searches read the cells they probe.
 
-    Centroids are fitted on a seeded sample of at most ``sample`` vectors; every vector is assigned to a cell.
+    ``vectors`` under ``path`` holds ``id, v`` in a folder for each cell; ``cells`` has each cell's centre, its number of
+    vectors and its radius, the largest distance of one of them from the centre. Centres are fitted on a seeded sample
+    of at most ``sample`` vectors; every vector that is not null is assigned. There are about as many cells as the square
+    root of the number of vectors, at most MOST_CELLS.
     """
 
-    def __init__(self, vectors: DataFrame, cells: int = 128, key: str = "vec_id", vector: str = "embedding", sample: int = 100_000, seed: int = 42):
+    MOST_CELLS = 4096
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        found = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()  # at most MOST_CELLS rows
+        self.names = np.array([r["cell"] for r in found], np.int64)
+        self.centers = np.array([r["center"] for r in found], np.float64)
+        self.sizes = np.array([r["n"] for r in found], np.int64)
+        self.radii = np.array([r["radius"] for r in found], np.float64)
+        self.table = spark.read.parquet(f"{path}/vectors") if len(found) else None
+
+    @classmethod
+    def build(cls, vectors: DataFrame, path: str | None = None, cells: int | None = None, key: str = "vec_id", vector: str = "embedding", sample: int = 100_000, seed: int = 42) -> InvertedFile:
+        """Writes the index under ``path`` (by default a new folder in the shared one)."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        self.key, self.vector = key, vector
-        chosen = vectors.orderBy(F.xxhash64(key, F.lit(seed))).limit(sample).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-        model = KMeans(k=cells, seed=seed, maxIter=10).fit(chosen)
-        self.centers = np.array(model.clusterCenters())
-        self.cells = model.transform(vectors.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))).drop("features").withColumnRenamed("prediction", "cell")
+        spark = vectors.sparkSession
+        path = path or new_folder(spark)
+        rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        n = rows.count()
+        chosen = rows.orderBy(F.xxhash64("id", F.lit(seed))).limit(sample).select(array_to_vector("v").alias("features"))
+        wanted = min(cells or max(1, round(n**0.5)), cls.MOST_CELLS, max(1, n))
+        centers = np.array(KMeans(k=wanted, seed=seed, maxIter=10).fit(chosen).clusterCenters()) if n > 1 else np.array([r["v"] for r in rows.collect()])
 
-    def search(self, queries: DataFrame, k: int = DEFAULT_K, n_probe: int = 10, query_key: str = "query_id", query_vector: str = "embedding", digits: int = 6) -> DataFrame:
-        """The k best by inner product among the ``n_probe`` cells that are nearest to each query: a join on the cell."""
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = _matrix(batch.column("v"))
+                far = np.maximum((v * v).sum(1)[:, None] + (centers * centers).sum(1)[None] - 2 * v @ centers.T, 0)
+                cell = far.argmin(1)
+                off = np.sqrt(((v - centers[cell]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(off), pa.array(cell.astype(np.int32))], names=["id", "v", "off", "cell"])
+
+        # rows of a cell are gathered before writing; one with very many is split
+        assigned = rows.mapInArrow(assign, "id long, v array<double>, off double, cell int").hint("rebalance", "cell")
+        assigned.write.partitionBy("cell").parquet(f"{path}/vectors")
+        table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)], "cell int, center array<double>")
+        if n:
+            sizes = spark.read.parquet(f"{path}/vectors").groupBy("cell").agg(F.count("*").alias("n"), F.max("off").alias("radius"))
+            table = table.join(sizes, "cell")
+        else:
+            table = table.withColumns({"n": F.lit(0).cast("long"), "radius": F.lit(0.0)})
+        table.write.parquet(f"{path}/cells")
+        return cls(spark, path)
+
+    def probed(self, cells: list[int]) -> DataFrame:
+        """The rows of some cells; other folders are not read."""
+        return self.table.where(F.col("cell").isin(cells))
+
+    def search(self, queries: DataFrame, k: int = DEFAULT_K, share: float = 0.75, exact: bool = False, query_key: str = "query_id", query_vector: str = "embedding", digits: int = 6) -> DataFrame:
+        """``query_id, id, score, rank``: the k best by inner product, ties by id.
+
+        Each query probes the cells that are nearest to it, until they hold ``share`` of all vectors (0.75 keeps a recall
+        of 0.9 even where vectors have no clusters; clustered ones need far less). ``exact`` then also reads every cell
+        that could hold a better one: no vector of a cell scores more than its centre does plus the query's length times
+        the radius. Queries go out in blocks; a batch of vectors meets only the queries that probe its cell.
+        """
         check_k(k)
-        spark = queries.sparkSession
-        centers = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centers)], "cell int, center array<double>")
-        asked = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).alias("qv"))
-        near = asked.crossJoin(F.broadcast(centers)).withColumn("distance", -similarity(F.col("qv"), F.col("center"), "l2"))
-        probes = top_k(near.drop("center"), n_probe, "query_id", [F.asc("distance"), F.asc("cell")]).select("query_id", "qv", "cell")
-        scored = self.cells.join(probes, "cell").select("query_id", F.col(self.key).alias("id"), F.round(dot(F.col("qv"), F.col(self.vector)), digits).alias("score"))
-        return top_k(scored, k, "query_id", [F.desc("score"), F.asc("id")])
+        schema = StructType([StructField("query_id", LongType()), StructField("id", LongType()), StructField("score", DoubleType())])
+        order = [F.desc("score"), F.asc("id")]
+        out = None
+        for ids, q in _blocks(queries, query_key, query_vector) if self.table is not None else ():
+            middle = q @ self.centers.T
+            near = np.argsort((self.centers * self.centers).sum(1)[None] - 2 * middle, 1, kind="stable")
+            before = np.cumsum(self.sizes[near], 1) - self.sizes[near]
+            probes = np.zeros(near.shape, bool)
+            np.put_along_axis(probes, near, before < share * self.sizes.sum(), 1)
+            found = self._scored(ids, q, probes, k, digits, schema)
+            if exact:
+                found = stored(top_k(found, k, "query_id", order).drop("rank"))
+                worst = {r["query_id"]: (r["n"], r["worst"]) for r in found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst")).collect()}  # one of each query
+                floor = np.array([worst[i][1] if i in worst and worst[i][0] >= k else -np.inf for i in ids.tolist()])
+                most = middle + np.linalg.norm(q, axis=1)[:, None] * self.radii[None]
+                more = ~probes & (most + 10.0**-digits >= floor[:, None])
+                if more.any():
+                    found = found.unionByName(self._scored(ids, q, more, k, digits, schema))
+            out = found if out is None else out.unionByName(found)
+        if out is None:
+            out = self.spark.createDataFrame([], schema)
+        return top_k(out, k, "query_id", order)
+
+    def _scored(self, ids: np.ndarray, q: np.ndarray, probes: np.ndarray, k: int, digits: int, schema: StructType) -> DataFrame:
+        place = {int(c): i for i, c in enumerate(self.names)}
+        sent = self.spark.sparkContext.broadcast((ids, q, probes, place))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, probes, place = sent.value
+            for batch in batches:
+                cell, names, v = batch.column("cell").to_numpy(), batch.column("id").to_numpy(), _matrix(batch.column("v"))
+                rows = []
+                for c in np.unique(cell):
+                    asked, here = np.flatnonzero(probes[:, place[int(c)]]), np.flatnonzero(cell == c)
+                    score = np.round(q[asked] @ v[here].T, digits)
+                    rows += [(a, here[best], score[i][best]) for i, a in enumerate(asked) for best in [_kept(names[here], score[i], k)]]
+                if rows:
+                    sizes = [len(h) for _, h, _ in rows]
+                    columns = [np.repeat(ids[[a for a, _, _ in rows]], sizes), names[np.concatenate([h for _, h, _ in rows])], np.concatenate([s for _, _, s in rows])]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+
+        wanted = self.names[probes.any(0)].tolist()
+        return self.probed(wanted).select("id", "v", "cell").mapInArrow(run, schema)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,3 +37,57 @@ def spread(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- shared folders -------------------------------------------------------------------------------------------------
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only in a local session without it."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="shelfmark-")
+        context.setCheckpointDir(found)
+    return found
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The path of a folder in the shared one that nothing has been written to."""
+    path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    if (own := _written.get()) is not None:
+        own.append(path)
+    return path
+
+
+#: Folders that were made inside a ``temporary`` block of this thread; None outside of one.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """A table as compressed Parquet in the shared folder, so that a lost executor costs no lineage."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was stored in it, and nothing that other threads store meanwhile; for results that are
+    written before it ends."""
+    token = _written.set([])
+    try:
+        yield
+    finally:
+        own = _written.get()
+        _written.reset(token)
+        for path in own:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -98,26 +98,11 @@ def test_query_blocks_by_columns(spark, monkeypatch):
     assert vector.dense_top_k_columns(rows, asked.limit(0), 3).count() == 0
 
 
-def test_inverted_file_recall(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    exact = {(r.query_id, r.id) for r in vector.dense_top_k(rows, asked, 10).collect()}
-    index = vector.InvertedFile(rows, 16)
-    found = {(r.query_id, r.id) for r in index.search(asked, 10, n_probe=12).collect()}
-    assert len(exact & found) / len(exact) >= 0.9
-    assert {(r.query_id, r.id) for r in index.search(asked, 10, n_probe=16).collect()} == exact
-
-
 def test_deep_tree(spark):
     rows = spark.createDataFrame([(i, i - 1) for i in range(1, 121)], "id long, parent long")
     assert {r.id: r.depth for r in pages.depths(rows).collect()} == {i: i - 1 for i in range(1, 121)}
 
 
-def test_registered_inverted_file_recall(spark):
-    found, exact = ({(r.query_id, r.id) for r in entry.queries()[q](spark, "/root/testdata/sf0.1").collect()} for q in ("vec_1_inverted_file", "vec_1_dense_knn"))
-    assert len(exact & found) / len(exact) >= 0.9, len(exact & found) / len(exact)
-
-
 def test_cross_query_rrf(spark):
     rows = [("r", 0, i, k + 1, float(d)) for k, (i, d) in enumerate([(1, 3), (2, 2), (3, 1)])] + [("r", 1, i, k + 1, float(d)) for k, (i, d) in enumerate([(2, 1), (4, 1)])]
     hits = spark.createDataFrame(rows, "request_id string, passage_id int, id int, rank int, distance double")

@@ -2,16 +2,17 @@
 
 Tokens are words. The vocabulary is made from counts over all documents: the KNOWN most frequent words; all others are
 rare. The network sees SIDE words on either side of a token (not the token), and gives the probability of a known word as
-that of its class times that in its class, so that a token costs the square root of the vocabulary. Rare words are a
-class of their own: the probability of a rare word is that of this class times the word's share of all rare words, from
-the counts of all words, which a join brings to the tokens. A document's score is the sum of the log-probabilities of
-its tokens.
+that of its class times that in its class, so that a token costs the square root of the vocabulary. Rare words are the
+last class. Each has a code of two digits below DIGIT, from its hash, and the network predicts the first digit and then,
+given that, the second, so that the context tells rare words apart by 4,096 codes. The words of one code share its
+probability by their counts over all documents, which a join brings to the tokens. A rare word beside a token is seen
+by its first digit. A document's score is the sum of the log-probabilities of its tokens.
 
 Training is distributed and grows with the input: every document is trained on once, in one of ROUNDS rounds. Documents
 are dealt by hash into parts of about PART_TOKENS tokens, whatever files they came from; each part is walked in numpy
 in the order of its documents' hashes, from the round's common start, and the parts' parameters are averaged. They are
 summed inside tasks and then over a tree of tasks, in steps of 2**-24, so that sums are exact and no order shows: reruns
-and other layouts of the files give the same model. Only the averaged parameters (N_PARAMETERS numbers) and the
+and other layouts of the files give the same model; it is trained in single and scores in double precision. Only the averaged parameters (N_PARAMETERS numbers) and the
 vocabulary (KNOWN rows) come to the driver, and go to the executors with the tasks.
 
 Defined results: a null or empty text has 0 tokens, log_prob 0 and a null mean; repeated rows get equal scores; an empty
@@ -31,9 +32,13 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, Struc
 from shelfmark.llm import common
 
 CLASSES, IN_CLASS = 32, 64
-#: The last class holds all rare words, under one id; the id after it stands where a document has no word.
+#: Digits of a rare word's code, and how many bits of its hash they take.
+DIGIT, CODE_BITS = 64, 12
+#: Ids of known words come first, then the codes of rare ones; the id after them stands where a document has no word.
 KNOWN = (CLASSES - 1) * IN_CLASS
-RARE, NOTHING = KNOWN, KNOWN + 1
+NOTHING = KNOWN + DIGIT * DIGIT
+#: What a token is seen as from beside it: known words, first digits, no word.
+SEEN = KNOWN + DIGIT + 1
 SIDE, EMBED, HIDDEN = 2, 16, 32
 ROUNDS, STEP_TOKENS, RATE, SEED = 2, 4096, 0.05, 5
 #: Tokens of a part, on average; parameters are summed over so many tasks at a time, until so few rows are left.
@@ -41,7 +46,11 @@ PART_TOKENS, FAN_IN, LAST_ROWS = 500_000, 64, 16
 #: Tokens that one forward pass holds: its arrays stay in a core's cache.
 PASS_TOKENS = 4096
 
-_SHAPES = {"e": (KNOWN + 2, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "o": (CLASSES - 1, HIDDEN, IN_CLASS), "ob": (CLASSES - 1, IN_CLASS)}
+_SHAPES = {
+    "e": (SEEN, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "o": (CLASSES - 1, HIDDEN, IN_CLASS), "ob": (CLASSES - 1, IN_CLASS),
+    "r": (HIDDEN, 2 * DIGIT), "rb": (DIGIT,), "sb": (DIGIT, DIGIT),
+}
+_ZERO = ("b", "cb", "ob", "rb", "sb")
 N_PARAMETERS = int(sum(np.prod(s) for s in _SHAPES.values()))
 
 
@@ -72,10 +81,15 @@ def vocabulary(counts: DataFrame) -> np.ndarray:
 
 
 def rare_shares(counts: DataFrame, known: np.ndarray) -> DataFrame:
-    """``word, log_share``: of every rare word, the logarithm of its share of all rare words."""
+    """``word, log_share``: of every rare word, the logarithm of its share of all words with its code."""
     top = counts.sparkSession.createDataFrame([(w,) for w in known.view(np.int64).tolist()], "word long")
-    rest = counts.join(F.broadcast(top), "word", "left_anti")
-    return rest.crossJoin(F.broadcast(rest.agg(F.sum("n").alias("all")))).select("word", F.log(F.col("n") / F.col("all")).alias("log_share"))
+    rest = counts.join(F.broadcast(top), "word", "left_anti").withColumn("code", F.shiftrightunsigned("word", 64 - CODE_BITS))
+    of_code = rest.groupBy("code").agg(F.sum("n").alias("all"))  # DIGIT * DIGIT rows at most
+    return rest.join(F.broadcast(of_code), "code").select("word", F.log(F.col("n") / F.col("all")).alias("log_share"))
+
+
+#: Sums the first and the second digit's weights.
+_HALVES = np.repeat(np.eye(2, dtype=np.float32), DIGIT, axis=0)
 
 
 class WindowNetwork:
@@ -84,21 +98,27 @@ class WindowNetwork:
         self.order = np.argsort(words)
         if flat is None:
             rng = np.random.default_rng(SEED)
-            flat = np.concatenate([rng.normal(0, 0.1, int(np.prod(s))) if len(s) > 1 and k != "ob" else np.zeros(int(np.prod(s))) for k, s in _SHAPES.items()])
+            flat = np.concatenate([np.zeros(int(np.prod(s))) if k in _ZERO else rng.normal(0, 0.1, int(np.prod(s))) for k, s in _SHAPES.items()])
         self.load(flat)
 
-    def load(self, flat: np.ndarray) -> None:
-        self.p, at = {}, 0
+    def load(self, flat: np.ndarray, kind: type = np.float32) -> None:
+        self.p, self.kind, at = {}, kind, 0
         for k, shape in _SHAPES.items():
             size = int(np.prod(shape))
-            self.p[k] = flat[at : at + size].astype(np.float32).reshape(shape)
+            self.p[k] = flat[at : at + size].astype(kind).reshape(shape)
             at += size
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in _SHAPES])
 
+    def double(self) -> WindowNetwork:
+        """The same network in double precision: which tokens share a matrix product does not show in its scores."""
+        net = WindowNetwork(self.words, self.flat())
+        net.load(self.flat(), np.float64)
+        return net
+
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
-        ids = np.full(len(hashes), RARE, np.int64)
+        ids = KNOWN + (hashes >> common.U64(64 - CODE_BITS)).astype(np.int64)
         if len(self.words):
             place = np.minimum(np.searchsorted(self.words[self.order], hashes), len(self.words) - 1)
             hit = self.words[self.order][place] == hashes
@@ -107,11 +127,12 @@ class WindowNetwork:
 
     @staticmethod
     def windows(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Each token's neighbours; NOTHING where there is none in its document."""
-        out = np.full((len(ids), 2 * SIDE), NOTHING, np.int64)
+        """What each token's neighbours are seen as; the last place where there is none in its document."""
+        out = np.full((len(ids), 2 * SIDE), SEEN - 1, np.int64)
+        seen = np.where(ids < KNOWN, ids, KNOWN + (ids - KNOWN) // DIGIT)
         for k, by in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
             a, b = (slice(0, len(ids) - by), slice(by, None)) if by > 0 else (slice(-by, None), slice(0, len(ids) + by))
-            out[a, k] = np.where(doc[a] == doc[b], ids[b], NOTHING)
+            out[a, k] = np.where(doc[a] == doc[b], seen[b], SEEN - 1)
         return out
 
     @staticmethod
@@ -124,50 +145,66 @@ class WindowNetwork:
 
     def _forward(self, ids: np.ndarray, near: np.ndarray):
         """Input, hidden layer, probabilities of classes; and in the order of the tokens' classes: that order, where
-        each class begins, and of known words the hidden layer with a one after it (for the bias) and the probabilities
-        in the class."""
+        each class begins, of known words the hidden layer with a one after it (for the bias), what the words of the
+        class weigh and their sum, and of rare words the hidden layer, the digits, what all digits weigh and two sums."""
         x = self.p["e"][near].reshape(len(ids), -1)
         h = np.tanh(x @ self.p["w"] + self.p["b"])
         of_class = np.exp(np.minimum(h @ self.p["c"] + self.p["cb"], 60))
         of_class /= of_class.sum(1, keepdims=True)
-        kind = (ids // IN_CLASS).astype(np.int16)
+        kind = np.minimum(ids // IN_CLASS, CLASSES - 1).astype(np.int16)
         order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         known = cuts[CLASSES - 1]
-        sorted_h = np.ones((known, HIDDEN + 1), np.float32)
+        sorted_h = np.ones((known, HIDDEN + 1), self.kind)
         sorted_h[:, :-1] = h[order[:known]]
         weights = np.concatenate([self.p["o"], self.p["ob"][:, None]], 1)
-        z = np.empty((known, IN_CLASS), np.float32)
+        z = np.empty((known, IN_CLASS), self.kind)
         for k in range(CLASSES - 1):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 np.matmul(sorted_h[a:b], weights[k], out=z[a:b])
         np.exp(np.minimum(z, 60, out=z), out=z)
-        z /= (z @ np.ones(IN_CLASS, np.float32))[:, None]
-        return x, h, of_class, order, cuts, sorted_h, z
+        code = ids[order[known:]] - KNOWN
+        digits = code // DIGIT, code % DIGIT
+        rare_h = h[order[known:]]
+        y = rare_h @ self.p["r"]
+        y[:, :DIGIT] += self.p["rb"]
+        y[:, DIGIT:] += self.p["sb"][digits[0]]
+        np.exp(np.minimum(y, 60, out=y), out=y)
+        return x, h, of_class, order, cuts, sorted_h, z, z @ np.ones(IN_CLASS, self.kind), rare_h, digits, y, y @ _HALVES.astype(self.kind)
 
     def log_probs(self, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The log-probability of each token, given the tokens around it in its document."""
         out = np.zeros(len(ids))
         for stretch, near in self.steps(ids, doc, PASS_TOKENS):
             part = ids[stretch]
-            _, _, of_class, order, _, _, z = self._forward(part, near)
-            got = of_class[np.arange(len(part)), part // IN_CLASS].astype(np.float64)
-            known = order[: len(z)]
-            got[known] *= z[np.arange(len(z)), part[known] % IN_CLASS]
+            _, _, of_class, order, _, _, z, sums, _, digits, y, halves = self._forward(part, near)
+            got = of_class[np.arange(len(part)), np.minimum(part // IN_CLASS, CLASSES - 1)].astype(np.float64)
+            known, rare, every = order[: len(z)], order[len(z) :], np.arange(len(y))
+            got[known] *= z[np.arange(len(z)), part[known] % IN_CLASS] / sums
+            got[rare] *= y[every, digits[0]] / halves[:, 0] * (y[every, DIGIT + digits[1]] / halves[:, 1])
             out[stretch] = np.log(np.maximum(got, 1e-30))
         return out
 
     def gradients(self, ids: np.ndarray, near: np.ndarray) -> dict[str, np.ndarray]:
-        x, h, d_class, order, cuts, sorted_h, z = self._forward(ids, near)
+        x, h, d_class, order, cuts, sorted_h, z, sums, rare_h, (first, second), y, halves = self._forward(ids, near)
         n, every = np.float32(len(ids)), np.arange(len(ids))
-        d_class[every, ids // IN_CLASS] -= 1
+        d_class[every, np.minimum(ids // IN_CLASS, CLASSES - 1)] -= 1
         d_class /= n
-        z[every[: len(z)], ids[order[: len(z)]] % IN_CLASS] -= 1
-        z /= n
+        z *= (1 / (sums * n))[:, None]
+        z[every[: len(z)], ids[order[: len(z)]] % IN_CLASS] -= 1 / n
+        rare = every[: len(y)]
+        y[:, :DIGIT] *= 1 / (halves[:, :1] * n)
+        y[:, DIGIT:] *= 1 / (halves[:, 1:] * n)
+        y[rare, first] -= 1 / n
+        y[rare, DIGIT + second] -= 1 / n
         ones = np.ones(len(ids), np.float32)
         g = {"c": h.T @ d_class, "cb": ones @ d_class, "o": np.zeros_like(self.p["o"]), "ob": np.zeros_like(self.p["ob"])}
         inner = np.zeros_like(h)
+        of_first = np.zeros((DIGIT, len(y)), np.float32)
+        of_first[first, rare] = 1
+        g["r"], g["rb"], g["sb"] = rare_h.T @ y, ones[: len(y)] @ y[:, :DIGIT], of_first @ y[:, DIGIT:]
+        np.matmul(y, self.p["r"].T, out=inner[len(z) :])
         for k in range(CLASSES - 1):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
@@ -182,7 +219,7 @@ class WindowNetwork:
         g["w"], g["b"] = x.T @ dh, ones @ dh
         dx = (self.p["w"] @ dh.T).reshape(2 * SIDE, EMBED, len(ids)).transpose(1, 0, 2).reshape(EMBED, -1)  # by dimension
         flat = near.T.ravel()
-        g["e"] = np.stack([np.bincount(flat, weights=row, minlength=KNOWN + 2) for row in dx], 1).astype(np.float32)
+        g["e"] = np.stack([np.bincount(flat, weights=row, minlength=SEEN) for row in dx], 1).astype(np.float32)
         return g
 
     def train(self, ids: np.ndarray, doc: np.ndarray) -> None:
@@ -210,7 +247,7 @@ def encoded(docs: DataFrame, words: np.ndarray, n_parts: int, keep: list[str]) -
         hashes, doc, n = _word_hashes(texts)
         ids = sent.value.tokens(hashes)
         cuts = np.searchsorted(doc, np.arange(n + 1))
-        other = ids == RARE
+        other = ids >= KNOWN
         ends = np.concatenate([[0], np.cumsum(np.bincount(doc[other], minlength=n))]).astype(np.int32)
         tokens = [ids[a:b].astype("<i2").tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
         return {"tokens": pa.array(tokens, pa.binary()), "others": pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[other].view(np.int64)))}
@@ -291,7 +328,7 @@ _SCORES = [StructField("n_tokens", LongType()), StructField("log_prob", DoubleTy
 
 def class_scores(rows: DataFrame, net: WindowNetwork, keep: list[str]) -> DataFrame:
     """Kept columns, the number of tokens, and the log-probability of the tokens' ids."""
-    sent = rows.sparkSession.sparkContext.broadcast(net)
+    sent = rows.sparkSession.sparkContext.broadcast(net.double())
     source = rows.select(*keep, "tokens")
     schema = StructType([*source.schema.fields[:-1], *_SCORES])
 
@@ -309,7 +346,7 @@ def class_scores(rows: DataFrame, net: WindowNetwork, keep: list[str]) -> DataFr
 def scored(df: DataFrame, text: str = "text", key: str = "doc_id", net: WindowNetwork | None = None) -> DataFrame:
     """``doc_id, n_tokens, log_prob, mean_log_prob`` of each document.
 
-    With a network of the caller's own, which has no counts of words, a rare word stands for all of them.
+    With a network of the caller's own, which has no counts of words, a rare word stands for all with its code.
     """
     docs = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     if net is not None:

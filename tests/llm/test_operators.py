@@ -416,6 +416,7 @@ def test_lm_beats_the_unigram_model_on_text_that_it_has_not_seen(spark):
     words = pseudo_likelihood.vocabulary(pseudo_likelihood.word_counts(seen))
     net = pseudo_likelihood.trained(common.stored(pseudo_likelihood.encoded(seen, words, 3, ["doc_id"])), words)
     p = np.bincount(_tokens(net, [r.text for r in seen.collect()])[0], minlength=pseudo_likelihood.NOTHING) + 1
+    assert pseudo_likelihood.NOTHING == pseudo_likelihood.KNOWN + 4096
     ids, doc = _tokens(net, held)
     assert net.log_probs(ids, doc).mean() > np.log(p / p.sum())[ids].mean() + 0.1
 
@@ -447,21 +448,40 @@ def test_lm_scores_do_not_depend_on_files_and_reruns(spark):
     assert [x[:2] for x in one] == [x[:2] for x in other] and np.allclose([x[2] for x in one], [x[2] for x in other], rtol=1e-9)
 
 
-def test_lm_score_by_hand(spark):
+def log_prob_by_hand(net, text):
     """The score of a document for given parameters, word by word, without the network's own code."""
+    known = {int(h): i for i, h in enumerate(net.words)}
+    hashes = [int(h) for h in pseudo_likelihood._word_hashes(pa.array([text]))[0]]
+    seen = [known.get(h, pseudo_likelihood.KNOWN + (h >> 58)) for h in hashes]
+    softmax = lambda z: np.exp(z) / np.exp(z).sum()
+    p, total = {k: v.astype(float) for k, v in net.p.items()}, 0.0
+    for i, h in enumerate(hashes):
+        near = [seen[j] if 0 <= j < len(seen) else pseudo_likelihood.KNOWN + 64 for j in (i - 2, i - 1, i + 1, i + 2)]
+        hidden = np.tanh(np.concatenate([p["e"][j] for j in near]) @ p["w"] + p["b"])
+        of_class = softmax(hidden @ p["c"] + p["cb"])
+        if h in known:
+            k, w = divmod(known[h], pseudo_likelihood.IN_CLASS)
+            total += np.log(of_class[k]) + np.log(softmax(hidden @ p["o"][k] + p["ob"][k])[w])
+        else:
+            first, second = h >> 58, (h >> 52) & 63
+            digits = hidden @ p["r"]
+            total += np.log(of_class[31]) + np.log(softmax(digits[:64] + p["rb"])[first]) + np.log(softmax(digits[64:] + p["sb"][first])[second])
+    return len(hashes), total
+
+
+def test_lm_scores_by_hand(spark, docs):
+    """All documents of the table that are not very long, with words that are known and words that are rare."""
     rng = np.random.default_rng(4)
-    text = "one two three two one four"
-    net = pseudo_likelihood.WindowNetwork(np.unique(pseudo_likelihood._word_hashes(pa.array([text]))[0]), rng.normal(0, 0.3, pseudo_likelihood.N_PARAMETERS))
-    ids = net.tokens(pseudo_likelihood._word_hashes(pa.array([text]))[0])
-    total = 0.0
-    for i, w in enumerate(ids):
-        near = [ids[j] if 0 <= j < len(ids) else pseudo_likelihood.NOTHING for j in (i - 2, i - 1, i + 1, i + 2)]
-        h = np.tanh(np.concatenate([net.p["e"][j] for j in near]) @ net.p["w"] + net.p["b"])
-        softmax = lambda z: np.exp(z) / np.exp(z).sum()
-        k = w // pseudo_likelihood.IN_CLASS
-        total += np.log(softmax(h @ net.p["c"] + net.p["cb"])[k]) + np.log(softmax(h @ net.p["o"][k] + net.p["ob"][k])[w % pseudo_likelihood.IN_CLASS])
-    got = pseudo_likelihood.scored(spark.createDataFrame([(1, text)], "doc_id long, text string"), net=net).first()
-    assert got.n_tokens == 6 and abs(got.log_prob - total) < 1e-4
+    few = docs[docs.text.str.len() < 4000]
+    counts = Counter(w for t in few.text for w in re.findall(r"[^\x20\t-\r]+", t))
+    words = [w for w, _ in counts.most_common(700)]
+    net = pseudo_likelihood.WindowNetwork(np.unique(pseudo_likelihood._word_hashes(pa.array([" ".join(words)]))[0]), rng.normal(0, 0.3, pseudo_likelihood.N_PARAMETERS))
+    df = spark.createDataFrame(list(zip(few.doc_id.tolist(), few.text.tolist())) + [(-1, ""), (-2, None), (-3, words[0])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.log_prob) for r in pseudo_likelihood.scored(df, net=net).collect()}
+    for i, t in [*zip(few.doc_id, few.text), (-1, ""), (-2, ""), (-3, words[0])]:
+        n, total = log_prob_by_hand(net, t)
+        assert got[i][0] == n and abs(got[i][1] - total) < 1e-6 * max(1, n)
+    assert len(few) > 100
 
 
 def test_lm_scores_every_word_and_beats_the_unigram_model_over_words(spark):
@@ -480,8 +500,28 @@ def test_lm_rare_words_differ_by_their_counts(spark):
     known = pseudo_likelihood.vocabulary(counts)
     shares = {r.word: r.log_share for r in pseudo_likelihood.rare_shares(counts, known).collect()}
     n = {r.word: r.n for r in counts.collect()}
-    total = sum(n[w] for w in shares)
-    assert len(shares) == 4000 - len(known) and all(abs(np.exp(s) - n[w] / total) < 1e-9 for w, s in shares.items())
+    total, code = Counter(), lambda w: (w % 2**64) >> 52
+    for w in shares:
+        total[code(w)] += n[w]
+    assert len(shares) == 4000 - len(known) and all(abs(np.exp(s) - n[w] / total[code(w)]) < 1e-9 for w, s in shares.items())
+
+
+def test_lm_tells_rare_words_apart_by_their_context(spark):
+    """Two rare words of equal count, each in surroundings of its own, are likely there and not in the other's."""
+    rng = random.Random(12)
+    noise = lambda k: " ".join(f"n{rng.randrange(1900)}" for _ in range(k))
+    texts = [f"{noise(20)} {s} {noise(20)}" for _ in range(400) for s in ("left11 left22 azure left33 left44", "right11 right22 ochre right33 right44")]
+    filler = [" ".join(f"x{i}_{j}" for j in range(40)) for i in range(100)]
+    known = [noise(400) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts + filler + known)), "doc_id long, text string")
+    counts = pseudo_likelihood.word_counts(df)
+    hashes = {w: pseudo_likelihood._word_hashes(pa.array([w]))[0][0] for w in ("azure", "ochre")}
+    words = pseudo_likelihood.vocabulary(counts)
+    words = words[~np.isin(words, list(hashes.values()))]  # the two count as rare
+    net = pseudo_likelihood.trained(common.stored(pseudo_likelihood.encoded(df, words, 1, ["doc_id"])), words)
+    score = lambda s: net.log_probs(*_tokens(net, [s]))[2]
+    assert score("left11 left22 azure left33 left44") > score("left11 left22 ochre left33 left44") + 1
+    assert score("right11 right22 ochre right33 right44") > score("right11 right22 azure right33 right44") + 1
 
 
 def test_lm_trains_on_all_documents(spark, monkeypatch):
@@ -502,7 +542,7 @@ def test_lm_trains_on_all_documents(spark, monkeypatch):
 def test_lm_gradients():
     net = pseudo_likelihood.WindowNetwork(np.arange(pseudo_likelihood.KNOWN, dtype=np.uint64))
     rng = np.random.default_rng(0)
-    ids, doc = rng.integers(0, pseudo_likelihood.KNOWN + 1, 40), np.repeat([0, 1], 20)
+    ids, doc = np.concatenate([rng.integers(0, pseudo_likelihood.KNOWN, 20), rng.integers(pseudo_likelihood.KNOWN, pseudo_likelihood.NOTHING, 20)]), np.repeat([0, 1], 20)
     near = net.windows(ids, doc)
     g = net.gradients(ids, near)
     for k in net.p:

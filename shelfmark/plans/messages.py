@@ -396,6 +396,30 @@ def _(spark, sf):
     return replies.assembled(replies.useful(replies.reply_lines(asked))).select("request_id", "content", "phase", "complete")
 
 
+def _sent(spark, sf):
+    """Lines of all turns: every third line twice, every seventh turn is a triage reply, every fifth one lacks its end."""
+    asked = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.col("text").alias("reply"), (F.col("turn") % 7 == 3).alias("flag"), "turn")
+    lines = replies.reply_lines(asked, triage="flag")
+    lines = lines.unionByName(lines.where("seq % 3 = 0"))
+    open_ones = asked.where("turn % 5 = 4").select("request_id").withColumn("__open", F.lit(True))
+    return lines.join(open_ones, "request_id", "left").where("__open is null or type <> 'done'").drop("__open")
+
+
+@query("str_2_triage_phases", """SELECT conv_id || '-' || turn AS request_id, turn % 7 = 3 AS is_triage, md5(text || ' ') AS digest,
+    CASE WHEN turn % 5 <> 4 THEN 'done' ELSE 'generating' END AS phase, CASE WHEN turn % 7 = 3 THEN 'generating' ELSE 'reading' END AS first_phase FROM conversations""")
+def _(spark, sf):
+    """Phases of whole replies, and after their first line alone."""
+    lines = _sent(spark, sf)
+    first = replies.assembled(lines.where("seq = 0")).select("request_id", F.col("phase").alias("first_phase"))
+    return replies.assembled(lines).select("request_id", "is_triage", F.md5("content").alias("digest"), "phase").join(first, "request_id")
+
+
+@query("str_5_accumulated", "SELECT conv_id || '-' || turn AS request_id, turn % 7 = 3 AS is_triage, md5(text || ' ') AS digest, 'done' AS phase, true AS complete FROM conversations WHERE turn % 5 <> 4")
+def _(spark, sf):
+    """The stateful accumulation, over a table of lines: those that come again change nothing, requests without an end stay open."""
+    return replies.accumulated(_sent(spark, sf)).select("request_id", "is_triage", F.md5("content").alias("digest"), "phase", "complete")
+
+
 @query("str_6_8_incomplete", "SELECT conv_id || '-' || turn AS request_id, CASE WHEN turn % 2 = 0 THEN 'Generation stopped.' ELSE 'part' END AS content FROM conversations")
 def _(spark, sf):
     turns = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), "turn")

@@ -1,8 +1,8 @@
 """Files in and out, and replies as streams."""
 
+import json
 import time
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,71 +65,84 @@ def test_reply_round_trip(spark):
     assert replies.incomplete(cut).count() == 1 and replies.stopped(replies.assembled(cut)).first().content == "one "
 
 
-def test_accumulation_with_state(spark, tmp_path):
-    """Lines in two files, out of order and with a line sent again; one request never ends."""
+def ndjson(*rows):
+    names = ("request_id", "seq", "type", "delta", "message", "sources", "is_triage")
+    return "".join(json.dumps({k: v for k, v in zip(names, r) if v is not None}) + "\n" for r in rows)
+
+
+@pytest.fixture
+def accumulation(spark, tmp_path):
+    """Feeds files of lines to the accumulation, one batch each, and waits until something is so."""
     source, made = tmp_path / "in", []
     source.mkdir()
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
-    stream = spark.readStream.schema(replies.LINE).option("maxFilesPerTrigger", 1).json(str(source))
-    (source / "1.json").write_text('{"request_id":"r","seq":1,"type":"content","delta":"a "}\n{"request_id":"r","seq":0,"type":"metadata","sources":"[7]"}\n{"request_id":"q","seq":0,"type":"metadata"}\n')
-    run = replies.accumulated(stream).writeStream.outputMode("append").foreachBatch(lambda df, _: made.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
+    for k, v in replies.STORE.items():
+        spark.conf.set(k, v)
+    runs = []
+
+    def start(**how):
+        stream = spark.readStream.schema(replies.LINE).option("maxFilesPerTrigger", 1).json(str(source))
+        out = replies.accumulated(stream, **how).writeStream.outputMode("append").foreachBatch(lambda df, _: made.extend(df.collect()))
+        runs.append(out.option("checkpointLocation", str(tmp_path / "c")).start())
+
+    def feed(name, *rows, until=None):
+        (tmp_path / name).write_text(ndjson(*rows))
+        (tmp_path / name).rename(source / name)
+        read = sum(p.numInputRows for run in runs for p in run.recentProgress) + len(rows)
+        wait(until or (lambda: sum(p.numInputRows for run in runs for p in run.recentProgress) >= read))
 
     def wait(done):
-        """Processing-time timeouts keep batches coming, so that processAllAvailable() would not return."""
-        end = time.monotonic() + 60
-        while not done() and run.isActive and time.monotonic() < end:
-            time.sleep(0.2)
-
-    try:
-        wait(lambda: sum(p.numInputRows for p in run.recentProgress) >= 3)
-        assert not made
-        (source / "2.json").write_text('{"request_id":"r","seq":1,"type":"content","delta":"a "}\n{"request_id":"r","seq":2,"type":"content","delta":"b"}\n{"request_id":"r","seq":3,"type":"done"}\n')
-        wait(lambda: made)
-    finally:
+        end = time.monotonic() + 90
+        while not done() and runs[-1].isActive and time.monotonic() < end:
+            time.sleep(0.1)
+        assert runs[-1].exception() is None
+
+    yield start, feed, wait, made
+    for run in runs:
         run.stop()
-    assert [(r.request_id, r.content, r.sources, r.complete) for r in made] == [("r", "a b", "[7]", True)]
+    for k in replies.STORE:
+        spark.conf.unset(k)
+
+
+def test_accumulation_with_state(accumulation):
+    """Lines out of order, sent again before and after the end, a triage reply, and a request that never ends."""
+    start, feed, _, made = accumulation
+    start()
+    feed("1.json", ("r", 1, "content", "a "), ("r", 0, "metadata", None, None, "[7]"), ("q", 0, "metadata"), ("t", 0, "metadata", None, None, None, True))
+    assert not made
+    feed("2.json", ("r", 1, "content", "again "), ("r", 2, "content", "b"), ("r", 3, "done"), ("t", 2, "done"), until=lambda: made)
+    feed("3.json", ("r", 1, "content", "a "), ("r", 4, "content", "more"), ("r", 3, "done"), ("t", 1, "content", "hello"), until=lambda: len(made) > 1)
+    feed("4.json", ("r", 0, "metadata"), ("t", 1, "content", "hello"))
+    assert [tuple(m) for m in made] == [("r", "a b", "[7]", "done", None, True, False), ("t", "hello", None, "done", None, True, True)]
+
+
+def test_silence_ends_a_message(accumulation):
+    """With what there is, over gaps; what comes after that opens no new message."""
+    start, feed, wait, made = accumulation
+    start(timeout_ms=1500)
+    feed("1.json", ("a", 0, "metadata"), ("a", 1, "content", "x"), ("a", 3, "content", "z"), ("b", 0, "metadata"))
+    wait(lambda: len(made) >= 2)
+    feed("2.json", ("a", 2, "content", "y"), ("b", 1, "content", "late"))
+    time.sleep(3)
+    assert sorted(tuple(m) for m in made) == [("a", "xz", None, "done", None, False, False), ("b", replies.STOPPED, None, "done", None, False, False)]
+
+
+def test_lines_in_their_turn():
+    line = lambda kind, delta=None, sources=None, flag=None: (kind, delta, None, sources, flag)
+    waiting = {0: line("metadata", sources="[7]"), 2: line("content", "two"), 3: line("done")}
+    found, done = replies._walked(("", None, "searching", None, False, 0), waiting, False)
+    assert (found, done, list(waiting)) == (("", "[7]", "reading", None, False, 1), False, [2, 3])
+    waiting[1] = line("content", "one ")
+    assert replies._walked(found, waiting, False) == (("one two", "[7]", "done", None, False, 4), True)
+    assert replies._walked(("", None, "searching", None, False, 0), {0: line("metadata", flag=True)}, False)[0][2] == "generating"
+
+
+def test_lines_that_come_twice(spark):
+    """In tables: equal places count once, lines after the end don't, and a triage reply is never read for."""
+    rows = [("r", 0, "metadata", None, None, "[1]", None), ("r", 1, "content", "a", None, None, None), ("r", 1, "content", "a", None, None, None), ("r", 2, "done", None, None, None, None), ("r", 3, "content", "b", None, None, None), ("t", 0, "metadata", None, None, None, True)]
+    got = {m.request_id: (m.content, m.phase, m.complete, m.is_triage) for m in replies.assembled(spark.createDataFrame(rows, replies.LINE)).collect()}
+    assert got == {"r": ("a", "done", True, False), "t": ("", "generating", False, True)}
 
 
 def test_bursts(spark):
     rows = spark.sql("SELECT 'u' AS k, timestamp_millis(t) AS at, v FROM VALUES (0L, 1), (200L, 2), (1000L, 3) AS x(t, v)")
     assert sorted(r.v for r in replies.settled(rows, "k", "at", "v").collect()) == [2, 3]
-
-
-class State:
-    """What the accumulation uses of a group's state."""
-
-    def __init__(self):
-        self.held, self.hasTimedOut = None, False
-
-    exists = property(lambda self: self.held is not None)
-    get = property(lambda self: self.held)
-
-    def update(self, value):
-        self.held = value
-
-    def remove(self):
-        self.held = None
-
-    def setTimeoutDuration(self, ms):
-        pass
-
-
-def feed(state, *lines):
-    rows = [(("r"), *line, *[None] * (5 - len(line))) for line in lines]
-    frames = [pd.DataFrame(rows, columns=["request_id", "seq", "type", "delta", "message", "sources"])] if rows else []
-    return [tuple(r) for df in replies._accumulate(("r",), iter(frames), state) for r in df.itertuples(index=False)]
-
-
-def test_late_lines_are_kept():
-    state = State()
-    assert feed(state, (0, "metadata", None, None, "[7]"), (2, "content", "two")) == []
-    assert feed(state, (3, "done")) == [] and feed(state, (2, "content", "again")) == []
-    assert feed(state, (1, "content", "one ")) == [("r", "one two", "[7]", "done", None, True)] and not state.exists
-
-
-def test_silence_ends_a_message():
-    for lines, content in (([(0, "metadata"), (1, "content", "a"), (3, "content", "c")], "ac"), ([(0, "metadata")], replies.STOPPED)):
-        state = State()
-        assert feed(state, *lines) == []
-        state.hasTimedOut = True
-        assert feed(state) == [("r", content, None, "done", None, False)] and not state.exists

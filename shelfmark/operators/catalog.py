@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from shelfmark.functions.arabic import fold_for_search
+from shelfmark.operators import scans
 
 #: A dimension below this many rows is broadcast, whatever Spark knows of its size.
 BROADCAST_ROWS = 200_000
@@ -38,6 +40,31 @@ def page_with_total(df: DataFrame, order: list[Column], number: int = 1, limit:
     return rows.withColumn("pages", F.ceil(F.col("total") / limit).cast("bigint"))
 
 
+def deep_page(df: DataFrame, order: list[str], offset: int, limit: int = DEFAULT_LIMIT, ranges: int = 256) -> DataFrame:
+    """A page far into an ascending order whose last column is a unique key, without sorting what comes before it.
+
+    Rows are counted by ranges of the first column; only those ranges that the page lies in are read again and sorted.
+    """
+    if offset < 0 or not 1 <= limit <= MAX_LIMIT:
+        raise ValueError(f"offset from 0, limit from 1 to {MAX_LIMIT}")
+    cuts = scans.cuts_of(df, order[0], ranges)
+    dealt = scans.dealt(df, order[0], cuts=cuts)
+    counts = {r[scans.RANGE]: r["count"] for r in dealt.groupBy(scans.RANGE).count().collect()}  # a row for each range
+    before, first, last, skipped = 0, None, -1, 0
+    for place in range(len(cuts) + 1):
+        n = counts.get(place, 0)
+        if before < offset + limit and before + n > offset:
+            first, last, skipped = (place, place, offset - before) if first is None else (first, place, skipped)
+        before += n
+    if first is None:
+        return df.limit(0)
+    kept = dealt.where(F.col(scans.RANGE).between(first, last))
+    if isinstance(df.schema[order[0]].dataType, NumericType):  # such bounds reach the scan
+        kept = kept.where(F.col(order[0]) > cuts[first - 1]) if first else kept
+        kept = kept.where(F.col(order[0]) <= cuts[last]) if first and last < len(cuts) else kept
+    return kept.drop(scans.RANGE).orderBy(*order).offset(skipped).limit(limit)
+
+
 def seek(df: DataFrame, key: str, start: int, limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Rows from a key on, in its order, with the number of rows before it and of all rows."""
     counts = df.agg(F.count_if(F.col(key) < start).alias("offset"), F.count("*").alias("total"))

@@ -11,6 +11,8 @@ from shelfmark.operators import scans
 #: Turns and characters that a request takes along.
 USER_TURNS, MIXED_TURNS, TRIAGE_TURNS, MAX_CHARS, KEEP_AT_LEAST = 15, 6, 10, 200_000, 4
 MAX_QUERY, MAX_TEXT, MAX_TEXTS = 2000, 8000, 10
+#: Sources that one prompt takes, as many as a search gives at most.
+MOST_BLOCKS = 100
 DEFAULT_TITLE = "New Conversation"
 STOPPED = "Generation stopped."
 
@@ -107,11 +109,12 @@ def history_lines(messages: DataFrame, key: str, order: str, names: dict[str, st
     return messages.groupBy(key).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("history"))
 
 
-def source_blocks(hits: DataFrame, key: str, order: str, template: str = "[%s] %s, %s\n%s") -> DataFrame:
-    """``key, prompt``: one block for each source, in order, with blank lines between."""
+def source_blocks(hits: DataFrame, key: str, order: str, template: str = "[%s] %s, %s\n%s", most: int = MOST_BLOCKS) -> DataFrame:
+    """``key, piece, prompt``: one block for each source, in order, with blank lines between, ``most`` in each piece."""
     block = F.format_string(template, F.col("id").cast("string"), "book_name", "author", stripped(F.col("text")))
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), block.alias("b"))))
-    return hits.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["b"]), "\n\n").alias("prompt"))
+    placed = scans.pieces(hits, [key], [order], most)
+    return placed.groupBy(key, "piece").agg(F.array_join(F.transform(parts, lambda p: p["b"]), "\n\n").alias("prompt"))
 
 
 # --- state changes: each takes the tables and returns the new ones ---------------------------------------------------

@@ -27,15 +27,17 @@ def _ordinal(rows: DataFrame, order: str) -> Column:
     return c.cast("int") if kind == "boolean" else c
 
 
-def dealt(rows: DataFrame, order: str, n: int | None = None) -> DataFrame:
-    """Rows with RANGE: which of up to n stretches of the order (as many as shuffle partitions) they are in.
-
-    The cuts are about n quantiles of all rows, found by one aggregation; nulls come first.
-    """
+def cuts_of(rows: DataFrame, order: str, n: int | None = None) -> list:
+    """Where the order is cut into up to n stretches (as many as shuffle partitions): about n quantiles of all rows."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if n is None else n
+    cuts = rows.agg(F.percentile_approx(_ordinal(rows, order), [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    return sorted(set(cuts or ()))
+
+
+def dealt(rows: DataFrame, order: str, n: int | None = None, cuts: list | None = None) -> DataFrame:
+    """Rows with RANGE: which stretch of the order they are in; nulls come first. The cuts are found by one aggregation."""
+    cuts = cuts_of(rows, order, n) if cuts is None else cuts
     ordinal = _ordinal(rows, order)
-    cuts = rows.agg(F.percentile_approx(ordinal, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
-    cuts = sorted(set(cuts or ()))
 
     def place(low: int, high: int) -> Column:
         if low == high:
@@ -69,3 +71,9 @@ def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Co
     made = {n: F.sum(f"__{n}").over(so_far) for n in sums} | {n: F.last(f"__{n}", ignorenulls=True).over(so_far) for n in lasts} | {n: F.lag(f"__{n}").over(walk) for n in previous}
     walked = both.withColumns(made).where(F.col(_FIRST) == 1)
     return walked.select(*(c for c in rows.columns if c not in made), *made)
+
+
+def pieces(rows: DataFrame, by: list[str], order: list[str], size: int) -> DataFrame:
+    """Rows with ``piece``: the first ``size`` rows of each group are piece 0, the next ones 1, and so on."""
+    placed = running(dealt(rows, order[0]), by, order, {"__n": F.lit(1).cast("long")})
+    return placed.withColumn("piece", F.floor((F.col("__n") - 1) / size).cast("long")).drop("__n", RANGE)

@@ -77,6 +77,13 @@ def _(spark, sf):
     return catalog.page_with_total(table(spark, sf, "part").select("p_partkey", "p_name"), [F.asc("p_name"), F.asc("p_partkey")], number=3)
 
 
+@query("top_2_3_deep_page", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber LIMIT 20 OFFSET (SELECT count(*) * 9 // 10 FROM lineitem)")
+def _(spark, sf):
+    """A page nine tenths into all lines, by price."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return catalog.deep_page(lines, ["l_extendedprice", "l_orderkey", "l_linenumber"], lines.count() * 9 // 10)
+
+
 @query("top_3_page_by_offset", "SELECT p_partkey, p_name FROM part WHERE p_size > 10 ORDER BY p_partkey LIMIT 15 OFFSET 7")
 def _(spark, sf):
     return catalog.page(table(spark, sf, "part").where("p_size > 10").select("p_partkey", "p_name"), [F.asc("p_partkey")], number=9, limit=15, offset=7)

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from shelfmark.functions import arabic, text
 from shelfmark.operators import catalog, chat
 from shelfmark.plans.base import Queries
-from shelfmark.session import table
+from shelfmark.session import new_folder, table
 from shelfmark.sources import files
-from shelfmark.streaming import replies
+from shelfmark.sources.stored_rows import StoredRows
+from shelfmark.streaming import replies, sink
 
 query = Queries()
 
@@ -304,7 +305,7 @@ def _(spark, sf):
     return chat.history_lines(_turns(spark, sf).withColumn("content", more), "conv_id", "turn", {"user": "User", "assistant": "Assistant"}, most=80)
 
 
-@query("fn_23_source_blocks", f"SELECT source AS query, string_agg('[' || doc_id || '] ' || lang || ', ' || source || chr(10) || {_strip('text')}, chr(10) || chr(10) ORDER BY doc_id) AS prompt FROM documents GROUP BY 1")
+@query("fn_23_source_blocks", f"SELECT source AS query, piece, string_agg('[' || doc_id || '] ' || lang || ', ' || source || chr(10) || {_strip('text')}, chr(10) || chr(10) ORDER BY doc_id) AS prompt FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100 AS piece FROM documents) GROUP BY 1, 2")
 def _(spark, sf):
     hits = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("query"), F.col("lang").alias("book_name"), F.col("source").alias("author"), "text")
     return chat.source_blocks(hits, "query", "id")
@@ -383,11 +384,58 @@ def _(spark, sf):
     return files.split_stream(turns.select("id", (F.col("turn") * 2 + F.col("half")).alias("o"), chunk.alias("chunk")), "id", "o")
 
 
-@query("src_7_request_documents", "SELECT source AS query, count(*) AS n, min(doc_id) AS least FROM documents GROUP BY 1")
+@query(
+    "src_7_request_documents",
+    """SELECT source AS query, piece, count(*) AS n, min(doc_id) AS least, arg_min(doc_id, place) AS first
+    FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place, (place - 1) // 100 AS piece FROM documents) GROUP BY 1, 2""",
+)
 def _(spark, sf):
     hits = table(spark, sf, "documents").select(F.col("source").alias("query"), F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("score"))
-    parsed = files.requests(hits).select("query", F.from_json("value", "query string, sources array<struct<id:bigint,score:double>>").alias("r"))
-    return parsed.select("query", F.size("r.sources").cast("bigint").alias("n"), F.array_min(F.transform("r.sources", lambda s: s["id"])).alias("least"))
+    parsed = files.requests(hits, 100).select("query", "piece", F.from_json("value", "query string, sources array<struct<id:bigint,score:double>>").alias("r"))
+    least = F.array_min(F.transform("r.sources", lambda s: s["id"]))
+    return parsed.select("query", "piece", F.size("r.sources").cast("bigint").alias("n"), least.alias("least"), F.col("r.sources")[0]["id"].alias("first"))
+
+
+@query(
+    "str_1_src_10_streamed_lines",
+    """WITH w AS (SELECT conv_id || '-' || turn AS request_id, string_split(text, ' ') AS words FROM conversations)
+    SELECT request_id, 0 AS seq, 'metadata' AS type, NULL::VARCHAR AS delta FROM w
+    UNION ALL SELECT request_id, unnest(range(1, len(words) + 1))::INT, 'content', unnest(words) || ' ' FROM w
+    UNION ALL SELECT request_id, (len(words) + 1)::INT, 'done', NULL FROM w""",
+)
+def _(spark, sf):
+    """Replies streamed from the table's files through the sink, and read back."""
+    asked = spark.readStream.schema(table(spark, sf, "conversations").schema).parquet(f"{sf}/conversations.parque[t]")  # a pattern: a stream takes no single file
+    lines = replies.reply_lines(asked.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.col("text").alias("reply")))
+    out = new_folder(spark)
+    sink.ndjson_sink(lines, f"{out}/lines", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return sink.read_sink(spark, f"{out}/lines").select("request_id", "seq", "type", "delta")
+
+
+@query(
+    "dml_1_5_stored_conversations",
+    """SELECT conv_id AS id, CASE WHEN conv_id % 5 = 0 THEN 'Renamed' ELSE 'New Conversation' END AS title, count(*) + (conv_id % 2 = 0)::INT AS n
+    FROM conversations WHERE conv_id % 3 <> 0 GROUP BY 1 UNION ALL SELECT -1, 'Made', 1""",
+)
+def _(spark, sf):
+    """Conversations and messages as stored tables: created, renamed, added to, deleted with all messages, compacted between."""
+    out, turns = new_folder(spark), table(spark, sf, "conversations")
+    heads = StoredRows(spark, f"{out}/heads", "id long, title string", "id", buckets=8)
+    messages = StoredRows(spark, f"{out}/messages", "id string, conversation_id long, content string", "id", buckets=8)
+    heads.append(turns.select(F.col("conv_id").alias("id"), F.lit(chat.DEFAULT_TITLE).alias("title")).distinct())
+    messages.append(turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").alias("conversation_id"), F.col("text").alias("content")))
+    heads.compact()
+    heads.append(heads.read().where("id % 5 = 0").withColumn("title", F.lit("Renamed")))
+    heads.append(spark.createDataFrame([(-1, "Made")], "id long, title string"))
+    messages.append(spark.createDataFrame([("-1-0", -1, "first")], "id string, conversation_id long, content string"))
+    messages.append(heads.read().where("id % 2 = 0").select(F.concat("id", F.lit("-more")).alias("id"), F.col("id").alias("conversation_id"), F.lit("more").alias("content")))
+    messages.compact()
+    gone = heads.read().where("id >= 0 and id % 3 = 0").select("id")
+    messages.delete(messages.read().join(gone.withColumnRenamed("id", "conversation_id"), "conversation_id", "left_semi").select("id"))
+    heads.delete(gone)
+    heads.compact()
+    counted = messages.read().groupBy(F.col("conversation_id").alias("id")).agg(F.count("*").alias("n"))
+    return heads.read().join(counted, "id").select("id", "title", "n")
 
 
 @query("str_1_agg_15_reply_round_trip", "SELECT conv_id || '-' || turn AS request_id, text || ' ' AS content, 'done' AS phase, true AS complete FROM conversations")

@@ -9,8 +9,8 @@ from shelfmark.operators import fusion, vector
 from shelfmark.operators.blockmax import BlockIndex
 from shelfmark.operators.bm25 import Bm25Config, Bm25Model, fit_per_request, term_frequencies
 from shelfmark.plans.base import Queries
-from shelfmark.session import table
-from shelfmark.sources.files import partition_names
+from shelfmark.session import new_folder, table
+from shelfmark.sources import files
 
 query = Queries()
 K = 10
@@ -228,15 +228,22 @@ def _(spark, sf):
     return table(spark, sf, "documents").where(F.col("doc_id").isin(3, 5, 8, 13, 1_000_000)).select("doc_id", "lang", "source")
 
 
-@query("src_3_partitions", "SELECT DISTINCT lang AS partition FROM documents")
+def _collection(spark: SparkSession, sf: str) -> str:
+    """The documents as a collection with a partition for each language."""
+    root = new_folder(spark)
+    files.write_collection(table(spark, sf, "documents").withColumnRenamed("doc_id", "id"), root, "lang")
+    return root
+
+
+@query("src_3_partitions", "SELECT lang AS partition, count(*) AS n FROM documents GROUP BY 1")
 def _(spark, sf):
-    return spark.createDataFrame([(p,) for p in partition_names(table(spark, sf, "documents"), "lang")], "partition string")
+    return files.partitions_of(spark, _collection(spark, sf))
 
 
 @query("src_2_partition_scan", "SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr')")
 def _(spark, sf):
-    rows = table(spark, sf, "documents")
-    return rows.where(F.col("lang").isin(fusion.check_partitions(["de", "fr"], partition_names(rows, "lang")))).select("doc_id", "lang")
+    """Only the folders of two partitions are read."""
+    return files.read_collection(spark, _collection(spark, sf), ["de", "fr"], "lang").select(F.col("id").alias("doc_id"), "lang")
 
 
 @query("prj_2_flattened_hits", "SELECT n_chars / 7.0 AS distance, doc_id AS id, lang, source FROM documents")

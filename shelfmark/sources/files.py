@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from shelfmark.operators import scans
 from shelfmark.operators.fusion import check_partitions
 
 #: The columns of a chunk collection.
@@ -15,8 +16,13 @@ DEFAULT_PARTITION = "_default"
 
 
 def write_collection(chunks: DataFrame, root: str, partition: str = "category", name: str = DEFAULT_COLLECTION) -> None:
-    """Chunks as Parquet, one folder for each partition value; rows of a partition are gathered before writing."""
-    chunks.repartition(partition).sortWithinPartitions(partition, "id").write.mode("overwrite").partitionBy(partition).parquet(f"{root}/{name}")
+    """Chunks as Parquet, one folder for each partition value, and beside it a table of the values and their numbers of rows.
+
+    Rows of a partition are gathered before writing; one with very many is split.
+    """
+    chunks.hint("rebalance", partition).sortWithinPartitions(partition, "id").write.mode("overwrite").partitionBy(partition).parquet(f"{root}/{name}")
+    counted = chunks.sparkSession.read.schema(chunks.schema).parquet(f"{root}/{name}").groupBy(F.col(partition).cast("string").alias("partition")).agg(F.count("*").alias("n"))  # from the files' footers
+    counted.coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}.partitions")
 
 
 def read_collection(spark: SparkSession, root: str, partitions: list[str] | None = None, partition: str = "category", name: str = DEFAULT_COLLECTION) -> DataFrame:
@@ -24,13 +30,18 @@ def read_collection(spark: SparkSession, root: str, partitions: list[str] | None
     rows = spark.read.parquet(f"{root}/{name}")
     if not partitions:
         return rows
-    check_partitions(partitions, partition_names(rows, partition))
+    check_partitions(partitions, partition_names(spark, root, name))
     return rows.where(F.col(partition).isin(partitions))
 
 
-def partition_names(rows: DataFrame, partition: str = "category") -> list[str]:
+def partitions_of(spark: SparkSession, root: str, name: str = DEFAULT_COLLECTION) -> DataFrame:
+    """``partition, n``: a collection's partition values and their numbers of rows, as it was written; no chunk is read."""
+    return spark.read.schema("partition string, n long").parquet(f"{root}/{name}.partitions")
+
+
+def partition_names(spark: SparkSession, root: str, name: str = DEFAULT_COLLECTION) -> list[str]:
     """Partition values, in order; a collection without any has the default one."""
-    return [r[0] for r in rows.select(partition).distinct().orderBy(partition).collect()] or [DEFAULT_PARTITION]
+    return [r[0] for r in partitions_of(spark, root, name).select("partition").orderBy("partition").collect()] or [DEFAULT_PARTITION]
 
 
 def to_ndjson(rows: DataFrame, *columns: str) -> DataFrame:
@@ -75,12 +86,17 @@ def read_request_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("page_num_range", F.from_json("page_num_range", "array<int>")).withColumn("query", stem)
 
 
-def requests(hits: DataFrame) -> DataFrame:
-    """``query, value``: one JSON document for each query, with its sources by falling score."""
+#: Sources that one request document holds.
+MOST_SOURCES = 1000
+
+
+def requests(hits: DataFrame, most: int = MOST_SOURCES) -> DataFrame:
+    """``query, piece, value``: JSON documents of each query, with its sources by falling score, ``most`` in each."""
     source = F.struct(*[F.col(c) for c in hits.columns if c != "query"])
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"), source.alias("source"))))
-    grouped = hits.groupBy("query").agg(F.transform(ordered, lambda x: x["source"]).alias("sources"))
-    return grouped.select("query", F.to_json(F.struct("query", "sources")).alias("value"))
+    placed = scans.pieces(hits.select("query", (-F.col("score")).alias("__s"), F.col("id").alias("__i"), source.alias("__source")), ["query"], ["__s", "__i"], most)
+    ordered = F.array_sort(F.collect_list(F.struct("__s", "__i", "__source")))
+    grouped = placed.groupBy("query", "piece").agg(F.transform(ordered, lambda x: x["__source"]).alias("sources"))
+    return grouped.select("query", "piece", F.to_json(F.struct("query", "sources")).alias("value"))
 
 
 def fill_template(template: str, **values) -> object:

@@ -48,7 +48,8 @@ def test_collection_partitions(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(category" in plan
     with pytest.raises(ValueError):
         files.read_collection(spark, str(tmp_path), ["z"])
-    assert files.partition_names(rows.limit(0)) == ["_default"]
+    files.write_collection(rows.limit(0), str(tmp_path), name="none")
+    assert files.partition_names(spark, str(tmp_path), "none") == ["_default"]
 
 
 def test_template(spark):

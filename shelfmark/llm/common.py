@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from shelfmark.session import remove, shared_dir, stored, temporary
+
+__all__ = ["remove", "shared_dir", "stored", "temporary"]  # and all that is defined here
+
 #: Bytes of text that one numpy pass holds at a time; a longer document is a pass of its own.
 PASS_BYTES = 2 << 20
 
@@ -35,57 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- shared folders -------------------------------------------------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only in a local session without it."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="shelfmark-")
-        context.setCheckpointDir(found)
-    return found
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """A small or narrow table, written to the shared folder, so that a lost executor costs no lineage."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-#: Folders that ``stored`` has written inside a ``temporary`` block of this thread; None outside of one.
-_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """A larger table, as compressed Parquet in the shared folder."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    if (own := _written.get()) is not None:
-        own.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end what was stored in it, and nothing that other threads store meanwhile; for results that are
-    written before it ends."""
-    token = _written.set([])
-    try:
-        yield
-    finally:
-        own = _written.get()
-        _written.reset(token)
-        for path in own:
-            remove(spark, path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def in_tasks(df: DataFrame, *by: str) -> DataFrame:
     """Rows dealt by key for costly work in Python: over all partitions, which small sizes shall not make fewer."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

@@ -3,16 +3,16 @@
 Tokens are words. The vocabulary is made from counts over all documents: the KNOWN most frequent words; all others are
 rare. The network sees SIDE words on either side of a token (not the token), and gives the probability of a known word as
 that of its class times that in its class, so that a token costs the square root of the vocabulary. Rare words are the
-last class. Each has a code of two digits below DIGIT, from its hash, and the network predicts the first digit and then,
-given that, the second, so that the context tells rare words apart by 4,096 codes. The words of one code share its
-probability by their counts over all documents, which a join brings to the tokens. A rare word beside a token is seen
-by its first digit. A document's score is the sum of the log-probabilities of its tokens.
+last class. Each has a code of three digits below DIGIT, from its hash, and the network predicts one digit after the
+other, each given those before it, so that the context tells rare words apart by 4,096 codes. The words of one code
+share its probability by their counts over all documents, which a join brings to the tokens. A rare word beside a token
+is seen by its first two digits. A document's score is the sum of the log-probabilities of its tokens.
 
 Training is distributed and grows with the input: every document is trained on once, in one of ROUNDS rounds. Documents
 are dealt by hash into parts of about PART_TOKENS tokens, whatever files they came from; each part is walked in numpy
 in the order of its documents' hashes, from the round's common start, and the parts' parameters are averaged. They are
 summed inside tasks and then over a tree of tasks, in steps of 2**-24, so that sums are exact and no order shows: reruns
-and other layouts of the files give the same model; it is trained in single and scores in double precision. Only the averaged parameters (N_PARAMETERS numbers) and the
+and other layouts of the files give the same model; it scores with rounded parameters, whose sums are exact. Only the averaged parameters (N_PARAMETERS numbers) and the
 vocabulary (KNOWN rows) come to the driver, and go to the executors with the tasks.
 
 Defined results: a null or empty text has 0 tokens, log_prob 0 and a null mean; repeated rows get equal scores; an empty
@@ -33,12 +33,12 @@ from shelfmark.llm import common
 
 CLASSES, IN_CLASS = 32, 64
 #: Digits of a rare word's code, and how many bits of its hash they take.
-DIGIT, CODE_BITS = 64, 12
+DIGIT, CODE_BITS = 16, 12
 #: Ids of known words come first, then the codes of rare ones; the id after them stands where a document has no word.
 KNOWN = (CLASSES - 1) * IN_CLASS
-NOTHING = KNOWN + DIGIT * DIGIT
-#: What a token is seen as from beside it: known words, first digits, no word.
-SEEN = KNOWN + DIGIT + 1
+NOTHING = KNOWN + DIGIT**3
+#: What a token is seen as from beside it: known words, two digits, no word.
+SEEN = KNOWN + DIGIT**2 + 1
 SIDE, EMBED, HIDDEN = 2, 16, 32
 ROUNDS, STEP_TOKENS, RATE, SEED = 2, 4096, 0.05, 5
 #: Tokens of a part, on average; parameters are summed over so many tasks at a time, until so few rows are left.
@@ -48,9 +48,13 @@ PASS_TOKENS = 4096
 
 _SHAPES = {
     "e": (SEEN, EMBED), "w": (2 * SIDE * EMBED, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "o": (CLASSES - 1, HIDDEN, IN_CLASS), "ob": (CLASSES - 1, IN_CLASS),
-    "r": (HIDDEN, 2 * DIGIT), "rb": (DIGIT,), "sb": (DIGIT, DIGIT),
+    "r": (HIDDEN, 3 * DIGIT), "rb": (DIGIT,), "sb": (DIGIT, DIGIT), "tb": (DIGIT**2, DIGIT),
 }
-_ZERO = ("b", "cb", "ob", "rb", "sb")
+_ZERO = ("b", "cb", "ob", "rb", "sb", "tb")
+#: Digits after the point (binary) and the limit of rounded parameters: products and their sums fit 24 bits, so that single
+#: precision adds them without error, in whichever order a matrix product does.
+_GRID, _LIMIT = {"e": 7, "w": 7, "b": 7}, {"e": 4, "w": 4}
+_GRID_ELSE, _LIMIT_ELSE, _HIDDEN_GRID = 8, 8, 8
 N_PARAMETERS = int(sum(np.prod(s) for s in _SHAPES.values()))
 
 
@@ -84,37 +88,48 @@ def rare_shares(counts: DataFrame, known: np.ndarray) -> DataFrame:
     """``word, log_share``: of every rare word, the logarithm of its share of all words with its code."""
     top = counts.sparkSession.createDataFrame([(w,) for w in known.view(np.int64).tolist()], "word long")
     rest = counts.join(F.broadcast(top), "word", "left_anti").withColumn("code", F.shiftrightunsigned("word", 64 - CODE_BITS))
-    of_code = rest.groupBy("code").agg(F.sum("n").alias("all"))  # DIGIT * DIGIT rows at most
+    of_code = rest.groupBy("code").agg(F.sum("n").alias("all"))  # DIGIT**3 rows at most
     return rest.join(F.broadcast(of_code), "code").select("word", F.log(F.col("n") / F.col("all")).alias("log_share"))
 
 
-#: Sums the first and the second digit's weights.
-_HALVES = np.repeat(np.eye(2, dtype=np.float32), DIGIT, axis=0)
+def _on_grid(x: np.ndarray, places: int) -> np.ndarray:
+    return np.round(x * np.float32(2**places)) * np.float32(2.0**-places)
+
+
+def _digits(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return code // DIGIT**2, code // DIGIT % DIGIT, code % DIGIT
 
 
 class WindowNetwork:
     def __init__(self, words: np.ndarray, flat: np.ndarray | None = None):
         self.words = words
         self.order = np.argsort(words)
+        self.rounded = False
         if flat is None:
             rng = np.random.default_rng(SEED)
             flat = np.concatenate([np.zeros(int(np.prod(s))) if k in _ZERO else rng.normal(0, 0.1, int(np.prod(s))) for k, s in _SHAPES.items()])
         self.load(flat)
 
-    def load(self, flat: np.ndarray, kind: type = np.float32) -> None:
-        self.p, self.kind, at = {}, kind, 0
+    def load(self, flat: np.ndarray) -> None:
+        """Parameters by name are views of one array."""
+        self.all = flat.astype(np.float32)
+        self.p, at = {}, 0
         for k, shape in _SHAPES.items():
             size = int(np.prod(shape))
-            self.p[k] = flat[at : at + size].astype(kind).reshape(shape)
+            self.p[k] = self.all[at : at + size].reshape(shape)
             at += size
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in _SHAPES])
+        return self.all.copy()
 
-    def double(self) -> WindowNetwork:
-        """The same network in double precision: which tokens share a matrix product does not show in its scores."""
+    def exact(self) -> WindowNetwork:
+        """The network with rounded parameters and hidden values: which tokens share a matrix product does not show in its
+        scores."""
         net = WindowNetwork(self.words, self.flat())
-        net.load(self.flat(), np.float64)
+        net.rounded = True
+        for k, v in net.p.items():
+            limit = _LIMIT.get(k, _LIMIT_ELSE) - 2.0 ** -_GRID.get(k, _GRID_ELSE)
+            v[...] = _on_grid(np.clip(v, -limit, limit), _GRID.get(k, _GRID_ELSE))
         return net
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
@@ -146,65 +161,74 @@ class WindowNetwork:
     def _forward(self, ids: np.ndarray, near: np.ndarray):
         """Input, hidden layer, probabilities of classes; and in the order of the tokens' classes: that order, where
         each class begins, of known words the hidden layer with a one after it (for the bias), what the words of the
-        class weigh and their sum, and of rare words the hidden layer, the digits, what all digits weigh and two sums."""
+        class weigh and their sum, and of rare words the hidden layer, the code, what all digits weigh and three sums."""
         x = self.p["e"][near].reshape(len(ids), -1)
         h = np.tanh(x @ self.p["w"] + self.p["b"])
-        of_class = np.exp(np.minimum(h @ self.p["c"] + self.p["cb"], 60))
-        of_class /= of_class.sum(1, keepdims=True)
+        h = _on_grid(h, _HIDDEN_GRID) if self.rounded else h
+        of_class = h @ self.p["c"]
+        of_class += self.p["cb"]
+        np.exp(np.minimum(of_class, 60, out=of_class), out=of_class)
+        of_class /= self._sums(of_class)[:, None]
         kind = np.minimum(ids // IN_CLASS, CLASSES - 1).astype(np.int16)
         order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         known = cuts[CLASSES - 1]
-        sorted_h = np.ones((known, HIDDEN + 1), self.kind)
+        sorted_h = np.ones((known, HIDDEN + 1), np.float32)
         sorted_h[:, :-1] = h[order[:known]]
         weights = np.concatenate([self.p["o"], self.p["ob"][:, None]], 1)
-        z = np.empty((known, IN_CLASS), self.kind)
+        z = np.empty((known, IN_CLASS), np.float32)
         for k in range(CLASSES - 1):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
                 np.matmul(sorted_h[a:b], weights[k], out=z[a:b])
         np.exp(np.minimum(z, 60, out=z), out=z)
         code = ids[order[known:]] - KNOWN
-        digits = code // DIGIT, code % DIGIT
         rare_h = h[order[known:]]
-        y = rare_h @ self.p["r"]
-        y[:, :DIGIT] += self.p["rb"]
-        y[:, DIGIT:] += self.p["sb"][digits[0]]
+        y = (rare_h @ self.p["r"]).reshape(-1, 3, DIGIT)
+        y[:, 0] += self.p["rb"]
+        y[:, 1] += self.p["sb"][code // DIGIT**2]
+        y[:, 2] += self.p["tb"][code // DIGIT]
         np.exp(np.minimum(y, 60, out=y), out=y)
-        return x, h, of_class, order, cuts, sorted_h, z, z @ np.ones(IN_CLASS, self.kind), rare_h, digits, y, y @ _HALVES.astype(self.kind)
+        return x, h, of_class, order, cuts, sorted_h, z, self._sums(z), rare_h, code, y, y.sum(2)
+
+    def _sums(self, weights: np.ndarray) -> np.ndarray:
+        """Sums over rows; with a product, which is faster and depends on the pass in the last bit, only in training."""
+        return weights.sum(1) if self.rounded else weights @ np.ones(weights.shape[1], np.float32)
 
     def log_probs(self, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The log-probability of each token, given the tokens around it in its document."""
         out = np.zeros(len(ids))
         for stretch, near in self.steps(ids, doc, PASS_TOKENS):
             part = ids[stretch]
-            _, _, of_class, order, _, _, z, sums, _, digits, y, halves = self._forward(part, near)
+            _, _, of_class, order, _, _, z, sums, _, code, y, y_sums = self._forward(part, near)
             got = of_class[np.arange(len(part)), np.minimum(part // IN_CLASS, CLASSES - 1)].astype(np.float64)
             known, rare, every = order[: len(z)], order[len(z) :], np.arange(len(y))
             got[known] *= z[np.arange(len(z)), part[known] % IN_CLASS] / sums
-            got[rare] *= y[every, digits[0]] / halves[:, 0] * (y[every, DIGIT + digits[1]] / halves[:, 1])
+            for k, digit in enumerate(_digits(code)):
+                got[rare] *= y[every, k, digit] / y_sums[:, k]
             out[stretch] = np.log(np.maximum(got, 1e-30))
         return out
 
     def gradients(self, ids: np.ndarray, near: np.ndarray) -> dict[str, np.ndarray]:
-        x, h, d_class, order, cuts, sorted_h, z, sums, rare_h, (first, second), y, halves = self._forward(ids, near)
+        x, h, d_class, order, cuts, sorted_h, z, sums, rare_h, code, y, y_sums = self._forward(ids, near)
         n, every = np.float32(len(ids)), np.arange(len(ids))
         d_class[every, np.minimum(ids // IN_CLASS, CLASSES - 1)] -= 1
         d_class /= n
         z *= (1 / (sums * n))[:, None]
         z[every[: len(z)], ids[order[: len(z)]] % IN_CLASS] -= 1 / n
         rare = every[: len(y)]
-        y[:, :DIGIT] *= 1 / (halves[:, :1] * n)
-        y[:, DIGIT:] *= 1 / (halves[:, 1:] * n)
-        y[rare, first] -= 1 / n
-        y[rare, DIGIT + second] -= 1 / n
+        y *= (1 / (y_sums * n))[:, :, None]
+        for k, digit in enumerate(_digits(code)):
+            y[rare, k, digit] -= 1 / n
         ones = np.ones(len(ids), np.float32)
         g = {"c": h.T @ d_class, "cb": ones @ d_class, "o": np.zeros_like(self.p["o"]), "ob": np.zeros_like(self.p["ob"])}
         inner = np.zeros_like(h)
-        of_first = np.zeros((DIGIT, len(y)), np.float32)
-        of_first[first, rare] = 1
-        g["r"], g["rb"], g["sb"] = rare_h.T @ y, ones[: len(y)] @ y[:, :DIGIT], of_first @ y[:, DIGIT:]
-        np.matmul(y, self.p["r"].T, out=inner[len(z) :])
+        flat_y = y.reshape(-1, 3 * DIGIT)
+        g["r"], g["rb"] = rare_h.T @ flat_y, ones[: len(y)] @ y[:, 0]
+        for k, (name, before) in enumerate((("sb", code // DIGIT**2), ("tb", code // DIGIT)), 1):
+            place = (before[:, None] * DIGIT + np.arange(DIGIT)).ravel()
+            g[name] = np.bincount(place, y[:, k].ravel(), self.p[name].size).astype(np.float32).reshape(self.p[name].shape)
+        np.matmul(flat_y, self.p["r"].T, out=inner[len(z) :])
         for k in range(CLASSES - 1):
             a, b = cuts[k], cuts[k + 1]
             if a < b:
@@ -224,13 +248,23 @@ class WindowNetwork:
 
     def train(self, ids: np.ndarray, doc: np.ndarray) -> None:
         """Adam over steps of STEP_TOKENS tokens."""
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
+        m, v, x = (np.zeros_like(self.all) for _ in range(3))
         for t, (stretch, near) in enumerate(self.steps(ids, doc, STEP_TOKENS), 1):
-            for k, g in self.gradients(ids[stretch], near).items():
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                self.p[k] -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
+            found = self.gradients(ids[stretch], near)
+            g = np.concatenate([found[k].ravel() for k in _SHAPES])
+            np.subtract(g, m, out=x)
+            x *= np.float32(0.1)
+            m += x
+            g *= g
+            g -= v
+            g *= np.float32(0.01)
+            v += g
+            np.multiply(v, np.float32(1 / (1 - 0.99**t)), out=x)
+            np.sqrt(x, out=x)
+            x += np.float32(1e-6)
+            np.divide(m, x, out=x)
+            x *= np.float32(RATE / (1 - 0.9**t))
+            self.all -= x
 
 
 # --- training -------------------------------------------------------------------------------------------------------
@@ -328,7 +362,7 @@ _SCORES = [StructField("n_tokens", LongType()), StructField("log_prob", DoubleTy
 
 def class_scores(rows: DataFrame, net: WindowNetwork, keep: list[str]) -> DataFrame:
     """Kept columns, the number of tokens, and the log-probability of the tokens' ids."""
-    sent = rows.sparkSession.sparkContext.broadcast(net.double())
+    sent = rows.sparkSession.sparkContext.broadcast(net.exact())
     source = rows.select(*keep, "tokens")
     schema = StructType([*source.schema.fields[:-1], *_SCORES])
 

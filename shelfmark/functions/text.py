@@ -161,6 +161,17 @@ def request_id(now: Column) -> Column:
     return F.concat(F.lit("req_"), millis(now).cast("string"))
 
 
+def random_id(now: Column) -> Column:
+    """Milliseconds since 1970 and seven random letters or digits; another one for each row and run."""
+    letters = F.lit("0123456789abcdefghijklmnopqrstuvwxyz")
+    return F.concat(millis(now).cast("string"), F.lit("-"), *(F.substring(letters, (F.floor(F.rand() * 36) + 1).cast("int"), F.lit(1)) for _ in range(7)))
+
+
+def uuid4() -> Column:
+    """A random UUID of version 4; another one for each row and run."""
+    return F.uuid()
+
+
 def leading_digits(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"^(\d+)", 1), F.lit(""))
 

@@ -16,7 +16,11 @@ BROADCAST_TERMS = 200_000
 
 @dataclass(frozen=True)
 class Bm25Config:
-    """Parameters of the scoring and of the tokens; ``charset`` is arabic (normalised, stemmed) or unicode."""
+    """Parameters of the scoring and of the tokens; ``charset`` is arabic (normalised, stemmed) or unicode.
+
+    ``method`` is the formula, of which there is one; ``delta`` and ``remove_diacritics`` are kept in the record and have
+    no effect on it (diacritics go whenever texts are normalised).
+    """
 
     k1: float = 1.5
     b: float = 0.75
@@ -25,12 +29,29 @@ class Bm25Config:
     remove_stopwords: bool = True
     min_token_length: int = 2
     custom_stopwords: tuple[str, ...] = ()
+    delta: float = 0.5
+    method: str = "lucene"
+    normalize: bool = True
+    remove_diacritics: bool = True
+    min_stem_length: int = 3
+
+    def __post_init__(self):
+        if self.method != "lucene":
+            raise ValueError("the method is lucene")
+
+    def to_dict(self) -> dict:
+        """The record without custom stop-words."""
+        return {k: v for k, v in asdict(self).items() if k != "custom_stopwords"}
+
+    @classmethod
+    def from_dict(cls, found: dict) -> Bm25Config:
+        return cls(**{k: v for k, v in found.items() if k != "custom_stopwords"})
 
     def tokens(self, c: Column) -> Column:
         if self.charset != "arabic":
             return TOKENS[self.charset](c)
         stops = (*stop_words(), *self.custom_stopwords) if self.remove_stopwords else ()
-        return arabic_tokens(c, self.apply_stemming, stops, self.min_token_length)
+        return arabic_tokens(c, self.apply_stemming, stops, self.min_token_length, self.min_stem_length, self.normalize)
 
 
 def term_frequencies(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -142,6 +163,17 @@ class Bm25Model:
         weighted = self.query_terms(queries, key, text).join(self.terms, "term").select("query_id", "idx", (F.col("qtf") * F.col("idf")).alias("weight"))
         return sparse_vectors(weighted, "query_id")
 
+    def encode(self, texts: DataFrame, is_query: bool = False, key: str = "text_id", text: str = "text") -> DataFrame:
+        """``key, sparse_vector`` of any texts: as queries, or as documents by the corpus's statistics; terms that the
+        corpus lacks are dropped, and a text without any has a null vector."""
+        if is_query:
+            made = self.encode_queries(texts, key, text).withColumnRenamed("query_id", key)
+        else:
+            found = term_frequencies(texts.select(key, text), key, self.config.tokens(F.col(text)))
+            joined = found.crossJoin(F.broadcast(self.stats)).join(self.terms.select("term", "idx", "idf"), "term")
+            made = sparse_vectors(joined.select(key, "idx", (F.col("idf") * self._tf_norm()).alias("weight")), key)
+        return texts.select(key).join(made, key, "left")
+
     def idf(self, terms: list[str]) -> DataFrame:
         """``term, idf``; null for a term that the corpus lacks."""
         asked = self.terms.sparkSession.createDataFrame([(t,) for t in terms], "term string")
@@ -156,7 +188,7 @@ class Bm25Model:
 
     def save(self, path: str) -> None:
         """Three tables and one row of settings (custom stop-words are not saved)."""
-        settings = {k: v for k, v in asdict(self.config).items() if k != "custom_stopwords"}
+        settings = self.config.to_dict()
         for name in ("terms", "postings", "docs", "stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         self.terms.sparkSession.createDataFrame([settings]).write.mode("overwrite").parquet(f"{path}/config")
@@ -164,7 +196,7 @@ class Bm25Model:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Bm25Model:
         settings = spark.read.parquet(f"{path}/config").first().asDict()
-        return cls(Bm25Config(**settings), *(spark.read.parquet(f"{path}/{n}") for n in ("terms", "postings", "docs", "stats")))
+        return cls(Bm25Config.from_dict(settings), *(spark.read.parquet(f"{path}/{n}") for n in ("terms", "postings", "docs", "stats")))
 
 
 def is_small(asked: DataFrame) -> bool:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from shelfmark.functions.text import clean_html, spliced_html
+from shelfmark.functions.text import clean_html, spliced_html, stripped
 from shelfmark.operators import scans
 from shelfmark.session import stored
 
@@ -103,17 +107,65 @@ def _climbed(entries: DataFrame, key: str, parent: str, path: bool) -> tuple[Dat
     return rows.where("up is null"), rows.where("up is not null")
 
 
-def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 400, overlap: int = 2) -> DataFrame:
-    """``key, chunk, first_sentence, n_words, text``: runs of whole sentences of about ``most`` words, each after the
-    last ``overlap`` sentences of the one before."""
-    cut = F.filter(F.split(F.col(text), r"(?<=[.!?؟])\s+"), lambda s: F.trim(s) != "")
-    sentences = docs.select(key, F.posexplode(cut).alias("at", "sentence")).withColumn("n", F.size(F.split("sentence", r"\s+")))
-    window = Window.partitionBy(key).orderBy("at")
-    before = F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    dealt = sentences.withColumn("chunk", F.floor(before / most).cast("bigint"))
-    last = dealt.withColumn("last", F.coalesce(F.lead("chunk", overlap).over(window), F.max("chunk").over(Window.partitionBy(key))))
-    spread = last.withColumn("in_chunk", F.explode(F.sequence(F.col("chunk"), F.least(F.col("chunk") + 1, F.greatest("chunk", "last")))))
-    parts = F.array_sort(F.collect_list(F.struct("at", "sentence")))
-    grouped = spread.groupBy(key, F.col("in_chunk").alias("chunk")).agg(F.min("at").alias("first_sentence"), F.sum("n").cast("bigint").alias("n_words"), parts.alias("parts"))
-    return grouped.withColumn("text", F.array_join(F.transform("parts", lambda p: p["sentence"]), " ")).drop("parts")
+#: Words of a chunk, sentences that chunks share, chunks that are embedded at a time.
+LEAST_WORDS, MOST_WORDS, OVERLAP, BATCH = 100, 400, 2, 8
+#: Sentences on either side of a gap that are compared; words after which a long document goes on in another task.
+SIDE, BLOCK_WORDS = 3, 8000
+
+
+def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, most: int = MOST_WORDS, overlap: int = OVERLAP, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``key, chunk, batch, first_sentence, n_words, n_own, text``: runs of whole sentences, each after the last
+    ``overlap`` sentences of the one before; ``n_own`` are the words without those.
 
+    A chunk has ``least`` to ``most`` words of its own, where sentences allow it, and ends where its text coheres least: of
+    the gaps that leave such sizes, the one with the fewest words in common between the SIDE sentences before and after it
+    (Jaccard; the first of equal ones). The rest of a block may be shorter. Documents are dealt by blocks of about
+    ``block_words`` words, which chunks don't cross, so that a very long one is cut by many tasks.
+    """
+    pieces = F.filter(F.split(F.col(text), r"(?<=[.!?؟])\s+"), lambda s: stripped(s) != "")
+    sentences = docs.select(key, F.posexplode(pieces).alias("at", "sentence")).withColumn("n", F.size(F.split(stripped(F.col("sentence")), r"\s+")).cast("long"))
+    placed = scans.running(scans.dealt(sentences, "at"), [key], ["at"], sums={"__upto": F.col("n")}).drop(scans.RANGE)
+    blocked = placed.withColumn("__block", F.floor((F.col("__upto") - F.col("n")) / block_words))
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("at")
+        starts = set(chunk_starts(rows.sentence.tolist(), rows.n.tolist(), least, most))
+        return rows.assign(starts=[int(i in starts) for i in range(len(rows))])[[key, "at", "sentence", "n", "starts"]]
+
+    schema = StructType([f for f in sentences.schema if f.name in (key, "at", "sentence", "n")]).add("starts", LongType())
+    numbered = scans.running(scans.dealt(blocked.groupBy(key, "__block").applyInPandas(cut, schema), "at"), [key], ["at"], sums={"__chunk": F.col("starts")})
+    dealt = stored(numbered.select(key, "at", "sentence", "n", (F.col("__chunk") - 1).alias("chunk")))
+    # the last sentences of a chunk stand before the next one as well
+    back = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(key, "chunk").orderBy(F.desc("at")))).where(F.col("__r") <= overlap)
+    last = dealt.groupBy(F.col(key).alias("__key")).agg(F.max("chunk").alias("__last"))
+    shared = back.join(last, F.col(key).eqNullSafe(F.col("__key"))).where(F.col("chunk") < F.col("__last")).select(key, "at", "sentence", "n", (F.col("chunk") + 1).alias("chunk"), F.lit(False).alias("own"))
+    parts = F.array_sort(F.collect_list(F.struct("at", "sentence")))
+    grouped = dealt.withColumn("own", F.lit(True)).unionByName(shared).groupBy(key, "chunk").agg(
+        F.min("at").alias("first_sentence"), F.sum("n").alias("n_words"), F.sum(F.when(F.col("own"), F.col("n"))).alias("n_own"), parts.alias("parts")
+    )
+    whole = F.array_join(F.transform("parts", lambda p: p["sentence"]), " ")
+    return grouped.select(key, "chunk", F.floor(F.col("chunk") / BATCH).alias("batch"), "first_sentence", "n_words", "n_own", whole.alias("text"))
+
+
+def chunk_starts(sentences: list[str], sizes: list[int], least: int, most: int) -> list[int]:
+    """Places of the sentences that chunks begin with."""
+    words = [set(s.lower().split()) for s in sentences]
+    upto = [0, *accumulate(sizes)]
+    starts, n = [0], len(sentences)
+    while upto[n] - upto[starts[-1]] > most:
+        at = starts[-1]
+        fitting = [g for g in range(at + 1, n) if least <= upto[g] - upto[at] <= most]
+        whole = [g for g in fitting if upto[n] - upto[g] >= least] or fitting
+        if whole:
+            starts.append(min(whole, key=lambda g: (_cohesion(words, g), g)))
+        else:  # one sentence leads from too few words to too many
+            after = next((g for g in range(at + 1, n) if upto[g] - upto[at] >= least), n)
+            if after == n:
+                break
+            starts.append(after)
+    return starts
+
+
+def _cohesion(words: list[set[str]], gap: int) -> float:
+    before, after = set().union(*words[max(0, gap - SIDE) : gap]), set().union(*words[gap : gap + SIDE])
+    return len(before & after) / max(1, len(before | after))

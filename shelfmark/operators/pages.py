@@ -113,15 +113,16 @@ LEAST_WORDS, MOST_WORDS, OVERLAP, BATCH = 100, 400, 2, 8
 SIDE, BLOCK_WORDS = 3, 8000
 
 
-def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, most: int = MOST_WORDS, overlap: int = OVERLAP, block_words: int = BLOCK_WORDS) -> DataFrame:
+def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int | None = None, most: int = MOST_WORDS, overlap: int = OVERLAP, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``key, chunk, batch, first_sentence, n_words, n_own, text``: runs of whole sentences, each after the last
     ``overlap`` sentences of the one before; ``n_own`` are the words without those.
 
-    A chunk has ``least`` to ``most`` words of its own, where sentences allow it, and ends where its text coheres least: of
+    A chunk has ``least`` (a quarter of ``most`` by default) to ``most`` words of its own, where sentences allow it, and ends where its text coheres least: of
     the gaps that leave such sizes, the one with the fewest words in common between the SIDE sentences before and after it
     (Jaccard; the first of equal ones). The rest of a block may be shorter. Documents are dealt by blocks of about
     ``block_words`` words, which chunks don't cross, so that a very long one is cut by many tasks.
     """
+    least = most * LEAST_WORDS // MOST_WORDS if least is None else least
     pieces = F.filter(F.split(F.col(text), r"(?<=[.!?؟])\s+"), lambda s: stripped(s) != "")
     sentences = docs.select(key, F.posexplode(pieces).alias("at", "sentence")).withColumn("n", F.size(F.split(stripped(F.col("sentence")), r"\s+")).cast("long"))
     placed = scans.running(scans.dealt(sentences, "at"), [key], ["at"], sums={"__upto": F.col("n")}).drop(scans.RANGE)

@@ -234,5 +234,5 @@ def test_segments(spark):
         got = chat.segmented(messages, "m", "content", chunks, keep_unresolved=keep).orderBy("m", "part").collect()
         return [(r.m, r.text, r.ids, [s.name for s in r.sources] if r.ids else None) for r in got]
 
-    assert parts(False) == [(1, "x ", None, None), (1, None, [1, 9], ["one"]), (1, " y ", None, None), (1, " z", None, None), (4, "plain", None, None)]
+    assert parts(False) == [(1, "x ", None, None), (1, None, [1, 9, 1], ["one", "one"]), (1, " y ", None, None), (1, " z", None, None), (4, "plain", None, None)]
     assert [p for p in parts(True) if p not in parts(False)] == [(1, None, [8], []), (2, None, [9], [])]

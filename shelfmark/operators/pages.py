@@ -19,10 +19,22 @@ def islands(pages: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
     Rows with the same place in the order count as sorted by value. A key's rows are dealt by ranges of the order.
     """
-    placed = scans.running(scans.dealt(pages, order), [key], [order, value], previous={"__before": value})
-    changed = (F.col("__before").isNull() | ~F.col("__before.v").eqNullSafe(F.col(value))).cast("long")
-    counted = scans.running(placed, [key], [order, value], sums={"island": changed})
-    return counted.withColumn("island", F.col("island") - 1).select(*pages.columns, "island")
+    rows = scans.dealt(pages, order)
+    walk = Window.partitionBy(key, scans.RANGE).orderBy(order, value)
+    changed = F.when(F.row_number().over(walk) > 1, (~F.lag(value).over(walk).eqNullSafe(F.col(value))).cast("long")).otherwise(0)
+    inside = rows.withColumn("__changed", changed)
+    counted = inside.withColumn("__run", F.sum("__changed").over(walk.rowsBetween(Window.unboundedPreceding, 0)))
+
+    # each range's changes, and whether it begins with another value than the range before it ended with
+    place = F.struct(order, value)
+    passed = [F.sum("__changed").alias("__n"), F.min_by(F.struct(value), place).alias("__head"), F.max_by(F.struct(value), place).alias("__tail")]
+    ends = inside.groupBy(F.col(key).alias("__k"), F.col(scans.RANGE).alias("__r")).agg(*passed)
+    ranges = Window.partitionBy("__k").orderBy("__r")
+    begins = (~F.lag("__tail").over(ranges).eqNullSafe(F.col("__head"))).cast("long")
+    upto = F.sum(F.col("__n") + F.col("__begins")).over(ranges.rowsBetween(Window.unboundedPreceding, 0))
+    before = ends.select("__k", "__r", "__n", begins.alias("__begins")).select("__k", "__r", (upto - F.col("__n") - 1).alias("__before"))
+    met = counted.join(before, F.col(key).eqNullSafe(F.col("__k")) & (F.col(scans.RANGE) == F.col("__r")))
+    return met.withColumn("island", F.col("__before") + F.col("__run")).select(*pages.columns, "island")
 
 
 def page_groups(pages: DataFrame, key: str = "book_id", order: str = "page_id", number: str = "page_num", title: str = "part_title", html: str = "display_elem") -> DataFrame:

@@ -62,6 +62,25 @@ def test_suffix_dedup_of_many_different_segments(spark, monkeypatch):
     assert list(zip(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) == brute.removed(texts)
 
 
+def _colliding():
+    """Two different texts of 200 bytes with one sum of powers (their 40 last letters, which hold the anchor, are equal)."""
+    pairs, tail = ("HK", "Kk", "r5", "EP", "0a"), "pmtfhlrexiuqvhiqjufqmmqkhbqtfysglsdpuvur"
+    word = lambda a, b: "".join(b if bin(i).count("1") % 2 else a for i in range(32))
+    return "".join(word(a, b) for a, b in pairs) + tail, "".join(word(b, a) for a, b in pairs) + tail
+
+
+def test_suffix_dedup_of_texts_with_equal_sums(spark, monkeypatch):
+    one, other = _colliding()
+    sums = [int(common.Rolling(common.BYTE_VALUES[np.frombuffer(t.encode(), np.uint8)]).windows(200)[0]) for t in (one, other)]
+    assert one != other and sums[0] == sums[1]
+    texts = [one, other, "q" + one[:199], other[1:] + "q"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for group in (suffix_dedup.GROUP, 1):  # merged, and counted one by one
+        monkeypatch.setattr(suffix_dedup, "GROUP", group)
+        r = by_id(suffix_dedup.repeated_spans(df))
+        assert list(zip(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) == brute.removed(texts) and not r.n_removed.any()
+
+
 def test_merge_of_transforms():
     rng = random.Random(1)
     base = [bytes(rng.randrange(97, 101) for _ in range(600)) for _ in range(4)]

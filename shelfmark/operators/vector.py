@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from shelfmark.operators.bm25 import top_k
-from shelfmark.session import new_folder, stored
+from shelfmark.session import new_folder, spread, stored
 
 MIN_K, MAX_K, DEFAULT_K = 1, 100, 15
 #: Queries that are broadcast at a time; a larger set is searched block by block.
@@ -40,7 +40,7 @@ def similarity(a: Column, b: Column, metric: str = "ip") -> Column:
 
 def _row_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[list[tuple]]:
     rows = []
-    for r in queries.where(F.col(vector).isNotNull()).select(key, vector).toLocalIterator():
+    for r in queries.where(_whole(vector)).select(key, vector).toLocalIterator():
         rows.append((r[0], r[1]))
         if len(rows) == QUERY_BLOCK:
             yield rows
@@ -54,61 +54,135 @@ def _blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndar
         yield np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: str = "ip", where: Column | None = None, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "embedding", digits: int = 6) -> DataFrame:
+#: Scores of pairs that a task holds at a time, and pairs that are scored again one by one.
+TILE, PAIRS = 1 << 20, 1 << 14
+
+
+class _Best:
+    """The k best vectors of each query among those that a task has seen; ties by id.
+
+    Pairs are scored in tiles of bounded size by one matrix product. Those that can reach a query's k-th best so far are
+    scored again one by one, so that a score does not depend on how rows are cut into batches. Scores that are no numbers
+    are left out, or come first (``nan_first``), as in the order of SQL.
+    """
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, metric: str = "ip", digits: int = 6, nan_first: bool = False):
+        self.ids, self.q, self.k, self.metric, self.digits, self.nan_first = ids, q, k, metric, digits, nan_first
+        self.sizes = np.sqrt((q * q).sum(1))
+        self.odd = ~np.isfinite(q).all(1)
+        self.floor = np.full(len(ids), -np.inf)
+        self.held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query's place, id, score
+
+    def add(self, names: np.ndarray, v: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """More vectors, for all queries or those at the places ``asked``."""
+        asked = np.arange(len(self.ids)) if asked is None else asked
+        if not len(asked):
+            return
+        step = max(1, TILE // len(asked))
+        with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+            for i in range(0, len(names), step):
+                self._tile(names[i : i + step], v[i : i + step], asked)
+
+    def _tile(self, names: np.ndarray, v: np.ndarray, asked: np.ndarray) -> None:
+        size, floor = np.sqrt((v * v).sum(1)), self.floor[asked]
+        near = self.q[asked] @ v.T
+        # how far off a score of the product may be, and the least one that counts
+        bad = ~np.isfinite(v).all(1)
+        longest = size[~bad].max(initial=0.0)
+        off = 1e-12 * self.sizes[asked] * longest
+        least = floor - 10.0**-self.digits - off
+        if self.metric == "cosine":
+            near /= self.sizes[asked][:, None]
+            near /= size[None]
+            least = floor - 10.0**-self.digits - 1e-12
+        elif self.metric == "l2":
+            near *= 2
+            near -= (size * size)[None]
+            near -= (self.sizes[asked] ** 2)[:, None]
+            reach = 10.0**-self.digits - floor
+            least = -reach * reach - 1e-12 * (self.sizes[asked] ** 2 + longest**2)
+        chosen = near >= least[:, None]
+        if len(names) > 4 * self.k and np.count_nonzero(chosen) > 4 * self.k * len(asked):
+            # a first tile: what ties with the k-th of the tile, or nearly, is enough
+            kth = np.partition(np.where(np.isnan(near), -np.inf, near), len(names) - self.k, axis=1)[:, len(names) - self.k]
+            apart = (2 * 10.0**-self.digits) * (np.sqrt(np.maximum(-kth, 0)) + 1) if self.metric == "l2" else 2 * 10.0**-self.digits
+            slack = 2e-12 * (self.sizes[asked] ** 2 + longest**2) if self.metric == "l2" else 2 * off + 2e-12
+            chosen &= near >= (kth - apart - slack)[:, None]
+        chosen[:, bad] = True
+        chosen[self.odd[asked]] = True
+        place, row = np.nonzero(chosen)
+        if len(place):
+            score = np.concatenate([self._scores(asked[place[j : j + PAIRS]], v, row[j : j + PAIRS]) for j in range(0, len(place), PAIRS)])
+            have = ~np.isnan(score) | (self.nan_first & ((bad[row] | self.odd[asked[place]])))
+            self._keep(asked[place][have], names[row][have], score[have])
+
+    def _scores(self, place: np.ndarray, v: np.ndarray, row: np.ndarray) -> np.ndarray:
+        a, b = self.q[place], v[row]
+        if self.metric == "l2":
+            return np.round(0.0 - np.sqrt(((a - b) ** 2).sum(1)), self.digits)
+        score = (a * b).sum(1)
+        if self.metric == "cosine":
+            sizes = self.sizes[place] * np.sqrt((b * b).sum(1))
+            score = np.where(sizes != 0, score / sizes, np.nan)
+        return np.round(score, self.digits)
+
+    def _keep(self, place: np.ndarray, names: np.ndarray, score: np.ndarray) -> None:
+        place, names, score = (np.concatenate(x) for x in zip(self.held, (place, names, score)))
+        number = ~np.isnan(score)
+        order = np.lexsort((names, -np.where(number, score, 0), number, place))
+        ordered = place[order]
+        rank = np.arange(len(order)) - np.searchsorted(ordered, ordered)
+        order, last = order[rank < self.k], order[rank == self.k - 1]
+        self.held = place[order], names[order], score[order]
+        self.floor[place[last]] = np.where(number[last], score[last], np.inf)
+
+    def found(self) -> pa.RecordBatch:
+        place, names, score = self.held
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[place]), pa.array(names), pa.array(score, from_pandas=False)], names=["query_id", "id", "score"])
+
+
+_FOUND = StructType([StructField("query_id", LongType()), StructField("id", LongType()), StructField("score", DoubleType())])
+
+
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: str = "ip", where: Column | None = None, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "embedding", digits: int = 6, nan_first: bool = False) -> DataFrame:
     """``query_id, id, score, rank``: the k nearest of all vectors that pass ``where``, for each query; ties by id.
 
     The filter comes before the ranking. Rows and queries without a vector are left out, and under cosine a pair with a
-    zero vector, which has no direction. Queries go out in blocks of bounded size; each Arrow batch is one matrix
-    product and keeps its own k best, so that the shuffle carries k rows a query and batch.
+    zero vector, which has no direction. Queries go out in blocks of bounded size; each task scores them in tiles and keeps
+    its own k best, so that the shuffle carries k rows a query and task.
     """
     check_k(k)
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    source = (vectors if where is None else vectors.where(where)).where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    schema = StructType([StructField("query_id", LongType()), StructField("id", LongType()), StructField("score", DoubleType())])
+    source = spread((vectors if where is None else vectors.where(where)).where(_whole(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")))
     out = None
     for ids, rows in _blocks(queries, query_key, query_vector):
         sent = vectors.sparkSession.sparkContext.broadcast((ids, rows))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            query_ids, q = sent.value
+            best = _Best(*sent.value, k, metric, digits, nan_first)
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                names = batch.column("id").to_numpy(zero_copy_only=False)
-                v = _matrix(batch.column("v"))
-                score = q @ v.T
-                if metric == "cosine":
-                    sizes = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None]
-                    score = np.where(sizes > 0, score / np.where(sizes > 0, sizes, 1), np.nan)
-                elif metric == "l2":
-                    score = 0.0 - np.sqrt(np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * score, 0))
-                score = np.round(score, digits)
-                best = [_kept(names, row, k) for row in score]
-                each = np.concatenate(best)
-                rows = np.repeat(np.arange(len(best)), [len(b) for b in best])
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[rows]), pa.array(names[each]), pa.array(score[rows, each])], names=["query_id", "id", "score"])
-
-        found = source.mapInArrow(run, schema)
+                if batch.num_rows:
+                    best.add(batch.column("id").to_numpy(zero_copy_only=False), _matrix(batch.column("v")))
+            yield best.found()
+
+        found = source.mapInArrow(run, _FOUND)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        out = vectors.sparkSession.createDataFrame([], schema)
+        out = vectors.sparkSession.createDataFrame([], _FOUND)
     return top_k(out, k, "query_id", [F.desc("score"), F.asc("id")])
 
 
 def dense_top_k_columns(vectors: DataFrame, queries: DataFrame, k: int = DEFAULT_K, metric: str = "ip", key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "embedding", digits: int = 6) -> DataFrame:
-    """The same in Column expressions only; each block of queries is broadcast by itself."""
-    check_k(k)
-    asked = queries.select(F.col(query_key).alias("query_id"), F.col(query_vector).alias("qv"))
-    source = vectors.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    scored = None
-    for rows in _row_blocks(asked, "query_id", "qv"):
-        found = source.crossJoin(F.broadcast(vectors.sparkSession.createDataFrame(rows, asked.schema)))
-        scored = found if scored is None else scored.unionByName(found)
-    if scored is None:
-        scored = source.crossJoin(asked)
-    scored = scored.select("query_id", "id", F.round(similarity(F.col("qv"), F.col("v"), metric), digits).alias("score")).where("score is not null")
-    return top_k(scored, k, "query_id", [F.desc("score"), F.asc("id")])
+    """The same with the order of Column expressions (``similarity``): scores that are no numbers come first.
+
+    A row for each pair takes about 2 microseconds of an expression over arrays, so pairs are scored in tiles here too.
+    """
+    return dense_top_k(vectors, queries, k, metric, None, key, vector, query_key, query_vector, digits, nan_first=True)
+
+
+def _whole(vector: str) -> Column:
+    return F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
 
 
 def sparse_top_k(postings: DataFrame, query_terms: DataFrame, k: int = DEFAULT_K, drop_ratio: float = 0.0, digits: int = 6) -> DataFrame:
@@ -176,8 +250,8 @@ class InvertedFile:
                 if not batch.num_rows:
                     continue
                 v = _matrix(batch.column("v"))
-                far = np.maximum((v * v).sum(1)[:, None] + (centers * centers).sum(1)[None] - 2 * v @ centers.T, 0)
-                cell = far.argmin(1)
+                step, lengths = max(1, TILE // len(centers)), (centers * centers).sum(1)
+                cell = np.concatenate([(lengths[None] - 2 * v[i : i + step] @ centers.T).argmin(1) for i in range(0, len(v), step)])
                 off = np.sqrt(((v - centers[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(off), pa.array(cell.astype(np.int32))], names=["id", "v", "off", "cell"])
 
@@ -206,7 +280,6 @@ class InvertedFile:
         the radius. Queries go out in blocks; a batch of vectors meets only the queries that probe its cell.
         """
         check_k(k)
-        schema = StructType([StructField("query_id", LongType()), StructField("id", LongType()), StructField("score", DoubleType())])
         order = [F.desc("score"), F.asc("id")]
         out = None
         for ids, q in _blocks(queries, query_key, query_vector) if self.table is not None else ():
@@ -215,7 +288,7 @@ class InvertedFile:
             before = np.cumsum(self.sizes[near], 1) - self.sizes[near]
             probes = np.zeros(near.shape, bool)
             np.put_along_axis(probes, near, before < share * self.sizes.sum(), 1)
-            found = self._scored(ids, q, probes, k, digits, schema)
+            found = self._scored(ids, q, probes, k, digits)
             if exact:
                 found = stored(top_k(found, k, "query_id", order).drop("rank"))
                 worst = {r["query_id"]: (r["n"], r["worst"]) for r in found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst")).collect()}  # one of each query
@@ -223,32 +296,28 @@ class InvertedFile:
                 most = middle + np.linalg.norm(q, axis=1)[:, None] * self.radii[None]
                 more = ~probes & (most + 10.0**-digits >= floor[:, None])
                 if more.any():
-                    found = found.unionByName(self._scored(ids, q, more, k, digits, schema))
+                    found = found.unionByName(self._scored(ids, q, more, k, digits))
             out = found if out is None else out.unionByName(found)
         if out is None:
-            out = self.spark.createDataFrame([], schema)
+            out = self.spark.createDataFrame([], _FOUND)
         return top_k(out, k, "query_id", order)
 
-    def _scored(self, ids: np.ndarray, q: np.ndarray, probes: np.ndarray, k: int, digits: int, schema: StructType) -> DataFrame:
+    def _scored(self, ids: np.ndarray, q: np.ndarray, probes: np.ndarray, k: int, digits: int) -> DataFrame:
         place = {int(c): i for i, c in enumerate(self.names)}
         sent = self.spark.sparkContext.broadcast((ids, q, probes, place))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q, probes, place = sent.value
+            best = _Best(ids, q, k, digits=digits)
             for batch in batches:
                 cell, names, v = batch.column("cell").to_numpy(), batch.column("id").to_numpy(), _matrix(batch.column("v"))
-                rows = []
                 for c in np.unique(cell):
-                    asked, here = np.flatnonzero(probes[:, place[int(c)]]), np.flatnonzero(cell == c)
-                    score = np.round(q[asked] @ v[here].T, digits)
-                    rows += [(a, here[best], score[i][best]) for i, a in enumerate(asked) for best in [_kept(names[here], score[i], k)]]
-                if rows:
-                    sizes = [len(h) for _, h, _ in rows]
-                    columns = [np.repeat(ids[[a for a, _, _ in rows]], sizes), names[np.concatenate([h for _, h, _ in rows])], np.concatenate([s for _, _, s in rows])]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "id", "score"])
+                    here = np.flatnonzero(cell == c)
+                    best.add(names[here], v[here], np.flatnonzero(probes[:, place[int(c)]]))
+            yield best.found()
 
         wanted = self.names[probes.any(0)].tolist()
-        return self.probed(wanted).select("id", "v", "cell").mapInArrow(run, schema)
+        return self.probed(wanted).select("id", "v", "cell").mapInArrow(run, _FOUND)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

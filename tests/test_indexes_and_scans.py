@@ -192,3 +192,24 @@ def test_depths_of_deep_chains_and_cycles(spark):
     few = spark.createDataFrame([(1, 0), (2, 1), (3, 2), (8, 9), (9, 8)], "id long, parent long")
     assert {r.id: (r.depth, r.path) for r in pages.depths(few).collect()} == {1: (0, "1"), 2: (1, "1/2"), 3: (2, "1/2/3")}
     assert pages.depths(few.limit(0)).count() == 0 == pages.cycles(few.where("id < 4")).count()
+
+
+def test_scores_of_a_task_are_tiles(spark, monkeypatch):
+    """However many vectors and queries: no more than TILE scores at once, k rows a query and task, and no row for each pair."""
+    rng = np.random.default_rng(8)
+    v, q, seen = rng.normal(size=(900, 4)), rng.normal(size=(40, 4)), []
+    monkeypatch.setattr(vector, "TILE", 1000)
+    tile = vector._Best._tile
+    monkeypatch.setattr(vector._Best, "_tile", lambda self, names, v, asked: (seen.append(len(names) * len(asked)), tile(self, names, v, asked)))
+    for metric in vector.METRICS:
+        best = vector._Best(np.arange(40), q, 3, metric)
+        for part in np.array_split(np.arange(900), 4):
+            best.add(part, v[part])
+        score = {"ip": q @ v.T, "l2": -np.linalg.norm(q[:, None] - v[None], axis=2), "cosine": q @ v.T / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(v, axis=1)}[metric]
+        assert best.found().column("id").to_pylist() == np.argsort(-score, axis=1)[:, :3].ravel().tolist()
+    assert max(seen) <= 1000 and len(seen) > 3 * 36
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v[:50])], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id < 3").withColumnRenamed("vec_id", "query_id")
+    assert "NestedLoop" not in vector.dense_top_k_columns(rows, asked, 2)._jdf.queryExecution().executedPlan().toString()
+    odd = rows.unionByName(spark.createDataFrame([(90, [float("nan"), 1.0, 1.0, 1.0]), (91, [None, 1.0, 1.0, 1.0])], rows.schema))
+    assert [r.id for r in vector.dense_top_k_columns(odd, asked, 1).collect()] == [90] * 3 and 90 not in {r.id for r in vector.dense_top_k(odd, asked, 9).collect()}

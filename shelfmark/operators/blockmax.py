@@ -7,7 +7,7 @@ their largest weight, and the list of (id, weight), which is read only for block
 2. scores the blocks with the highest bounds, FIRST of them, which gives each query a floor: its k-th best score so far;
 3. scores those other blocks whose bound reaches the floor. What is left out cannot be among the k best.
 
-The table is sorted by term, so that the terms of a few queries are found by the statistics of its row groups.
+Each file of the table is sorted by term, so that the terms of a few queries are found by the statistics of its row groups.
 """
 
 from __future__ import annotations
@@ -28,16 +28,20 @@ class BlockIndex:
         self.blocks = spark.read.schema("term string, block long, most double, n long, entries array<struct<id:bigint,weight:double>>").parquet(path)
 
     @classmethod
-    def build(cls, postings: DataFrame, path: str | None = None, block_docs: int = BLOCK_DOCS) -> BlockIndex:
-        """From ``postings(id, term, weight)`` with weights above 0, one for each id and term."""
+    def build(cls, postings: DataFrame, path: str | None = None, block_docs: int = BLOCK_DOCS, n_docs: int | None = None) -> BlockIndex:
+        """From ``postings(id, term, weight)`` with weights above 0, one for each id and term; with about ``n_docs`` ids,
+        which are counted if not given."""
         spark = postings.sparkSession
         path = path or new_folder(spark)
-        postings = stored(postings.where("weight > 0").select(F.col("id").cast("long").alias("id"), "term", F.col("weight").cast("double").alias("weight")))
-        n_docs = postings.agg(F.approx_count_distinct("id")).first()[0]
+        postings = postings.where("weight > 0").select(F.col("id").cast("long").alias("id"), "term", F.col("weight").cast("double").alias("weight"))
+        if n_docs is None:
+            postings = stored(postings)
+            n_docs = postings.agg(F.approx_count_distinct("id")).first()[0]
         block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_docs // block_docs))))
         entries = F.collect_list(F.struct("id", "weight"))  # as many as a block has documents
-        made = postings.groupBy("term", block.alias("block")).agg(F.max("weight").alias("most"), F.count("*").alias("n"), entries.alias("entries"))
-        made.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(path)
+        made = postings.repartition("term").groupBy("term", block.alias("block")).agg(F.max("weight").alias("most"), F.count("*").alias("n"), entries.alias("entries"))
+        # each file is sorted by term: its row groups are ranges of terms
+        made.sortWithinPartitions("term", "block").write.parquet(path)
         return cls(spark, path)
 
     def _met(self, asked: DataFrame, few: bool) -> DataFrame:

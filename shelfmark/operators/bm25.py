@@ -108,7 +108,9 @@ class Bm25Model:
 
     def weights(self) -> DataFrame:
         """``id, term, weight`` of all postings: idf times the normalised frequency."""
-        joined = self.postings.crossJoin(F.broadcast(self.stats)).join(inverse_frequencies(self.postings, self.stats), "term")
+        # one shuffle by term serves the counts and the join, and what groups by term afterwards
+        held = self.postings.repartition("term")
+        joined = held.crossJoin(F.broadcast(self.stats)).join(inverse_frequencies(held, self.stats).hint("shuffle_hash"), "term")
         return joined.select(F.col("doc_id").alias("id"), "term", (F.col("idf") * self._tf_norm()).alias("weight"))
 
     def _tf_norm(self) -> Column:
@@ -146,7 +148,7 @@ class Bm25Model:
 
         Only the k least ids can fill a query up, so these and not all documents meet the queries.
         """
-        hits = self.search(queries, 2 * k, key, text, digits).drop("rank")
+        hits = stored(self.search(queries, 2 * k, key, text, digits).drop("rank"))  # read twice
         asked = self.query_terms(queries, key, text).select("query_id").distinct()
         least = self.docs.select("doc_id").orderBy("doc_id").limit(2 * k)
         zeros = asked.crossJoin(F.broadcast(least)).join(hits, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"))
@@ -154,7 +156,8 @@ class Bm25Model:
 
     def encode_documents(self) -> DataFrame:
         """``doc_id, sparse_vector``: term index to weight, positive weights only, in order of the index."""
-        joined = self.postings.crossJoin(F.broadcast(self.stats)).join(self.terms.select("term", "idx", "idf"), "term")
+        # terms are hashed, so that the postings of the whole corpus are not sorted by them
+        joined = self.postings.crossJoin(F.broadcast(self.stats)).join(self.terms.select("term", "idx", "idf").hint("shuffle_hash"), "term")
         weighted = joined.select("doc_id", "idx", (F.col("idf") * self._tf_norm()).alias("weight"))
         return self.docs.select("doc_id").join(sparse_vectors(weighted, "doc_id"), "doc_id", "left")
 

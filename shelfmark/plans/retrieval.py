@@ -9,7 +9,7 @@ from shelfmark.operators import fusion, vector
 from shelfmark.operators.blockmax import BlockIndex
 from shelfmark.operators.bm25 import Bm25Config, Bm25Model, fit_per_request, term_frequencies
 from shelfmark.plans.base import Queries
-from shelfmark.session import new_folder, table
+from shelfmark.session import new_folder, stored, table
 from shelfmark.sources import files
 
 query = Queries()
@@ -168,7 +168,7 @@ def _(spark, sf):
     """The same search over stored blocks, most of which are left out by their bounds."""
     model = _model(spark, sf).kept()
     asked = model.query_terms(_asked(spark, sf)).select("query_id", "term", F.col("qtf").cast("double").alias("weight"))
-    return BlockIndex.build(model.weights()).search(asked, K)
+    return BlockIndex.build(model.weights(), n_docs=model.postings.select("doc_id").distinct().count()).search(asked, K)
 
 
 @query(
@@ -181,7 +181,7 @@ def _(spark, sf):
 def _(spark, sf):
     model = _model(spark, sf)
     terms = model.query_terms(_asked(spark, sf))
-    weighted = model.weighted(terms)
+    weighted = stored(model.weighted(terms))
     asked = terms.join(weighted.select("term", "idf").distinct(), "term").select("query_id", "term", F.round(F.col("qtf") * F.col("idf"), 9).alias("weight"))
     return vector.sparse_top_k(weighted.select(F.col("doc_id").alias("id"), "term", (F.col("idf") * F.col("tf_norm")).alias("weight")), asked, K, drop_ratio=0.2)
 

@@ -3,6 +3,7 @@
 import json
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,21 @@ def test_lines_that_come_twice(spark):
 def test_bursts(spark):
     rows = spark.sql("SELECT 'u' AS k, timestamp_millis(t) AS at, v FROM VALUES (0L, 1), (200L, 2), (1000L, 3) AS x(t, v)")
     assert sorted(r.v for r in replies.settled(rows, "k", "at", "v").collect()) == [2, 3]
+
+
+def test_a_whole_reply_takes_few_calls_to_the_store():
+    """A request whose lines come at once has no message, nothing that waits and no timer to look up or clear."""
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            return lambda *a: (calls.append(f"{self.name}.{call}"), [] if call in ("iterator", "listTimers") else None)[1]
+
+    made = replies._Message(1000, 1000)
+    made.handle, made.message, made.early, made.ended = (State(n) for n in ("handle", "message", "early", "ended"))
+    lines = pd.DataFrame([("r", i, kind, delta, None, None, False) for i, (kind, delta) in enumerate([("metadata", None), ("content", "a "), ("done", None)])], columns=[c.split()[0] for c in replies.LINE.split(", ")])
+    out = list(made.handleInputRows(("r",), iter([lines]), None))
+    assert out[0].content.tolist() == ["a "] and calls == ["ended.exists", "message.get", "ended.update"]

@@ -137,6 +137,7 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     least = most * LEAST_WORDS // MOST_WORDS if least is None else least
     pieces = F.filter(F.split(F.col(text), r"(?<=[.!?؟])\s+"), lambda s: stripped(s) != "")
     sentences = docs.select(key, F.posexplode(pieces).alias("at", "sentence")).withColumn("n", F.size(F.split(stripped(F.col("sentence")), r"\s+")).cast("long"))
+    sentences = stored(sentences)  # dealing and walking read them three times, and so the blocks below
     placed = scans.running(scans.dealt(sentences, "at"), [key], ["at"], sums={"__upto": F.col("n")}).drop(scans.RANGE)
     blocked = placed.withColumn("__block", F.floor((F.col("__upto") - F.col("n")) / block_words))
 
@@ -146,7 +147,8 @@ def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
         return rows.assign(starts=[int(i in starts) for i in range(len(rows))])[[key, "at", "sentence", "n", "starts"]]
 
     schema = StructType([f for f in sentences.schema if f.name in (key, "at", "sentence", "n")]).add("starts", LongType())
-    numbered = scans.running(scans.dealt(blocked.groupBy(key, "__block").applyInPandas(cut, schema), "at"), [key], ["at"], sums={"__chunk": F.col("starts")})
+    begun = stored(blocked.groupBy(key, "__block").applyInPandas(cut, schema))
+    numbered = scans.running(scans.dealt(begun, "at"), [key], ["at"], sums={"__chunk": F.col("starts")})
     dealt = stored(numbered.select(key, "at", "sentence", "n", (F.col("__chunk") - 1).alias("chunk")))
     # the last sentences of a chunk stand before the next one as well
     back = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(key, "chunk").orderBy(F.desc("at")))).where(F.col("__r") <= overlap)

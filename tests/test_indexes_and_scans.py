@@ -213,3 +213,34 @@ def test_scores_of_a_task_are_tiles(spark, monkeypatch):
     assert "NestedLoop" not in vector.dense_top_k_columns(rows, asked, 2)._jdf.queryExecution().executedPlan().toString()
     odd = rows.unionByName(spark.createDataFrame([(90, [float("nan"), 1.0, 1.0, 1.0]), (91, [None, 1.0, 1.0, 1.0])], rows.schema))
     assert [r.id for r in vector.dense_top_k_columns(odd, asked, 1).collect()] == [90] * 3 and 90 not in {r.id for r in vector.dense_top_k(odd, asked, 9).collect()}
+
+
+def _written(monkeypatch, module):
+    """The tables that a module stores from here on."""
+    seen, store = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df: (seen.append(df.columns), store(df))[1])
+    return seen
+
+
+def test_costly_steps_run_once(spark, monkeypatch):
+    """Sentences and cut blocks of chunks, hits that fill up, weights of a sparse search: written, as they are read again."""
+    seen = _written(monkeypatch, pages)
+    docs = spark.createDataFrame([(1, "One two. Three four! Five six?"), (2, None)], "doc_id long, text string")
+    assert [r.text for r in pages.chunks(docs).collect()] == ["One two. Three four! Five six?"]
+    assert ["doc_id", "at", "sentence", "n"] in seen and ["doc_id", "at", "sentence", "n", "starts"] in seen
+    seen = _written(monkeypatch, bm25)
+    model = bm25.Bm25Model.fit(docs, bm25.Bm25Config(charset="unicode"))
+    asked = spark.createDataFrame([(7, "two"), (8, "none")], "query_id long, text string")
+    assert sorted((r.query_id, r.doc_id) for r in model.search_filled(asked, 2).collect()) == [(7, 1), (7, 2), (8, 1), (8, 2)]
+    assert ["query_id", "doc_id", "score"] in seen
+
+
+def test_block_index_is_one_shuffle(spark, monkeypatch):
+    """Weights are dealt by term once, which counts, join and blocks share; postings are not sorted to meet their idf."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} common") for i in range(50)], "doc_id long, text string")
+    weights = bm25.Bm25Model.fit(docs, bm25.Bm25Config(charset="unicode")).kept().weights()
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    asked = spark.createDataFrame([(1, "w1", 1.0), (1, "common", 1.0)], "query_id long, term string, weight double")
+    found = BlockIndex.build(weights, block_docs=4, n_docs=50).search(asked, 5)
+    assert sorted(found.collect()) == sorted(BlockIndex.build(weights, block_docs=4).search(asked, 5).collect())

@@ -17,18 +17,37 @@ from shelfmark.session import stored
 def islands(pages: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Rows with ``island``, the 0-based number of the run of equal values they are in; a later run is another one.
 
-    Rows with the same place in the order count as sorted by value. A key's rows are dealt by ranges of the order.
+    Rows with the same place in the order count as sorted by value. Keys are dealt whole, over tasks of bounded size; the
+    rows of a key that is larger than a task's share are dealt by ranges of the order.
     """
-    rows = scans.dealt(pages, order)
-    walk = Window.partitionBy(key, scans.RANGE).orderBy(order, value)
+    tasks, large = scans.sized(pages, [key])
+    if large is None:
+        return _whole(pages, tasks, key, order, value)
+    return _whole(pages.where(~large), tasks, key, order, value).unionByName(_ranged(pages.where(large), tasks, key, order, value))
+
+
+def _runs(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Rows with ``__changed``, 1 where another value begins inside the group, and ``__run``, its sum so far."""
+    walk = Window.partitionBy(*by).orderBy(order, value)
     changed = F.when(F.row_number().over(walk) > 1, (~F.lag(value).over(walk).eqNullSafe(F.col(value))).cast("long")).otherwise(0)
     inside = rows.withColumn("__changed", changed)
-    counted = inside.withColumn("__run", F.sum("__changed").over(walk.rowsBetween(Window.unboundedPreceding, 0)))
+    return inside.withColumn("__run", F.sum("__changed").over(walk.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _whole(pages: DataFrame, tasks: int, key: str, order: str, value: str) -> DataFrame:
+    """``islands`` of keys that a task holds."""
+    return _runs(pages.repartition(tasks, key), [key], order, value).select(*pages.columns, F.col("__run").alias("island"))
+
+
+def _ranged(pages: DataFrame, tasks: int, key: str, order: str, value: str) -> DataFrame:
+    """``islands`` of keys that no task holds."""
+    rows = scans.dealt(pages, order, tasks).repartition(tasks, key, scans.RANGE)
+    counted = _runs(rows, [key, scans.RANGE], order, value)
 
     # each range's changes, and whether it begins with another value than the range before it ended with
     place = F.struct(order, value)
     passed = [F.sum("__changed").alias("__n"), F.min_by(F.struct(value), place).alias("__head"), F.max_by(F.struct(value), place).alias("__tail")]
-    ends = inside.groupBy(F.col(key).alias("__k"), F.col(scans.RANGE).alias("__r")).agg(*passed)
+    ends = counted.groupBy(F.col(key).alias("__k"), F.col(scans.RANGE).alias("__r")).agg(*passed)
     ranges = Window.partitionBy("__k").orderBy("__r")
     begins = (~F.lag("__tail").over(ranges).eqNullSafe(F.col("__head"))).cast("long")
     upto = F.sum(F.col("__n") + F.col("__begins")).over(ranges.rowsBetween(Window.unboundedPreceding, 0))

@@ -158,6 +158,25 @@ def test_islands_of_one_book(spark, one_book):
     assert sorted(map(tuple, pages.islands(rows, "book", "page", "mark").select("tie", "island").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_islands_split_only_large_keys(spark, one_book, monkeypatch):
+    """Small keys are whole: one shuffle, into as many tasks as rows need, and nothing passed on. Only a large key is cut."""
+    small = spark.range(3000).select(F.expr("nullif(id div 4, 9)").alias("book"), (F.col("id") % 4).alias("page"), F.expr("id * 7 % 3").alias("mark"))
+    plan = pages.islands(small, "book", "page", "mark")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    monkeypatch.setattr(scans, "TASK_ROWS", 100)
+    runs = pages.islands(small, "book", "page", "mark")
+    assert max(r["count"] for r in runs.groupBy(F.spark_partition_id()).count().collect()) < 3 * 100
+    assert pages.islands(small.limit(0), "book", "page", "mark").count() == 0
+    tasks, large = scans.sized(one_book, ["book"])
+    assert tasks == 41 and [r.book for r in one_book.where(large).select("book").distinct().collect()] == [1]
+    window = Window.partitionBy("book").orderBy("page", "mark")
+    for rows in (small, one_book.select("book", "page", "mark").distinct()):
+        changed = (~F.lag("mark").over(window).eqNullSafe(F.col("mark")) | (F.row_number().over(window) == 1)).cast("long")
+        want = rows.withColumn("c", changed).select("book", "page", "mark", (F.sum("c").over(window.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("island"))
+        got = pages.islands(rows, "book", "page", "mark")
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
 def test_as_of_in_one_book(spark):
     rng = random.Random(5)
     entries = [(i, rng.randrange(2000), i) for i in range(300)]

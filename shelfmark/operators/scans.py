@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 RANGE = "__range"
 _FIRST = "__first"
-#: Rows that a task sorts at a time; hashes of keys that are counted to find the groups that are split.
-TASK_ROWS, BUCKETS = 500_000, 65_536
+#: Rows that a task sorts at a time, and that it sorts at most where a shuffle would have more than UNSORTED parts: up to these
+#: (spark.shuffle.sort.bypassMergeThreshold) the tasks that write it hold no rows. Hashes that groups are counted by.
+TASK_ROWS, MOST_ROWS, UNSORTED, BUCKETS = 500_000, 2_000_000, 200, 65_536
 
 
 def sized(rows: DataFrame, by: list[str]) -> tuple[int, Column | None]:
-    """Into how many tasks rows are dealt (about TASK_ROWS each, and one for each core), and which rows may be of groups
-    larger than a task's share; None if there are none.
+    """Into how many tasks rows are dealt (about TASK_ROWS each, MOST_ROWS where that takes more than UNSORTED, and one for
+    each core at least), and which rows may be of groups larger than a task's share; None if there are none.
 
     Rows are counted by BUCKETS hashes of their group. Hashes above the share, no more than there are tasks, are split: only
     these groups need ranges, and what ranges pass on grows with tasks, not with groups. Found by one aggregation.
@@ -28,7 +29,9 @@ def sized(rows: DataFrame, by: list[str]) -> tuple[int, Column | None]:
     bucket = F.pmod(F.xxhash64(*by), F.lit(BUCKETS))
     counts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
     every = counts.agg(F.sum("n").alias("total"), F.collect_list(F.struct("bucket", "n")).alias("each"))  # BUCKETS at most
-    dealt_over = every.withColumn("tasks", F.greatest(F.lit(cores), F.ceil(F.coalesce("total", F.lit(0)) / TASK_ROWS)))
+    total = F.coalesce("total", F.lit(0))
+    parts = F.least(F.ceil(total / TASK_ROWS), F.greatest(F.lit(UNSORTED), F.ceil(total / MOST_ROWS)))
+    dealt_over = every.withColumn("tasks", F.greatest(F.lit(cores), parts))
     large = F.filter("each", lambda e: e["n"] * F.col("tasks") > F.col("total"))
     found = dealt_over.select("tasks", large["bucket"].alias("large")).first()
     return int(found.tasks), bucket.isin(found.large) if found.large else None

@@ -167,6 +167,12 @@ def test_islands_split_only_large_keys(spark, one_book, monkeypatch):
     runs = pages.islands(small, "book", "page", "mark")
     assert max(r["count"] for r in runs.groupBy(F.spark_partition_id()).count().collect()) < 3 * 100
     assert pages.islands(small.limit(0), "book", "page", "mark").count() == 0
+    assert scans.sized(small, ["book"]) == (30, None)
+    with monkeypatch.context() as bounds:  # no more parts than go unsorted, until these are too large
+        bounds.setattr(scans, "UNSORTED", 8)
+        for most, parts in ((1000, 8), (200, 15)):
+            bounds.setattr(scans, "MOST_ROWS", most)
+            assert scans.sized(small, ["book"]) == (parts, None)
     tasks, large = scans.sized(one_book, ["book"])
     assert tasks == 41 and [r.book for r in one_book.where(large).select("book").distinct().collect()] == [1]
     window = Window.partitionBy("book").orderBy("page", "mark")

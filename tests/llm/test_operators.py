@@ -94,6 +94,25 @@ def test_merge_of_transforms():
             assert got.tolist() == [i + 200 <= len(t) and counts[t[i : i + 200]] > 1 for i in range(len(t))]
 
 
+def test_merge_leaves_out_symbols_that_occur_once(monkeypatch):
+    """What is merged grows with the repeats, not with all bytes of the segments."""
+    merged, blocks = [], suffix_dedup.merged_blocks
+    monkeypatch.setattr(suffix_dedup, "merged_blocks", lambda shards, n_final: merged.append(sum(len(s.suffixes) for s in shards)) or blocks(shards, n_final))
+    rng = random.Random(6)
+    texts = [bytes(rng.randrange(97, 123) for _ in range(369)) for _ in range(200)]
+    again = suffix_dedup.repeated_windows(texts + [texts[0][100:], texts[1][20:225]])
+    assert [np.flatnonzero(a).tolist() for a in again if a.any()] == [list(range(100, 170)), list(range(20, 26)), list(range(70)), list(range(6))]
+    assert merged[0] < 0.02 * sum(map(len, texts))
+    assert not any(a.any() for a in suffix_dedup.repeated_windows(texts)) and len(merged) == 1  # nothing to merge
+
+
+@pytest.mark.parametrize("values", [1, 3])
+def test_merge_of_symbols_with_equal_hashes(monkeypatch, values):
+    mix = common.mix
+    monkeypatch.setattr(common, "mix", lambda x: (mix(x) % common.U64(values)) << common.U64(40))
+    test_merge_of_transforms()
+
+
 def test_long_text_in_pieces(monkeypatch):
     rng = np.random.default_rng(2)
     data = rng.integers(97, 110, 9000).astype(np.uint8)

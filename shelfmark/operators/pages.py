@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from shelfmark.functions.text import clean_html, spliced_html, stripped
+from shelfmark.functions.text import SPACE, clean_html, spliced_html, stripped
 from shelfmark.operators import scans
-from shelfmark.session import stored
+from shelfmark.session import spread, stored
 
 
 def islands(pages: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -140,66 +143,166 @@ def _climbed(entries: DataFrame, key: str, parent: str, path: bool) -> tuple[Dat
 
 #: Words of a chunk, sentences that chunks share, chunks that are embedded at a time.
 LEAST_WORDS, MOST_WORDS, OVERLAP, BATCH = 100, 400, 2, 8
-#: Sentences on either side of a gap that are compared; words after which a long document goes on in another task.
-SIDE, BLOCK_WORDS = 3, 8000
+#: Sentences on either side of a gap that are compared; words after which a block ends; characters above which
+#: a document is dealt over tasks by blocks; characters of chunks that a task holds before it passes them on.
+SIDE, BLOCK_WORDS, WHOLE_CHARS, PASS_CHARS = 3, 8000, 4_000_000, 4_000_000
 
 
-def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int | None = None, most: int = MOST_WORDS, overlap: int = OVERLAP, block_words: int = BLOCK_WORDS) -> DataFrame:
+def chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int | None = None, most: int = MOST_WORDS, overlap: int = OVERLAP, block_words: int = BLOCK_WORDS, whole_chars: int = WHOLE_CHARS) -> DataFrame:
     """``key, chunk, batch, first_sentence, n_words, n_own, text``: runs of whole sentences, each after the last
     ``overlap`` sentences of the one before; ``n_own`` are the words without those.
 
     A chunk has ``least`` (a quarter of ``most`` by default) to ``most`` words of its own, where sentences allow it, and ends where its text coheres least: of
     the gaps that leave such sizes, the one with the fewest words in common between the SIDE sentences before and after it
-    (Jaccard; the first of equal ones). The rest of a block may be shorter. Documents are dealt by blocks of about
-    ``block_words`` words, which chunks don't cross, so that a very long one is cut by many tasks.
+    (Jaccard; the first of equal ones). The rest of a block may be shorter. Each row is a document of its own, which is
+    walked block by block where it is read, without a shuffle; chunks don't cross blocks of about ``block_words`` words.
+    The blocks of documents of more than ``whole_chars`` are dealt, so that a very long one is cut by many tasks.
     """
     least = most * LEAST_WORDS // MOST_WORDS if least is None else least
-    pieces = F.filter(F.split(F.col(text), r"(?<=[.!?؟])\s+"), lambda s: stripped(s) != "")
-    sentences = docs.select(key, F.posexplode(pieces).alias("at", "sentence")).withColumn("n", F.size(F.split(stripped(F.col("sentence")), r"\s+")).cast("long"))
-    sentences = stored(sentences)  # dealing and walking read them three times, and so the blocks below
-    placed = scans.running(scans.dealt(sentences, "at"), [key], ["at"], sums={"__upto": F.col("n")}).drop(scans.RANGE)
-    blocked = placed.withColumn("__block", F.floor((F.col("__upto") - F.col("n")) / block_words))
-
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at")
-        starts = set(chunk_starts(rows.sentence.tolist(), rows.n.tolist(), least, most))
-        return rows.assign(starts=[int(i in starts) for i in range(len(rows))])[[key, "at", "sentence", "n", "starts"]]
-
-    schema = StructType([f for f in sentences.schema if f.name in (key, "at", "sentence", "n")]).add("starts", LongType())
-    begun = stored(blocked.groupBy(key, "__block").applyInPandas(cut, schema))
-    numbered = scans.running(scans.dealt(begun, "at"), [key], ["at"], sums={"__chunk": F.col("starts")})
-    dealt = stored(numbered.select(key, "at", "sentence", "n", (F.col("__chunk") - 1).alias("chunk")))
-    # the last sentences of a chunk stand before the next one as well
-    back = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(key, "chunk").orderBy(F.desc("at")))).where(F.col("__r") <= overlap)
-    last = dealt.groupBy(F.col(key).alias("__key")).agg(F.max("chunk").alias("__last"))
-    shared = back.join(last, F.col(key).eqNullSafe(F.col("__key"))).where(F.col("chunk") < F.col("__last")).select(key, "at", "sentence", "n", (F.col("chunk") + 1).alias("chunk"), F.lit(False).alias("own"))
-    parts = F.array_sort(F.collect_list(F.struct("at", "sentence")))
-    grouped = dealt.withColumn("own", F.lit(True)).unionByName(shared).groupBy(key, "chunk").agg(
-        F.min("at").alias("first_sentence"), F.sum("n").alias("n_words"), F.sum(F.when(F.col("own"), F.col("n"))).alias("n_own"), parts.alias("parts")
+    head, sizes = StructType([docs.schema[key]]), [StructField(n, LongType()) for n in ("n_words", "n_own")]
+    schema = StructType(head.fields + [StructField("chunk", LongType()), StructField("batch", LongType()), StructField("first_sentence", IntegerType()), *sizes, StructField("text", StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for name, first, sentences, words in _blocks(batches, block_words):
+                if first == 0:
+                    chunk, before = 0, ([], [])
+                for begin, *made, before in _cut(sentences, words, least, most, overlap, before):
+                    yield name, chunk, chunk // BATCH, first + begin, *made
+                    chunk += 1
+
+        yield from _record_batches(rows(), schema)
+
+    long = F.length(text) > whole_chars
+    found = _sentences(spread(docs.where(~long).select(key, text)), key, text).mapInArrow(cut, schema)
+    rest = docs.where(long).select(F.struct(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key")).alias("doc"), text)
+    return found if rest.isEmpty() else found.unionByName(_dealt_chunks(rest, text, least, most, overlap, block_words).select(F.col("key").alias(key), *schema.names[1:]))
+
+
+def _dealt_chunks(docs: DataFrame, text: str, least: int, most: int, overlap: int, block_words: int) -> DataFrame:
+    """``chunks`` of ``doc``, a struct of the row's own id and its key: blocks are cut by themselves, anywhere. What a block
+    passes on, the number of its chunks and its last sentences, is added up over the blocks of the document."""
+    doc = docs.schema["doc"]
+    block = StructType([doc, StructField("block", IntegerType()), StructField("sentences", ArrayType(StringType())), StructField("sizes", ArrayType(LongType()))])
+    tail = StructType([StructField("n", IntegerType()), StructField("words", LongType()), StructField("text", StringType())])
+    piece = StructType([doc, block["block"], StructField("at", LongType()), StructField("first", IntegerType()), StructField("n_words", LongType()), StructField("n_own", LongType()), StructField("text", StringType()), StructField("tail", tail)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for name, first, sentences, words in _rows(batches):
+                made = list(_cut(sentences, words, least, most, overlap, ([], [])))
+                for i, (begin, *counts, joined, (last, sizes)) in enumerate(made):
+                    after = {"n": len(last), "words": sum(sizes), "text": " ".join(last) if last else None}
+                    yield name, first, i, first + begin, *counts, joined, after if i + 1 == len(made) else None
+
+        yield from _record_batches(rows(), piece)
+
+    blocks = _sentences(docs, "doc", text).mapInArrow(lambda batches: _record_batches(_blocks(batches, block_words), block), block)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = stored(blocks.repartition(parts, "doc.id", "block").mapInArrow(cut, piece)).withColumn("id", F.col("doc.id"))
+    walk = Window.partitionBy("id").orderBy("block")  # a row for each block
+    earlier = F.coalesce(F.sum(F.col("at") + 1).over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = pieces.where("tail is not null").select("id", "block", earlier.alias("earlier"), F.lag("tail").over(walk).alias("before"))
+    placed = pieces.join(carried, ["id", "block"]).withColumn("chunk", F.col("earlier") + F.col("at")).withColumn("before", F.when(F.col("at") == 0, F.col("before")))
+    n_words, first = (F.coalesce(F.col(f"before.{c}"), F.lit(0)) for c in ("words", "n"))
+    return placed.select(
+        F.col("doc.key").alias("key"), "chunk", F.floor(F.col("chunk") / BATCH).alias("batch"), (F.col("first") - first).alias("first_sentence"),
+        (n_words + F.col("n_words")).alias("n_words"), "n_own", F.concat_ws(" ", "before.text", "text").alias("text"),
     )
-    whole = F.array_join(F.transform("parts", lambda p: p["sentence"]), " ")
-    return grouped.select(key, "chunk", F.floor(F.col("chunk") / BATCH).alias("batch"), "first_sentence", "n_words", "n_own", whole.alias("text"))
+
+
+def _sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, at, sentence, n``: sentences that are not blank, numbered in each row, with their words."""
+    pieces = F.filter(F.split(F.col(text), r"(?<=[.!?؟])\s+"), lambda s: F.rlike(s, F.lit(f"[^{SPACE[1:-1]}]")))
+    placed = docs.select(key, F.posexplode(pieces).alias("at", "sentence"))
+    return placed.withColumn("n", F.size(F.split(stripped(F.col("sentence")), r"\s+")).cast("long"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns))
+
+
+def _record_batches(rows: Iterator[tuple], schema: StructType) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of about PASS_CHARS characters of text, whose column is named text or sentences."""
+    out, held, size = to_arrow_schema(schema), [], 0
+    measured = next(i for i, n in enumerate(schema.names) if n in ("text", "sentences"))
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), out)], schema=out)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[measured]) if isinstance(row[measured], str) else sum(map(len, row[measured]))
+        if size > PASS_CHARS:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[tuple]:
+    """Key, place of the first sentence, sentences and their words of each block, of rows of ``_sentences`` in their order."""
+    held, block, words = None, 0, 0
+    for name, at, sentence, n in _rows(batches):
+        words = words if at else 0
+        if at == 0 or words // block_words != block:
+            if held:
+                yield held
+            held, block = (name, at, [], []), words // block_words
+        held[2].append(sentence)
+        held[3].append(n)
+        words += n
+    if held:
+        yield held
+
+
+def _cut(sentences: list[str], sizes: list[int], least: int, most: int, overlap: int, before: tuple[list[str], list[int]]) -> Iterator[tuple]:
+    """Of each chunk of a block: place of its first sentence, words with and without the overlap, text, and its last
+    sentences with their words, which the next one begins with; ``before`` are those that the block begins with."""
+    starts = chunk_starts(sentences, sizes, least, most)
+    for begin, end in zip(starts, [*starts[1:], len(sentences)]):
+        own, last = sum(sizes[begin:end]), slice(max(begin, end - overlap), end)
+        shared, words = before
+        before = sentences[last], sizes[last]
+        yield begin - len(shared), sum(words) + own, own, " ".join(shared + sentences[begin:end]), before
 
 
 def chunk_starts(sentences: list[str], sizes: list[int], least: int, most: int) -> list[int]:
     """Places of the sentences that chunks begin with."""
-    words = [set(s.lower().split()) for s in sentences]
+    cohesion = _Cohesion(sentences)
     upto = [0, *accumulate(sizes)]
     starts, n = [0], len(sentences)
     while upto[n] - upto[starts[-1]] > most:
         at = starts[-1]
-        fitting = [g for g in range(at + 1, n) if least <= upto[g] - upto[at] <= most]
-        whole = [g for g in fitting if upto[n] - upto[g] >= least] or fitting
+        after = max(at + 1, bisect_left(upto, upto[at] + least))
+        fitting = range(after, min(n, bisect_right(upto, upto[at] + most)))
+        whole = range(after, min(fitting.stop, bisect_right(upto, upto[n] - least))) or fitting
         if whole:
-            starts.append(min(whole, key=lambda g: (_cohesion(words, g), g)))
+            starts.append(min(whole, key=cohesion.__getitem__))
         else:  # one sentence leads from too few words to too many
-            after = next((g for g in range(at + 1, n) if upto[g] - upto[at] >= least), n)
-            if after == n:
+            if after >= n:
                 break
             starts.append(after)
     return starts
 
 
-def _cohesion(words: list[set[str]], gap: int) -> float:
-    before, after = set().union(*words[max(0, gap - SIDE) : gap]), set().union(*words[gap : gap + SIDE])
-    return len(before & after) / max(1, len(before | after))
+class _Cohesion(dict):
+    """The share of words that the SIDE sentences before a gap and those after it have in common; each found once."""
+
+    def __init__(self, sentences: list[str]):
+        self.sentences, self.words, self.sides = sentences, {}, {}
+
+    def side(self, begin: int, end: int) -> set[str]:
+        if (begin, end) not in self.sides:
+            for i in range(begin, min(end, len(self.sentences))):
+                if i not in self.words:
+                    self.words[i] = set(self.sentences[i].lower().split())
+            self.sides[begin, end] = set().union(*(self.words[i] for i in range(begin, min(end, len(self.sentences)))))
+        return self.sides[begin, end]
+
+    def __missing__(self, gap: int) -> float:
+        before, after = self.side(max(0, gap - SIDE), gap), self.side(gap, gap + SIDE)
+        common = len(before & after)
+        self[gap] = common / max(1, len(before) + len(after) - common)
+        return self[gap]

@@ -74,6 +74,31 @@ def test_a_long_document_is_cut_in_many_groups(spark):
     assert sum(r.n_own for r in got) == 60_000 and all(100 <= r.n_own <= 400 for r in got) and max(r.batch for r in got) == max(r.chunk for r in got) // 8
 
 
+def test_chunks_are_cut_where_documents_are_read(spark, monkeypatch):
+    """No text is shuffled or stored, as each copy of it takes its share of the disk."""
+    monkeypatch.setattr(pages, "stored", lambda df: pytest.fail("stored"))
+    docs = spark.range(0, 40, 1, 16).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('a', id, ' b c. '), 200)").alias("text"))
+    got = pages.chunks(docs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.agg(F.sum("n_own")).first()[0] == 40 * 600
+
+
+@pytest.mark.parametrize("overlap", [0, 2])
+def test_blocks_of_long_documents_are_dealt(spark, overlap):
+    rng = random.Random(overlap)
+    texts = [" ".join(f"w{rng.randrange(40)}" + rng.choice(["", "", "", "."]) for _ in range(n)) for n in (900, 30, 2000, 700, 700)]
+    texts += ["x " * 900 + ". a. b " + "y " * 300 + ". c. d.", " . ! ", ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).select(F.lit(7).cast("long").alias("doc_id"), "text")
+    whole = pages.chunks(docs, least=10, most=30, block_words=100, overlap=overlap)
+    dealt = pages.chunks(docs, least=10, most=30, block_words=100, overlap=overlap, whole_chars=300)
+    assert whole.dtypes == dealt.dtypes == [("doc_id", "bigint"), ("chunk", "bigint"), ("batch", "bigint"), ("first_sentence", "int"), ("n_words", "bigint"), ("n_own", "bigint"), ("text", "string")]
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, dealt.collect()))
+    if overlap:
+        assert sorted(map(tuple, dealt.collect())) == sorted((7, *c) for t in texts for c in plain_chunks(t, 10, 30, 100))
+    else:
+        assert dealt.where("n_words <> n_own").isEmpty()
+
+
 def test_ids(spark):
     rows = spark.range(500).select(text.random_id(F.lit("2024-05-06 07:08:09").cast("timestamp")).alias("r"), text.uuid4().alias("u")).collect()
     assert all(re.fullmatch(r"1714979289000-[0-9a-z]{7}", r.r) and re.fullmatch(r"[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}", r.u) for r in rows)
